@@ -5,13 +5,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm import exact_dedup, mixing, url_filters
+from webloom.llm import embedding_dedup, exact_dedup, language_id, mixing, simhash, toxicity, url_filters
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _fold(docs: DataFrame, folds: int, held: int):
+    return F.coalesce(F.crc32(docs["doc_id"].cast("string")) % folds == held, F.lit(False))
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    out = toxicity.score(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
+    return out.select("doc_id", _fold(out, 5, 0).alias("held_out"), "score", (out["score"] >= 0.5).cast("int").alias("predicted"))
+
+
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.similar_groups(_table(spark, sf_dir, "embeddings"))
+
+
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash.near_groups(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.lower(F.lpad(F.hex("l0"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    out = language_id.predict(docs, language_id.fit(docs, ~_fold(docs, 4, 2)))
+    return out.select("doc_id", _fold(out, 4, 2).alias("held_out"), "lang_pred", "score")
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_table(spark, sf_dir, "documents"))
 
@@ -26,6 +51,10 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
+    "op2_embedding_dedup": op2_embedding_dedup,
+    "op3_simhash": op3_simhash,
+    "op4_language_id": op4_language_id,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_poisson_mixing": op6_poisson_mixing,
     "op10_url_filters": op10_url_filters,

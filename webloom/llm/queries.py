@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm import embedding_dedup, exact_dedup, language_id, mixing, simhash, toxicity, url_filters
+from webloom.llm import embedding_dedup, exact_dedup, language_id, mixing, simhash, toxicity, url_filters, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,6 +46,10 @@ def op6_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "source", F.col("mix_copy").cast("long").alias("mix_copy"), F.sha2("text", 256).alias("text_sha256"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_round_trip(_table(spark, sf_dir, "pages"))
+
+
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(_table(spark, sf_dir, "pages"))
 
@@ -57,6 +61,7 @@ QUERIES = {
     "op4_language_id": op4_language_id,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_poisson_mixing": op6_poisson_mixing,
+    "op7_warc": op7_warc,
     "op10_url_filters": op10_url_filters,
 }
 
@@ -87,6 +92,13 @@ SQL = {
             select u.doc_id, u.source, u.text, count(*) filter (where d.below <= u.u) as copies
             from u join d on u.source is not distinct from d.source group by all)
         select doc_id, source, unnest(generate_series(0, copies - 1)) as mix_copy, sha256(text) as text_sha256 from m where copies > 0""",
+    "op7_warc": """
+        with p as (select page_id, coalesce(html, '') as t, octet_length(encode(coalesce(html, '')))::bigint as n from pages),
+        m as (select *, case when n >= 100 then min(page_id) over (partition by t) end as first from p)
+        select page_id, n as payload_bytes, sha256(t) as payload_digest,
+               case when page_id <> first then 'revisit' else 'response' end as record_type,
+               case when page_id <> first then first end as refers_to
+        from m""",
     "op10_url_filters": f"""
         with a as (select page_id, {_AFTER} as rest from pages),
         b as (select page_id, translate(regexp_extract(rest, '^[^/?#]*'), {_UP}) as host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from a),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm import embedding_dedup, exact_dedup, language_id, mixing, simhash, toxicity, url_filters, warc
+from webloom.llm import embedding_dedup, exact_dedup, language_id, mixing, sentencepiece_codec, simhash, toxicity, url_filters, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,6 +50,10 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(_table(spark, sf_dir, "pages"))
 
 
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_codec.round_trip(_table(spark, sf_dir, "documents"))
+
+
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(_table(spark, sf_dir, "pages"))
 
@@ -62,6 +66,7 @@ QUERIES = {
     "op5_exact_dedup": op5_exact_dedup,
     "op6_poisson_mixing": op6_poisson_mixing,
     "op7_warc": op7_warc,
+    "op9_sentencepiece": op9_sentencepiece,
     "op10_url_filters": op10_url_filters,
 }
 

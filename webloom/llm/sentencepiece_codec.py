@@ -28,7 +28,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 #: Words and neighbour tests that a worker remembers before it starts anew.
-MEMO_WORDS, MEMO_PAIRS = 200_000, 500_000
+MEMO_WORDS, MEMO_PAIRS = 400_000, 1_000_000
 NORMAL, UNKNOWN_TYPE, BYTE = 1, 2, 6
 UNIGRAM, BPE = 1, 2
 
@@ -58,12 +58,21 @@ class Pieces:
         self.unknown = next((i for i, (_, _, k) in enumerate(pieces) if k == UNKNOWN_TYPE), 0)
         self.longest = max(map(len, self.id), default=1)
         self.least = min((self.score[i] for i in self.id.values()), default=0.0) - 10
-        self.pairs: dict[tuple[str, str], bool] = {}
+        # when merging forms a piece, counted from the first; characters are there from the start
+        self.rank = {t: r for r, t in enumerate(sorted((t for t in self.id if len(t) > 1), key=lambda t: (-self.score[self.id[t]], self.id[t])))}
+        self.halves: dict[str, tuple[str, str] | None] = {}
+        # lengths, longest first, of the pieces that end in given two characters
+        ends: dict[str, set[int]] = {}
+        for t in self.rank:
+            ends.setdefault(t[-2:], set()).add(len(t))
+        self.ends = {k: sorted(v, reverse=True) for k, v in ends.items()}
+        self.pairs: dict[str, dict[str, bool]] = {}
+        self.n_pairs = 0
         self.words: dict[str, tuple[int, ...]] = {}
         # pieces that hold the mark after other characters would tie words together
         self.whole = any(MARK in t.lstrip(MARK) for t in self.id)
 
-    def merged(self, text: str) -> list[str]:
+    def merged(self, text: str, trace: list[tuple[str, str]] | None = None) -> list[str]:
         """Pieces of a text by merging: the best-scored pair first, the leftmost of equals."""
         parts: list[str | None] = list(text)
         after = [*range(1, len(parts)), None]
@@ -84,6 +93,8 @@ class Pieces:
             j = after[i]
             if parts[i] is None or j is None or parts[i] + parts[j] != both:
                 continue
+            if trace is not None:
+                trace.append((parts[i], parts[j]))
             parts[i], parts[j], after[i] = both, None, after[j]
             if after[i] is not None:
                 ahead[after[i]] = i
@@ -91,15 +102,34 @@ class Pieces:
             offer(i)
         return [x for x in parts if x is not None]
 
+    def split(self, text: str) -> tuple[str, str] | None:
+        """The two parts that merging joins last to form a piece; None if it never forms it."""
+        if text not in self.halves:
+            trace: list[tuple[str, str]] = []
+            self.halves[text] = trace[-1] if self.merged(text, trace) == [text] and trace else None
+        return self.halves[text]
+
     def neighbours(self, a: str, b: str) -> bool:
-        """Whether merging leaves a and b as they are when they stand side by side; a may be empty."""
-        key = (a, b)
-        got = self.pairs.get(key)
-        if got is None:
-            if len(self.pairs) >= MEMO_PAIRS:
-                self.pairs.clear()
-            got = self.pairs[key] = self.merged(a + b) == ([a, b] if a else [b])
-        return got
+        """Whether merging forms a and b and leaves them side by side; a may be empty.
+
+        Goes back in time from the two pieces: the one formed later is taken apart, and the parts on
+        either side of the border must not have been a pair that merging prefers to what it did."""
+        if (len(b) > 1 and self.split(b) is None) or (len(a) > 1 and self.split(a) is None):
+            return False
+        if not a:
+            return True
+        rank, border = self.rank, len(self.rank)
+        while True:
+            both = rank.get(a + b)
+            if both is not None and both < border:
+                return False
+            left, right = rank.get(a, -1) if len(a) > 1 else -1, rank.get(b, -1) if len(b) > 1 else -1
+            if left < 0 and right < 0:
+                return True
+            if left > right:
+                border, a = left, self.split(a)[1]
+            else:  # of equal merges the left one comes first, and across the border is further left
+                border, b = right + 1, self.split(b)[0]
 
     def ids_of(self, parts: list[str]) -> list[int]:
         out: list[int] = []
@@ -115,30 +145,15 @@ class Pieces:
 
     def encode_words(self, words: list[str]) -> Iterator[tuple[str, tuple[int, ...]]]:
         """(word, ids) of sorted distinct words, each beginning where its predecessor left off."""
-        # state of each prefix: (weight, last piece, where that begins)
+        step = self._step_bpe if self.kind == BPE else self._step_unigram
+        # forward state of each prefix: (weight, last piece, where that begins)
         states: list[tuple[float, str, int]] = [(0.0, "", 0)]
         before = ""
-        piece, score, bpe = self.id, self.score, self.kind == BPE
         for word in words:
             shared = len(commonprefix((before, word)))
             del states[shared + 1 :]
             for end in range(shared + 1, len(word) + 1):
-                best = None
-                for start in range(max(0, end - self.longest), end):
-                    text = word[start:end]
-                    known = piece.get(text)
-                    if known is None and end - start > 1:
-                        continue
-                    weight, last, _ = states[start]
-                    if bpe:
-                        if self.neighbours(last, text):
-                            best = (0.0, text, start)
-                            break
-                    else:
-                        weight += score[known] if known is not None else self.least
-                        if best is None or weight > best[0]:
-                            best = (weight, text, start)
-                states.append(best)
+                states.append(step(word, end, states))
             parts, end = [], len(word)
             while end:
                 _, text, start = states[end]
@@ -147,6 +162,36 @@ class Pieces:
             yield word, tuple(self.ids_of(parts[::-1]))
             before = word
 
+    def _step_bpe(self, word: str, end: int, states: list[tuple[float, str, int]]) -> tuple[float, str, int]:
+        for n in self.ends.get(word[end - 2 : end], ()) if end > 1 else ():
+            start = end - n
+            if start < 0:
+                continue
+            text = word[start:end]
+            if text in self.rank:
+                last = states[start][1]
+                row = self.pairs.get(last)
+                if row is None:
+                    row = self.pairs[last] = {}
+                good = row.get(text)
+                if good is None:
+                    if self.n_pairs >= MEMO_PAIRS:
+                        self.pairs.clear()
+                        self.n_pairs = 0
+                    good = row[text] = self.neighbours(last, text)
+                    self.n_pairs += 1
+                if good:
+                    return 0.0, text, start
+        return 0.0, word[end - 1], end - 1  # one path passes: if no longer piece ends here, a character does
+
+    def _step_unigram(self, word: str, end: int, states: list[tuple[float, str, int]]) -> tuple[float, str, int]:
+        best = (states[end - 1][0] + self.least, word[end - 1], end - 1)
+        for start in range(max(0, end - self.longest), end):
+            known = self.id.get(word[start:end])
+            if known is not None and states[start][0] + self.score[known] > best[0]:
+                best = (states[start][0] + self.score[known], word[start:end], start)
+        return best
+
     def encode(self, texts: list[str | None]) -> list[list[int]]:
         """Ids of whole texts; null and empty texts have none."""
         marked = [((MARK if self.prefix else "") + t.replace(" ", MARK)) if t else "" for t in texts]

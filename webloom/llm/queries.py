@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm import embedding_dedup, exact_dedup, language_id, mixing, sentencepiece_codec, simhash, toxicity, url_filters, warc
+from webloom.llm import embedding_dedup, exact_dedup, kneser_ney, language_id, mixing, sentencepiece_codec, simhash, toxicity, url_filters, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,6 +50,12 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(_table(spark, sf_dir, "pages"))
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    out = kneser_ney.fit_and_score(docs, ~_fold(docs, 5, 1))
+    return out.select("doc_id", _fold(out, 5, 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.round_trip(_table(spark, sf_dir, "documents"))
 
@@ -66,6 +72,7 @@ QUERIES = {
     "op5_exact_dedup": op5_exact_dedup,
     "op6_poisson_mixing": op6_poisson_mixing,
     "op7_warc": op7_warc,
+    "op8_lm_scoring": op8_lm_scoring,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_url_filters": op10_url_filters,
 }

@@ -26,21 +26,8 @@ def uniform(*parts: Column) -> Column:
     return F.conv(F.substring(digest, 1, HEX), 16, 10).cast("double") / F.lit(float(2**BITS))
 
 
-def poisson_quantile(u: Column, rate: Column) -> Column:
-    """The least k with P(X <= k) > u for X of mean `rate` (at most PART)."""
-    start = F.struct(F.exp(-rate).alias("term"), F.exp(-rate).alias("below"), F.lit(0).alias("k"))
-
-    def step(acc: Column, i: Column) -> Column:
-        term = acc["term"] * rate / i
-        return F.struct(
-            term.alias("term"), (acc["below"] + term).alias("below"), (acc["k"] + F.when(u >= acc["below"], 1).otherwise(0)).alias("k")
-        )
-
-    return F.aggregate(F.sequence(F.lit(1), F.lit(TERMS)), start, step, lambda acc: acc["k"])
-
-
 def cumulative(rate: Column) -> Column:
-    """P(X <= k) for k = 0 .. TERMS - 1, as an array."""
+    """P(X <= k) for k = 0 .. TERMS - 1, as an array; from where it stops growing, it only repeats."""
     terms = F.aggregate(
         F.sequence(F.lit(1), F.lit(TERMS - 1)),
         F.struct(F.exp(-rate).alias("term"), F.array(F.exp(-rate)).alias("all")),
@@ -70,7 +57,7 @@ def source_rates(docs: DataFrame, weights: Mapping[str, float] | None, rows_out:
     rate = F.when(F.col("shares") > 0, size * F.col("share") / F.col("shares") / F.col("count")).otherwise(0.0)
     counts = counts.crossJoin(F.broadcast(total)).withColumn("rate", rate)  # `total` is one row
     parts = F.greatest(F.ceil(F.col("rate") / PART), F.lit(1)).cast("int")
-    return counts.withColumn("parts", parts).withColumn("cdf", cumulative(F.col("rate") / F.col("parts"))).select("source", "count", "rate", "parts", "cdf")
+    return counts.withColumn("parts", parts).withColumn("cdf", F.array_distinct(cumulative(F.col("rate") / F.col("parts")))).select("source", "count", "rate", "parts", "cdf")
 
 
 def mix(
@@ -96,7 +83,8 @@ def mix(
     rates = source_rates(docs, weights, rows_out, alpha, source_col).select(F.struct("source", "rate", "parts", "cdf").alias(key))
     drawn = docs.join(rates, docs[source_col].eqNullSafe(F.col(f"{key}.source")))
     identity = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
-    draw = lambda part: F.size(F.filter(F.col(f"{key}.cdf"), lambda c: c <= uniform(F.lit(seed), part, identity)))
+    # the number is bound to a variable first, or it would be hashed anew for every term
+    draw = lambda part: F.transform(F.array(uniform(F.lit(seed), part, identity)), lambda u: F.size(F.filter(F.col(f"{key}.cdf"), lambda c: c <= u)))[0]
     # one draw in the common case; the sum of several where the rate is above PART
     one = draw(F.lit(0))
     several = F.aggregate(F.sequence(F.lit(0), F.col(f"{key}.parts") - 1), F.lit(0), lambda acc, i: acc + draw(i))

@@ -195,3 +195,20 @@ def near_groups(
     found = connected_components(scratch.write(links, "links")).select(F.col("node").alias("rep"), "component")
     final = scratch.write(classes.join(found, "rep", "left").select(*names, F.coalesce("component", "rep").alias("component_id")), "final")
     return marks.join(final, names, "left").select(F.col("id").alias(id_col), "component_id", *names)
+
+
+#: For whole documents: five-word shingles and four lanes, so 256 bits estimate the similarity. Texts
+#: that share 0.8 of their shingles differ in 39 bits on average, with a deviation of 6, and those
+#: that share 0.6 in 59. Lane 0 alone only finds candidates, with a radius that loses few.
+DOCUMENTS = {"k": 5, "radius": 16, "lanes": 4, "total": 44}
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how: int) -> DataFrame:
+    """One row of each near_groups component, that with the smallest id, with columns as they were.
+
+    how: as for near_groups, DOCUMENTS by default. Rows that share an id are one document, and stay
+    or go together; rows with a null id stay."""
+    groups = near_groups(docs, **(DOCUMENTS | how), id_col=id_col, text_col=text_col)
+    gone = groups.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct()
+    gone = Scratch(docs.sparkSession, "simhash-drop").write(gone, "gone")
+    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")

@@ -137,12 +137,12 @@ def fit(
     return fit_machine([np.frombuffer(t, np.int32) for t in got["terms"]], got["label"].to_numpy())
 
 
-def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """(id, score) or (`keep` columns, score) for every row. Null and empty texts score as a text
+def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, out_col: str = "score") -> DataFrame:
+    """(id, score) or (`keep` columns, score) for every row, the score under the name `out_col`. Null and empty texts score as a text
     without terms does. Whole texts are read; repeated ids are scored row by row."""
     columns = keep or [id_col]
     shared = docs.sparkSession.sparkContext.broadcast(machine)  # about 1 MB whatever the input
-    schema = T.StructType([*(docs.schema[c] for c in columns), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*(docs.schema[c] for c in columns), T.StructField(out_col, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, memo = shared.value, {}
@@ -159,6 +159,15 @@ def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: s
                 scores[i] = 1 / (1 + np.exp(-np.clip(m.margin(sorted(kept)), -500, 500)))
                 if len(memo) > MEMO:
                     memo.clear()
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(columns)], pa.array(scores)], schema=pa.schema([*(b.schema.field(c) for c in range(len(columns))), ("score", pa.float64())]))
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(columns)], pa.array(scores)], schema=pa.schema([*(b.schema.field(c) for c in range(len(columns))), (out_col, pa.float64())]))
 
     return docs.select(*columns, F.col(text_col).alias("_text_to_score")).mapInArrow(run, schema)
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows whose score is below `threshold`, with their columns as they were."""
+    name = "_toxicity"
+    while name in docs.columns:
+        name += "_"
+    scored = score(docs, fit(docs, labels, id_col=id_col, text_col=text_col), id_col, text_col, docs.columns, name)
+    return scored.where(F.col(name) < threshold).drop(name)

@@ -5,7 +5,9 @@ lie side by side; a window over the sorted run compares each neighbour in full a
 smallest identifier. A range partition cannot hold one text twice, so a text with very many copies
 would pile up in one task. Such texts are found beforehand by counting 64-bit hashes (pre-aggregated,
 8 bytes a row); their rows are dealt over several runs by a hash of the identifier, and the few rows
-that the runs keep are merged by their whole text.
+that the runs keep are merged by their whole text. Splitters are sampled on the sort key's bounded
+head (a prefix and a hash of the text), so what the driver sees of them does not grow with the texts;
+whole texts decide who is equal.
 """
 
 from __future__ import annotations
@@ -16,6 +18,8 @@ from pyspark.sql import functions as F
 from webloom.core.scratch import Scratch
 
 WHITE = r"[\x20\x09-\x0D]+"
+#: Characters of the text that lead the sort key.
+HEAD = 32
 
 
 def normalised(text: Column) -> Column:
@@ -38,10 +42,11 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     limit = max(2, -(-docs.count() // runs))
     hot = scratch.write(rows.groupBy("h").count().where(F.col("count") > limit), "hot")
     dealt = F.pmod(F.xxhash64(F.lit("run"), "id"), F.ceil(F.col("count") / limit).cast("long"))
-    rows = rows.join(F.broadcast(hot), "h", "left").select("id", "norm", F.coalesce(dealt, F.lit(-1)).alias("run"))
-    group = Window.partitionBy("norm", "run")
+    rows = rows.join(F.broadcast(hot), "h", "left")
+    rows = rows.select("id", "norm", F.substring("norm", 1, HEAD).alias("head"), "h", F.coalesce(dealt, F.lit(-1)).alias("run"))
+    group = Window.partitionBy("head", "h", "run", "norm")
     first = group.orderBy(F.col("id").asc_nulls_last())
-    runs_df = rows.repartitionByRange("norm", "run").select(
+    runs_df = rows.repartitionByRange("head", "h", "run").select(
         "id",
         F.first("id").over(first).alias("keep"),
         F.row_number().over(first).alias("nth"),

@@ -70,3 +70,27 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         ((F.col("nth") == 1) & here).alias("kept"),
         F.col("sha").alias("text_sha256"),
     )
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows that exact_groups keeps, with their columns as they were.
+
+    What is dropped is looked up by identifier and digest, as that is the smaller set. A row that
+    repeats its group's kept identifier is one that this cannot tell from the kept row; where there
+    are such rows, one of each is kept.
+    """
+    scratch = Scratch(docs.sparkSession, "exact-drop")
+    groups = exact_groups(docs, id_col, text_col).where("not kept")
+    gone = scratch.write(groups.select(F.col(id_col).alias("_id"), "text_sha256", F.col(id_col).eqNullSafe(F.col("keep_id")).alias("again")), "gone")
+    key = "_text_sha256"
+    while key in docs.columns:
+        key += "_"
+    rows = docs.withColumn(key, F.sha2(normalised(F.col(text_col)), 256))
+    matches = lambda side: rows[id_col].eqNullSafe(side["_id"]) & (rows[key] == side["text_sha256"])
+    lost, again = gone.where("not again").drop("again"), gone.where("again").drop("again").distinct()
+    if again.isEmpty():
+        return rows.join(lost, matches(lost), "left_anti").drop(key)
+    again = scratch.write(again, "again")
+    once = rows.join(again, matches(again), "left_semi").dropDuplicates([id_col, key])
+    both = lost.unionByName(again)
+    return rows.join(both, matches(both), "left_anti").unionByName(once).drop(key)

@@ -41,10 +41,12 @@ def content_words(text: Column, least: int) -> Column:
 
 def trigrams(text: Column) -> Column:
     """All three-character substrings of the lower-cased text, in order."""
-    t = F.lower(F.coalesce(text, F.lit("")))
-    return F.when(F.length(t) < 3, F.array().cast("array<string>")).otherwise(
-        F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - 2, F.lit(1))), lambda i: F.substring(t, i, F.lit(3)))
-    )
+    # characters are split off once and bound to a variable; a substring would count from the start
+    # of the text for every place
+    letters = F.array(F.split(F.lower(F.coalesce(text, F.lit(""))), ""))
+    at = lambda c, i: F.concat(F.get(c, i), F.get(c, i + 1), F.get(c, i + 2))
+    grams = F.transform(letters, lambda c: F.when(F.size(c) > 2, F.transform(F.sequence(F.lit(0), F.greatest(F.size(c) - 3, F.lit(0))), lambda i: at(c, i))))[0]
+    return F.coalesce(grams, F.array().cast("array<string>"))
 
 
 def counted(df: DataFrame, key: str, items: Column) -> DataFrame:

@@ -5,8 +5,22 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 
+_TYPES = {
+    "string": T.StringType(),
+    "int": T.IntegerType(),
+    "bigint": T.LongType(),
+    "double": T.DoubleType(),
+    "boolean": T.BooleanType(),
+    "timestamp": T.TimestampType(),
+    "array<string>": T.ArrayType(T.StringType()),
+    "map<string,string>": T.MapType(T.StringType(), T.StringType()),
+}
+
+
 def _schema(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
+    """A schema from 'name type [not null], ...'; needs no running session."""
+    fields = [f.split(" ", 2) for f in text.split(", ")]
+    return T.StructType([T.StructField(f[0], _TYPES[f[1]], len(f) < 3) for f in fields])
 
 
 PAGES_RAW = _schema(

@@ -23,8 +23,8 @@ WORD = re.compile(r"[^\W\d_]+")
 PREFIXES = (3, 4, 5, 6)
 BUCKETS = 1 << 18
 #: Labelled rows that the model is fitted to at most, by a hash of the identifier.
-FIT_ROWS = 16_000
-TERMS, FACTORS, EPOCHS, BATCH, RATE, DECAY = 3072, 4, 25, 256, 0.05, 1e-4
+FIT_ROWS = 8_000
+TERMS, FACTORS, EPOCHS, BATCH, RATE, DECAY = 2048, 4, 25, 256, 0.05, 1e-4
 #: Words that a worker remembers before it starts anew.
 MEMO = 400_000
 
@@ -71,19 +71,20 @@ def fit_machine(terms: list[np.ndarray], labels: np.ndarray, seed: int = 5) -> M
     if n == 0 or pos in (0, n):
         w0 = float(np.log((pos + 0.5) / (n - pos + 0.5))) if n else -20.0
         return Machine(slot, w0, np.zeros(0), np.zeros((0, FACTORS)))
-    flat = np.concatenate(terms)
-    row = np.repeat(np.arange(n), [len(t) for t in terms])
-    df = np.bincount(flat, minlength=BUCKETS).astype(np.float64)
-    hit = np.bincount(flat, weights=y[row], minlength=BUCKETS)
+    df, hit = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    for t, label in zip(terms, y, strict=True):  # a text's terms are distinct
+        df[t] += 1
+        hit[t] += label
     expected = df * pos / n
     chi = (hit - expected) ** 2 / np.maximum(expected * (1 - df / (n + 1)), 1e-9)
     chi[df < 3] = 0
     best = np.argsort(-chi, kind="stable")[:TERMS]
     best = best[chi[best] > 0]
     slot[best] = np.arange(len(best))
-    kept = slot[flat]
     x = np.zeros((n, len(best)), np.uint8)
-    x[row[kept >= 0], kept[kept >= 0]] = 1
+    for i, t in enumerate(terms):
+        kept = slot[t]
+        x[i, kept[kept >= 0]] = 1
     rng = np.random.default_rng(seed)
     w0, w, v = float(np.log(pos / (n - pos))), np.zeros(len(best)), rng.normal(0, 0.01, (len(best), FACTORS))
     g0, gw, gv = 1e-8, np.full(w.shape, 1e-8), np.full(v.shape, 1e-8)

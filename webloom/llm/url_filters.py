@@ -103,9 +103,10 @@ def judge(
     """(id, host, path, rule, verdict, verdict_by) for every row.
 
     redirects: further (src, dst) urls, such as a crawler's redirect log. An address that a rule fits
-    takes the rule's verdict. Any other takes `allow` if one of its aliases is allowed by a rule,
-    else `block` if one is blocked, else `allow`: an explicit allow comes before a block. Addresses
-    that occur only in edges are judged too, so a blocked redirect target counts without a row of its
+    takes the rule's verdict, so an explicit allow comes before a block that an alias would bring.
+    Any other takes `block` if a rule blocks one of its aliases, else `allow`; an alias that is allowed
+    does not lift another's block, or one page's link would open the gate to all. Addresses that
+    occur only in edges are judged too, so a blocked redirect target counts without a row of its
     own. Null, empty and malformed urls have empty parts, fit no rule and have no aliases. Rows stay
     one for one, repeated ids included. Without edges no component is computed.
     """
@@ -128,7 +129,7 @@ def judge(
         members = scratch.write(connected_components(edges), "members")
         at = F.concat(F.lit("x://"), F.col("node"))
         ruled = members.withColumn("v", fitting_rule(host(at), path(at), rules)["verdict"]).where("v is not null")
-        spread = scratch.write(ruled.groupBy("component").agg(F.min("v").alias("_alias")), "spread")  # 'allow' < 'block'
+        spread = scratch.write(ruled.groupBy("component").agg(F.max("v").alias("_alias")), "spread")  # 'block' > 'allow'
         known = scratch.write(members.join(spread, "component").select(F.col("node").alias("_at"), "_alias"), "known")
         rows = rows.join(known, "_at", "left")
     verdict = F.coalesce(own, F.col("_alias"), F.lit("allow"))

@@ -83,6 +83,18 @@ _AFTER = r"regexp_extract(coalesce(url, ''), '(?s)^.*?://(.*)$', 1)"
 _UP = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
 SQL = {
+    "op2_embedding_dedup": """
+        with recursive v as (
+            select vec_id, label, embedding::double[] as e from embeddings
+            where vec_id is not null and label is not null and embedding is not null
+              and len(list_filter(embedding, lambda z: z is null or not isfinite(z))) = 0 and len(list_filter(embedding, lambda z: z <> 0)) > 0),
+        p as (
+            select a.vec_id as x, b.vec_id as y from v a join v b on a.label = b.label and a.vec_id <> b.vec_id and len(a.e) = len(b.e)
+            where list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e)) / sqrt(list_dot_product(b.e, b.e)) >= 0.98),
+        r(x, y) as (select vec_id, vec_id from v union select r.x, p.y from r join p on r.y = p.x),
+        c as (select x, min(y) as component_id from r group by x), n as (select x, count(*) as n from p group by x)
+        select vec_id, coalesce(n.n, 0)::bigint as n_links, coalesce(component_id, vec_id) as component_id, coalesce(component_id, vec_id) = vec_id as kept
+        from embeddings left join c on c.x = vec_id left join n on n.x = vec_id""",
     "op5_exact_dedup": f"""
         with n as (select doc_id, {_NORM} as norm from documents)
         select doc_id, min(doc_id) over (partition by norm) as keep_id,

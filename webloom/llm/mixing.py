@@ -13,6 +13,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from webloom.core.scratch import Scratch
+
 #: A rate above this is drawn as a sum of independent draws of equal, smaller rates.
 PART = 32.0
 #: Terms of the distribution at a rate of PART: what lies beyond has less than 1e-17 of its mass.
@@ -73,14 +75,16 @@ def mix(
     """The documents, each as often as its draw says, with mix_copy (from 0) and mix_key.
 
     rows_out: expected rows of the result (None: as many as came in). mix_key is a hash of the seed,
-    identifier and copy; with `shuffle`, rows are range-partitioned and sorted by it, so the order of
-    the written files is the training order. Rows of one identifier share a draw; a null identifier
+    identifier and copy; with `shuffle`, rows are dealt over partitions and sorted by it, so any source
+    is spread over all written files and the order within them is the training order. Rows of one identifier share a draw; a null identifier
     draws like any other value. Columns and their types stay as they are.
     """
     key, taken = "_mix", {c.lower() for c in docs.columns}
     while key in taken:
         key += "_"
-    rates = source_rates(docs, weights, rows_out, alpha, source_col).select(F.struct("source", "rate", "parts", "cdf").alias(key))
+    # written first, so Spark knows its size: it is broadcast if small, and joined with skew handling if not
+    rates = Scratch(docs.sparkSession, "mixing").write(source_rates(docs, weights, rows_out, alpha, source_col), "rates")
+    rates = rates.select(F.struct("source", "rate", "parts", "cdf").alias(key))
     drawn = docs.join(rates, docs[source_col].eqNullSafe(F.col(f"{key}.source")))
     identity = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
     # the number is bound to a variable first, or it would be hashed anew for every term
@@ -92,4 +96,4 @@ def mix(
     drawn = drawn.withColumn(key, F.when(copies > 0, F.sequence(F.lit(0), copies - 1))).where(F.col(key).isNotNull())
     out = drawn.select("*", F.explode(key).alias("mix_copy")).drop(key)
     out = out.withColumn("mix_key", F.xxhash64(F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("null")), "mix_copy"))
-    return out.repartitionByRange("mix_key").sortWithinPartitions("mix_key") if shuffle else out
+    return out.repartition("mix_key").sortWithinPartitions("mix_key") if shuffle else out

@@ -27,7 +27,7 @@ from webloom.operators.components import connected_components
 
 SEED = 42
 #: Rows of a tile: a share of all fingerprints within these bounds, which bound a task's memory.
-TILE_SHARE, TILE_LEAST, TILE_MOST, SUB = 32, 4096, 1 << 20, 512
+TILE_SHARE, TILE_LEAST, TILE_MOST, SUB = 32, 256, 1 << 20, 512
 
 
 def shingle_hashes(text: bytes | None, k: int) -> np.ndarray:

@@ -33,8 +33,8 @@ from webloom.llm import files
 END = b"\n"  # no word holds white space
 HOT_SHARE = 1000
 #: Documents for each word bucket, tokens for each pair bucket, tokens handled at a time.
-WORD_DOCS, PAIR_TOKENS, GROUP = 8192, 2_000_000, 1_000_000
-MEMO = 400_000
+WORD_DOCS, PAIR_TOKENS, GROUP = 8192, 1_000_000, 250_000
+MEMO = 150_000
 LOW = np.uint64(0xFFFFFFFF)
 SHIFT = np.uint64(32)
 

@@ -44,8 +44,11 @@ def test_exact_groups(spark, runs):
         kept[r.text_sha256] = kept.get(r.text_sha256, 0) + r.kept
         assert not r.kept or r.doc_id == r.keep_id
     assert set(kept.values()) == {1}
-    out = exact_dedup.deduplicate(docs)
-    assert out.columns == docs.columns and sorted(WHITE.sub(" ", r.text or "") for r in out.collect()) == sorted(groups)
+    out = exact_dedup.deduplicate(docs, runs=runs)
+    rows_out = out.collect()
+    assert out.columns == docs.columns and sorted(WHITE.sub(" ", r.text or "") for r in rows_out) == sorted(groups)
+    assert all(r.doc_id == min((x for x in groups[WHITE.sub(" ", r.text or "")] if x is not None), default=None) for r in rows_out)
+    assert {(r.norm, r.run) for r in rows_out} == {("clash", 7)} and exact_dedup.deduplicate(docs.limit(0)).collect() == []
     assert exact_dedup.exact_groups(docs.limit(0)).collect() == []
 
 

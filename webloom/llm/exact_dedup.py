@@ -27,6 +27,16 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), WHITE, " ")
 
 
+def _keyed(rows: DataFrame, runs: int, scratch: Scratch) -> DataFrame:
+    """`rows` (id, norm, ..) with their sort key: head, h and run (-1 unless the text is hot)."""
+    rows = rows.withColumn("h", F.xxhash64("norm"))
+    limit = max(2, -(-rows.count() // runs))
+    hot = scratch.write(rows.groupBy("h").count().where(F.col("count") > limit), "hot")
+    dealt = F.pmod(F.xxhash64(F.lit("run"), "id"), F.ceil(F.col("count") / limit).cast("long"))
+    rows = rows.join(F.broadcast(hot), "h", "left")
+    return rows.withColumns({"head": F.substring("norm", 1, HEAD), "run": F.coalesce(dealt, F.lit(-1))}).drop("count")
+
+
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", runs: int = 1000) -> DataFrame:
     """One row per input row: (id, keep_id, group_size, kept, text_sha256).
 
@@ -38,12 +48,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     scratch = Scratch(docs.sparkSession, "exact")
     rows = docs.select(F.col(id_col).alias("id"), normalised(F.col(text_col)).alias("norm"))
-    rows = rows.withColumn("h", F.xxhash64("norm"))
-    limit = max(2, -(-docs.count() // runs))
-    hot = scratch.write(rows.groupBy("h").count().where(F.col("count") > limit), "hot")
-    dealt = F.pmod(F.xxhash64(F.lit("run"), "id"), F.ceil(F.col("count") / limit).cast("long"))
-    rows = rows.join(F.broadcast(hot), "h", "left")
-    rows = rows.select("id", "norm", F.substring("norm", 1, HEAD).alias("head"), "h", F.coalesce(dealt, F.lit(-1)).alias("run"))
+    rows = _keyed(rows, runs, scratch)
     group = Window.partitionBy("head", "h", "run", "norm")
     first = group.orderBy(F.col("id").asc_nulls_last())
     runs_df = rows.repartitionByRange("head", "h", "run").select(
@@ -72,25 +77,23 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", runs: int = 1000) -> DataFrame:
     """The rows that exact_groups keeps, with their columns as they were.
 
-    What is dropped is looked up by identifier and digest, as that is the smaller set. A row that
-    repeats its group's kept identifier is one that this cannot tell from the kept row; where there
-    are such rows, one of each is kept.
+    Whole rows go through the sort, so the texts are shuffled once and nothing is looked up later;
+    the normalised text is made anew behind the shuffle. Of rows that share id and text one stays,
+    and so does one of a group of null ids only. Column names are free, as rows travel as one struct.
     """
     scratch = Scratch(docs.sparkSession, "exact-drop")
-    groups = exact_groups(docs, id_col, text_col).where("not kept")
-    gone = scratch.write(groups.select(F.col(id_col).alias("_id"), "text_sha256", F.col(id_col).eqNullSafe(F.col("keep_id")).alias("again")), "gone")
-    key = "_text_sha256"
-    while key in docs.columns:
-        key += "_"
-    rows = docs.withColumn(key, F.sha2(normalised(F.col(text_col)), 256))
-    matches = lambda side: rows[id_col].eqNullSafe(side["_id"]) & (rows[key] == side["text_sha256"])
-    lost, again = gone.where("not again").drop("again"), gone.where("again").drop("again").distinct()
-    if again.isEmpty():
-        return rows.join(lost, matches(lost), "left_anti").drop(key)
-    again = scratch.write(again, "again")
-    once = rows.join(again, matches(again), "left_semi").dropDuplicates([id_col, key])
-    both = lost.unionByName(again)
-    return rows.join(both, matches(both), "left_anti").unionByName(once).drop(key)
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = docs.select(F.col(id_col).alias("id"), normalised(F.col(text_col)).alias("norm"), whole)
+    rows = _keyed(rows, runs, scratch).drop("norm").repartitionByRange("head", "h", "run")
+    rows = rows.withColumn("norm", normalised(F.col("row")[text_col]))
+    first = Window.partitionBy("head", "h", "run", "norm").orderBy(F.col("id").asc_nulls_last())
+    rows = rows.withColumn("nth", F.row_number().over(first)).where("nth = 1")
+    kept = scratch.write(rows.select("row", "id", "run", F.when(F.col("run") >= 0, F.col("norm")).alias("norm")), "first")
+    of_runs = kept.where("run >= 0")  # no more rows than hot texts have runs, 2 * `runs` in all
+    best = of_runs.groupBy("norm").agg(F.min(F.struct(F.col("id").isNull().alias("o"), "id", "run")).alias("m"))
+    best = scratch.write(best.select(F.sha2("norm", 256).alias("sha"), F.col("m.run").alias("run")), "best")
+    merged = of_runs.withColumn("sha", F.sha2("norm", 256)).join(F.broadcast(best), ["sha", "run"], "left_semi")
+    return kept.where("run < 0").select("row.*").union(merged.select("row.*"))

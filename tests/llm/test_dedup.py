@@ -84,6 +84,45 @@ def test_simhash_against_brute_force(spark, monkeypatch):
     assert [r.component_id for r in simhash.near_groups(one).collect()] == [None, None]
 
 
+def shingle_set(text, k=5):
+    words = (text or "").encode().lower().split()
+    return {b" ".join(words[i : i + k]) for i in range(max(1, len(words) - k + 1))} if words else set()
+
+
+def near_copies(texts):
+    """The smallest position that each text reaches by pairs of equal or at least 0.8 similar shingle sets."""
+    sets = [shingle_set(t) for t in texts]
+    links = [(a, b) for a in range(len(sets)) for b in range(a) if sets[a] == sets[b] or len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8]
+    return components(len(sets), links)
+
+
+@pytest.mark.parametrize(("block", "columns"), [(512, 4096), (8, 16)])
+def test_near_copies_share_four_fifths(spark, monkeypatch, block, columns):
+    import pyarrow.parquet as pq
+
+    monkeypatch.setattr(simhash, "BLOCK_SETS", block)
+    monkeypatch.setattr(simhash, "COLUMNS", columns)
+    rng = random.Random(3)
+    texts = pq.read_table("/root/testdata/sf0.001/documents.parquet")["text"].to_pylist()[:60]
+    words = [f"w{i}" for i in range(60)]
+    texts.append(" ".join(words))
+    for k in range(40):  # one run of changed words, so that similarities lie on both sides of 0.8
+        w = list(words)
+        at, n = rng.randrange(50), k % 8
+        w[at : at + n] = [f"x{k}-{i}" for i in range(n)]
+        texts.append(" ".join(w))
+    for k in range(30):  # few shingles, and shingles that repeat
+        short = [f"s{k}-{i}" for i in range(9)]
+        texts += [" ".join(short), " ".join(short[:8]), " ".join(short * 4), " ".join(short * 40)]
+    texts += [None, " ", "one two", "One  two", "four words are here", "four words are there"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = near_copies(texts)
+    got = {r.doc_id: r.component_id for r in simhash.near_groups(docs, **simhash.DOCUMENTS).collect()}
+    assert got == dict(enumerate(want))
+    kept = sorted((r.doc_id, r.text) for r in simhash.deduplicate(docs).collect())
+    assert kept == [(i, texts[i]) for i in range(len(texts)) if want[i] == i]
+
+
 @pytest.mark.parametrize(("radius", "lanes", "total"), [(0, 1, None), (3, 1, None), (16, 4, 44)])
 def test_close_pairs_skip_nothing(radius, lanes, total):
     rng = np.random.default_rng(radius)

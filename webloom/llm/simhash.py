@@ -7,6 +7,9 @@ them with exclusive-or and bit counts. Within a task, sub-tiles ordered by the p
 their 16-bit words are skipped when those differ by more than the radius. A task returns a spanning
 forest of its links, never all pairs, so a group of any size costs no more rows than it has members
 in each tile pair.
+
+With a similarity, that only finds candidates: what is connected by them is compared shingle by
+shingle, in blocks, and only pairs of at least that Jaccard similarity link.
 """
 
 from __future__ import annotations
@@ -28,6 +31,8 @@ from webloom.operators.components import connected_components
 SEED = 42
 #: Rows of a tile: a share of all fingerprints within these bounds, which bound a task's memory.
 TILE_SHARE, TILE_LEAST, TILE_MOST, SUB = 32, 256, 1 << 20, 512
+#: Sets and shingles of a block of the exact comparison, and shingles it has bits for at a time.
+BLOCK_SETS, BLOCK_SHINGLES, COLUMNS = 512, 1 << 21, 4096
 
 
 def shingle_hashes(text: bytes | None, k: int) -> np.ndarray:
@@ -66,20 +71,25 @@ def fingerprint(h: np.ndarray) -> int:
     return int(np.packbits(set_in * 2 > len(h), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, k: int = 3, lanes: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, l0 .. l{lanes-1}) for every row; null and blank texts have fingerprint zero."""
+def fingerprints(docs: DataFrame, k: int = 3, lanes: int = 1, id_col: str = "doc_id", text_col: str = "text", distinct: bool = False) -> DataFrame:
+    """(id, l0 .. l{lanes-1}) for every row; null and blank texts have fingerprint zero.
+
+    distinct: a shingle counts once however often it occurs, and `digest` tells sets apart."""
     kind = docs.schema[id_col].dataType
-    schema = T.StructType([T.StructField("id", kind), *(T.StructField(f"l{i}", T.LongType()) for i in range(lanes))])
+    schema = T.StructType([T.StructField("id", kind), *(T.StructField(f"l{i}", T.LongType()) for i in range(lanes)), *[T.StructField("digest", T.BinaryType())] * distinct])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = np.empty((lanes, b.num_rows), np.uint64)
+            out, digests = np.empty((lanes, b.num_rows), np.uint64), []
             with np.errstate(over="ignore"):
                 for i, text in enumerate(b.column(1)):
                     h = shingle_hashes(text.as_py(), k)
+                    if distinct:
+                        h = np.unique(h)
+                        digests.append(xxhash.xxh3_128_digest(h.tobytes()))
                     for lane in range(lanes):
                         out[lane, i] = fingerprint(remixed(h, lane))
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x.view(np.int64)) for x in out)], names=["id", *(f"l{i}" for i in range(lanes))])
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x.view(np.int64)) for x in out), *[pa.array(digests, pa.binary())] * distinct], names=schema.names)
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, schema)
 
@@ -148,7 +158,7 @@ def _tile_plan(histogram: list[tuple[int, int]], radius: int) -> list[tuple[int,
 
 def link_fingerprints(classes: DataFrame, radius: int, total: int | None = None) -> DataFrame:
     """Edges (src, dst) of a spanning forest, per tile pair, of the links among `classes`
-    (id long, l0 ..): distinct fingerprints, one row each."""
+    (id long, l0 ..): distinct fingerprints or sets, one row each."""
     spark = classes.sparkSession
     lanes = [c for c in classes.columns if c.startswith("l")]
     pc = F.bit_count("l0").cast("int")
@@ -176,31 +186,114 @@ def link_fingerprints(classes: DataFrame, radius: int, total: int | None = None)
     return rows.groupBy("ta", "tb").applyInPandas(compare, "src long, dst long")
 
 
+def common(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """How many members each set of x shares with each of y; sets are arrays of distinct numbers."""
+    out = np.zeros((len(x), len(y)), np.int64)
+    both = np.intersect1d(np.concatenate(x), np.concatenate(y))
+
+    def entries(sets):
+        flat, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        at = np.minimum(np.searchsorted(both, flat), len(both) - 1)
+        hit = both[at] == flat
+        order = np.argsort(at[hit], kind="stable")
+        return at[hit][order], row[hit][order]
+
+    if not len(both):
+        return out
+    ends = [(*entries(sets), len(sets)) for sets in (x, y)]
+    for first in range(0, len(both), COLUMNS):
+        width = min(COLUMNS, len(both) - first)
+        part = []
+        for col, row, n in ends:
+            a, z = np.searchsorted(col, (first, first + COLUMNS))
+            bits = np.zeros((n, -(-width // 64) * 64), bool)
+            bits[row[a:z], col[a:z] - first] = True
+            part.append(np.packbits(bits, axis=1).view(np.uint64))
+        for i, mine in enumerate(part[0]):
+            out[i] += np.bitwise_count(part[1] & mine).sum(axis=1, dtype=np.int64)
+    return out
+
+
+def similar_links(docs: DataFrame, candidates: DataFrame, k: int, similarity: float, scratch: Scratch) -> DataFrame:
+    """Edges (src, dst) of spanning forests of the pairs whose shingle sets have at least that Jaccard
+    similarity, among all that `candidates` (src, dst) connect. docs: (id long, text binary).
+
+    A component that is larger than a block is dealt by the size of the sets: sizes that differ by a
+    larger factor than the similarity allows cannot link, so a block meets those of its own and of
+    the two neighbouring ranges only."""
+    members = scratch.write(connected_components(candidates).select(F.col("node").alias("id"), "component"), "members")
+
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [np.unique(shingle_hashes(t.as_py(), k)) for t in b.column(2)]
+            sizes = np.array([len(s) for s in sets], np.int64)
+            ranges = np.floor(np.log(np.maximum(sizes, 1)) / -np.log(similarity)).astype(np.int64) if similarity < 1 else sizes
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes), pa.array(ranges), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "component", "n", "range", "shingles"])
+
+    texts = docs.join(members, "id").select("id", "component", "text")
+    sets = scratch.write(texts.mapInArrow(shingles, "id long, component long, n long, range long, shingles binary"), "sets")
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_SETS, F.sum("n") / BLOCK_SHINGLES, F.lit(1.0))).cast("int")
+    ranges = sets.groupBy("component", "range").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s"), blocks.alias("blocks"))
+    parts = ranges.groupBy("component").agg(F.sum("c").alias("c"), F.sum("s").alias("s"), F.collect_list(F.struct("range", "blocks")).alias("parts"))  # a text's size has few ranges
+    parts = scratch.write(parts.where((F.col("c") > BLOCK_SETS) | (F.col("s") > BLOCK_SHINGLES)).select("component", "parts"), "parts")
+    rows = sets.join(parts, "component", "left").withColumn("range", F.when(F.col("parts").isNull(), F.lit(0).cast("long")).otherwise(F.col("range")))
+    place = lambda r, i: r * F.lit(1 << 32) + i
+    near = F.filter("parts", lambda p: F.abs(p["range"] - F.col("range")) <= 1)
+    own = F.filter("parts", lambda p: p["range"] == F.col("range"))[0]["blocks"]
+    rows = rows.withColumn("at", place(F.col("range"), F.coalesce(F.pmod(F.xxhash64("id"), own.cast("long")), F.lit(0).cast("long"))))
+    others = F.flatten(F.transform(near, lambda p: F.transform(F.sequence(F.lit(0), p["blocks"] - 1), lambda i: place(p["range"], i.cast("long")))))
+    rows = rows.select("component", "at", "id", "shingles", F.explode(F.coalesce(others, F.array("at"))).alias("other"))
+    rows = rows.select("component", F.least("at", "other").alias("ta"), F.greatest("at", "other").alias("tb"), "at", "id", "shingles")
+
+    def compare(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        ids, first, same = pdf["id"].to_numpy(), (pdf["at"] == key[1]).to_numpy(), key[1] == key[2]
+        sets = [np.frombuffer(s, np.uint64) for s in pdf["shingles"]]
+        sizes, forest = np.array([len(s) for s in sets]), Forest(len(ids))
+        cut = lambda x: [x[i : i + BLOCK_SETS] for i in range(0, len(x), BLOCK_SETS)]
+        for i, a in enumerate(cut(np.flatnonzero(first))):
+            for j, b in enumerate(cut(np.flatnonzero(first if same else ~first))):
+                if same and j < i:
+                    continue
+                shared = common([sets[p] for p in a], [sets[p] for p in b])
+                p, q = np.nonzero(shared / np.maximum(sizes[a][:, None] + sizes[b][None, :] - shared, 1) >= similarity)
+                forest.link(a[p], b[q])
+        a, b = forest.star_edges(ids)
+        return pd.DataFrame({"src": a, "dst": b})
+
+    return rows.groupBy("component", "ta", "tb").applyInPandas(compare, "src long, dst long")
+
+
 def near_groups(
-    docs: DataFrame, k: int = 3, radius: int = 3, lanes: int = 1, total: int | None = None, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, k: int = 3, radius: int = 3, lanes: int = 1, total: int | None = None, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None
 ) -> DataFrame:
     """(id, component_id, l0 ..) for every row; component_id is the smallest id reachable by links.
 
     Two rows link when lane 0 of their fingerprints differs in at most `radius` bits and, with more
     lanes, all of them in at most `total`. Null, empty and blank texts have fingerprint zero and link
     like any other. Rows with equal fingerprints are one class, represented by its smallest id, so
-    ties and repeated rows cost one comparison. A null id takes its class's component, and a class
+    ties and repeated rows cost one comparison. With a similarity, fingerprints are of distinct shingles
+    and those links are candidates: two rows link when the Jaccard similarity of their shingle sets is
+    at least that, and a class has one set. A null id takes its class's component, and a class
     of null ids only links with nothing and has a null component. Ids are integers.
     """
     scratch = Scratch(docs.sparkSession, "simhash")
-    marks = scratch.write(fingerprints(docs, k, lanes, id_col, text_col).withColumn("id", F.col("id").cast("long")), "marks")
+    marks = scratch.write(fingerprints(docs, k, lanes, id_col, text_col, similarity is not None).withColumn("id", F.col("id").cast("long")), "marks")
     names = [f"l{i}" for i in range(lanes)]
-    classes = scratch.write(marks.groupBy(*names).agg(F.min("id").alias("rep")), "classes")
-    links = link_fingerprints(classes.where("rep is not null").select(F.col("rep").alias("id"), *names), radius, total)
-    found = connected_components(scratch.write(links, "links")).select(F.col("node").alias("rep"), "component")
-    final = scratch.write(classes.join(found, "rep", "left").select(*names, F.coalesce("component", "rep").alias("component_id")), "final")
-    return marks.join(final, names, "left").select(F.col("id").alias(id_col), "component_id", *names)
-
-
-#: For whole documents: five-word shingles and four lanes, so 256 bits estimate the similarity. Texts
-#: that share 0.8 of their shingles differ in 39 bits on average, with a deviation of 6, and those
-#: that share 0.6 in 59. Lane 0 alone only finds candidates, with a radius that loses few.
-DOCUMENTS = {"k": 5, "radius": 16, "lanes": 4, "total": 44}
+    keys = [*names, *["digest"] * (similarity is not None)]
+    classes = scratch.write(marks.groupBy(*keys).agg(F.min("id").alias("rep")), "classes")
+    links = scratch.write(link_fingerprints(classes.where("rep is not null").select(F.col("rep").alias("id"), *names), radius, total), "links")
+    if similarity is not None:
+        texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
+        links = scratch.write(similar_links(texts, links, k, similarity, scratch), "similar")
+    found = connected_components(links).select(F.col("node").alias("rep"), "component")
+    final = scratch.write(classes.join(found, "rep", "left").select(*keys, F.coalesce("component", "rep").alias("component_id")), "final")
+    return marks.join(final, keys, "left").select(F.col("id").alias(id_col), "component_id", *names)
+
+
+#: For whole documents: sets of five-word shingles that share 0.8. 256 bits of four lanes only find
+#: candidates: texts that share 0.8 differ in 39 bits on average, with a deviation of 6, or in 48 when
+#: they have four and five shingles; the radii lie five and four deviations above that.
+DOCUMENTS = {"k": 5, "radius": 24, "lanes": 4, "total": 80, "similarity": 0.8}
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how: int) -> DataFrame:

@@ -61,6 +61,59 @@ def test_equals_brute_force(spark, monkeypatch, hot):
         assert sum(p(u, w) for w in [*uni, "?"]) == pytest.approx(1)
 
 
+def brute_triples(train):
+    triple, start, uni = Counter(), Counter(), Counter()
+    for t in train:
+        w = tokens(t)
+        uni.update(w)
+        start[w[0]] += 1
+        triple.update(zip(["<s>", *w], w, w[1:]))
+    pair = Counter((b, c) for _, b, c in triple)
+    pair.update({("<s>", w): n for w, n in start.items()})
+    before = Counter(w for _, w in pair)
+
+    def level(counts):
+        d = kn.discounts(*(sum(c == k for c in counts.values()) for k in range(1, 5)))
+        total, left = Counter(), Counter()
+        for (*u, _), c in counts.items():
+            total[tuple(u)] += c
+            left[tuple(u)] += d[min(c, 3) - 1]
+        return lambda u, w, lower: (max(counts[*u, w] - ([0, *d][min(counts[*u, w], 3)]), 0) + left[u] * lower) / total[u] if total[u] else lower
+
+    ones = level(Counter({(w,): n for w, n in before.items()}))
+    twos, threes = level(pair), level(triple)
+
+    def p(t, u, w):
+        two = twos((u,), w, ones((), w, 1 / (len(uni) + 1)))
+        return two if t is None else threes((t, u), w, two)
+
+    return uni, p
+
+
+@pytest.mark.parametrize(("hot", "group"), [(3, 250_000), (1000, 8)])
+def test_order_three_equals_brute_force(spark, monkeypatch, hot, group):
+    monkeypatch.setattr(kn, "HOT_SHARE", hot)
+    monkeypatch.setattr(kn, "GROUP", group)
+    docs = spark.createDataFrame(ROWS, "doc_id long, text string")
+    got = {r.doc_id: r.score for r in kn.fit_and_score(docs, F.col("doc_id") % 5 != 1, order=3).collect()}
+    uni, p = brute_triples([t for i, t in ROWS if i % 5 != 1])
+    assert len(got) == len(ROWS)
+    for i, t in ROWS:
+        w = tokens(t)
+        assert got[i] == pytest.approx(sum(math.log10(p(a, b, c)) for a, b, c in zip([None, "<s>", *w], ["<s>", *w], w)))
+    for t, u in [(None, "<s>"), ("<s>", "a"), ("a", "b"), ("the", "never")]:
+        assert sum(p(t, u, w) for w in [*uni, "?"]) == pytest.approx(1)
+
+
+def test_the_query_looks_at_two_words_before(spark, monkeypatch):
+    from webloom.llm import queries
+
+    orders = []
+    monkeypatch.setattr(kn, "fit_and_score", lambda docs, train, order=2: orders.append(order) or docs.selectExpr("doc_id", "0 n_tokens", "0 n_known", "0 train_tokens", "0 base_score", "0 score"))
+    queries.op8_lm_scoring(spark, "/root/testdata/sf0.001")
+    assert orders == [3]
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert kn.fit_and_score(docs, F.lit(True)).collect() == []

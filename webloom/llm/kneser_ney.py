@@ -1,4 +1,4 @@
-"""Language-model scoring with an interpolated modified Kneser-Ney bigram model.
+"""Language-model scoring with an interpolated modified Kneser-Ney model of two or three words.
 
 Counting takes two grouped passes. Words are hashed, dealt to buckets by the hash's leading bits and
 summed; a word's place in the sorted hash arrays is its number. Then pairs of numbers are dealt to
@@ -10,6 +10,11 @@ map into memory and search; nothing of the model's size is collected or broadcas
 
 P(w|u) = max(c(uw) - D(c(uw)), 0) / c(u.) + gamma(u) Pc(w);  gamma(u) = sum_k D_k N_k(u.) / c(u.)
 Pc(w) = max(n(.w) - D'(n(.w)), 0) / n(..) + gamma' / (V + 1);  discounts as Chen and Goodman have them.
+
+With order 3, pairs are numbered as words are, and a third pass counts triples by the number of their
+first pair and their last word. P(w|tu) is as above over c(tuw), with P(w|u) below it, and in P(w|u)
+c(uw) is the number of distinct words before uw; pairs at the start of a text, which nothing
+precedes, keep their counts. The first word of a text has the start alone as its context.
 """
 
 from __future__ import annotations
@@ -117,6 +122,12 @@ class Model:
     word_discounts: tuple[float, float, float] = (0.0, 0.0, 0.0)
     word_kinds: tuple[int, int, int] = (0, 0, 0)  # words with 1, 2, 3 or more contexts
     pair_types: int = 0
+    order: int = 2
+    triple_buckets: int = 1
+    hot_pairs: np.ndarray = field(default_factory=lambda: np.empty(0, np.uint64))
+    triples: dict[int, tuple[str, str, int]] = field(default_factory=dict)
+    pair_stats: dict[int, tuple[str, int]] = field(default_factory=dict)
+    triple_discounts: tuple[float, float, float] = (0.0, 0.0, 0.0)
 
     @property
     def offsets(self) -> np.ndarray:
@@ -126,10 +137,32 @@ class Model:
     def vocabulary(self) -> int:
         return int(self.offsets[-1])
 
+    @property
+    def pair_offsets(self) -> np.ndarray:
+        """The number of each pair bucket's first pair; pairs are numbered by bucket and place."""
+        return np.concatenate(([0], np.cumsum([self.pairs[b][2] if b in self.pairs else 0 for b in range(self.pair_buckets)], dtype=np.int64)))
+
     def pair_bucket(self, keys: np.ndarray) -> np.ndarray:
-        context = keys >> SHIFT
-        hot = np.isin(context, self.hot)
-        return (np.where(hot, _mix(keys), _mix(context)) % np.uint64(self.pair_buckets)).astype(np.int64)
+        return _dealt(keys, self.hot, self.pair_buckets)
+
+    def triple_bucket(self, keys: np.ndarray) -> np.ndarray:
+        return _dealt(keys, self.hot_pairs, self.triple_buckets)
+
+
+def _dealt(keys: np.ndarray, hot: np.ndarray, buckets: int) -> np.ndarray:
+    """Buckets by the context, or by all of the key where the context is among the sorted hot ones."""
+    context = keys >> SHIFT
+    mixed = _mix(context)
+    if len(hot):
+        is_hot = hot[np.minimum(np.searchsorted(hot, context), len(hot) - 1)] == context
+        mixed[is_hot] = _mix(keys[is_hot])
+    return (mixed % np.uint64(buckets)).astype(np.int64)
+
+
+def _by_bucket(bucket: np.ndarray) -> np.ndarray:
+    """Stable order; 16-bit numbers are sorted by radix."""
+    small = len(bucket) and bucket.max() < 1 << 16
+    return np.argsort(bucket.astype(np.uint16) if small else bucket, kind="stable")
 
 
 class _Reader:
@@ -137,6 +170,7 @@ class _Reader:
 
     def __init__(self, model: Model):
         self.m, self.offsets, self.maps, self.cache = model, model.offsets, {}, {}
+        self.pair_offsets = model.pair_offsets
 
     def array(self, uri: str, kind, shape) -> np.ndarray:
         if uri not in self.maps:
@@ -158,17 +192,43 @@ class _Reader:
                 counts[a + hit] = self.array(count_file, np.int64, (n,))[at[hit]]
         return ids, counts
 
-    def pair_counts(self, keys: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(keys), np.int64)
-        bucket = self.m.pair_bucket(keys)
-        order = np.argsort(bucket, kind="stable")
+    def _found(self, keys: np.ndarray, bucket: np.ndarray, tables: dict[int, tuple[str, str, int]]) -> tuple[np.ndarray, np.ndarray]:
+        """(place in its bucket or -1, count) of each key."""
+        places, out = np.full(len(keys), -1, np.int64), np.zeros(len(keys), np.int64)
+        order = _by_bucket(bucket)
         for b, a, z in _runs(bucket[order]):
-            if b in self.m.pairs:
-                key_file, count_file, n = self.m.pairs[b]
+            if b in tables:
+                key_file, count_file, n = tables[b]
                 known, mine = self.array(key_file, np.uint64, (n,)), keys[order[a:z]]
                 at = np.minimum(np.searchsorted(known, mine), n - 1)
                 hit = np.flatnonzero(known[at] == mine)
+                places[order[a:z][hit]] = at[hit]
                 out[order[a:z][hit]] = self.array(count_file, np.uint32, (n,))[at[hit]]
+        return places, out
+
+    def pair_numbers(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(number or -1, count) of pairs."""
+        bucket = self.m.pair_bucket(keys)
+        places, counts = self._found(keys, bucket, self.m.pairs)
+        return np.where(places < 0, -1, self.pair_offsets[bucket] + places), counts
+
+    def triple_counts(self, keys: np.ndarray) -> np.ndarray:
+        return self._found(keys, self.m.triple_bucket(keys), self.m.triples)[1]
+
+    def last_words(self, numbers: np.ndarray) -> np.ndarray:
+        """The second word of pairs with sorted numbers."""
+        out = np.empty(len(numbers), np.uint64)
+        for b, a, z in _runs(bucket_of(numbers, self.pair_offsets)):
+            key_file, _, n = self.m.pairs[b]
+            out[a:z] = self.array(key_file, np.uint64, (n,))[numbers[a:z] - self.pair_offsets[b]] & LOW
+        return out
+
+    def pair_stats(self, numbers: np.ndarray) -> np.ndarray:
+        """(tokens after, followers seen once, twice, more often) of pairs with sorted numbers."""
+        out = np.zeros((4, len(numbers)), np.int64)
+        for b, a, z in _runs(bucket_of(numbers, self.pair_offsets)):
+            uri, n = self.m.pair_stats[b]
+            out[:, a:z] = self.array(uri, np.uint32, (4, n))[:, numbers[a:z] - self.pair_offsets[b]]
         return out
 
     def word_stats(self, ids: np.ndarray) -> np.ndarray:
@@ -212,8 +272,39 @@ def _blobs(ids: list[int], blobs: list[bytes]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
 
 
-def fit(docs: DataFrame, scratch: Scratch, text_col: str = "text") -> Model:
-    """Counts every token and pair of `docs`; the model's arrays stay in `scratch`."""
+def _dealt_blobs(bucket: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+    order = _by_bucket(bucket)
+    runs = list(_runs(bucket[order]))
+    return _blobs([r[0] for r in runs], [pack(keys[order[a:z]], counts[order[a:z]]) for _, a, z in runs])
+
+
+def _context_facts(context: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """Distinct contexts of sorted ones, with the sum of their counts and how many are 1, 2 and more."""
+    at = np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1])))
+    facts = {"total": np.add.reduceat(counts, at), "n1": np.add.reduceat(counts == 1, at, dtype=np.int64), "n2": np.add.reduceat(counts == 2, at, dtype=np.int64), "n3": np.add.reduceat(counts > 2, at, dtype=np.int64)}
+    return context[at], facts
+
+
+def _fact_rows(facts: list[tuple[str, np.ndarray, np.ndarray]], offsets: np.ndarray) -> list[tuple]:
+    """A row for each bucket of the numbers that a fact is not zero for; numbers are sorted."""
+    rows = []
+    for kind, ids, values in facts:
+        some = values > 0
+        ids, values = ids[some], values[some]
+        for b, a, z in _runs(bucket_of(ids.astype(np.int64), offsets)):
+            rows.append((b, kind, pack(ids[a:z], values[a:z]), None, None, 0, 0, 0, 0, 0))
+    return rows
+
+
+def _kinds(counts: np.ndarray) -> list[int]:
+    """How many counts are 1, 2, 3 and 4."""
+    return [int((counts == k).sum()) for k in range(1, 5)]
+
+
+def fit(docs: DataFrame, scratch: Scratch, text_col: str = "text", order: int = 2) -> Model:
+    """Counts every token, pair and, with order 3, triple of `docs`; the arrays stay in `scratch`."""
+    if order not in (2, 3):
+        raise ValueError("the order is 2 or 3")
     texts = docs.select(F.col(text_col).cast("binary").alias("text"))
     bits = max(4, int(np.ceil(np.log2(max(1, docs.count() / WORD_DOCS)))))
     folder = scratch.path("model")
@@ -232,7 +323,7 @@ def fit(docs: DataFrame, scratch: Scratch, text_col: str = "text") -> Model:
 
     found = texts.mapInArrow(words, _BLOBS).groupBy("bucket").applyInPandas(add_words, "bucket int, n long, total long, hashes string, counts string")
     rows = {r.bucket: r for r in scratch.write(found, "words").collect()}  # a row for each WORD_DOCS documents
-    model = Model(bits, [(rows[b].hashes, rows[b].counts, rows[b].n) if b in rows else ("", "", 0) for b in range(1 << bits)], sum(r.total for r in rows.values()))
+    model = Model(bits, [(rows[b].hashes, rows[b].counts, rows[b].n) if b in rows else ("", "", 0) for b in range(1 << bits)], sum(r.total for r in rows.values()), order=order)
     if not model.tokens:
         return model
     if model.vocabulary >= 2**32 - 1:
@@ -260,32 +351,33 @@ def fit(docs: DataFrame, scratch: Scratch, text_col: str = "text") -> Model:
                 ids = reader.numbers(distinct)[0][inverse].astype(np.uint64)
                 keys, counts = np.unique(_contexts(ids, starts, start) << SHIFT | ids, return_counts=True)
                 bucket = reader.m.pair_bucket(keys)
-                order = np.argsort(bucket, kind="stable")
-                runs = list(_runs(bucket[order]))
-                yield _blobs([r[0] for r in runs], [pack(keys[order[a:z]], counts[order[a:z]]) for _, a, z in runs])
+                yield _dealt_blobs(bucket, keys, counts)
 
     def add_pairs(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         keys, counts = summed(pdf["blob"])
         counts = counts.astype(np.int64)
-        kinds = np.minimum(counts, 5)
-        rows = [(key[0], "pairs", None, _saved(folder, "keys", keys), _saved(folder, "pair-counts", counts.astype(np.uint32)), len(keys), *(int((kinds == k).sum()) for k in range(1, 5)))]
-        context = keys >> SHIFT
-        at = np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1])))
-        followers, contexts = np.unique(keys & LOW, return_counts=True)
-        facts = {"total": np.add.reduceat(counts, at), "n1": np.add.reduceat(counts == 1, at, dtype=np.int64), "n2": np.add.reduceat(counts == 2, at, dtype=np.int64), "n3": np.add.reduceat(counts > 2, at, dtype=np.int64)}
-        for kind, ids, values in [*((k, context[at], v) for k, v in facts.items()), ("contexts", followers, contexts)]:
-            some = values > 0
-            ids, values = ids[some], values[some]
-            for b, a, z in _runs(bucket_of(ids.astype(np.int64), offsets)):
-                rows.append((b, kind, pack(ids[a:z], values[a:z]), None, None, 0, 0, 0, 0, 0))
-        return pd.DataFrame(rows, columns=["bucket", "kind", "blob", "keys", "counts", "n", "c1", "c2", "c3", "c4"])
-
+        rows = [(key[0], "pairs", None, _saved(folder, "keys", keys), _saved(folder, "pair-counts", counts.astype(np.uint32)), len(keys), *_kinds(counts))]
+        if order == 2:
+            rows += word_facts(keys, counts)
+        elif len(hot := np.flatnonzero(counts > limit)):
+            rows.append((key[0], "hot", hot.tobytes(), None, None, 0, 0, 0, 0, 0))
+        return pd.DataFrame(rows, columns=columns)
+
+    def word_facts(keys: np.ndarray, counts: np.ndarray) -> list[tuple]:
+        contexts, facts = _context_facts(keys >> SHIFT, counts)
+        followers, before = np.unique(keys & LOW, return_counts=True)
+        return _fact_rows([*((k, contexts, v) for k, v in facts.items()), ("contexts", followers, before)], offsets)
+
+    columns = ["bucket", "kind", "blob", "keys", "counts", "n", "c1", "c2", "c3", "c4"]
     schema = "bucket int, kind string, blob binary, keys string, counts string, n long, c1 long, c2 long, c3 long, c4 long"
     found = scratch.write(texts.mapInArrow(pairs, _BLOBS).groupBy("bucket").applyInPandas(add_pairs, schema), "pairs")
     rows = found.where("kind = 'pairs'").drop("blob").collect()  # a row for each PAIR_TOKENS tokens
     model.pairs = {r.bucket: (r.keys, r.counts, r.n) for r in rows}
     model.pair_types = sum(r.n for r in rows)
     model.pair_discounts = discounts(*(sum(r[f"c{k}"] for r in rows) for k in range(1, 5)))
+    if order == 3:
+        hot_rows = found.where("kind = 'hot'").select("bucket", "blob").collect()  # fewer than HOT_SHARE pairs
+        found = _fit_triples(texts, model, scratch, schema, columns, folder, hot_rows, word_facts)
     last = int(bucket_of(np.array([start]), offsets)[0])
 
     def add_stats(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -306,10 +398,76 @@ def fit(docs: DataFrame, scratch: Scratch, text_col: str = "text") -> Model:
     model.stats = {r.bucket: (r.stats, r.n) for r in rows}
     c = [sum(r[f"c{k}"] for r in rows) for k in range(1, 6)]
     model.word_discounts, model.word_kinds = discounts(*c[:4]), (c[0], c[1], sum(c[2:]))
-    scratch.drop("pairs")
+    scratch.drop("pairs", "triples", "adjusted")
     return model
 
 
+def _fit_triples(texts: DataFrame, model: Model, scratch: Scratch, schema: str, columns: list[str], folder: str, hot_rows: list, word_facts) -> DataFrame:
+    """Counts triples into the model and gives its pairs the number of words before them as counts.
+    Rows of facts of the pairs' words, as those of pairs have them with order 2."""
+    if model.pair_types >= 2**32 - 1:
+        raise ValueError("more distinct pairs than 32 bits number")
+    offsets, start = model.pair_offsets, model.vocabulary
+    model.hot_pairs = np.array(sorted(int(offsets[r.bucket] + p) for r in hot_rows for p in np.frombuffer(r.blob, np.int64)), np.uint64)
+    model.triple_buckets = model.pair_buckets
+    context = texts.sparkSession.sparkContext
+    shared = context.broadcast(model)  # names of files and fewer than 2 HOT_SHARE numbers
+
+    def triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = _Reader(shared.value)
+        for b in batches:
+            for _, _, h, starts in token_groups(b.column(0)):
+                distinct, inverse = np.unique(h, return_inverse=True)
+                ids = reader.numbers(distinct)[0][inverse].astype(np.uint64)
+                keys, inverse = np.unique(_contexts(ids, starts, start) << SHIFT | ids, return_inverse=True)
+                before = _contexts(reader.pair_numbers(keys)[0][inverse], starts, -1)
+                some = before >= 0
+                keys, counts = np.unique(before[some].astype(np.uint64) << SHIFT | ids[some], return_counts=True)
+                if len(keys):
+                    yield _dealt_blobs(reader.m.triple_bucket(keys), keys, counts)
+
+    def add_triples(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        reader = _Reader(shared.value)
+        keys, counts = summed(pdf["blob"])
+        counts = counts.astype(np.int64)
+        rows = [(key[0], "triples", None, _saved(folder, "triples", keys), _saved(folder, "triple-counts", counts.astype(np.uint32)), len(keys), *_kinds(counts))]
+        contexts, facts = _context_facts(keys >> SHIFT, counts)
+        middle = reader.last_words((keys >> SHIFT).astype(np.int64))
+        pairs, before = np.unique(middle << SHIFT | keys & LOW, return_counts=True)
+        numbers = reader.pair_numbers(pairs)[0]
+        by_number = np.argsort(numbers, kind="stable")
+        rows += _fact_rows([*((k, contexts, v) for k, v in facts.items()), ("before", numbers[by_number].astype(np.uint64), before[by_number])], offsets)
+        return pd.DataFrame(rows, columns=columns)
+
+    found = scratch.write(texts.mapInArrow(triples, _BLOBS).groupBy("bucket").applyInPandas(add_triples, schema), "triples")
+    rows = found.where("kind = 'triples'").drop("blob").collect()  # a row for each PAIR_TOKENS tokens
+    model.triples = {r.bucket: (r.keys, r.counts, r.n) for r in rows}
+    model.triple_discounts = discounts(*(sum(r[f"c{k}"] for r in rows) for k in range(1, 5)))
+
+    def adjust(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        b, reader = key[0], _Reader(shared.value)
+        key_file, count_file, n = reader.m.pairs[b]
+        keys, counts = reader.array(key_file, np.uint64, (n,)), reader.array(count_file, np.uint32, (n,))
+        x = np.zeros((5, n), np.int64)
+        for row, kind in enumerate(("total", "n1", "n2", "n3", "before")):
+            blobs = pdf["blob"][pdf["kind"] == kind]
+            if len(blobs):
+                ids, values = summed(blobs)
+                x[row, ids.astype(np.int64) - offsets[b]] = values
+        before = np.where(keys >> SHIFT == np.uint64(start), counts, x[4]).astype(np.int64)
+        rows = [(b, "pairs", None, _saved(folder, "pair-stats", x[:4].astype(np.uint32)), _saved(folder, "pair-before", before.astype(np.uint32)), n, *_kinds(before))]
+        return pd.DataFrame(rows + word_facts(np.asarray(keys), before), columns=columns)
+
+    every = texts.sparkSession.createDataFrame([(b, "all", None) for b in model.pairs], "bucket int, kind string, blob binary")
+    facts = found.where("kind <> 'triples'").select("bucket", "kind", "blob").unionByName(every)
+    adjusted = scratch.write(facts.groupBy("bucket").applyInPandas(adjust, schema), "adjusted")
+    rows = adjusted.where("kind = 'pairs'").drop("blob").collect()  # a row for each PAIR_TOKENS tokens
+    model.pairs = {r.bucket: (model.pairs[r.bucket][0], r.counts, r.n) for r in rows}
+    model.pair_stats = {r.bucket: (r["keys"], r.n) for r in rows}
+    model.pair_discounts = discounts(*(sum(r[f"c{k}"] for r in rows) for k in range(1, 5)))
+    return adjusted
+
+
 def _contexts(ids: np.ndarray, starts: np.ndarray, start: int) -> np.ndarray:
     before = np.empty_like(ids)
     before[1:] = ids[:-1]
@@ -337,15 +495,36 @@ def score_tokens(reader: _Reader, h: np.ndarray, starts: np.ndarray) -> tuple[np
     total = figures[0]
     gamma = (np.array(m.pair_discounts) @ figures[1:4]) / np.maximum(total, 1)
     total, gamma = total[place], gamma[place]
-    pair = np.zeros(len(ids), np.int64)
+    pair, number = np.zeros(len(ids), np.int64), np.full(len(ids), -1, np.int64)
     both = np.flatnonzero((ids >= 0) & (context >= 0) & (total > 0))
     if len(both):
         keys, at = np.unique(context[both].astype(np.uint64) << SHIFT | ids[both].astype(np.uint64), return_inverse=True)
-        pair[both] = reader.pair_counts(keys)[at]
+        found, counts = reader.pair_numbers(keys)
+        pair[both], number[both] = counts[at], found[at]
     p = np.where(total > 0, _discounted(pair, m.pair_discounts) / np.maximum(total, 1) + gamma * lower, lower)
+    if m.order == 3:
+        p = _with_triples(reader, ids, _contexts(number, starts, -1), p)
     return ids >= 0, base, np.log10(p)
 
 
+def _with_triples(reader: _Reader, ids: np.ndarray, context: np.ndarray, lower: np.ndarray) -> np.ndarray:
+    """Probabilities after two words; context: the number of the pair before each token, or -1."""
+    m, p = reader.m, lower.copy()
+    some = np.flatnonzero(context >= 0)
+    if not len(some):
+        return p
+    distinct, inverse = np.unique(context[some], return_inverse=True)
+    total, *kinds = reader.pair_stats(distinct)
+    gamma = np.array(m.triple_discounts) @ np.array(kinds) / np.maximum(total, 1)
+    total, gamma = total[inverse], gamma[inverse]
+    some, total, gamma = some[total > 0], total[total > 0], gamma[total > 0]
+    count, known = np.zeros(len(some), np.int64), np.flatnonzero(ids[some] >= 0)
+    keys, at = np.unique(context[some[known]].astype(np.uint64) << SHIFT | ids[some[known]].astype(np.uint64), return_inverse=True)
+    count[known] = reader.triple_counts(keys)[at]
+    p[some] = _discounted(count, m.triple_discounts) / total + gamma * lower[some] if len(some) else lower[some]
+    return p
+
+
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens, n_known, train_tokens, base_score, score, perplexity) for every row.
 
@@ -368,6 +547,6 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return docs.select(id_col, F.col(text_col).cast("binary").alias("_text_to_score")).mapInArrow(run, schema)
 
 
-def fit_and_score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fit_and_score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", order: int = 2) -> DataFrame:
     """Scores all rows with a model of those where `train` holds."""
-    return score(docs, fit(docs.where(train), Scratch(docs.sparkSession, "kneser-ney"), text_col), id_col, text_col)
+    return score(docs, fit(docs.where(train), Scratch(docs.sparkSession, "kneser-ney"), text_col, order), id_col, text_col)

@@ -50,9 +50,13 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(_table(spark, sf_dir, "pages"))
 
 
+#: Words that op8's model looks at: each word and the two before it.
+LM_ORDER = 3
+
+
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    out = kneser_ney.fit_and_score(docs, ~_fold(docs, 5, 1))
+    out = kneser_ney.fit_and_score(docs, ~_fold(docs, 5, 1), order=LM_ORDER)
     return out.select("doc_id", _fold(out, 5, 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 

@@ -1,3 +1,4 @@
+import numpy as np
 from pyspark.sql import functions as F
 
 from webloom.operators import merge, wallets
@@ -63,3 +64,15 @@ def test_wallets(spark):
     flow = wallets.flows(wallets.clusters(known, tx), spark.createDataFrame([("t", ["p"], ["q"], 10.0, True)], tx.schema)).first()
     assert (flow.num_transactions, flow.num_distinct_tx, flow.total_deposits_usd) == (2, 1, 20.0)
     assert not any(r.is_outlier for r in wallets.flag_outliers(wallets.wallets(known, tx)).collect())
+
+
+def test_outlier_cut_is_of_all_rows(spark):
+    rng = np.random.default_rng(6)
+    x = np.round(rng.lognormal(1, 1.5, (600, 3)))
+    rows = spark.createDataFrame([(f"w{i}", *map(float, r)) for i, r in enumerate(x)], "wallet_id string, size double, total_deposits_usd double, num_transactions double")
+    features = ["size", "total_deposits_usd", "num_transactions"]
+    sample = rows.orderBy(F.xxhash64(F.lit(42), "wallet_id")).limit(40).select(*features).toPandas().to_numpy()
+    scores = wallets.anomaly(wallets.grow_forest(sample), x)
+    want = {f"w{i}" for i in np.flatnonzero(scores > np.quantile(scores, 0.95))}
+    got = wallets.flag_outliers(rows, fit_rows=40).collect()
+    assert {r.wallet_id for r in got if r.is_outlier} == want and len(got) == 600 and len(want) <= 30

@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from webloom.core.scratch import Scratch
 from webloom.operators.components import connected_components
 
 
@@ -107,14 +108,30 @@ def anomaly(forest: tuple[list[tuple], int], x: np.ndarray) -> np.ndarray:
     return 2.0 ** (-mean / max(float(_expected(size)), 1e-9))
 
 
+def _ranked(values: DataFrame, rank: int, ranges: int = 4096) -> float:
+    """The value of that rank, from 0, in one column of numbers: counts of ranges, narrowed to the one that holds it."""
+    v = F.col(values.columns[0])
+    lo, hi = values.agg(F.min(v), F.max(v)).first()
+    while lo < hi:
+        at = F.floor((v - lo) / F.lit(hi - lo) * ranges)
+        found = values.where(v.between(lo, hi)).groupBy(at.alias("at")).agg(F.count(F.lit(1)), F.min(v), F.max(v))
+        for _, n, lo, hi in sorted(found.collect()):  # ranges + 1 rows at most
+            if rank < n:
+                break
+            rank -= n
+    return float(lo)
+
+
 def flag_outliers(
     rows: DataFrame, features: tuple[str, ...] = ("size", "total_deposits_usd", "num_transactions"), share: float = 0.05, least: int = 10, key: str = "wallet_id", fit_rows: int = 10_000, seed: int = 42
 ) -> DataFrame:
     """`rows` with is_outlier: the `share` with the highest anomaly score, those above the cut only.
 
     The trees see samples of SAMPLE rows each, drawn from up to `fit_rows` that come first by a hash
-    of the key. Fewer than `least` rows are not judged, and rows that are all alike are none of them."""
-    if rows.count() < least:
+    of the key; the cut is that of all rows. Fewer than `least` rows are not judged, and rows that are all alike are none of them."""
+    scratch = Scratch(rows.sparkSession, "outliers")
+    rows = scratch.write(rows, "rows")
+    if (n := rows.count()) < least:
         return rows.withColumn("is_outlier", F.lit(False))
     sample = rows.orderBy(F.xxhash64(F.lit(seed), key)).limit(fit_rows).select(*[F.col(f).cast("double") for f in features]).toPandas().to_numpy()
     forest = grow_forest(sample, seed)
@@ -124,6 +141,6 @@ def flag_outliers(
     def scored(*columns: pd.Series) -> pd.Series:
         return pd.Series(anomaly(shared.value, np.stack([c.to_numpy(float) for c in columns], axis=1)))
 
-    out = rows.withColumn("_score", scored(*[F.col(f).cast("double") for f in features]))
-    cut = float(np.quantile(anomaly(forest, sample), 1 - share))
+    out = scratch.write(rows.withColumn("_score", scored(*[F.col(f).cast("double") for f in features])), "scored")
+    cut = _ranked(out.select("_score"), int((n - 1) * (1 - share)))  # what lies above this rank lies above the quantile
     return out.withColumn("is_outlier", F.col("_score") > cut).drop("_score")

@@ -1,7 +1,8 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from webloom.operators import merge, wallets
+from webloom.operators import crawl, merge, wallets
 from webloom.plans import jobs
 from webloom.sources.tables import Store
 
@@ -76,3 +77,13 @@ def test_outlier_cut_is_of_all_rows(spark):
     want = {f"w{i}" for i in np.flatnonzero(scores > np.quantile(scores, 0.95))}
     got = wallets.flag_outliers(rows, fit_rows=40).collect()
     assert {r.wallet_id for r in got if r.is_outlier} == want and len(got) == 600 and len(want) <= 30
+
+
+def test_explore_raises_rather_than_stop_early(spark):
+    names = [c * 16 + ".onion" for c in "cde"]
+    page = "url string, final_url string, status_code int, html string, links array<string>, server string, error string"
+    source = spark.createDataFrame([(f"http://{a}", None, 200, f"see {b} now", [], "", None) for a, b in zip(names, names[1:] + ["nothing"], strict=True)], page)
+    start = spark.createDataFrame([(f"http://{names[0]}",)], "seed string")
+    assert {r.domain for r in crawl.explore(start, source).collect()} == set(names)
+    with pytest.raises(RuntimeError):
+        crawl.explore(start, source, max_rounds=2)

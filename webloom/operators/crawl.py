@@ -71,7 +71,9 @@ def crawl(seeds: DataFrame, source: DataFrame, max_pages: int = MAX_PAGES, max_r
 
 
 def explore(seeds: DataFrame, source: DataFrame, max_pages: int = MAX_PAGES, max_rounds: int = 100) -> DataFrame:
-    """As crawl, and then again from the hidden names that the pages hold, until there are no new ones."""
+    """As crawl, and then again from the hidden names that the pages hold, until there are no new ones.
+
+    Raises if there are some after max_rounds."""
     scratch = Scratch(seeds.sparkSession, "explore")
     known = scratch.write(seeds.select("seed").distinct(), "known0")
     todo, out = known, None
@@ -83,4 +85,4 @@ def explore(seeds: DataFrame, source: DataFrame, max_pages: int = MAX_PAGES, max
         if todo.isEmpty():
             return out
         known = scratch.write(known.unionByName(todo), f"known{k}")
-    return out
+    raise RuntimeError(f"hidden names are still new after {max_rounds} rounds")

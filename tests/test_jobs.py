@@ -87,3 +87,12 @@ def test_explore_raises_rather_than_stop_early(spark):
     assert {r.domain for r in crawl.explore(start, source).collect()} == set(names)
     with pytest.raises(RuntimeError):
         crawl.explore(start, source, max_rounds=2)
+
+
+def test_crawl_without_a_page_cap(spark):
+    page = "url string, final_url string, status_code int, html string, links array<string>, server string, error string"
+    leaves = [f"http://h.test/p{i}" for i in range(crawl.MAX_PAGES + 5)]
+    source = spark.createDataFrame([("http://h.test", None, 200, "x", leaves, "", None)], page)
+    start = spark.createDataFrame([("http://h.test",)], "seed string")
+    assert crawl.crawl(start, source).count() == crawl.MAX_PAGES
+    assert crawl.crawl(start, source, max_pages=None).count() == len(leaves) + 1

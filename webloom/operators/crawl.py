@@ -38,12 +38,12 @@ def check(domains: DataFrame, source: DataFrame) -> DataFrame:
     return got.groupBy("domain").agg(F.max(urls.is_ok(F.col("status_code"))).alias("is_available"))
 
 
-def crawl(seeds: DataFrame, source: DataFrame, max_pages: int = MAX_PAGES, max_rounds: int = 10_000) -> DataFrame:
+def crawl(seeds: DataFrame, source: DataFrame, max_pages: int | None = MAX_PAGES, max_rounds: int = 10_000) -> DataFrame:
     """(domain, seq, url, answer ...) of a breadth-first crawl of each seed's host, a row a page.
 
     seeds: (seed). Pages of a host come in the order of a first-in, first-out queue: by depth, then by
     the page that named them, then by the place of the link. A page is visited once whatever the case
-    of its url, pages that fail count, and a host gets max_pages at most.
+    of its url, pages that fail count, and a host gets max_pages at most, or any number where that is None.
     """
     scratch = Scratch(seeds.sparkSession, "crawl")
     start = seeds.select(urls.seed_url(F.col("seed")).alias("url"))
@@ -59,7 +59,9 @@ def crawl(seeds: DataFrame, source: DataFrame, max_pages: int = MAX_PAGES, max_r
             had = visited.groupBy("domain").agg(F.count(F.lit(1)).alias("had"))
             front = front.join(visited.select("domain", "key"), ["domain", "key"], "left_anti").join(had, "domain", "left")
         order = Window.partitionBy("domain").orderBy("parent", "place", "key")
-        front = front.withColumn("seq", F.coalesce("had", F.lit(0)) + F.row_number().over(order)).where(F.col("seq") <= max_pages)
+        front = front.withColumn("seq", F.coalesce("had", F.lit(0)) + F.row_number().over(order))
+        if max_pages is not None:
+            front = front.where(F.col("seq") <= max_pages)
         got = scratch.write(fetch(front.select("domain", "url", "key", "seq", F.lit(depth).alias("depth")), source), f"round{depth}")
         if got.isEmpty():
             break
@@ -70,7 +72,7 @@ def crawl(seeds: DataFrame, source: DataFrame, max_pages: int = MAX_PAGES, max_r
     return visited.drop("key") if visited is not None else got.drop("key")
 
 
-def explore(seeds: DataFrame, source: DataFrame, max_pages: int = MAX_PAGES, max_rounds: int = 100) -> DataFrame:
+def explore(seeds: DataFrame, source: DataFrame, max_pages: int | None = MAX_PAGES, max_rounds: int = 100) -> DataFrame:
     """As crawl, and then again from the hidden names that the pages hold, until there are no new ones.
 
     Raises if there are some after max_rounds."""

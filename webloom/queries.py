@@ -533,7 +533,7 @@ def captured(spark: SparkSession, sf_dir: str) -> DataFrame:
     from f left join c on c.site = f.site and c.i = f.i""")
 def frontier_bfs(spark, sf_dir):
     start = spark.range(7).select(F.concat(F.lit("http://site"), "id", F.lit(".test/p0")).alias("seed"))
-    return crawl.crawl(start, captured(spark, sf_dir), max_pages=1_000_000).select("domain", "url", "depth", "status_code")
+    return crawl.crawl(start, captured(spark, sf_dir), max_pages=None).select("domain", "url", "depth", "status_code")
 
 
 # -- classifiers ------------------------------------------------------------------------------------

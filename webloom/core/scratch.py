@@ -9,19 +9,37 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import warnings
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Spark's switch for removing a query's shuffle files as soon as the query has ended.
+RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder of the session."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            warnings.warn("spark.checkpoint.dir is not set: intermediate tables go to a local folder, which executors on other machines do not see", stacklevel=2)
         found = "file://" + tempfile.mkdtemp(prefix="webloom-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+@contextmanager
+def _released(spark: SparkSession):
+    """Queries that run within leave no shuffle files behind; what they wrote stands in for those."""
+    before = spark.conf.get(RELEASE, "false")
+    spark.conf.set(RELEASE, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(RELEASE, before)
+
+
 class Scratch:
     """A folder of intermediate tables; dropped by name, or all at the end of the session."""
 
@@ -42,7 +60,8 @@ class Scratch:
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         """`df` as written and read again: no lineage, no inherited partitioning."""
-        df.write.mode("overwrite").parquet(self.path(name))
+        with _released(self.spark):
+            df.write.mode("overwrite").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:

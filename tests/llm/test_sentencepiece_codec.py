@@ -41,6 +41,28 @@ def test_equals_library_on_documents(pieces, library):
     assert pieces.encode(texts) == library.encode([t or "" for t in texts])
 
 
+def test_forgetting_changes_nothing(pieces, library, monkeypatch):
+    """Generations of a few words and neighbour tests only: every text makes the worker forget."""
+    monkeypatch.setattr(codec, "MEMO_PAIRS", 20)
+    small = codec.Pieces(open(codec.MODEL, "rb").read())
+    small.words.most = small.segments.most = 3
+    texts = ["the cat, the dog. the\ncat  sat", "sat the 门cat dog, dog", "the  the cat,", None, "dog.the"] * 3
+    for text in texts:
+        assert small.encode([text]) == [library.encode(text or "")], repr(text)
+
+
+def test_cuts_are_where_no_piece_reaches_across(pieces):
+    words = ["▁don't!!", "▁x\ny", "▁门the", "▁"]
+    segments, counts = pieces.cut(words)
+    at = 0
+    for word, n in zip(words, counts, strict=True):
+        mine = segments[at : at + n]
+        at += n
+        assert "".join(mine) == word
+        assert not any(a[-1] + b[0] in piece for a, b in itertools.pairwise(mine) for piece in pieces.id)
+    assert at == len(segments)
+
+
 def test_unigram_paths_against_all_segmentations():
     vocabulary = [("<unk>", 0.0, 2), ("▁", -3.0, 1), ("a", -2.0, 1), ("b", -2.5, 1), ("ab", -3.1, 1), ("▁a", -4.0, 1), ("ba", -4.2, 1), ("bab", -5.0, 1)]
     p = codec.Pieces((vocabulary, codec.UNIGRAM))

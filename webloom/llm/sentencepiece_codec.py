@@ -1,25 +1,29 @@
 """SentencePiece encoding and decoding by shared-prefix Viterbi.
 
-A text becomes words that begin with the space mark. The distinct words of a batch are sorted, which
-lays them out as a trie in depth-first order: what a word shares with its predecessor keeps its
-forward states, and only the rest of it is computed.
+A text becomes words that begin with the space mark, and a word becomes segments: it is cut between
+two characters that stand side by side in no piece, where no path can cross. The distinct new segments
+of many texts are sorted, which lays them out as a trie in depth-first order: what a segment shares
+with its predecessor keeps its forward states, and only the rest of it is computed.
 
 The forward state of a prefix is its best path. In a unigram model paths are weighed by the sum of
 their pieces' scores. In a BPE model (as shipped in /opt/tokenizers) sums of scores do not give what
 merging gives, so a path's weight is whether each two neighbouring pieces could be left unmerged
 side by side: merging a piece pair's own text must give back that pair. Exactly one path of each
 prefix passes, and it is the result of merging.
+
+Ids travel as packed 32-bit numbers, and decoding is one lookup and one join in Arrow.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from heapq import heappop, heappush
 from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,12 +31,35 @@ from pyspark.sql import types as T
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
-#: Words and neighbour tests that a worker remembers before it starts anew.
+#: Words and segments of a generation that a worker remembers, and neighbour tests.
 MEMO_WORDS, MEMO_PAIRS = 400_000, 1_000_000
+#: Characters or ids handled at a time; a longer text is handled alone.
+SPAN = 1 << 22
 NORMAL, UNKNOWN_TYPE, BYTE = 1, 2, 6
 UNIGRAM, BPE = 1, 2
 
 
+class Memory:
+    """Results by word, in two generations: of more than `most`, those go that were not asked for lately."""
+
+    def __init__(self, most: int):
+        self.most, self.young, self.old = most, {}, {}
+
+    def missing(self, words: Iterable[str]) -> list[str]:
+        """The words without a result; the results of all others are in `young` afterwards."""
+        if len(self.young) > self.most:
+            self.old, self.young = self.young, {}
+        young, old, out = self.young, self.old, []
+        for w in words:
+            if w not in young:
+                got = old.get(w)
+                if got is None:
+                    out.append(w)
+                else:
+                    young[w] = got
+        return out
+
+
 class Pieces:
     """A model's pieces. `model` is the content of a .model file, or (pieces, kind) for tests, with
     pieces a list of (text, score, type)."""
@@ -61,17 +88,34 @@ class Pieces:
         # when merging forms a piece, counted from the first; characters are there from the start
         self.rank = {t: r for r, t in enumerate(sorted((t for t in self.id if len(t) > 1), key=lambda t: (-self.score[self.id[t]], self.id[t])))}
         self.halves: dict[str, tuple[str, str] | None] = {}
-        # lengths, longest first, of the pieces that end in given two characters
-        ends: dict[str, set[int]] = {}
+        # pieces of two or more characters as a trie from their ends; a node's piece is under ""
+        self.tails: dict = {}
         for t in self.rank:
-            ends.setdefault(t[-2:], set()).add(len(t))
-        self.ends = {k: sorted(v, reverse=True) for k, v in ends.items()}
-        self.pairs: dict[str, dict[str, bool]] = {}
-        self.n_pairs = 0
-        self.words: dict[str, tuple[int, ...]] = {}
+            node = self.tails
+            for c in reversed(t):
+                node = node.setdefault(c, {})
+            node[""] = self.id[t]
+        # characters that have neighbours in a piece, and which two stand side by side in one
+        joined = {t[i : i + 2] for t in self.id for i in range(len(t) - 1)}
+        letters = sorted(set("".join(joined)))
+        self.letter = np.zeros(0x110000, np.int32)
+        self.letter[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
+        self.joins = np.zeros((len(letters) + 1, len(letters) + 1), bool)
+        for a, b in joined:
+            self.joins[self.letter[ord(a)], self.letter[ord(b)]] = True
+        self.pairs: dict[int, bool] = {}
+        self.words, self.segments = Memory(MEMO_WORDS), Memory(MEMO_WORDS)
+        self.packed = [np.int32(i).tobytes() for i in range(len(pieces))]
+        self.raw = pa.array([self._raw(i) for i in range(len(pieces))], pa.binary())
         # pieces that hold the mark after other characters would tie words together
         self.whole = any(MARK in t.lstrip(MARK) for t in self.id)
 
+    def _raw(self, i: int) -> bytes:
+        if i in self.byte_of:
+            return bytes([self.byte_of[i]])
+        text = self.text[i] if self.type[i] in (NORMAL, 4) else " ⁇ " if self.type[i] == UNKNOWN_TYPE else ""
+        return text.encode("utf-8", "surrogatepass")
+
     def merged(self, text: str, trace: list[tuple[str, str]] | None = None) -> list[str]:
         """Pieces of a text by merging: the best-scored pair first, the leftmost of equals."""
         parts: list[str | None] = list(text)
@@ -131,23 +175,23 @@ class Pieces:
             else:  # of equal merges the left one comes first, and across the border is further left
                 border, b = right + 1, self.split(b)[0]
 
-    def ids_of(self, parts: list[str]) -> list[int]:
-        out: list[int] = []
+    def ids_of(self, parts: list[str]) -> bytes:
+        out = []
         for p in parts:
             i = self.id.get(p)
             if i is not None:
-                out.append(i)
+                out.append(self.packed[i])
             elif self.bytes:
-                out += [self.bytes[b] for b in p.encode("utf-8", "surrogatepass")]
+                out += [self.packed[self.bytes[b]] for b in p.encode("utf-8", "surrogatepass")]
             else:
-                out.append(self.unknown)
-        return out
+                out.append(self.packed[self.unknown])
+        return b"".join(out)
 
-    def encode_words(self, words: list[str]) -> Iterator[tuple[str, tuple[int, ...]]]:
-        """(word, ids) of sorted distinct words, each beginning where its predecessor left off."""
+    def encode_words(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
+        """(word, packed ids) of sorted distinct words, each beginning where its predecessor left off."""
         step = self._step_bpe if self.kind == BPE else self._step_unigram
-        # forward state of each prefix: (weight, last piece, where that begins)
-        states: list[tuple[float, str, int]] = [(0.0, "", 0)]
+        # forward state of each prefix: (weight, last piece's id or -1, where that begins)
+        states: list[tuple[float, int, int]] = [(0.0, -1, 0)]
         before = ""
         for word in words:
             shared = len(commonprefix((before, word)))
@@ -156,100 +200,127 @@ class Pieces:
                 states.append(step(word, end, states))
             parts, end = [], len(word)
             while end:
-                _, text, start = states[end]
-                parts.append(text)
+                _, piece, start = states[end]
+                parts.append(self.packed[piece] if piece >= 0 else self.ids_of([word[start:end]]))
                 end = start
-            yield word, tuple(self.ids_of(parts[::-1]))
+            yield word, b"".join(reversed(parts))
             before = word
 
-    def _step_bpe(self, word: str, end: int, states: list[tuple[float, str, int]]) -> tuple[float, str, int]:
-        for n in self.ends.get(word[end - 2 : end], ()) if end > 1 else ():
-            start = end - n
-            if start < 0:
-                continue
-            text = word[start:end]
-            if text in self.rank:
-                last = states[start][1]
-                row = self.pairs.get(last)
-                if row is None:
-                    row = self.pairs[last] = {}
-                good = row.get(text)
-                if good is None:
-                    if self.n_pairs >= MEMO_PAIRS:
-                        self.pairs.clear()
-                        self.n_pairs = 0
-                    good = row[text] = self.neighbours(last, text)
-                    self.n_pairs += 1
-                if good:
-                    return 0.0, text, start
-        return 0.0, word[end - 1], end - 1  # one path passes: if no longer piece ends here, a character does
-
-    def _step_unigram(self, word: str, end: int, states: list[tuple[float, str, int]]) -> tuple[float, str, int]:
-        best = (states[end - 1][0] + self.least, word[end - 1], end - 1)
+    def _step_bpe(self, word: str, end: int, states: list[tuple[float, int, int]]) -> tuple[float, int, int]:
+        node, at, found = self.tails.get(word[end - 1]), end - 1, []
+        while node is not None:
+            piece = node.get("")
+            if piece is not None:
+                found.append((piece, at))
+            if not at:
+                break
+            at -= 1
+            node = node.get(word[at])
+        pairs = self.pairs
+        for piece, start in reversed(found):
+            last = states[start][1]
+            key = (last + 1) << 32 | piece
+            good = pairs.get(key)
+            if good is None:
+                if len(pairs) >= MEMO_PAIRS:
+                    pairs.clear()
+                before = self.text[last] if last >= 0 else word[start - 1 : start]
+                good = pairs[key] = self.neighbours(before, self.text[piece])
+            if good:
+                return 0.0, piece, start
+        # one path passes: if no longer piece ends here, a character does
+        return 0.0, self.id.get(word[end - 1], -1), end - 1
+
+    def _step_unigram(self, word: str, end: int, states: list[tuple[float, int, int]]) -> tuple[float, int, int]:
+        best = (states[end - 1][0] + self.least, self.id.get(word[end - 1], -1), end - 1)
         for start in range(max(0, end - self.longest), end):
             known = self.id.get(word[start:end])
             if known is not None and states[start][0] + self.score[known] > best[0]:
-                best = (states[start][0] + self.score[known], word[start:end], start)
+                best = (states[start][0] + self.score[known], known, start)
         return best
 
+    def cut(self, words: list[str]) -> tuple[list[str], np.ndarray]:
+        """The segments of all words in turn, and how many each has; words are not empty."""
+        text = "".join(words)
+        letter = self.letter[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")]
+        begins = np.ones(len(letter), bool)
+        begins[1:] = ~self.joins[letter[:-1], letter[1:]]
+        starts = np.cumsum([0, *map(len, words)])
+        begins[starts[:-1]] = True
+        at = np.flatnonzero(begins).tolist()
+        counts = np.diff(np.searchsorted(at, starts))
+        return [text[a:z] for a, z in zip(at, [*at[1:], len(text)], strict=True)], counts
+
+    def _learn(self, words: list[str]) -> Iterator[bytes]:
+        """Packed ids of each word; words are not empty and hold marks at their beginning only."""
+        segments, counts = self.cut(words)
+        fresh = sorted(self.segments.missing(dict.fromkeys(segments)))
+        self.segments.young.update(self.encode_words(fresh))
+        known, at = self.segments.young, 0
+        for n in counts.tolist():
+            yield known[segments[at]] if n == 1 else b"".join(map(known.__getitem__, segments[at : at + n]))
+            at += n
+
+    def packed_ids(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of whole texts as packed 32-bit numbers; null and empty texts have none."""
+        split = [self._split(t) if t else [] for t in texts]
+        known, blanks = self.words, {}
+        fresh = known.missing(set().union(*split))
+        if self.kind == BPE and not self.whole:
+            blanks = {w: w.lstrip(MARK) for w in fresh if w.startswith(MARK)}
+            fresh = [w for w in fresh if w not in blanks]
+            if blanks:
+                have = known.young
+                fresh = list({*fresh, *(x for core in blanks.values() if core for x in (core, core + MARK) if x not in have)})
+        known.young.update(zip(fresh, self._learn([self._marked(w) for w in fresh]), strict=True) if fresh else ())
+        for w, core in blanks.items():
+            known.young[w] = self._with_blanks(core, len(w) - len(core) + 1)
+        young = known.young
+        return [b"".join(map(young.__getitem__, words)) for words in split]
+
+    def _marked(self, word: str) -> str:
+        """The text of a word as _split names it: without one mark before it, or, where there is none, with one behind."""
+        return word[:-1] if word.endswith(MARK) and (self.whole or not word.startswith(MARK)) else MARK + word
+
+    def _split(self, text: str) -> list[str]:
+        if self.prefix and not self.whole and "  " not in text and MARK not in text and text[0] != " ":
+            return text.split(" ")
+        marked = (MARK if self.prefix else "") + text.replace(" ", MARK)
+        if self.whole:
+            return [marked + MARK]
+        return [w[1:] if w.startswith(MARK) else w + MARK for w in WORD.findall(marked)]
+
+    def _with_blanks(self, core: str, n: int) -> bytes:
+        """A word after n > 1 marks: they merge last, and only those that the word leaves over."""
+        if not core:
+            return self.ids_of(self.merged(MARK * n))
+        taken = self.words.young[core]
+        if taken.startswith(self.ids_of([MARK])):
+            return self.ids_of(self.merged(MARK * n)) + self.words.young[core + MARK]
+        return self.ids_of(self.merged(MARK * (n - 1))) + taken
+
     def encode(self, texts: list[str | None]) -> list[list[int]]:
         """Ids of whole texts; null and empty texts have none."""
-        marked = [((MARK if self.prefix else "") + t.replace(" ", MARK)) if t else "" for t in texts]
-        split = [[m] if self.whole and m else WORD.findall(m) for m in marked]
-        fresh, runs = set(), set()
-        for w in set().union(*split):
-            if w.startswith(MARK * 2) and self.kind == BPE:
-                runs.add(w)
-                core = w.lstrip(MARK)
-                if core:
-                    fresh.update((MARK + core, core))
-            else:
-                fresh.add(w)
-        if len(self.words) > MEMO_WORDS:
-            self.words.clear()
-        known = self.words
-        known.update(self.encode_words(sorted(w for w in fresh if w not in known)))
-        blank = {w: self._with_blanks(w) for w in runs}
+        return [np.frombuffer(x, np.int32).tolist() for x in self.packed_ids(texts)]
+
+    def texts_of(self, lists: pa.ListArray) -> list[str | None]:
+        """Texts of lists of ids: byte pieces are put together, marks become spaces, the first mark goes."""
+        joined = pc.binary_join(pa.ListArray.from_arrays(lists.offsets, self.raw.take(lists.values), mask=lists.is_null()) if len(lists) else pa.array([], pa.list_(pa.binary())), b"")
         out = []
-        for words in split:
-            ids: list[int] = []
-            for w in words:
-                ids += known[w] if w in known else blank[w]
-            out.append(ids)
+        for raw in joined.to_pylist():
+            text = None if raw is None else raw.decode("utf-8", "replace")
+            if text and self.prefix and text.startswith(MARK):
+                text = text[1:]
+            out.append(text and text.replace(MARK, " "))
         return out
 
-    def _with_blanks(self, word: str) -> list[int]:
-        """A word after several marks: they merge last, and only those that the word leaves over."""
-        core = word.lstrip(MARK)
-        n = len(word) - len(core)
-        if not core:
-            return self.ids_of(self.merged(MARK * n))
-        taken = self.words[MARK + core]
-        if taken and self.text[taken[0]] == MARK:
-            return [*self.ids_of(self.merged(MARK * n)), *self.words[core]]
-        return [*self.ids_of(self.merged(MARK * (n - 1))), *taken]
-
     def decode(self, ids: list[int]) -> str:
-        """Text of ids: byte pieces are put together, marks become spaces, the first mark goes."""
-        out, raw = [], bytearray()
-        for i in ids:
-            b = self.byte_of.get(i)
-            if b is not None:
-                raw.append(b)
-                continue
-            if raw:
-                out.append(raw.decode("utf-8", "replace"))
-                raw = bytearray()
-            if self.type[i] in (NORMAL, 4):
-                out.append(self.text[i])
-            elif self.type[i] == UNKNOWN_TYPE:
-                out.append(" ⁇ ")
-        if raw:
-            out.append(raw.decode("utf-8", "replace"))
-        text = "".join(out)
-        if self.prefix and text.startswith(MARK):
-            text = text[1:]
-        return text.replace(MARK, " ")
+        return self.texts_of(pa.array([ids], pa.list_(pa.int32())))[0]
+
+
+def id_lists(packed: list[bytes]) -> pa.ListArray:
+    ends = np.cumsum([0, *(len(x) // 4 for x in packed)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), np.int32)))
 
 
 _loaded: dict[bytes, Pieces] = {}
@@ -263,15 +334,28 @@ def _pieces(model: bytes) -> Pieces:
     return _loaded[model]
 
 
+def _spans(sizes: pa.Array) -> Iterator[tuple[int, int]]:
+    """(first row, rows) of runs that hold SPAN in all, or one row that holds more."""
+    total, first = 0, 0
+    for i, n in enumerate(sizes.to_pylist()):
+        if i > first and total + (n or 0) > SPAN:
+            yield first, i - first
+            total, first = 0, i
+        total += n or 0
+    if first < len(sizes):
+        yield first, len(sizes) - first
+
+
 def _mapped(df: DataFrame, columns: list[str], value, added: list[T.StructField], work) -> DataFrame:
     schema = T.StructType([*(df.schema[c] for c in columns), *added])
     n = len(columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, 1000):
-                part = b.slice(at, 1000)
-                arrays = work(part.column(n).to_pylist())
+            sizes = pc.list_value_length(b.column(n)) if pa.types.is_list(b.schema.field(n).type) else pc.binary_length(b.column(n))
+            for at, rows in _spans(sizes):
+                part = b.slice(at, rows)
+                arrays = work(part.column(n))
                 yield pa.RecordBatch.from_arrays([*part.columns[:n], *arrays], names=[f.name for f in schema])
 
     return df.select(*columns, value).mapInArrow(run, schema)
@@ -293,7 +377,7 @@ def encode(docs: DataFrame, model_path: str = MODEL, text_col: str = "text", kee
         shared = docs.sparkSession.sparkContext.broadcast(f.read())  # under 1 MB
     columns = list(docs.columns if keep is None else keep)
     field = T.StructField(_free(out_col, columns), T.ArrayType(T.IntegerType(), False))
-    work = lambda texts: [pa.array(_pieces(shared.value).encode(texts), pa.list_(pa.field("element", pa.int32(), nullable=False)))]
+    work = lambda texts: [id_lists(_pieces(shared.value).packed_ids(texts.to_pylist()))]
     return _mapped(docs, columns, F.col(text_col).alias("_to_encode"), [field], work)
 
 
@@ -303,17 +387,8 @@ def decode(encoded: DataFrame, model_path: str = MODEL, ids_col: str = "piece_id
         shared = encoded.sparkSession.sparkContext.broadcast(f.read())
     columns = list(encoded.columns if keep is None else keep)
     field = T.StructField(_free(out_col, columns), T.StringType())
-
-    def work(lists: list) -> list[pa.Array]:
-        pieces = _pieces(shared.value)
-        return [pa.array([None if x is None else pieces.decode(x) for x in lists], pa.string())]
-
-    return _mapped(encoded, columns, F.col(ids_col).alias("_to_decode"), [field], work)
-
-
-def digest(ids: list[int]) -> bytes:
-    """Bytes that stand for a list of ids: four a piece, little-endian."""
-    return np.asarray(ids, "<i4").tobytes()
+    work = lambda lists: [pa.array(_pieces(shared.value).texts_of(lists), pa.string())]
+    return _mapped(encoded, columns, F.col(ids_col).cast("array<int>").alias("_to_decode"), [field], work)
 
 
 def round_trip(docs: DataFrame, model_path: str = MODEL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -331,16 +406,16 @@ def round_trip(docs: DataFrame, model_path: str = MODEL, id_col: str = "doc_id",
         T.StructField("same", T.BooleanType()),
     ]
 
-    def work(texts: list) -> list[pa.Array]:
-        pieces = _pieces(shared.value)
-        ids = pieces.encode(texts)
-        back = [pieces.decode(x) for x in ids]
+    def work(column: pa.Array) -> list[pa.Array]:
+        pieces, texts = _pieces(shared.value), column.to_pylist()
+        ids = pieces.packed_ids(texts)
+        back = pieces.texts_of(id_lists(ids))
         sha = lambda b: hashlib.sha256(b).hexdigest()
         return [
-            pa.array([len(x) for x in ids], pa.int64()),
-            pa.array([sha(digest(x)) for x in ids]),
-            pa.array([sha(t.encode("utf-8", "surrogatepass")) for t in back]),
-            pa.array([t == (o or "") for t, o in zip(back, texts, strict=True)]),
+            pa.array([len(x) // 4 for x in ids], pa.int64()),
+            pa.array([sha(x) for x in ids], pa.string()),
+            pa.array([sha(t.encode("utf-8", "surrogatepass")) for t in back], pa.string()),
+            pa.array([t == (o or "") for t, o in zip(back, texts, strict=True)], pa.bool_()),
         ]
 
     return _mapped(docs, [id_col], F.col(text_col).alias("_to_encode"), added, work)

@@ -42,9 +42,9 @@ def brute(train):
     return uni, p
 
 
-@pytest.mark.parametrize("hot", [3, 1000])
+@pytest.mark.parametrize("hot", [4, 1000])
 def test_equals_brute_force(spark, monkeypatch, hot):
-    monkeypatch.setattr(kn, "HOT_SHARE", hot)
+    monkeypatch.setattr(kn, "HOT", hot)
     docs = spark.createDataFrame(ROWS, "doc_id long, text string").withColumn("score", F.lit("clash"))
     train = F.col("doc_id") % 5 != 1
     got = {r.doc_id: r for r in kn.fit_and_score(docs, train).collect()}
@@ -90,10 +90,10 @@ def brute_triples(train):
     return uni, p
 
 
-@pytest.mark.parametrize(("hot", "group"), [(3, 250_000), (1000, 8)])
-def test_order_three_equals_brute_force(spark, monkeypatch, hot, group):
-    monkeypatch.setattr(kn, "HOT_SHARE", hot)
-    monkeypatch.setattr(kn, "GROUP", group)
+@pytest.mark.parametrize(("hot", "span"), [(2, 250_000), (1000, 8), (5, 1)])
+def test_order_three_equals_brute_force(spark, monkeypatch, hot, span):
+    monkeypatch.setattr(kn, "HOT", hot)
+    monkeypatch.setattr(kn, "SPAN", span)
     docs = spark.createDataFrame(ROWS, "doc_id long, text string")
     got = {r.doc_id: r.score for r in kn.fit_and_score(docs, F.col("doc_id") % 5 != 1, order=3).collect()}
     uni, p = brute_triples([t for i, t in ROWS if i % 5 != 1])
@@ -114,6 +114,13 @@ def test_the_query_looks_at_two_words_before(spark, monkeypatch):
     assert orders == [3]
 
 
+def test_rows_that_repeat_and_long_texts(spark):
+    rows = [(1, "a b c"), (1, "a b c"), (1, "x"), (None, "a b"), (2, "a b " * 400_000)]
+    got = kn.fit_and_score(spark.createDataFrame(rows, "doc_id long, text string"), F.lit(True), order=3).collect()
+    assert sorted((r.doc_id or 0, r.n_tokens) for r in got) == [(0, 3), (1, 2), (1, 4), (1, 4), (2, 800_001)]
+    assert len({r.score for r in got if r.n_tokens == 4}) == 1 and all(r.n_known == r.n_tokens and r.train_tokens == 800_014 for r in got)
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert kn.fit_and_score(docs, F.lit(True)).collect() == []
@@ -129,6 +136,38 @@ def test_blocks_and_groups(monkeypatch):
     keys = np.array([0, 5, 2**63 + 1, 2**64 - 1], np.uint64)
     k, c = kn.unpack(kn.pack(keys, np.array([1, 2, 3, 4])))
     assert k.tolist() == keys.tolist() and c.tolist() == [1, 2, 3, 4]
-    monkeypatch.setattr(kn, "GROUP", 3)
-    groups = list(kn.token_groups(pa.array([b"a b", None, b"c d e f", b""])))
-    assert [(a, z, len(h)) for a, z, h, _ in groups] == [(0, 1, 3), (1, 3, 6), (3, 4, 1)]
+    texts = [b"a b", None, b"c d e  f g\th i j\n", b"", b" A\xc3\x89 ", b"abcdefghijklmnop q", b"\x85 \xa0"]
+    word = lambda w: int(kn.hashed_words(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]))[0])
+    assert word(b"AbZ\x80[") == word(b"abz\x80[") and len({word(w) for w in (b"a", b"aa", b"b", b"ab", b"ba", b"\x00", b"\x00\x00")} | {int(kn.END)}) == 8
+    monkeypatch.setattr(kn, "LONG", 5)
+    want = {i: [*map(word, (t or b"").lower().split()), int(kn.END)] for i, t in enumerate(texts)}
+    for span in (1, 3, 6, 1000):
+        monkeypatch.setattr(kn, "SPAN", span)
+        got: dict = {i: [] for i in want}
+        for column in (pa.array(texts), pa.array([b"x", *texts, b"y"])[1:-1]):
+            got = {i: [] for i in want}
+            for g in kn.token_groups(column):
+                for r, a, z in zip(g.rows.tolist(), g.starts.tolist(), [*g.starts.tolist()[1:], len(g.hashes)], strict=True):
+                    assert not g.lead or g.hashes[: g.lead].tolist() == got[r][-g.lead :]
+                    got[r] += g.hashes[max(a, g.lead) : z].tolist()
+            assert got == want
+    assert list(kn.token_groups(pa.array([], pa.binary()))) == []
+
+
+def test_numbers_of_any_size():
+    import numpy as np
+
+    x = np.array([0, 1, 254, 255, 256, 2**40, 3, 0, 255])
+    raw = np.frombuffer(kn.compact(x), np.uint8)
+    assert kn.Compact(raw, len(x)).all().tolist() == x.tolist()
+    assert kn.Compact(raw, len(x))[np.array([5, 0, 3])].tolist() == [2**40, 0, 255]
+    context, word = np.array([2**40, 7, 2**40, 7, 7], np.uint64), np.array([2**33, 1, 2**33, 1, 2], np.uint64)
+    for shift in (20, 34):  # in one key, and where one key does not hold both
+        c, w, inverse, n = kn.distinct(context, word % np.uint64(1 << 20) if shift == 20 else word, shift)
+        assert c.tolist() == [7, 7, 2**40] and n.tolist() == [2, 1, 2] and inverse.tolist() == [2, 0, 2, 0, 1]
+    plan = kn.Plan("pairs", 1 << 20, 1 << 24, 1)
+    level = kn.Level(plan, 34, np.array([2**40], np.uint64), np.array([plan.buckets, plan.buckets + 3]), None)
+    bucket, key = level.deal(context, word)
+    assert (bucket[[1, 3, 4]] == 0).all() and plan.buckets <= bucket[0] == bucket[2] < plan.buckets + 3
+    assert level.words(key).tolist() == word.tolist()
+    assert [int(level.contexts(b, key[i : i + 1])[0]) for i, b in enumerate(bucket.tolist())] == context.tolist()

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import mmap
 import os
-import tempfile
+import sys
+import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 from urllib.parse import unquote, urlparse
 
+import numpy as np
 from pyarrow import fs
 
 
@@ -40,15 +43,35 @@ def random_access(uri: str):
     return store.open_input_file(path)
 
 
-def local_path(uri: str, cache: dict[str, str]) -> str:
-    """A path that can be memory-mapped: the file itself where the store is mounted, else a copy."""
+@contextmanager
+def replacing(uri: str):
+    """As writer, but the file appears under its name only when it is whole, in place of an older one."""
+    part = f"{uri}.part-{uuid.uuid4().hex}"
+    with writer(part) as out:
+        yield out
+    store, path = opened(uri)
+    try:
+        store.move(opened(part)[1], path)
+    except OSError:  # some stores do not replace; what is there has the same content
+        if store.get_file_info(path).type != fs.FileType.File:
+            raise
+        store.delete_file(opened(part)[1])
+
+
+#: Whether a memory map needs no open file besides.
+MAPS_ARE_FREE = sys.version_info >= (3, 13)
+
+
+def bytes_of(uri: str) -> tuple[np.ndarray, int]:
+    """The content of a file, and how many bytes of memory it takes: none where its store is mounted, so
+    that it can be mapped; else it is read whole."""
     store, path = opened(uri)
     if isinstance(store, fs.LocalFileSystem):
-        return path
-    if uri not in cache:
-        fd, name = tempfile.mkstemp()
-        with os.fdopen(fd, "wb") as out:
-            for part in chunks(uri):
-                out.write(part)
-        cache[uri] = name
-    return cache[uri]
+        if not os.path.getsize(path):
+            return np.empty(0, np.uint8), 0
+        with open(path, "rb") as f:
+            more = {"trackfd": False} if MAPS_ARE_FREE else {}
+            return np.frombuffer(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ, **more), np.uint8), 0
+    with store.open_input_file(path) as f:
+        got = np.frombuffer(f.read(), np.uint8)
+        return got, got.nbytes

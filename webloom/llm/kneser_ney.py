@@ -1,12 +1,15 @@
 """Language-model scoring with an interpolated modified Kneser-Ney model of two or three words.
 
 Counting takes two grouped passes. Words are hashed, dealt to buckets by the hash's leading bits and
-summed; a word's place in the sorted hash arrays is its number. Then pairs of numbers are dealt to
-buckets by their context and summed. A context that takes more than one token in HOT_SHARE would
-fill a bucket by itself, so its pairs are dealt by the whole pair; there are fewer than HOT_SHARE
-such contexts. Tasks sum what they have read before anything is shuffled, and send it as packed
-blocks of sorted numbers. Buckets end as sorted arrays in files of the shared folder, which workers
-map into memory and search; nothing of the model's size is collected or broadcast.
+summed; a word's place in the sorted hash arrays is its number. Then pairs are dealt to buckets by
+ranges of their contexts' numbers and summed; within a bucket, the context's place in the range and
+the last word's number make one 64-bit key, however many words and contexts there are in all. A
+context with more than HOT tokens has buckets of its own, over which its last words are dealt. Tasks
+sum what they have read before anything is shuffled, and send it as packed blocks of sorted numbers.
+Buckets end as sorted arrays in files of the shared folder, named by kind and number, which workers
+map into memory and search. What grows with the tokens on the driver is the size of each bucket and
+the hot contexts' numbers: some 100 bytes for every PAIR_TOKENS tokens, written as index files that
+workers map too. Nothing of the model's size is collected or broadcast.
 
 P(w|u) = max(c(uw) - D(c(uw)), 0) / c(u.) + gamma(u) Pc(w);  gamma(u) = sum_k D_k N_k(u.) / c(u.)
 Pc(w) = max(n(.w) - D'(n(.w)), 0) / n(..) + gamma' / (V + 1);  discounts as Chen and Goodman have them.
@@ -19,9 +22,10 @@ precedes, keep their counts. The first word of a text has the start alone as its
 
 from __future__ import annotations
 
-import uuid
+from collections import OrderedDict
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -35,37 +39,136 @@ from pyspark.sql import types as T
 from webloom.core.scratch import Scratch
 from webloom.llm import files
 
-END = b"\n"  # no word holds white space
-HOT_SHARE = 1000
-#: Documents for each word bucket, tokens for each pair bucket, tokens handled at a time.
-WORD_DOCS, PAIR_TOKENS, GROUP = 8192, 1_000_000, 250_000
-MEMO = 150_000
-LOW = np.uint64(0xFFFFFFFF)
-SHIFT = np.uint64(32)
+#: Documents for each word bucket, tokens for each pair bucket, tokens beyond which a context has
+#: buckets of its own, bytes of text handled at a time.
+WORD_DOCS, PAIR_TOKENS, HOT, SPAN = 8192, 1_000_000, 250_000, 1_500_000
+#: Files that a worker keeps mapped, and bytes it holds of files that cannot be mapped.
+MAPS, HELD = 4096 if files.MAPS_ARE_FREE else 512, 256 << 20
 
+WHITE = np.isin(np.arange(256), [0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D])
+#: The hash of an end; a word's is never that of no bytes.
+END = np.uint64(0)
+BASE = 0x9E3779B97F4A7C15
+
+
+def _letters() -> np.ndarray:
+    """A number for each byte, the same for a capital A-Z as for its small letter."""
+    x = np.array([xxhash.xxh64_intdigest(bytes([c])) for c in range(256)], np.uint64)
+    x[0x41:0x5B] = x[0x61:0x7B]
+    return x
+
+
+LETTERS = _letters()
+
+
+#: Bytes whose words are hashed together, and bytes of a word beyond which it is hashed by itself.
+BLOCK, LONG = 1 << 20, 4096
+
+
+@cache
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of BASE modulo 2^64, and their inverses."""
+    up = lambda x: np.cumprod(np.concatenate(([np.uint64(1)], np.full(BLOCK + LONG, x, np.uint64))))
+    return up(BASE), up(pow(BASE, -1, 1 << 64))
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        got = self[word] = xxhash.xxh64_intdigest(word)
-        return got
 
+def hashed_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word data[start:end]: a polynomial in BASE over its bytes' numbers, mixed.
+    Sums over a block's bytes give those of all its words."""
+    out, (up, down) = np.empty(len(starts), np.uint64), _powers()
+    short = ends - starts <= LONG
+    for i in np.flatnonzero(~short):
+        out[i] = xxhash.xxh64_intdigest(data[starts[i] : ends[i]].tobytes().lower())
+    short = np.flatnonzero(short)
+    for _, a, z in _runs(starts[short] // BLOCK):
+        s, e = starts[short[a:z]], ends[short[a:z]]
+        first = int(s[0])
+        with np.errstate(over="ignore"):
+            numbers = LETTERS[data[first : int(e[-1])]]
+            sums = np.concatenate(([np.uint64(0)], np.cumsum(numbers * up[: len(numbers)])))
+            out[short[a:z]] = _mix((sums[e - first] - sums[s - first]) * down[s - first] + (e - s).astype(np.uint64))
+    return out
 
-def token_groups(texts) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first text, end, hashes, starts): about GROUP tokens at a time, each text's words and one end.
-    A text is never cut; null is empty."""
-    memo, flat, starts, first = _Hashes(), [], [], 0
-    i = -1
-    for i, text in enumerate(texts):
-        starts.append(len(flat))
-        flat += (text.as_py() or b"").lower().split()
-        flat.append(END)
-        if len(flat) >= GROUP:
-            yield first, i + 1, np.fromiter(map(memo.__getitem__, flat), np.uint64, len(flat)), np.array(starts)
-            flat, starts, first = [], [], i + 1
-            if len(memo) > MEMO:
-                memo.clear()
-    if flat:
-        yield first, i + 1, np.fromiter(map(memo.__getitem__, flat), np.uint64, len(flat)), np.array(starts)
+
+@dataclass
+class Group:
+    """Tokens of some texts, or of a part of one: their hashes, where each text begins, which row it
+    is, and how many tokens at the front were in the group before and are here as contexts only."""
+
+    hashes: np.ndarray
+    starts: np.ndarray
+    rows: np.ndarray
+    lead: int
+
+    @property
+    def heads(self) -> np.ndarray:
+        """Where texts begin that begin in this group."""
+        return self.starts[1:] if self.lead else self.starts
+
+    def sums(self, x: np.ndarray) -> np.ndarray:
+        """The sum of each text's values here, without those of the lead."""
+        if self.lead:
+            x = x.copy()
+            x[: self.lead] = 0
+        return np.add.reduceat(x, self.starts)
+
+
+def _tokens(data: np.ndarray, at: np.ndarray, ends: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, where each text begins) of the words of texts data[at[i]:at[i + 1]], each with its end."""
+    part = data[at[0] : at[-1]]
+    at = at - at[0]
+    white = WHITE[part]
+    before, behind = np.ones(len(part), bool), np.ones(len(part), bool)
+    before[1:], behind[:-1] = white[:-1], white[1:]
+    inner = at[(at > 0) & (at < len(part))]
+    before[inner] = behind[inner - 1] = True
+    first, last = np.flatnonzero(~white & before), np.flatnonzero(~white & behind) + 1
+    hashes = hashed_words(part, first, last)
+    if not ends:
+        return hashes, np.zeros(1, np.int64)
+    words = np.searchsorted(first, at)
+    starts = words[:-1] + np.arange(len(at) - 1)
+    out = np.full(len(first) + len(at) - 1, END)
+    out[np.arange(len(first)) + np.searchsorted(at, first, side="right") - 1] = hashes
+    return out, starts
+
+
+def token_groups(texts: pa.Array) -> Iterator[Group]:
+    """The words of SPAN bytes or somewhat more at a time, each text's with an end; null is empty. A text
+    that is cut goes on in the next group behind its last two tokens."""
+    if not len(texts):
+        return
+    texts = texts.fill_null(b"").cast(pa.large_binary())
+    _, offsets, data = texts.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
+    i = 0
+    while i < len(texts):
+        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + SPAN, side="right")) - 1)
+        if offsets[j] - offsets[i] <= 2 * SPAN:
+            yield Group(*_tokens(data, offsets[i : j + 1]), np.arange(i, j), 0)
+        else:  # one long text
+            at, lead = int(offsets[i]), np.empty(0, np.uint64)
+            while at < offsets[j] or not len(lead):
+                cut = _cut(data, at + SPAN, int(offsets[j]))
+                hashes, _ = _tokens(data, np.array([at, cut]), ends=cut == offsets[j])
+                if len(hashes):
+                    yield Group(np.concatenate((lead, hashes)), np.zeros(1, np.int64), np.array([i]), len(lead))
+                    lead = np.concatenate((lead, hashes))[-2:]
+                at = cut
+                if at == offsets[j]:
+                    break
+        i = j
+
+
+def _cut(data: np.ndarray, at: int, end: int) -> int:
+    """The first white space from `at` on, or the end."""
+    while at < end:
+        found = np.flatnonzero(WHITE[data[at : min(at + 4096, end)]])
+        if len(found):
+            return at + int(found[0])
+        at += 4096
+    return end
 
 
 def pack(keys: np.ndarray, counts: np.ndarray) -> bytes:
@@ -92,11 +195,36 @@ def summed(blobs) -> tuple[np.ndarray, np.ndarray]:
     return keys[at], np.add.reduceat(counts, at)
 
 
-def _saved(folder: str, name: str, x: np.ndarray) -> str:
-    uri = f"{folder}/{name}-{uuid.uuid4().hex}.bin"
-    with files.writer(uri) as out:
-        out.write(np.ascontiguousarray(x).data)
-    return uri
+def compact(x: np.ndarray) -> bytes:
+    """Numbers from 0, a byte each where they are under 255; then places and values of the others."""
+    flat = x.ravel()
+    over = np.flatnonzero(flat >= 255)
+    return b"".join((np.minimum(flat, 255).astype(np.uint8).tobytes(), bytes(-len(flat) % 8), over.astype(np.int64).tobytes(), flat[over].astype(np.int64).tobytes()))
+
+
+class Compact:
+    """Reads numbers by place from what compact() wrote."""
+
+    def __init__(self, raw: np.ndarray, n: int):
+        rest = raw[n + -n % 8 :].view(np.int64)
+        self.small, self.over, self.values = raw[:n], rest[: len(rest) // 2], rest[len(rest) // 2 :]
+
+    def __getitem__(self, places: np.ndarray) -> np.ndarray:
+        out = self.small[places].astype(np.int64)
+        over = np.flatnonzero(out == 255)
+        out[over] = self.values[np.searchsorted(self.over, places[over])]
+        return out
+
+    def all(self) -> np.ndarray:
+        out = self.small.astype(np.int64)
+        out[self.over] = self.values
+        return out
+
+
+def _save(folder: str, name: str, data) -> None:
+    """Writes a file under its final name at once, so a repeated task replaces equal by equal."""
+    with files.replacing(f"{folder}/{name}") as out:
+        out.write(data if isinstance(data, bytes) else np.ascontiguousarray(data).data)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -106,57 +234,39 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+@dataclass
+class Plan:
+    """How n-grams of one length are dealt: plain buckets hold a range of `per` contexts each, hot
+    contexts have several buckets behind those. The hot contexts' numbers are in an index file."""
+
+    kind: str
+    buckets: int
+    per: int
+    hot: int = 0
+    all_buckets: int = 0
+    types: int = 0
+    discounts: tuple[float, float, float] = (0.0, 0.0, 0.0)
+
+
 @dataclass
 class Model:
     """Where the arrays are, and the figures of the whole. Words are numbered by bucket and place;
     the start of a text has the number after the last."""
 
+    folder: str
     bits: int
-    words: list[tuple[str, str, int]] = field(default_factory=list)  # hashes, counts, how many
+    order: int
+    vocabulary: int = 0
     tokens: int = 0
-    hot: np.ndarray = field(default_factory=lambda: np.empty(0, np.uint64))
-    pair_buckets: int = 1
-    pairs: dict[int, tuple[str, str, int]] = field(default_factory=dict)
-    stats: dict[int, tuple[str, int]] = field(default_factory=dict)
-    pair_discounts: tuple[float, float, float] = (0.0, 0.0, 0.0)
+    pairs: Plan | None = None
+    triples: Plan | None = None
     word_discounts: tuple[float, float, float] = (0.0, 0.0, 0.0)
     word_kinds: tuple[int, int, int] = (0, 0, 0)  # words with 1, 2, 3 or more contexts
-    pair_types: int = 0
-    order: int = 2
-    triple_buckets: int = 1
-    hot_pairs: np.ndarray = field(default_factory=lambda: np.empty(0, np.uint64))
-    triples: dict[int, tuple[str, str, int]] = field(default_factory=dict)
-    pair_stats: dict[int, tuple[str, int]] = field(default_factory=dict)
-    triple_discounts: tuple[float, float, float] = (0.0, 0.0, 0.0)
 
     @property
-    def offsets(self) -> np.ndarray:
-        return np.concatenate(([0], np.cumsum([n for _, _, n in self.words], dtype=np.int64)))
-
-    @property
-    def vocabulary(self) -> int:
-        return int(self.offsets[-1])
-
-    @property
-    def pair_offsets(self) -> np.ndarray:
-        """The number of each pair bucket's first pair; pairs are numbered by bucket and place."""
-        return np.concatenate(([0], np.cumsum([self.pairs[b][2] if b in self.pairs else 0 for b in range(self.pair_buckets)], dtype=np.int64)))
-
-    def pair_bucket(self, keys: np.ndarray) -> np.ndarray:
-        return _dealt(keys, self.hot, self.pair_buckets)
-
-    def triple_bucket(self, keys: np.ndarray) -> np.ndarray:
-        return _dealt(keys, self.hot_pairs, self.triple_buckets)
-
-
-def _dealt(keys: np.ndarray, hot: np.ndarray, buckets: int) -> np.ndarray:
-    """Buckets by the context, or by all of the key where the context is among the sorted hot ones."""
-    context = keys >> SHIFT
-    mixed = _mix(context)
-    if len(hot):
-        is_hot = hot[np.minimum(np.searchsorted(hot, context), len(hot) - 1)] == context
-        mixed[is_hot] = _mix(keys[is_hot])
-    return (mixed % np.uint64(buckets)).astype(np.int64)
+    def shift(self) -> int:
+        """Bits of a word's number, the start's included."""
+        return max(1, self.vocabulary.bit_length())
 
 
 def _by_bucket(bucket: np.ndarray) -> np.ndarray:
@@ -165,84 +275,149 @@ def _by_bucket(bucket: np.ndarray) -> np.ndarray:
     return np.argsort(bucket.astype(np.uint16) if small else bucket, kind="stable")
 
 
+class Level:
+    """A worker's view of a Plan: numbers are 64-bit and unsigned."""
+
+    def __init__(self, plan: Plan, shift: int, hot: np.ndarray, first: np.ndarray, offsets: np.ndarray | None):
+        self.plan, self.shift, self.hot, self.first, self.offsets = plan, np.uint64(shift), hot, first, offsets
+        self.mask = np.uint64((1 << shift) - 1)
+
+    def deal(self, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(bucket, key within it)."""
+        per = np.uint64(self.plan.per)
+        bucket, key = (context // per).astype(np.int64), (context % per) << self.shift | word
+        if len(self.hot):
+            at = np.minimum(np.searchsorted(self.hot, context), len(self.hot) - 1)
+            hot = np.flatnonzero(self.hot[at] == context)
+            at = at[hot]
+            bucket[hot] = self.first[at] + (_mix(word[hot]) % (self.first[at + 1] - self.first[at]).astype(np.uint64)).astype(np.int64)
+            key[hot] = word[hot]
+        return bucket, key
+
+    def contexts(self, bucket: int, keys: np.ndarray) -> np.ndarray:
+        if bucket < self.plan.buckets:
+            return (keys >> self.shift) + np.uint64(bucket * self.plan.per)
+        return np.full(len(keys), self.hot[np.searchsorted(self.first, bucket, side="right") - 1])
+
+    def words(self, keys: np.ndarray) -> np.ndarray:
+        return keys & self.mask
+
+
+def distinct(context: np.ndarray, word: np.ndarray, shift: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (context, word) in order, the place of each input among them, and how often each is."""
+    if len(context) and int(context.max()).bit_length() + shift <= 64:
+        keys, inverse, counts = np.unique(context << np.uint64(shift) | word, return_inverse=True, return_counts=True)
+        return keys >> np.uint64(shift), keys & np.uint64((1 << shift) - 1), inverse, counts
+    order = np.lexsort((word, context))
+    context, word = context[order], word[order]
+    new = np.concatenate(([True], (context[1:] != context[:-1]) | (word[1:] != word[:-1])))[: len(order)]
+    inverse = np.empty(len(order), np.int64)
+    inverse[order] = np.cumsum(new) - 1
+    at = np.flatnonzero(new)
+    return context[at], word[at], inverse, np.diff(np.append(at, len(order)))
+
+
 class _Reader:
-    """A worker's maps of the model's files, opened when first needed."""
+    """A worker's maps of the model's files, opened when first needed; those least lately used are
+    given up first. Files of a store that is not mounted are read into memory instead."""
 
     def __init__(self, model: Model):
-        self.m, self.offsets, self.maps, self.cache = model, model.offsets, {}, {}
-        self.pair_offsets = model.pair_offsets
+        self.m, self.maps, self.held = model, OrderedDict(), 0
+        self.levels: dict[str, Level] = {}
+
+    def file(self, name: str) -> np.ndarray:
+        """The bytes of a file."""
+        if name in self.maps:
+            self.maps.move_to_end(name)
+            return self.maps[name][0]
+        got, held = files.bytes_of(f"{self.m.folder}/{name}")
+        self.maps[name] = got, held
+        self.held += held
+        while len(self.maps) > MAPS or (self.held > HELD and len(self.maps) > 1):
+            self.held -= self.maps.popitem(last=False)[1][1]
+        return got
+
+    def numbers_in(self, name: str, kind=np.uint64) -> np.ndarray:
+        return self.file(name).view(kind)
+
+    @property
+    def offsets(self) -> np.ndarray:
+        """The number of each word bucket's first word."""
+        return self.numbers_in("index-words", np.int64)
+
+    def level(self, plan: Plan) -> Level:
+        got = self.levels.get(plan.kind)
+        if got is None:
+            hot, first = (self.numbers_in(f"index-{plan.kind}-hot"), self.numbers_in(f"index-{plan.kind}-first", np.int64)) if plan.hot else (np.empty(0, np.uint64), np.empty(0, np.int64))
+            got = Level(plan, self.m.shift, hot, first, self.numbers_in(f"index-{plan.kind}", np.int64) if plan.types else None)
+            self.levels[plan.kind] = got
+        return got
 
-    def array(self, uri: str, kind, shape) -> np.ndarray:
-        if uri not in self.maps:
-            size = int(np.prod(shape))
-            self.maps[uri] = np.memmap(files.local_path(uri, self.cache), kind, "r", shape=shape) if size else np.empty(shape, kind)
-        return self.maps[uri]
+    @property
+    def pairs(self) -> Level:
+        return self.level(self.m.pairs)
+
+    @property
+    def triples(self) -> Level:
+        return self.level(self.m.triples)
 
-    def numbers(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def words(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(number or -1, count) of sorted distinct hashes."""
         ids, counts = np.full(len(hashes), -1, np.int64), np.zeros(len(hashes), np.int64)
-        bucket = (hashes >> np.uint64(64 - self.m.bits)).astype(np.int64)
-        for b, a, z in _runs(bucket):
-            hash_file, count_file, n = self.m.words[b]
+        offsets = self.offsets
+        for b, a, z in _runs((hashes >> np.uint64(64 - self.m.bits)).astype(np.int64)):
+            n = int(offsets[b + 1] - offsets[b])
             if n:
-                known = self.array(hash_file, np.uint64, (n,))
+                known = self.numbers_in(f"hashes-{b}")
                 at = np.minimum(np.searchsorted(known, hashes[a:z]), n - 1)
                 hit = np.flatnonzero(known[at] == hashes[a:z])
-                ids[a + hit] = self.offsets[b] + at[hit]
-                counts[a + hit] = self.array(count_file, np.int64, (n,))[at[hit]]
+                ids[a + hit] = offsets[b] + at[hit]
+                counts[a + hit] = Compact(self.file(f"counts-{b}"), n)[at[hit]]
         return ids, counts
 
-    def _found(self, keys: np.ndarray, bucket: np.ndarray, tables: dict[int, tuple[str, str, int]]) -> tuple[np.ndarray, np.ndarray]:
-        """(place in its bucket or -1, count) of each key."""
-        places, out = np.full(len(keys), -1, np.int64), np.zeros(len(keys), np.int64)
+    def ngrams(self, level: Level, context: np.ndarray, word: np.ndarray, counts: str) -> tuple[np.ndarray, np.ndarray]:
+        """(number or -1, count) of n-grams; the counts are in files of that kind."""
+        bucket, keys = level.deal(context, word)
+        numbers, out = np.full(len(keys), -1, np.int64), np.zeros(len(keys), np.int64)
         order = _by_bucket(bucket)
         for b, a, z in _runs(bucket[order]):
-            if b in tables:
-                key_file, count_file, n = tables[b]
-                known, mine = self.array(key_file, np.uint64, (n,)), keys[order[a:z]]
+            n = int(level.offsets[b + 1] - level.offsets[b])
+            if n:
+                known, mine = self.numbers_in(f"{level.plan.kind}-{b}"), keys[order[a:z]]
                 at = np.minimum(np.searchsorted(known, mine), n - 1)
                 hit = np.flatnonzero(known[at] == mine)
-                places[order[a:z][hit]] = at[hit]
-                out[order[a:z][hit]] = self.array(count_file, np.uint32, (n,))[at[hit]]
-        return places, out
-
-    def pair_numbers(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(number or -1, count) of pairs."""
-        bucket = self.m.pair_bucket(keys)
-        places, counts = self._found(keys, bucket, self.m.pairs)
-        return np.where(places < 0, -1, self.pair_offsets[bucket] + places), counts
-
-    def triple_counts(self, keys: np.ndarray) -> np.ndarray:
-        return self._found(keys, self.m.triple_bucket(keys), self.m.triples)[1]
+                numbers[order[a:z][hit]] = level.offsets[b] + at[hit]
+                out[order[a:z][hit]] = Compact(self.file(f"{counts}-{b}"), n)[at[hit]]
+        return numbers, out
 
     def last_words(self, numbers: np.ndarray) -> np.ndarray:
         """The second word of pairs with sorted numbers."""
-        out = np.empty(len(numbers), np.uint64)
-        for b, a, z in _runs(bucket_of(numbers, self.pair_offsets)):
-            key_file, _, n = self.m.pairs[b]
-            out[a:z] = self.array(key_file, np.uint64, (n,))[numbers[a:z] - self.pair_offsets[b]] & LOW
+        level, out = self.pairs, np.empty(len(numbers), np.uint64)
+        for b, a, z in _runs(bucket_of(numbers, level.offsets)):
+            out[a:z] = level.words(self.numbers_in(f"pairs-{b}")[numbers[a:z] - level.offsets[b]])
         return out
 
-    def pair_stats(self, numbers: np.ndarray) -> np.ndarray:
-        """(tokens after, followers seen once, twice, more often) of pairs with sorted numbers."""
-        out = np.zeros((4, len(numbers)), np.int64)
-        for b, a, z in _runs(bucket_of(numbers, self.pair_offsets)):
-            uri, n = self.m.pair_stats[b]
-            out[:, a:z] = self.array(uri, np.uint32, (4, n))[:, numbers[a:z] - self.pair_offsets[b]]
+    def stats(self, kind: str, rows: int, numbers: np.ndarray, offsets: np.ndarray, extra: int = 0) -> np.ndarray:
+        """(tokens after, followers seen once, twice, more often, ..) of sorted numbers; `extra`
+        numbers are behind those of the last bucket that has some."""
+        out = np.zeros((rows, len(numbers)), np.int64)
+        last = int(bucket_of(offsets[-1:], offsets)[0])
+        for b, a, z in _runs(bucket_of(numbers, offsets)):
+            n = int(offsets[b + 1] - offsets[b]) + (extra if b == last else 0)
+            table, at = Compact(self.file(f"{kind}-{b}"), rows * n), numbers[a:z] - offsets[b]
+            for row in range(rows):
+                out[row, a:z] = table[at + row * n]
         return out
 
     def word_stats(self, ids: np.ndarray) -> np.ndarray:
-        """(tokens after, followers seen once, twice, more often, contexts) of sorted numbers."""
-        out = np.zeros((5, len(ids)), np.int64)
-        for b, a, z in _runs(bucket_of(ids, self.offsets)):
-            if b in self.m.stats:
-                uri, n = self.m.stats[b]
-                out[:, a:z] = self.array(uri, np.int64, (5, n))[:, ids[a:z] - self.offsets[b]]
-        return out
+        return self.stats("word-stats", 5, ids, self.offsets, 1)
+
+    def pair_stats(self, numbers: np.ndarray) -> np.ndarray:
+        return self.stats("pair-stats", 4, numbers, self.pairs.offsets)
 
 
 def bucket_of(ids: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Word bucket of a number; the start of a text belongs to the last bucket that has words."""
+    """Bucket of a number; the start of a text belongs to the last bucket that has words."""
     return np.searchsorted(offsets, np.minimum(ids, offsets[-1] - 1), side="right") - 1
 
 
@@ -272,17 +447,23 @@ def _blobs(ids: list[int], blobs: list[bytes]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
 
 
-def _dealt_blobs(bucket: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+def _dealt_blobs(level: Level, context: np.ndarray, word: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+    bucket, keys = level.deal(context, word)
     order = _by_bucket(bucket)
     runs = list(_runs(bucket[order]))
     return _blobs([r[0] for r in runs], [pack(keys[order[a:z]], counts[order[a:z]]) for _, a, z in runs])
 
 
-def _context_facts(context: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
-    """Distinct contexts of sorted ones, with the sum of their counts and how many are 1, 2 and more."""
+def _context_facts(context: np.ndarray, counts: np.ndarray) -> list[tuple[str, np.ndarray, np.ndarray]]:
+    """(kind, distinct contexts, values): of sorted contexts, the sum of their counts and how many are
+    1, 2 and more."""
     at = np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1])))
-    facts = {"total": np.add.reduceat(counts, at), "n1": np.add.reduceat(counts == 1, at, dtype=np.int64), "n2": np.add.reduceat(counts == 2, at, dtype=np.int64), "n3": np.add.reduceat(counts > 2, at, dtype=np.int64)}
-    return context[at], facts
+    values = {"total": np.add.reduceat(counts, at), "n1": np.add.reduceat(counts == 1, at, dtype=np.int64), "n2": np.add.reduceat(counts == 2, at, dtype=np.int64), "n3": np.add.reduceat(counts > 2, at, dtype=np.int64)}
+    return [(kind, context[at], x) for kind, x in values.items()]
+
+
+COLUMNS = ["bucket", "kind", "blob", "n", "c1", "c2", "c3", "c4", "c5"]
+_FOUND = "bucket int, kind string, blob binary, n long, c1 long, c2 long, c3 long, c4 long, c5 long"
 
 
 def _fact_rows(facts: list[tuple[str, np.ndarray, np.ndarray]], offsets: np.ndarray) -> list[tuple]:
@@ -292,218 +473,274 @@ def _fact_rows(facts: list[tuple[str, np.ndarray, np.ndarray]], offsets: np.ndar
         some = values > 0
         ids, values = ids[some], values[some]
         for b, a, z in _runs(bucket_of(ids.astype(np.int64), offsets)):
-            rows.append((b, kind, pack(ids[a:z], values[a:z]), None, None, 0, 0, 0, 0, 0))
+            rows.append((b, kind, pack(ids[a:z], values[a:z]), 0, 0, 0, 0, 0, 0))
     return rows
 
 
 def _kinds(counts: np.ndarray) -> list[int]:
-    """How many counts are 1, 2, 3 and 4."""
-    return [int((counts == k).sum()) for k in range(1, 5)]
+    """How many counts are 1, 2, 3, 4 and more."""
+    return np.bincount(np.minimum(counts, 5), minlength=6)[1:].tolist()
+
+
+def _gathered(pdf: pd.DataFrame, kinds: tuple[str, ...], n: int, offset: int) -> np.ndarray:
+    """A row of sums for each kind of fact, a column for each number of a bucket."""
+    x = np.zeros((len(kinds), n), np.int64)
+    for row, kind in enumerate(kinds):
+        blobs = pdf["blob"][pdf["kind"] == kind]
+        if len(blobs):
+            ids, values = summed(blobs)
+            x[row, ids.astype(np.int64) - offset] = values
+    return x
+
+
+class _Fit:
+    """The passes of fit(), in turn; what they find is in the model and its folder."""
+
+    def __init__(self, docs: DataFrame, scratch: Scratch, text_col: str, order: int):
+        self.spark, self.scratch = docs.sparkSession, scratch
+        self.texts = docs.select(F.col(text_col).cast("binary").alias("text"))
+        self.n_texts = docs.count()
+        bits = max(4, int(np.ceil(np.log2(max(1, self.n_texts / WORD_DOCS)))))
+        self.model = Model(scratch.path("model"), bits, order)
+
+    def index(self, name: str, x: np.ndarray) -> None:
+        _save(self.model.folder, f"index-{name}", x)
+
+    def reader(self):
+        """A function that gives tasks a reader of the model as it is now."""
+        shared = self.spark.sparkContext.broadcast(self.model)  # a few numbers and names
+        return lambda: _Reader(shared.value)
+
+    def sizes(self, found: DataFrame, kind: str, buckets: int) -> tuple[np.ndarray, list[int]]:
+        """Where each bucket's numbers begin, and how many counts are 1, 2, 3, 4 and more."""
+        rows = found.where(F.col("kind") == kind)
+        got = rows.select("bucket", "n").toPandas()  # two numbers for each bucket
+        n = np.zeros(buckets, np.int64)
+        n[got["bucket"]] = got["n"]
+        kinds = rows.agg(*[F.coalesce(F.sum(f"c{k}"), F.lit(0)) for k in range(1, 6)]).first()
+        return np.concatenate(([0], np.cumsum(n))), list(kinds)
+
+    def plan(self, kind: str, contexts: int, hot: pd.DataFrame) -> Plan:
+        """hot: (number, tokens) of the contexts with more than HOT tokens; no more than tokens / HOT."""
+        model = self.model
+        buckets = min(max(16, -(-model.tokens // PAIR_TOKENS)), contexts)
+        per = min(-(-contexts // buckets), 1 << (63 - model.shift))
+        plan = Plan(kind, -(-contexts // per), per, len(hot))
+        hot = hot.sort_values("number")
+        first = plan.buckets + np.concatenate(([0], np.cumsum(-(-hot["tokens"].to_numpy(np.int64) // HOT)))).astype(np.int64)
+        plan.all_buckets = int(first[-1])
+        if plan.hot:
+            self.index(f"{kind}-hot", hot["number"].to_numpy(np.uint64))
+            self.index(f"{kind}-first", first)
+        return plan
+
+    def words(self) -> None:
+        model, bits, folder = self.model, self.model.bits, self.model.folder
+
+        def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for g in token_groups(b.column(0)):
+                    keys, counts = np.unique(g.hashes[g.lead :], return_counts=True)
+                    runs = list(_runs((keys >> np.uint64(64 - bits)).astype(np.int64)))
+                    yield _blobs([r[0] for r in runs], [pack(keys[a:z], counts[a:z]) for _, a, z in runs])
+
+        def add(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+            b, (keys, counts) = key[0], summed(pdf["blob"])
+            counts = counts.astype(np.int64)
+            _save(folder, f"hashes-{b}", keys)
+            _save(folder, f"counts-{b}", compact(counts))
+            hot = np.flatnonzero(counts > HOT)
+            rows = [(b, "words", None, len(keys), int(counts.sum()), 0, 0, 0, 0), *((b, "hot", None, int(p), int(counts[p]), 0, 0, 0, 0) for p in hot)]
+            return pd.DataFrame(rows, columns=COLUMNS)
+
+        found = self.scratch.write(self.texts.mapInArrow(words, _BLOBS).groupBy("bucket").applyInPandas(add, _FOUND), "words")
+        offsets, kinds = self.sizes(found, "words", 1 << bits)
+        model.tokens, model.vocabulary = int(kinds[0]), int(offsets[-1])
+        self.index("words", offsets)
+        hot = found.where("kind = 'hot'").select("bucket", "n", "c1").toPandas()
+        hot = pd.DataFrame({"number": offsets[hot["bucket"].to_numpy(np.int64)] + hot["n"].to_numpy(np.int64), "tokens": hot["c1"]})
+        if self.n_texts > HOT:
+            hot.loc[len(hot)] = (model.vocabulary, self.n_texts)
+        if model.tokens:
+            model.pairs = self.plan("pairs", model.vocabulary + 1, hot)
+
+    def pairs(self) -> DataFrame:
+        model, folder, order, reader = self.model, self.model.folder, self.model.order, self.reader()
+
+        def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            r = reader()
+            for b in batches:
+                for g in token_groups(b.column(0)):
+                    ids = _numbers(r, g)[0].astype(np.uint64)
+                    context = _contexts(ids, g.heads, model.vocabulary)
+                    context, word, _, counts = distinct(context[g.lead :], ids[g.lead :], model.shift)
+                    yield _dealt_blobs(r.pairs, context, word, counts)
+
+        def add(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+            b, (keys, counts) = key[0], summed(pdf["blob"])
+            counts = counts.astype(np.int64)
+            _save(folder, f"pairs-{b}", keys)
+            _save(folder, f"pair-counts-{b}", compact(counts))
+            rows = [(b, "pairs", None, len(keys), *_kinds(counts))]
+            if order == 2:
+                rows += _word_facts(reader(), b, keys, counts)
+            else:
+                rows += [(b, "hot", None, int(p), int(counts[p]), 0, 0, 0, 0) for p in np.flatnonzero(counts > HOT)]
+            return pd.DataFrame(rows, columns=COLUMNS)
+
+        found = self.scratch.write(self.texts.mapInArrow(pairs, _BLOBS).groupBy("bucket").applyInPandas(add, _FOUND), "pairs")
+        offsets, kinds = self.sizes(found, "pairs", model.pairs.all_buckets)
+        self.index("pairs", offsets)
+        model.pairs.types, model.pairs.discounts = int(offsets[-1]), discounts(*kinds[:4])
+        if order == 3:
+            hot = found.where("kind = 'hot'").select("bucket", "n", "c1").toPandas()
+            hot = pd.DataFrame({"number": offsets[hot["bucket"].to_numpy(np.int64)] + hot["n"].to_numpy(np.int64), "tokens": hot["c1"]})
+            model.triples = self.plan("triples", model.pairs.types, hot)
+        return found
+
+    def triples(self) -> DataFrame:
+        model, folder, reader = self.model, self.model.folder, self.reader()
+
+        def triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            r = reader()
+            for b in batches:
+                for g in token_groups(b.column(0)):
+                    ids = _numbers(r, g)[0].astype(np.uint64)
+                    context, word, inverse, _ = distinct(_contexts(ids, g.heads, model.vocabulary), ids, model.shift)
+                    before = _contexts(r.ngrams(r.pairs, context, word, "pair-counts")[0][inverse], g.heads, -1)
+                    before[: g.lead] = -1
+                    some = before >= 0
+                    if some.any():
+                        context, word, _, counts = distinct(before[some].astype(np.uint64), ids[some], model.shift)
+                        yield _dealt_blobs(r.triples, context, word, counts)
+
+        def add(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+            b, r, (keys, counts) = key[0], reader(), summed(pdf["blob"])
+            counts = counts.astype(np.int64)
+            _save(folder, f"triples-{b}", keys)
+            _save(folder, f"triple-counts-{b}", compact(counts))
+            contexts, words = r.triples.contexts(b, keys), r.triples.words(keys)
+            facts = _context_facts(contexts, counts)
+            context, word, _, before = distinct(r.last_words(contexts.astype(np.int64)), words, model.shift)
+            numbers = r.ngrams(r.pairs, context, word, "pair-counts")[0]
+            by_number = np.argsort(numbers, kind="stable")
+            facts.append(("before", numbers[by_number].astype(np.uint64), before[by_number]))
+            return pd.DataFrame([(b, "triples", None, len(keys), *_kinds(counts)), *_fact_rows(facts, r.pairs.offsets)], columns=COLUMNS)
+
+        found = self.scratch.write(self.texts.mapInArrow(triples, _BLOBS).groupBy("bucket").applyInPandas(add, _FOUND), "triples")
+        offsets, kinds = self.sizes(found, "triples", model.triples.all_buckets)
+        self.index("triples", offsets)
+        model.triples.types, model.triples.discounts = int(offsets[-1]), discounts(*kinds[:4])
+        return found
+
+    def adjusted(self, found: DataFrame) -> DataFrame:
+        """Pairs with the number of words before them as counts, and the facts of their words."""
+        model, folder, reader = self.model, self.model.folder, self.reader()
+
+        def adjust(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+            b, r = key[0], reader()
+            n = int(r.pairs.offsets[b + 1] - r.pairs.offsets[b])
+            if not n:
+                return pd.DataFrame([], columns=COLUMNS)
+            keys, counts = r.numbers_in(f"pairs-{b}"), Compact(r.file(f"pair-counts-{b}"), n).all()
+            *stats, before = _gathered(pdf, ("total", "n1", "n2", "n3", "before"), n, int(r.pairs.offsets[b]))
+            before = np.where(r.pairs.contexts(b, keys) == np.uint64(model.vocabulary), counts, before)
+            _save(folder, f"pair-stats-{b}", compact(np.array(stats)))
+            _save(folder, f"pair-before-{b}", compact(before))
+            return pd.DataFrame([(b, "pairs", None, n, *_kinds(before)), *_word_facts(r, b, np.asarray(keys), before)], columns=COLUMNS)
+
+        every = self.spark.range(model.pairs.all_buckets).select(F.col("id").cast("int").alias("bucket"), F.lit("all").alias("kind"), F.lit(None).cast("binary").alias("blob"))
+        facts = found.where("kind <> 'triples'").select("bucket", "kind", "blob").unionByName(every)
+        out = self.scratch.write(facts.groupBy("bucket").applyInPandas(adjust, _FOUND), "adjusted")
+        self.scratch.drop("triples")
+        model.pairs.discounts = discounts(*self.sizes(out, "pairs", model.pairs.all_buckets)[1][:4])
+        return out
+
+    def word_stats(self, found: DataFrame) -> None:
+        model, folder, reader = self.model, self.model.folder, self.reader()
+
+        def add(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+            b, offsets = key[0], reader().offsets
+            n = int(offsets[b + 1] - offsets[b]) + (b == int(bucket_of(offsets[-1:], offsets)[0]))
+            x = _gathered(pdf, ("total", "n1", "n2", "n3", "contexts"), n, int(offsets[b]))
+            _save(folder, f"word-stats-{b}", compact(x))
+            return pd.DataFrame([(b, "stats", None, n, *_kinds(x[4]))], columns=COLUMNS)
+
+        facts = found.where("kind not in ('pairs', 'hot')").select("bucket", "kind", "blob")
+        found = self.scratch.write(facts.groupBy("bucket").applyInPandas(add, _FOUND), "stats")
+        _, c = self.sizes(found, "stats", 1 << model.bits)
+        model.word_discounts, model.word_kinds = discounts(*c[:4]), (c[0], c[1], sum(c[2:]))
+        self.scratch.drop("words", "pairs", "adjusted", "stats")
 
 
 def fit(docs: DataFrame, scratch: Scratch, text_col: str = "text", order: int = 2) -> Model:
     """Counts every token, pair and, with order 3, triple of `docs`; the arrays stay in `scratch`."""
     if order not in (2, 3):
         raise ValueError("the order is 2 or 3")
-    texts = docs.select(F.col(text_col).cast("binary").alias("text"))
-    bits = max(4, int(np.ceil(np.log2(max(1, docs.count() / WORD_DOCS)))))
-    folder = scratch.path("model")
+    run = _Fit(docs, scratch, text_col, order)
+    run.words()
+    if run.model.tokens:
+        found = run.pairs()
+        run.word_stats(found if order == 2 else run.adjusted(run.triples()))
+    return run.model
 
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for _, _, h, _ in token_groups(b.column(0)):
-                keys, counts = np.unique(h, return_counts=True)
-                runs = list(_runs((keys >> np.uint64(64 - bits)).astype(np.int64)))
-                yield _blobs([r[0] for r in runs], [pack(keys[a:z], counts[a:z]) for _, a, z in runs])
-
-    def add_words(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        keys, counts = summed(pdf["blob"])
-        row = (key[0], len(keys), int(counts.sum()), _saved(folder, "hashes", keys), _saved(folder, "counts", counts.astype(np.int64)))
-        return pd.DataFrame([row], columns=["bucket", "n", "total", "hashes", "counts"])
-
-    found = texts.mapInArrow(words, _BLOBS).groupBy("bucket").applyInPandas(add_words, "bucket int, n long, total long, hashes string, counts string")
-    rows = {r.bucket: r for r in scratch.write(found, "words").collect()}  # a row for each WORD_DOCS documents
-    model = Model(bits, [(rows[b].hashes, rows[b].counts, rows[b].n) if b in rows else ("", "", 0) for b in range(1 << bits)], sum(r.total for r in rows.values()), order=order)
-    if not model.tokens:
-        return model
-    if model.vocabulary >= 2**32 - 1:
-        raise ValueError("more distinct words than 32 bits number")
-    offsets, start, limit = model.offsets, model.vocabulary, max(1, model.tokens // HOT_SHARE)
-
-    def hot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for bucket, n, uri in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                counts = np.frombuffer(b"".join(files.chunks(uri)), np.int64)
-                assert len(counts) == n
-                yield pa.RecordBatch.from_arrays([pa.array(offsets[bucket] + np.flatnonzero(counts > limit))], names=["id"])
-
-    table = docs.sparkSession.read.parquet(scratch.path("words")).select("bucket", "n", "counts")
-    numbers = [r.id for r in table.mapInArrow(hot, "id long").collect()]  # fewer than HOT_SHARE
-    model.hot = np.array(sorted([*numbers, start]), np.uint64)
-    model.pair_buckets = max(16, -(-model.tokens // PAIR_TOKENS))
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # names of files and fewer than HOT_SHARE numbers
-
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = _Reader(shared.value)
-        for b in batches:
-            for _, _, h, starts in token_groups(b.column(0)):
-                distinct, inverse = np.unique(h, return_inverse=True)
-                ids = reader.numbers(distinct)[0][inverse].astype(np.uint64)
-                keys, counts = np.unique(_contexts(ids, starts, start) << SHIFT | ids, return_counts=True)
-                bucket = reader.m.pair_bucket(keys)
-                yield _dealt_blobs(bucket, keys, counts)
-
-    def add_pairs(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        keys, counts = summed(pdf["blob"])
-        counts = counts.astype(np.int64)
-        rows = [(key[0], "pairs", None, _saved(folder, "keys", keys), _saved(folder, "pair-counts", counts.astype(np.uint32)), len(keys), *_kinds(counts))]
-        if order == 2:
-            rows += word_facts(keys, counts)
-        elif len(hot := np.flatnonzero(counts > limit)):
-            rows.append((key[0], "hot", hot.tobytes(), None, None, 0, 0, 0, 0, 0))
-        return pd.DataFrame(rows, columns=columns)
-
-    def word_facts(keys: np.ndarray, counts: np.ndarray) -> list[tuple]:
-        contexts, facts = _context_facts(keys >> SHIFT, counts)
-        followers, before = np.unique(keys & LOW, return_counts=True)
-        return _fact_rows([*((k, contexts, v) for k, v in facts.items()), ("contexts", followers, before)], offsets)
-
-    columns = ["bucket", "kind", "blob", "keys", "counts", "n", "c1", "c2", "c3", "c4"]
-    schema = "bucket int, kind string, blob binary, keys string, counts string, n long, c1 long, c2 long, c3 long, c4 long"
-    found = scratch.write(texts.mapInArrow(pairs, _BLOBS).groupBy("bucket").applyInPandas(add_pairs, schema), "pairs")
-    rows = found.where("kind = 'pairs'").drop("blob").collect()  # a row for each PAIR_TOKENS tokens
-    model.pairs = {r.bucket: (r.keys, r.counts, r.n) for r in rows}
-    model.pair_types = sum(r.n for r in rows)
-    model.pair_discounts = discounts(*(sum(r[f"c{k}"] for r in rows) for k in range(1, 5)))
-    if order == 3:
-        hot_rows = found.where("kind = 'hot'").select("bucket", "blob").collect()  # fewer than HOT_SHARE pairs
-        found = _fit_triples(texts, model, scratch, schema, columns, folder, hot_rows, word_facts)
-    last = int(bucket_of(np.array([start]), offsets)[0])
-
-    def add_stats(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        b = key[0]
-        n = int(offsets[b + 1] - offsets[b]) + (b == last)
-        x = np.zeros((5, n), np.int64)
-        for row, kind in enumerate(("total", "n1", "n2", "n3", "contexts")):
-            blobs = pdf["blob"][pdf["kind"] == kind]
-            if len(blobs):
-                ids, values = summed(blobs)
-                x[row, ids.astype(np.int64) - offsets[b]] = values
-        kinds = np.minimum(x[4], 5)
-        row = (b, n, _saved(folder, "stats", x), *(int((kinds == k).sum()) for k in range(1, 6)))
-        return pd.DataFrame([row], columns=["bucket", "n", "stats", "c1", "c2", "c3", "c4", "c5"])
-
-    found = found.where("kind <> 'pairs'").select("bucket", "kind", "blob").groupBy("bucket")
-    rows = scratch.write(found.applyInPandas(add_stats, "bucket int, n long, stats string, c1 long, c2 long, c3 long, c4 long, c5 long"), "stats").collect()
-    model.stats = {r.bucket: (r.stats, r.n) for r in rows}
-    c = [sum(r[f"c{k}"] for r in rows) for k in range(1, 6)]
-    model.word_discounts, model.word_kinds = discounts(*c[:4]), (c[0], c[1], sum(c[2:]))
-    scratch.drop("pairs", "triples", "adjusted")
-    return model
-
-
-def _fit_triples(texts: DataFrame, model: Model, scratch: Scratch, schema: str, columns: list[str], folder: str, hot_rows: list, word_facts) -> DataFrame:
-    """Counts triples into the model and gives its pairs the number of words before them as counts.
-    Rows of facts of the pairs' words, as those of pairs have them with order 2."""
-    if model.pair_types >= 2**32 - 1:
-        raise ValueError("more distinct pairs than 32 bits number")
-    offsets, start = model.pair_offsets, model.vocabulary
-    model.hot_pairs = np.array(sorted(int(offsets[r.bucket] + p) for r in hot_rows for p in np.frombuffer(r.blob, np.int64)), np.uint64)
-    model.triple_buckets = model.pair_buckets
-    context = texts.sparkSession.sparkContext
-    shared = context.broadcast(model)  # names of files and fewer than 2 HOT_SHARE numbers
-
-    def triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = _Reader(shared.value)
-        for b in batches:
-            for _, _, h, starts in token_groups(b.column(0)):
-                distinct, inverse = np.unique(h, return_inverse=True)
-                ids = reader.numbers(distinct)[0][inverse].astype(np.uint64)
-                keys, inverse = np.unique(_contexts(ids, starts, start) << SHIFT | ids, return_inverse=True)
-                before = _contexts(reader.pair_numbers(keys)[0][inverse], starts, -1)
-                some = before >= 0
-                keys, counts = np.unique(before[some].astype(np.uint64) << SHIFT | ids[some], return_counts=True)
-                if len(keys):
-                    yield _dealt_blobs(reader.m.triple_bucket(keys), keys, counts)
-
-    def add_triples(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        reader = _Reader(shared.value)
-        keys, counts = summed(pdf["blob"])
-        counts = counts.astype(np.int64)
-        rows = [(key[0], "triples", None, _saved(folder, "triples", keys), _saved(folder, "triple-counts", counts.astype(np.uint32)), len(keys), *_kinds(counts))]
-        contexts, facts = _context_facts(keys >> SHIFT, counts)
-        middle = reader.last_words((keys >> SHIFT).astype(np.int64))
-        pairs, before = np.unique(middle << SHIFT | keys & LOW, return_counts=True)
-        numbers = reader.pair_numbers(pairs)[0]
-        by_number = np.argsort(numbers, kind="stable")
-        rows += _fact_rows([*((k, contexts, v) for k, v in facts.items()), ("before", numbers[by_number].astype(np.uint64), before[by_number])], offsets)
-        return pd.DataFrame(rows, columns=columns)
-
-    found = scratch.write(texts.mapInArrow(triples, _BLOBS).groupBy("bucket").applyInPandas(add_triples, schema), "triples")
-    rows = found.where("kind = 'triples'").drop("blob").collect()  # a row for each PAIR_TOKENS tokens
-    model.triples = {r.bucket: (r.keys, r.counts, r.n) for r in rows}
-    model.triple_discounts = discounts(*(sum(r[f"c{k}"] for r in rows) for k in range(1, 5)))
-
-    def adjust(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        b, reader = key[0], _Reader(shared.value)
-        key_file, count_file, n = reader.m.pairs[b]
-        keys, counts = reader.array(key_file, np.uint64, (n,)), reader.array(count_file, np.uint32, (n,))
-        x = np.zeros((5, n), np.int64)
-        for row, kind in enumerate(("total", "n1", "n2", "n3", "before")):
-            blobs = pdf["blob"][pdf["kind"] == kind]
-            if len(blobs):
-                ids, values = summed(blobs)
-                x[row, ids.astype(np.int64) - offsets[b]] = values
-        before = np.where(keys >> SHIFT == np.uint64(start), counts, x[4]).astype(np.int64)
-        rows = [(b, "pairs", None, _saved(folder, "pair-stats", x[:4].astype(np.uint32)), _saved(folder, "pair-before", before.astype(np.uint32)), n, *_kinds(before))]
-        return pd.DataFrame(rows + word_facts(np.asarray(keys), before), columns=columns)
-
-    every = texts.sparkSession.createDataFrame([(b, "all", None) for b in model.pairs], "bucket int, kind string, blob binary")
-    facts = found.where("kind <> 'triples'").select("bucket", "kind", "blob").unionByName(every)
-    adjusted = scratch.write(facts.groupBy("bucket").applyInPandas(adjust, schema), "adjusted")
-    rows = adjusted.where("kind = 'pairs'").drop("blob").collect()  # a row for each PAIR_TOKENS tokens
-    model.pairs = {r.bucket: (model.pairs[r.bucket][0], r.counts, r.n) for r in rows}
-    model.pair_stats = {r.bucket: (r["keys"], r.n) for r in rows}
-    model.pair_discounts = discounts(*(sum(r[f"c{k}"] for r in rows) for k in range(1, 5)))
-    return adjusted
+
+def _numbers(reader: _Reader, g: Group) -> tuple[np.ndarray, np.ndarray]:
+    """(number or -1, count) of each token of a group."""
+    keys, inverse = np.unique(g.hashes, return_inverse=True)
+    ids, counts = reader.words(keys)
+    return ids[inverse], counts[inverse]
+
+
+def _word_facts(reader: _Reader, bucket: int, keys: np.ndarray, counts: np.ndarray) -> list[tuple]:
+    """What a bucket's pairs say of their words."""
+    facts = _context_facts(reader.pairs.contexts(bucket, keys), counts)
+    followers, before = np.unique(reader.pairs.words(keys), return_counts=True)
+    return _fact_rows([*facts, ("contexts", followers, before)], reader.offsets)
 
 
 def _contexts(ids: np.ndarray, starts: np.ndarray, start: int) -> np.ndarray:
+    """What precedes each of ids: `start` at the starts. The first has no meaning unless it is one."""
     before = np.empty_like(ids)
     before[1:] = ids[:-1]
+    before[:1] = start
     before[starts] = start
     return before
 
 
-def score_tokens(reader: _Reader, h: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(known, base log10 probability, model's log10 probability) of each token of some texts."""
+def score_tokens(reader: _Reader, g: Group) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(known, base log10 probability, model's log10 probability) of each token of a group."""
     m = reader.m
-    distinct, inverse = np.unique(h, return_inverse=True)
-    ids, counts = reader.numbers(distinct)
+    keys, inverse = np.unique(g.hashes, return_inverse=True)
     v = m.vocabulary
+    ids, counts = reader.words(keys) if v else (np.full(len(keys), -1, np.int64), np.zeros(len(keys), np.int64))
     base = np.log10((counts + 0.5) / (m.tokens + 0.5 * (v + 1)))[inverse]
-    left = sum(d * n for d, n in zip(m.word_discounts, m.word_kinds, strict=True)) / m.pair_types if m.pair_types else 1.0
+    types = m.pairs.types if m.pairs else 0
+    left = sum(d * n for d, n in zip(m.word_discounts, m.word_kinds, strict=True)) / types if types else 1.0
     stats = np.zeros((5, len(ids)), np.int64)
     seen = np.flatnonzero(ids >= 0)
     order = seen[np.argsort(ids[seen], kind="stable")]
-    stats[:, order] = reader.word_stats(ids[order])
-    lower = (_discounted(stats[4], m.word_discounts) / max(m.pair_types, 1) + left / (v + 1))[inverse]
+    if v:
+        stats[:, order] = reader.word_stats(ids[order])
+    lower = (_discounted(stats[4], m.word_discounts) / max(types, 1) + left / (v + 1))[inverse]
+    if not v:
+        return np.zeros(len(inverse), bool), base, np.log10(lower)
     ids = ids[inverse]
-    context = _contexts(ids, starts, v)
-    place = _contexts(inverse.astype(np.int64), starts, len(distinct))  # column of the context's figures
-    figures = np.concatenate([stats[:4], reader.word_stats(np.array([v]))[:4] if v else np.zeros((4, 1), np.int64)], axis=1)
+    context = _contexts(ids, g.heads, v)
+    place = _contexts(inverse.astype(np.int64), g.heads, len(keys))  # column of the context's figures
+    figures = np.concatenate([stats[:4], reader.word_stats(np.array([v]))[:4]], axis=1)
     total = figures[0]
-    gamma = (np.array(m.pair_discounts) @ figures[1:4]) / np.maximum(total, 1)
+    gamma = (np.array(m.pairs.discounts) @ figures[1:4]) / np.maximum(total, 1)
     total, gamma = total[place], gamma[place]
     pair, number = np.zeros(len(ids), np.int64), np.full(len(ids), -1, np.int64)
     both = np.flatnonzero((ids >= 0) & (context >= 0) & (total > 0))
     if len(both):
-        keys, at = np.unique(context[both].astype(np.uint64) << SHIFT | ids[both].astype(np.uint64), return_inverse=True)
-        found, counts = reader.pair_numbers(keys)
+        before, word, at, _ = distinct(context[both].astype(np.uint64), ids[both].astype(np.uint64), m.shift)
+        found, counts = reader.ngrams(reader.pairs, before, word, "pair-counts" if m.order == 2 else "pair-before")
         pair[both], number[both] = counts[at], found[at]
-    p = np.where(total > 0, _discounted(pair, m.pair_discounts) / np.maximum(total, 1) + gamma * lower, lower)
+    p = np.where(total > 0, _discounted(pair, m.pairs.discounts) / np.maximum(total, 1) + gamma * lower, lower)
     if m.order == 3:
-        p = _with_triples(reader, ids, _contexts(number, starts, -1), p)
+        p = _with_triples(reader, ids, _contexts(number, g.heads, -1), p)
     return ids >= 0, base, np.log10(p)
 
 
@@ -513,36 +750,39 @@ def _with_triples(reader: _Reader, ids: np.ndarray, context: np.ndarray, lower:
     some = np.flatnonzero(context >= 0)
     if not len(some):
         return p
-    distinct, inverse = np.unique(context[some], return_inverse=True)
-    total, *kinds = reader.pair_stats(distinct)
-    gamma = np.array(m.triple_discounts) @ np.array(kinds) / np.maximum(total, 1)
+    keys, inverse = np.unique(context[some], return_inverse=True)
+    total, *kinds = reader.pair_stats(keys)
+    gamma = np.array(m.triples.discounts) @ np.array(kinds) / np.maximum(total, 1)
     total, gamma = total[inverse], gamma[inverse]
     some, total, gamma = some[total > 0], total[total > 0], gamma[total > 0]
     count, known = np.zeros(len(some), np.int64), np.flatnonzero(ids[some] >= 0)
-    keys, at = np.unique(context[some[known]].astype(np.uint64) << SHIFT | ids[some[known]].astype(np.uint64), return_inverse=True)
-    count[known] = reader.triple_counts(keys)[at]
-    p[some] = _discounted(count, m.triple_discounts) / total + gamma * lower[some] if len(some) else lower[some]
+    if len(known):
+        before, word, at, _ = distinct(context[some[known]].astype(np.uint64), ids[some[known]].astype(np.uint64), m.shift)
+        count[known] = reader.ngrams(reader.triples, before, word, "triple-counts")[1][at]
+    p[some] = _discounted(count, m.triples.discounts) / total + gamma * lower[some]
     return p
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens, n_known, train_tokens, base_score, score, perplexity) for every row.
 
-    Null and empty texts have one token, the end. Rows that repeat are scored each. A model of no
-    documents gives every token probability 1 of the one kind it knows of: unknown."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    Null and empty texts have one token, the end. A very long text is scored part by part, with the
+    words before each part as context. Rows that repeat are scored each. A model of no documents gives
+    every token probability 1 of the one kind it knows of: unknown."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # a few numbers and names
     names = ["n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"]
     schema = T.StructType([docs.schema[id_col], *(T.StructField(n, T.LongType() if "_" in n and n != "base_score" else T.DoubleType()) for n in names)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = _Reader(shared.value)
         for b in batches:
-            for a, z, h, starts in token_groups(b.column(1)):
-                known, base, logs = score_tokens(reader, h, starts)
-                n = np.diff(np.append(starts, len(h)))
-                total = np.add.reduceat(logs, starts)
-                columns = [n, np.add.reduceat(known.astype(np.int64), starts), np.full(z - a, shared.value.tokens), np.add.reduceat(base, starts), total, 10 ** (-total / n)]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(a, z - a), *map(pa.array, columns)], names=[id_col, *names])
+            counts, sums = np.zeros((2, b.num_rows), np.int64), np.zeros((2, b.num_rows))
+            for g in token_groups(b.column(1)):
+                known, base, logs = score_tokens(reader, g)
+                for out, x in ((counts[0], np.ones(len(known), np.int64)), (counts[1], known.astype(np.int64)), (sums[0], base), (sums[1], logs)):
+                    out[g.rows] += g.sums(x)
+            columns = [*counts, np.full(b.num_rows, shared.value.tokens), *sums, 10 ** (-sums[1] / counts[0])]
+            yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, columns)], names=[id_col, *names])
 
     return docs.select(id_col, F.col(text_col).cast("binary").alias("_text_to_score")).mapInArrow(run, schema)
 

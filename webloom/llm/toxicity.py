@@ -3,7 +3,9 @@
 score = sigmoid(w0 + sum_i w_i x_i + 1/2 sum_f [(sum_i v_if x_i)^2 - sum_i v_if^2 x_i^2]); x_i is 1 if
 the text has term i. The pairwise part learns that two terms together mean more than their sum, as
 an insult next to the mention of a group does, which additive weights cannot say. Terms are words
-and word beginnings, hashed; those that tell the labels apart best are kept.
+and word beginnings, hashed. All that LEAST training texts or more have, and as many lack, are fitted: a test of each
+term by itself would drop those that say something only together. Instead every step draws each weight,
+and each term's factors as one, a little towards zero, and those that nothing holds stay there.
 """
 
 from __future__ import annotations
@@ -15,16 +17,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 WORD = re.compile(r"[^\W\d_]+")
 PREFIXES = (3, 4, 5, 6)
 BUCKETS = 1 << 18
-#: Labelled rows that the model is fitted to at most, by a hash of the identifier.
-FIT_ROWS = 8_000
-TERMS, FACTORS, EPOCHS, BATCH, RATE, DECAY = 2048, 4, 25, 256, 0.05, 1e-4
+#: Labelled rows that the model is fitted to at most, in expectation, by a hash of the identifier.
+FIT_ROWS = 16_000
+LEAST, FACTORS, STEPS, BATCH = 3, 4, 400, 256
+#: Rates of weights and of factors; the square and the absolute penalty.
+RATE, PAIR_RATE, DECAY, SPARSE = 0.1, 0.01, 1e-4, 1e-3
 #: Words that a worker remembers before it starts anew.
 MEMO = 400_000
 
@@ -61,7 +65,7 @@ class Machine:
 
 
 def fit_machine(terms: list[np.ndarray], labels: np.ndarray, seed: int = 5) -> Machine:
-    """AdaGrad on the logistic loss over the terms that the chi-square test ranks first.
+    """AdaGrad with proximal steps on the logistic loss, over the terms that LEAST texts have and lack.
 
     Without rows, or with one label only, the model is a constant that says so.
     """
@@ -71,36 +75,56 @@ def fit_machine(terms: list[np.ndarray], labels: np.ndarray, seed: int = 5) -> M
     if n == 0 or pos in (0, n):
         w0 = float(np.log((pos + 0.5) / (n - pos + 0.5))) if n else -20.0
         return Machine(slot, w0, np.zeros(0), np.zeros((0, FACTORS)))
-    df, hit = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    for t, label in zip(terms, y, strict=True):  # a text's terms are distinct
+    df = np.zeros(BUCKETS, np.int32)
+    for t in terms:  # a text's terms are distinct
         df[t] += 1
-        hit[t] += label
-    expected = df * pos / n
-    chi = (hit - expected) ** 2 / np.maximum(expected * (1 - df / (n + 1)), 1e-9)
-    chi[df < 3] = 0
-    best = np.argsort(-chi, kind="stable")[:TERMS]
-    best = best[chi[best] > 0]
+    best = np.flatnonzero((df >= LEAST) & (n - df >= LEAST))
     slot[best] = np.arange(len(best))
-    x = np.zeros((n, len(best)), np.uint8)
-    for i, t in enumerate(terms):
-        kept = slot[t]
-        x[i, kept[kept >= 0]] = 1
+    kept = [k[k >= 0] for k in (slot[t] for t in terms)]
     rng = np.random.default_rng(seed)
     w0, w, v = float(np.log(pos / (n - pos))), np.zeros(len(best)), rng.normal(0, 0.01, (len(best), FACTORS))
     g0, gw, gv = 1e-8, np.full(w.shape, 1e-8), np.full(v.shape, 1e-8)
-    for _ in range(EPOCHS):
-        order = rng.permutation(n)
-        for at in range(0, n, BATCH):
-            pick = order[at : at + BATCH]
-            xb = x[pick].astype(np.float64)
-            s = xb @ v
-            z = w0 + xb @ w + 0.5 * ((s * s).sum(axis=1) - xb @ (v * v).sum(axis=1))
-            err = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y[pick]) / len(pick)
-            d0, dw = err.sum(), xb.T @ err + DECAY * w
-            dv = xb.T @ (err[:, None] * s) - v * (xb.T @ err)[:, None] + DECAY * v
-            g0, gw, gv = g0 + d0 * d0, gw + dw * dw, gv + dv * dv
-            w0, w, v = w0 - RATE * d0 / np.sqrt(g0), w - RATE * dw / np.sqrt(gw), v - RATE * dv / np.sqrt(gv)
-    return Machine(slot, float(w0), w, v)
+    order = np.concatenate([rng.permutation(n) for _ in range(-(-STEPS * BATCH // n))])
+    for at in range(0, STEPS * BATCH, BATCH):
+        pick = order[at : at + BATCH]
+        d0, dw, dv = gradients([kept[i] for i in pick], y[pick], w0, w, v)
+        g0, gw, gv = g0 + d0 * d0, gw + dw * dw, gv + dv * dv
+        step_w, step_v = RATE / np.sqrt(gw), PAIR_RATE / np.sqrt(gv)
+        w0, w, v = w0 - RATE * d0 / np.sqrt(g0), w - step_w * dw, v - step_v * dv
+        w = np.sign(w) * np.maximum(np.abs(w) - step_w * SPARSE, 0)
+        size = np.sqrt((v * v).sum(axis=1))
+        v *= np.maximum(1 - step_v.mean(axis=1) * SPARSE / np.maximum(size, 1e-12), 0)[:, None]
+    some = np.flatnonzero((w != 0) | v.any(axis=1))  # what is zero says nothing
+    slot[best] = -1
+    slot[best[some]] = np.arange(len(some))
+    return Machine(slot, float(w0), w[some], v[some])
+
+
+def gradients(rows: list[np.ndarray], y: np.ndarray, w0: float, w: np.ndarray, v: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Of the mean logistic loss of some rows of terms, with decay, by w0, w and v."""
+    sizes = np.array([len(r) for r in rows])
+    row, term = np.repeat(np.arange(len(rows)), sizes), np.concatenate(rows)
+    by_row = lambda x: np.bincount(row, x, len(rows))
+    by_term = lambda x: np.bincount(term, x, len(w))
+    columns = [v[term, f] for f in range(v.shape[1])]
+    sums = [by_row(c) for c in columns]
+    z = w0 + by_row(w[term]) + 0.5 * sum(s * s - by_row(c * c) for s, c in zip(sums, columns, strict=True))
+    err = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y) / len(rows)
+    each = err[row]
+    dw = by_term(each)
+    dv = np.stack([by_term(each * s[row]) for s in sums], axis=1) - v * dw[:, None] + DECAY * v
+    return float(err.sum()), dw + DECAY * w, dv
+
+
+def sample_bound(rows: float, n: int) -> int:
+    """What 64-bit hashes must be below for `rows` of n rows to pass in expectation. However large n is,
+    the share is not rounded to nothing."""
+    return int(rows / n * 2.0**64) - 2**63
+
+
+def sampled(key: Column, rows: float, n: int) -> Column:
+    """Holds for `rows` of n rows in expectation, by a 64-bit hash of the key; for all if n is no more."""
+    return F.lit(True) if n <= rows else F.xxhash64(F.lit("fit"), key) < F.lit(sample_bound(rows, n))
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, fit_rows: int, id_col: str, text_col: str, label_col: str, folds: int, held: int) -> DataFrame:
@@ -109,9 +133,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, fit_rows: int, id_col: str
     use = F.crc32(F.col(id_col).cast("string")) % folds != held
     marks = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & use)
     marks = marks.groupBy(id_col).agg(F.max(F.col(label_col).cast("int")).alias("_label"))
-    n = marks.count()
-    if n > fit_rows:
-        marks = marks.where(F.pmod(F.xxhash64(F.lit("fit"), id_col), F.lit(1_000_000)) < F.lit(int(1_000_000 * fit_rows / n)))
+    marks = marks.where(sampled(F.col(id_col), fit_rows, marks.count()))
     return docs.select(id_col, F.col(text_col).alias("text")).join(F.broadcast(marks), id_col).select("text", F.col("_label").alias("label"))
 
 
@@ -166,9 +188,14 @@ def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: s
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows whose score is below `threshold`, with their columns as they were."""
-    name = "_toxicity"
-    while name in docs.columns:
+    """The rows whose score is below `threshold`, with their columns as they were.
+
+    Null and empty texts score as a text without terms does; whole texts are read, one at a time.
+    Repeated rows are judged each, and alike. An empty table gives an empty one; without labels, or with
+    one label only, the machine is a constant and all rows stay or go together. A column that is called
+    like the score, in any case of letters, stays as it is."""
+    name, taken = "_toxicity", {c.lower() for c in docs.columns}
+    while name in taken:
         name += "_"
     scored = score(docs, fit(docs, labels, id_col=id_col, text_col=text_col), id_col, text_col, docs.columns, name)
     return scored.where(F.col(name) < threshold).drop(name)

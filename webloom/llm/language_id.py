@@ -18,12 +18,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from webloom.llm.toxicity import sampled
+
 SIZES = (1, 2, 3)
 BITS = 15
 SMOOTHING = 0.5
-#: Rows that the counts are made from at most, by a hash of the identifier.
+#: Rows that the counts are made from at most, in expectation, by a hash of the identifier. Languages
+#: share them evenly, so a rare one keeps all its rows; how frequent each is counts over all rows.
 FIT_ROWS = 12_000
-#: Characters scored at a time, which bounds a task's memory whatever the length of a text.
+#: Characters looked at a time: beyond the text itself, memory does not grow with its length.
 SPAN = 1 << 20
 UNKNOWN = "und"
 
@@ -35,12 +38,11 @@ def _letters() -> np.ndarray:
 
 def grams(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(text number, bucket) of every n-gram that does not hold two spaces in a row, span by span."""
-    lowered = [(t or "").lower() for t in texts]
-    points = np.frombuffer("".join(f" {t} " for t in lowered).encode("utf-32-le", "surrogatepass"), "<u4")
-    owner = np.repeat(np.arange(len(texts), dtype=np.int32), [len(t) + 2 for t in lowered])
+    joined = "".join(f" {(t or '').lower()} " for t in texts)
+    ends = np.cumsum([len((t or "").lower()) + 2 for t in texts])
     most = max(SIZES)
-    for at in range(0, len(points), SPAN):
-        raw = points[at : at + SPAN + most - 1]
+    for at in range(0, len(joined), SPAN):
+        raw = np.frombuffer(joined[at : at + SPAN + most - 1].encode("utf-32-le", "surrogatepass"), "<u4")
         p = np.where(_letters()[raw], raw, 32).astype(np.uint64)
         gap = (p[:-1] == 32) & (p[1:] == 32)
         h = np.zeros(len(p), np.uint64)
@@ -57,7 +59,7 @@ def grams(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
                 keep = np.flatnonzero(keep[: min(SPAN, len(keep))])
                 x = h[keep] + np.uint64(n)
                 x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-                yield owner[at + keep], (x >> np.uint64(64 - BITS)).astype(np.int32)
+                yield np.searchsorted(ends, at + keep, side="right"), (x >> np.uint64(64 - BITS)).astype(np.int32)
 
 
 @dataclass
@@ -81,39 +83,50 @@ def _groups(texts: list[str | None]) -> Iterator[tuple[int, int]]:
 
 def fit(docs: DataFrame, train: Column, fit_rows: int = FIT_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> LanguageModel:
     """Learns from rows where `train` holds, text and label are not null."""
-    rows = docs.where(train & F.col(text_col).isNotNull() & F.col(label_col).isNotNull())
-    n = rows.count()
-    if n > fit_rows:
-        rows = rows.where(F.pmod(F.xxhash64(F.lit("fit"), id_col), F.lit(1_000_000)) < F.lit(int(1_000_000 * fit_rows / n)))
+    rows = docs.where(train & F.col(text_col).isNotNull() & F.col(label_col).isNotNull()).withColumn("_lang", F.col(label_col).cast("string"))
+    seen = {r[0]: r[1] for r in rows.groupBy("_lang").count().collect()}  # languages
+    languages = sorted(seen)
+    if sum(seen.values()) > fit_rows:
+        share = _share(list(seen.values()), fit_rows)
+        some = F.lit(False)
+        for lang in languages:
+            some = F.when(F.col("_lang") == lang, sampled(F.col(id_col), share, seen[lang])).otherwise(some)
+        rows = rows.where(some)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}
-        seen: dict[str, int] = {}
         for b in batches:
             texts, langs = b.column(0).to_pylist(), b.column(1).to_pylist()
             for lang in set(langs):
                 mine = [t for t, x in zip(texts, langs, strict=True) if x == lang]
-                seen[lang] = seen.get(lang, 0) + len(mine)
                 total = counts.setdefault(lang, np.zeros(1 << BITS, np.int64))
                 for a, z in _groups(mine):
                     for _, bucket in grams(mine[a:z]):
                         total += np.bincount(bucket, minlength=1 << BITS)
         for lang, total in counts.items():
             at = np.flatnonzero(total)
-            arrays = [pa.array([lang] * (len(at) + 1)), pa.array(np.append(at, -1)), pa.array(np.append(total[at], seen[lang]))]
+            arrays = [pa.array([lang] * len(at), pa.string()), pa.array(at), pa.array(total[at])]
             yield pa.RecordBatch.from_arrays(arrays, names=["lang", "bucket", "n"])
 
-    got = rows.select(F.col(text_col).alias("text"), F.col(label_col).cast("string").alias("lang")).mapInArrow(run, "lang string, bucket long, n long")
+    got = rows.select(F.col(text_col).alias("text"), F.col("_lang").alias("lang")).mapInArrow(run, "lang string, bucket long, n long")
     got = got.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()  # languages x buckets
-    languages = sorted(got["lang"].unique())
     c = np.zeros((1 << BITS, len(languages)))
-    prior = np.zeros(len(languages))
     for j, lang in enumerate(languages):
         mine = got[got["lang"] == lang]
-        c[mine["bucket"][mine["bucket"] >= 0], j] = mine["n"][mine["bucket"] >= 0]
-        prior[j] = mine["n"][mine["bucket"] < 0].sum()
+        c[mine["bucket"].to_numpy(np.int64), j] = mine["n"]
+    prior = np.array([seen[x] for x in languages], float)
     log_prob = np.log((c + SMOOTHING) / (c.sum(axis=0) + SMOOTHING * (1 << BITS)))
-    return LanguageModel(languages, np.log(np.maximum(prior, 1) / max(prior.sum(), 1)), log_prob.astype(np.float32))
+    return LanguageModel(languages, np.log(prior / max(prior.sum(), 1)), log_prob.astype(np.float32))
+
+
+def _share(counts: list[int], rows: int) -> float:
+    """What each language may have of `rows`, if those that have less than that leave the rest to others."""
+    left, n = float(rows), len(counts)
+    for c in sorted(counts):
+        if c > left / n:
+            break
+        left, n = left - c, n - 1
+    return left / max(n, 1)
 
 
 def classify(texts: list[str | None], m: LanguageModel) -> tuple[list[str], np.ndarray]:

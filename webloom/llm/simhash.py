@@ -214,23 +214,28 @@ def common(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def similar_links(docs: DataFrame, candidates: DataFrame, k: int, similarity: float, scratch: Scratch) -> DataFrame:
+def similar_links(docs: DataFrame, classes: DataFrame, candidates: DataFrame, k: int, similarity: float, scratch: Scratch) -> DataFrame:
     """Edges (src, dst) of spanning forests of the pairs whose shingle sets have at least that Jaccard
-    similarity, among all that `candidates` (src, dst) connect. docs: (id long, text binary).
+    similarity, among all that `candidates` (src, dst) connect. docs: (id long, text binary); classes:
+    (id long, rep long, digest binary), where rep is an id in docs and tells the set with its digest.
 
     A component that is larger than a block is dealt by the size of the sets: sizes that differ by a
     larger factor than the similarity allows cannot link, so a block meets those of its own and of
     the two neighbouring ranges only."""
-    members = scratch.write(connected_components(candidates).select(F.col("node").alias("id"), "component"), "members")
+    members = connected_components(candidates).select(F.col("node").alias("id"), "component")
+    members = scratch.write(members.join(classes, "id").select("id", "component", "rep", "digest"), "members")
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [np.unique(shingle_hashes(t.as_py(), k)) for t in b.column(2)]
+            sets = [np.unique(shingle_hashes(t.as_py(), k)) for t in b.column(3)]
+            mine = np.array([xxhash.xxh3_128_digest(s.tobytes()) == d.as_py() for s, d in zip(sets, b.column(2), strict=True)], bool)  # an id may repeat with other texts
+            sets = [s for s, ok in zip(sets, mine, strict=True) if ok]
             sizes = np.array([len(s) for s in sets], np.int64)
             ranges = np.floor(np.log(np.maximum(sizes, 1)) / -np.log(similarity)).astype(np.int64) if similarity < 1 else sizes
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes), pa.array(ranges), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "component", "n", "range", "shingles"])
+            kept = pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["id", "component"]).filter(pa.array(mine))
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(sizes), pa.array(ranges), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "component", "n", "range", "shingles"])
 
-    texts = docs.join(members, "id").select("id", "component", "text")
+    texts = docs.withColumnRenamed("id", "rep").join(members, "rep").select("id", "component", "digest", "text")
     sets = scratch.write(texts.mapInArrow(shingles, "id long, component long, n long, range long, shingles binary"), "sets")
     blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_SETS, F.sum("n") / BLOCK_SHINGLES, F.lit(1.0))).cast("int")
     ranges = sets.groupBy("component", "range").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s"), blocks.alias("blocks"))
@@ -280,13 +285,18 @@ def near_groups(
     marks = scratch.write(fingerprints(docs, k, lanes, id_col, text_col, similarity is not None).withColumn("id", F.col("id").cast("long")), "marks")
     names = [f"l{i}" for i in range(lanes)]
     keys = [*names, *["digest"] * (similarity is not None)]
-    classes = scratch.write(marks.groupBy(*keys).agg(F.min("id").alias("rep")), "classes")
-    links = scratch.write(link_fingerprints(classes.where("rep is not null").select(F.col("rep").alias("id"), *names), radius, total), "links")
+    # numbered when written; a class is told by its number, as ids may repeat with other texts
+    classes = marks.groupBy(*keys).agg(F.min("id").alias("rep")).withColumn("class", F.monotonically_increasing_id())
+    classes = scratch.write(classes, "classes")
+    linked = classes.where("rep is not null").withColumnRenamed("class", "id")
+    links = scratch.write(link_fingerprints(linked.select("id", *names), radius, total), "links")
     if similarity is not None:
         texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
-        links = scratch.write(similar_links(texts, links, k, similarity, scratch), "similar")
-    found = connected_components(links).select(F.col("node").alias("rep"), "component")
-    final = scratch.write(classes.join(found, "rep", "left").select(*keys, F.coalesce("component", "rep").alias("component_id")), "final")
+        links = scratch.write(similar_links(texts, linked.select("id", "rep", "digest"), links, k, similarity, scratch), "similar")
+    found = connected_components(links).select(F.col("node").alias("class"), "component")
+    found = scratch.write(classes.join(found, "class", "left").select(*keys, "rep", F.coalesce("component", "class").alias("component")), "found")
+    least = scratch.write(found.groupBy("component").agg(F.min("rep").alias("component_id")), "least")
+    final = scratch.write(found.join(least, "component").select(*keys, "component_id"), "final")
     return marks.join(final, keys, "left").select(F.col("id").alias(id_col), "component_id", *names)
 
 
@@ -299,9 +309,9 @@ DOCUMENTS = {"k": 5, "radius": 24, "lanes": 4, "total": 80, "similarity": 0.8}
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how: int) -> DataFrame:
     """One row of each near_groups component, that with the smallest id, with columns as they were.
 
-    how: as for near_groups, DOCUMENTS by default. Rows that share an id are one document, and stay
-    or go together; rows with a null id stay."""
+    how: as for near_groups, DOCUMENTS by default. Rows that share an id stay or go together: they go
+    if each of them has a copy with a smaller id. Rows with a null id stay."""
     groups = near_groups(docs, **(DOCUMENTS | how), id_col=id_col, text_col=text_col)
-    gone = groups.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct()
+    gone = groups.groupBy(F.col(id_col).alias("_gone")).agg(F.max(F.col(id_col) == F.col("component_id")).alias("stays")).where("not stays").select("_gone")
     gone = Scratch(docs.sparkSession, "simhash-drop").write(gone, "gone")
     return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")

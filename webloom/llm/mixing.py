@@ -12,6 +12,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from webloom.core.scratch import Scratch
 
@@ -75,9 +76,11 @@ def mix(
     """The documents, each as often as its draw says, with mix_copy (from 0) and mix_key.
 
     rows_out: expected rows of the result (None: as many as came in). mix_key is a hash of the seed,
-    identifier and copy; with `shuffle`, rows are dealt over partitions and sorted by it, so any source
+    identifier, copy, source and numeric columns, so rows whose identifiers are null or repeat are
+    spread too; with `shuffle`, rows are dealt over partitions and sorted by it, so any source
     is spread over all written files and the order within them is the training order. Rows of one identifier share a draw; a null identifier
-    draws like any other value. Columns and their types stay as they are.
+    draws like any other value. Columns and their types stay as they are. An empty table gives no rows;
+    texts of any length are only carried along.
     """
     key, taken = "_mix", {c.lower() for c in docs.columns}
     while key in taken:
@@ -95,5 +98,6 @@ def mix(
     copies = F.when(F.col(f"{key}.parts") == 1, one).otherwise(several)
     drawn = drawn.withColumn(key, F.when(copies > 0, F.sequence(F.lit(0), copies - 1))).where(F.col(key).isNotNull())
     out = drawn.select("*", F.explode(key).alias("mix_copy")).drop(key)
-    out = out.withColumn("mix_key", F.xxhash64(F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("null")), "mix_copy"))
+    columns = [f.name for f in docs.schema if isinstance(f.dataType, T.NumericType) or f.name in (id_col, source_col)]
+    out = out.withColumn("mix_key", F.xxhash64(F.lit(seed), identity, "mix_copy", *[F.col(f"`{c}`") for c in columns]))
     return out.repartition("mix_key").sortWithinPartitions("mix_key") if shuffle else out

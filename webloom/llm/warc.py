@@ -26,8 +26,6 @@ LEAST = 100
 URN = "urn:webloom:page:"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "1970-01-01T00:00:00Z"
-#: Bytes of a record's header at most; what has none within them is no WARC file.
-HEAD_MOST = 1 << 20
 
 
 def record_types(pages: DataFrame, scratch: Scratch, id_col: str, html_col: str) -> DataFrame:
@@ -95,7 +93,7 @@ def inflated(parts: Iterable[bytes], most: int = 1 << 20) -> Iterator[bytes]:
 def split_records(parts: Iterable[bytes]) -> Iterator[tuple[bytes, Iterator[bytes]]]:
     """(header with its blank line, pieces of the block) of each record of an inflated stream.
 
-    The pieces must be used up before the next record. Input that ends within a record raises."""
+    A header may be of any length. The pieces must be used up before the next record. Input that ends within a record raises."""
     source, have = iter(parts), b""
 
     def more() -> bool:
@@ -121,12 +119,16 @@ def split_records(parts: Iterable[bytes]) -> Iterator[tuple[bytes, Iterator[byte
             if not more():
                 return
             have = have.lstrip(b"\r\n")
-        while (end := have.find(b"\r\n\r\n")) < 0:
-            if len(have) > HEAD_MOST or not more():
+        while len(have) < 5 and more():
+            pass
+        if not have.startswith(b"WARC/"):
+            raise ValueError("not a WARC record")
+        looked = 0
+        while (end := have.find(b"\r\n\r\n", max(0, looked - 3))) < 0:
+            looked = len(have)
+            if not more():
                 raise ValueError("a record's header does not end")
         head, have = have[: end + 4], have[end + 4 :]
-        if not head.startswith(b"WARC/"):
-            raise ValueError("not a WARC record")
         pieces = block(int(fields(head)["content-length"]))
         yield head, pieces
         for _ in pieces:
@@ -215,7 +217,8 @@ def archive_round_trip(pages: DataFrame, id_col: str = "page_id", html_col: str
     A null html is an empty payload; payloads under LEAST bytes are never revisited. Rows that repeat
     an id with an equal payload are responses, each of them. A null id is written as an empty name
     and read as null; it is a response unless another row has its payload. A null url leaves out the
-    target field. Other columns are ignored. An empty table gives no archive and no row.
+    target field. A url of any length is written whole; a page is one value of a row, and only its archive
+    is read piece by piece. Other columns are ignored. An empty table gives no archive and no row.
     """
     scratch = Scratch(pages.sparkSession, "warc")
     spread = max(1, int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")))

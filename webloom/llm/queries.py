@@ -17,36 +17,61 @@ def _fold(docs: DataFrame, folds: int, held: int):
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity, by a machine fitted outside the fold of remainder 0 of 5: (doc_id, held_out,
+    score, predicted). Null, empty and very long texts are scored whole; a null id is not held out, and
+    repeated rows are scored each. Without labels the score is a constant; an empty table gives no rows.
+    Columns of `documents` other than the identifier and the text are not read."""
     docs = _table(spark, sf_dir, "documents")
     out = toxicity.score(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
     return out.select("doc_id", _fold(out, 5, 0).alias("held_out"), "score", (out["score"] >= 0.5).cast("int").alias("predicted"))
 
 
 def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of cosine 0.98 or more within a label: (vec_id, n_links, component_id, kept), a row a vector.
+    Vectors that are null, zero, not finite or without a label link with nothing; copies and repeated ids
+    count each; ties go to the smallest vec_id. An empty table gives no rows; other columns are not read."""
     return embedding_dedup.similar_groups(_table(spark, sf_dir, "embeddings"))
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose fingerprints of 3-word shingles differ in 3 bits or less: (doc_id, fingerprint,
+    component_id). Null, empty and blank texts have fingerprint zero and link like any other; texts of any
+    length are read whole; copies share a component, of which the smallest doc_id is the name, and null only
+    if all ids are. An empty table gives no rows; other columns are not read."""
     out = simhash.near_groups(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("l0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language, learnt outside the fold of remainder 2 of 4: (doc_id, held_out, lang_pred,
+    score). A text that is null or has no letter is `und` with score 0, as is any where nothing was learnt;
+    of equal languages the alphabetically first wins. Texts of any length are read whole; a null id is not
+    held out, and repeated rows are judged each. An empty table gives no rows."""
     docs = _table(spark, sf_dir, "documents")
     out = language_id.predict(docs, language_id.fit(docs, ~_fold(docs, 4, 2)))
     return out.select("doc_id", _fold(out, 4, 2).alias("held_out"), "lang_pred", "score")
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents equal but for runs of white space: (doc_id, keep_id, group_size, kept, text_sha256), dropped
+    rows too. Null counts as empty; whole texts are compared; of rows with the same smallest id one is kept,
+    and a null id is larger than any other. An empty table gives no rows; other columns change nothing."""
     return exact_dedup.exact_groups(_table(spark, sf_dir, "documents"))
 
 
 def op6_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as often as their source's target asks for: (doc_id, source, mix_copy, text_sha256), a row a
+    copy. A null source is one of its own, a null text has a null digest, rows of one id share a draw and
+    are copied each. An empty table gives no rows."""
     out = mixing.mix(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "source", F.col("mix_copy").cast("long").alias("mix_copy"), F.sha2("text", 256).alias("text_sha256"))
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written to archives, normalised and read back: (page_id, payload_bytes, payload_digest,
+    record_type, refers_to). A null html is an empty payload; pages and urls of any length are written whole;
+    of equal payloads the smallest page_id is the response, and so is each row that repeats it. An empty
+    table gives no rows; other columns are not read."""
     return warc.archive_round_trip(_table(spark, sf_dir, "pages"))
 
 
@@ -55,19 +80,41 @@ LM_ORDER = 3
 
 
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's log10 probability, by a model of those outside the fold of remainder 1 of 5: (doc_id,
+    held_out, n_tokens, n_known, train_tokens, base_score, score). Null and empty texts have one token, their
+    end; long texts are scored part by part with their context; a null id is not held out and is learnt
+    from; repeated rows count and are scored each. An empty table gives no rows."""
     docs = _table(spark, sf_dir, "documents")
     out = kneser_ney.fit_and_score(docs, ~_fold(docs, 5, 1), order=LM_ORDER)
     return out.select("doc_id", _fold(out, 5, 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded and decoded: (doc_id, n_pieces, ids_sha256, decoded_sha256, same). Null and
+    empty texts have no pieces; texts of any length are encoded whole; repeated rows are encoded each. An
+    empty table gives no rows; other columns are not read."""
     return sentencepiece_codec.round_trip(_table(spark, sf_dir, "documents"))
 
 
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's verdict: (page_id, host, path, rule, verdict, verdict_by). Urls that are null or without
+    :// have empty parts and are allowed; urls and pages of any length are read whole; of rules that fit the
+    longest wins; repeated rows are judged each. An empty table gives no rows."""
     return url_filters.judge(_table(spark, sf_dir, "pages"))
 
 
+def url_alias_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As op10, over pages to which links are added: of three pages two name one of 40 addresses as their
+    canonical one, the one directly, the other by a redirect with dots and entities in it. Verdicts then go
+    through components, which the pages of these tables by themselves do not have."""
+    pages = _table(spark, sf_dir, "pages")
+    at = F.concat(F.lit("/c/"), (F.col("page_id") % 40).cast("string"), F.lit("?a=1&amp;b=2"))
+    link = F.concat(F.lit('<link rel="canonical" href="https://mirror.test'), at, F.lit('"><!-- <link rel="canonical" href="http://x.com/en/"> -->'))
+    jump = F.concat(F.lit('<meta http-equiv="refresh" content="0; url=//MIRROR.test/d/..'), at, F.lit('">'))
+    added = F.when(F.col("page_id") % 3 == 0, link).when(F.col("page_id") % 3 == 1, jump).otherwise("")
+    return url_filters.judge(pages.withColumn("html", F.concat(added, F.coalesce("html", F.lit("")))))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_embedding_dedup": op2_embedding_dedup,
@@ -79,6 +126,7 @@ QUERIES = {
     "op8_lm_scoring": op8_lm_scoring,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_url_filters": op10_url_filters,
+    "url_alias_verdicts": url_alias_verdicts,
 }
 
 _NORM = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')"
@@ -86,6 +134,16 @@ _NORM = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')"
 _AFTER = r"regexp_extract(coalesce(url, ''), '(?s)^.*?://(.*)$', 1)"
 _UP = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
+_RULED = f"""
+        a as (select page_id, {_AFTER} as rest from pages),
+        b as (select page_id, rest, translate(regexp_extract(rest, '^[^/?#]*'), {_UP}) as host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from a),
+        c as (select *, case
+            when (host = 'example.net' or host like '%.example.net') and starts_with(path, '/de/8') then 'example.net/de/8'
+            when (host = 'example.com' or host like '%.example.com') and starts_with(path, '/en/7') then 'example.com/en/7'
+            when (host = 'com' or host like '%.com') and starts_with(path, '/en/') then 'com/en/'
+            when (host = 'net' or host like '%.net') and starts_with(path, '/de/') then 'net/de/'
+            when (host = 'org' or host like '%.org') and starts_with(path, '/es/') then 'org/es/' end as rule from b)"""
+
 SQL = {
     "op2_embedding_dedup": """
         with recursive v as (
@@ -128,16 +186,22 @@ SQL = {
                case when page_id <> first then first end as refers_to
         from m""",
     "op10_url_filters": f"""
-        with a as (select page_id, {_AFTER} as rest from pages),
-        b as (select page_id, translate(regexp_extract(rest, '^[^/?#]*'), {_UP}) as host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from a),
-        c as (select *, case
-            when (host = 'example.net' or host like '%.example.net') and starts_with(path, '/de/8') then 'example.net/de/8'
-            when (host = 'example.com' or host like '%.example.com') and starts_with(path, '/en/7') then 'example.com/en/7'
-            when (host = 'com' or host like '%.com') and starts_with(path, '/en/') then 'com/en/'
-            when (host = 'net' or host like '%.net') and starts_with(path, '/de/') then 'net/de/'
-            when (host = 'org' or host like '%.org') and starts_with(path, '/es/') then 'org/es/' end as rule from b)
+        with {_RULED}
         select page_id, host, path, rule,
                case when rule in ('example.net/de/8', 'com/en/', 'org/es/') then 'block' else 'allow' end as verdict,
                case when rule is null then 'default' else 'rule' end as verdict_by
         from c""",
+    "url_alias_verdicts": f"""
+        with recursive {_RULED},
+        d as (select *, host || regexp_extract(rest, '^[^/?#]*([^#]*)', 1) as at, page_id % 40 as mirror,
+                     case when rule in ('example.net/de/8', 'com/en/', 'org/es/') then 'block' when rule is not null then 'allow' end as own from c),
+        e as (select distinct at, mirror from d where page_id % 3 < 2 and at <> ''),
+        s as (select distinct a.mirror as x, b.mirror as y from e a join e b using (at)),
+        r(x, y) as (select x, y from s union select r.x, s.y from r join s on r.y = s.x),
+        g as (select mirror, min(y) as component from e join r on mirror = x group by mirror),
+        v as (select component, max(own) as alias from e join g using (mirror) join d using (at) where own is not null group by component),
+        k as (select distinct at, alias from e join g using (mirror) join v using (component))
+        select page_id, host, path, rule, coalesce(own, alias, 'allow') as verdict,
+               case when own is not null then 'rule' when alias is not null then 'alias' else 'default' end as verdict_by
+        from d left join k using (at)""",
 }

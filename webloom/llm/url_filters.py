@@ -61,38 +61,66 @@ def address(url: Column) -> Column:
 def fitting_rule(h: Column, p: Column, rules=RULES) -> Column:
     """The longest rule that fits, as struct(name, verdict), or null.
 
-    A rule fits its host and all subdomains, if the path starts with the rule's. The longest host
-    wins, then the longest path; of equally long rules an allow wins.
+    A rule fits its host and all subdomains, if the path starts with the rule's. The longest name (host
+    and path together) wins, then the longest host; of equal ones an allow wins.
     """
     ordered = sorted(rules, key=lambda r: (-len(r.name), -len(r.host), r.verdict != "allow", r.name))
     fits = lambda r: ((h == r.host) | h.endswith(f".{r.host}")) & p.startswith(r.path)
     return F.coalesce(*[F.when(fits(r), F.struct(F.lit(r.name).alias("name"), F.lit(r.verdict).alias("verdict"))) for r in ordered])
 
 
+# The entities that addresses are written with.
+ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&#x27;", "'"), ("&#47;", "/"), ("&#x2F;", "/"), ("&#38;", "&"), ("&#x26;", "&"), ("&amp;", "&"))
+
+
+def _unescaped(text: Column) -> Column:
+    for name, value in ENTITIES:  # the ampersand comes last, so nothing is decoded twice
+        text = F.regexp_replace(text, f"(?i){name}", value)
+    return text
+
+
+def _resolved(path: Column) -> Column:
+    """A path from / on, without . and .. segments; .. above the top is dropped."""
+    segments = F.split(F.substring(path, 2, 1 << 30), "/")
+    step = lambda acc, x: F.when(x == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).when(x == ".", acc).otherwise(F.concat(acc, F.array(x)))
+    kept = F.aggregate(segments, F.array().cast("array<string>"), step)
+    ends = F.when(F.element_at(segments, -1).isin(".", "..") & (F.size(kept) > 0), "/").otherwise("")
+    return F.concat(F.lit("/"), F.array_join(kept, "/"), ends)
+
+
 def _joined(base: Column, href: Column) -> Column:
-    """An absolute address for a link found on a page; good for absolute, //, / and relative links."""
+    """An absolute address for a link found on a page: absolute, //, /, ?, # and relative links, with
+    . and .. segments resolved."""
     scheme = F.regexp_extract(base, r"^([^:/?#]*):", 1)
     root = F.regexp_extract(base, r"(?s)^(.*?://[^/?#]*)", 1)
     folder = F.regexp_extract(base, r"(?s)^(.*?://[^/?#]*(?:/[^?#]*/|/)?)", 1)
     folder = F.when(folder.endswith("/"), folder).otherwise(F.concat(folder, F.lit("/")))
-    return (
+    whole = (
         F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), href)
         .when(href.startswith("//"), F.concat(scheme, F.lit(":"), href))
         .when(href.startswith("/"), F.concat(root, href))
-        .when(href.startswith("?"), F.concat(F.regexp_extract(base, r"^[^?#]*", 0), href))
+        .when(href.startswith("?"), F.concat(F.regexp_extract(base, r"(?s)^[^?#]*", 0), href))
+        .when(href.startswith("#"), base)
         .otherwise(F.concat(folder, href))
     )
+    part = lambda i: F.regexp_extract(whole, r"(?s)^(.*?://[^/?#]*)([^?#]*)(.*)$", i)
+    dotted = part(2).rlike(r"(^|/)\.\.?(/|$)")
+    return F.when(dotted, F.concat(part(1), _resolved(part(2)), part(3))).otherwise(whole)
 
 
 def alias_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(src, dst) addresses: canonical links and immediate redirects that pages declare in their html."""
-    tags = F.regexp_extract_all(F.coalesce(F.col(html_col), F.lit("")), F.lit(r"(?is)<(?:link|meta)\b[^>]*>"), F.lit(0))
+    """(src, dst) addresses: canonical links and immediate redirects that pages declare in their html.
+
+    What stands in comments, scripts, styles or textareas declares nothing. Entities are decoded."""
+    hidden = r"(?is)<!--.*?(?:-->|$)|<(script|style|textarea)\b[^>]*>.*?(?:</\1\s*>|$)"
+    shown = F.regexp_replace(F.col(html_col), hidden, " ")
+    tags = F.regexp_extract_all(shown, F.lit(r"""(?is)<(?:link|meta)\b(?:[^"'>]++|"[^"]*+"|'[^']*+')*+>"""), F.lit(0))
     rows = pages.where(F.col(html_col).rlike(r"(?i)canonical|http-equiv")).select(F.col(url_col).alias("url"), F.explode(tags).alias("tag"))
-    href = F.regexp_extract("tag", r"""(?is)\bhref\s*=\s*["']?\s*([^"'\s>]+)""", 1)
-    refresh = F.regexp_extract("tag", r"""(?is)\bcontent\s*=\s*["']?\s*\d+\s*;\s*url\s*=\s*['"]?([^"'\s>]+)""", 1)
-    canonical = F.col("tag").rlike(r"""(?is)^<link\b.*\brel\s*=\s*["']?[^"'>]*\bcanonical\b""")
-    redirect = F.col("tag").rlike(r"""(?is)^<meta\b.*\bhttp-equiv\s*=\s*["']?refresh\b""")
-    target = F.when(canonical, href).when(redirect, refresh)
+    value = lambda name: F.coalesce(*[F.nullif(F.regexp_extract("tag", rf"""(?is)[\s"'/]{name}\s*=\s*{form}""", 1), F.lit("")) for form in ('"([^"]*)"', "'([^']*)'", "([^\\s\"'>]+)")])
+    refresh = F.regexp_extract(_unescaped(value("content")), r"""(?is)^\s*\d*(?:\.\d*)?\s*[;,\s]\s*(?:url\s*=\s*)?["']?\s*([^"'\s]+)""", 1)
+    canonical = F.col("tag").rlike(r"(?i)^<link") & F.lower(value("rel")).rlike(r"(^|\s)canonical(\s|$)")
+    redirect = F.col("tag").rlike(r"(?i)^<meta") & (F.lower(F.trim(value("http-equiv"))) == "refresh")
+    target = F.trim(F.when(canonical, _unescaped(value("href"))).when(redirect, refresh))
     rows = rows.withColumn("target", target).where("target <> '' and url is not null")
     return rows.select(address(F.col("url")).alias("src"), address(_joined(F.col("url"), F.col("target"))).alias("dst")).where("src <> '' and dst <> ''")
 
@@ -108,7 +136,8 @@ def judge(
     does not lift another's block, or one page's link would open the gate to all. Addresses that
     occur only in edges are judged too, so a blocked redirect target counts without a row of its
     own. Null, empty and malformed urls have empty parts, fit no rule and have no aliases. Rows stay
-    one for one, repeated ids included. Without edges no component is computed.
+    one for one, repeated ids included; urls of any length are read whole. An empty table gives no rows.
+    Without edges no component is computed.
     """
     edges = None
     if html_col is not None:

@@ -68,6 +68,101 @@ def test_pairs_carry_meaning():
     assert say(a, b) > 0 > max(say(a), say(b), say())
 
 
+def test_exactly_one_of_two_terms():
+    """Neither term says anything by itself, so a test of single terms would leave both out."""
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    a, b = toxicity.text_terms("clown"), toxicity.text_terms("group")
+    has = rng.random((1600, 2)) < 0.5
+    terms = [np.unique(np.concatenate([toxicity.text_terms(f"filler{rng.integers(9)}"), a if x else a[:0], b if y else b[:0]])) for x, y in has]
+    m = toxicity.fit_machine(terms, has.sum(axis=1) == 1)
+    say = lambda *t: m.margin(sorted({int(m.slot[x]) for p in t for x in p if m.slot[x] >= 0}))
+    assert min(say(a), say(b)) > 0 > max(say(a, b), say())
+
+
+def test_machine_against_plain_sums_and_slopes():
+    import itertools
+
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    w0, w, v = 0.3, rng.normal(size=30), rng.normal(size=(30, 4))
+    m = toxicity.Machine(np.arange(30, dtype=np.int32), w0, w, v)
+    plain = lambda kept, w0, w, v: w0 + sum(w[i] for i in kept) + sum(float(v[i] @ v[j]) for i, j in itertools.combinations(kept, 2))
+    rows = [np.sort(rng.choice(30, size=k, replace=False)) for k in (0, 1, 2, 5, 12)]
+    for kept in rows:
+        assert m.margin(kept.tolist()) == pytest.approx(plain(kept, w0, w, v))
+    y = np.array([0, 1, 1, 0, 1.0])
+
+    def loss(w0, w, v):
+        p = [1 / (1 + math.exp(-plain(r, w0, w, v))) for r in rows]
+        return -sum(math.log(q if t else 1 - q) for q, t in zip(p, y, strict=True)) / len(y) + toxicity.DECAY / 2 * (float(w @ w) + float((v * v).sum()))
+
+    d0, dw, dv = toxicity.gradients(rows, y, w0, w, v)
+    e = 1e-5
+    assert d0 == pytest.approx((loss(w0 + e, w, v) - loss(w0 - e, w, v)) / 2 / e, abs=1e-6)
+    for i in range(0, 30, 7):
+        s, t = np.zeros(30), np.zeros((30, 4))
+        s[i] = t[i, i % 4] = e
+        assert dw[i] == pytest.approx((loss(w0, w + s, v) - loss(w0, w - s, v)) / 2 / e, abs=1e-6)
+        assert dv[i, i % 4] == pytest.approx((loss(w0, w, v + t) - loss(w0, w, v - t)) / 2 / e, abs=1e-6)
+
+
+def test_samples_do_not_round_to_nothing(spark):
+    """Shares of 1e13 rows: what a share of a million parts would lose."""
+    for n in (10**5, 10**10, 10**13):
+        assert (toxicity.sample_bound(12_000, n) + 2**63) / 2**64 == pytest.approx(12_000 / n, rel=1e-3)
+    ids = spark.range(100_000)
+    assert 11_000 < ids.where(toxicity.sampled(F.col("id"), 12_000, 100_000)).count() < 13_000
+    assert ids.where(toxicity.sampled(F.col("id"), 12_000, 12_000)).count() == 100_000
+    assert language_id._share([10, 10**9, 5], 12_000) == 11_985 and language_id._share([4, 4], 100) >= 4
+
+
+def test_rare_languages_are_learnt(spark):
+    rows = [(i, "the cat and the dog of the house", "en") for i in range(3000)] + [(9000 + i, "katten och hunden i huset på vägen", "sv") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    m = language_id.fit(docs, F.lit(True), fit_rows=100)
+    got = spark.createDataFrame([(1, "hunden på vägen", "x"), (2, "the dog", "y")], "doc_id long, text string, lang string")
+    assert {r.doc_id: r.lang_pred for r in language_id.predict(got, m).collect()} == {1: "sv", 2: "en"}
+    assert math.exp(m.log_prior[m.languages.index("sv")]) == pytest.approx(20 / 3020)
+
+
+def test_language_against_plain_naive_bayes(spark, monkeypatch):
+    """Counts, smoothing and posteriors as a dictionary has them; spans of few characters."""
+    monkeypatch.setattr(language_id, "SPAN", 7)
+    train = [("the cat and the dog", "en"), ("Der Hund, die Katze!", "de"), ("le chat et le chien", "fr"), ("the  house", "en"), ("", "en"), ("DAS Haus 12", "de")]
+    tests = ["the haus", "le", "x y z", "katze chat dog 3", "ß", "İstanbul the"]
+
+    def bucket(gram):
+        h = 0
+        for c in gram:
+            h = (h * 0x100000001B3 + ord(c) * 0x9E3779B97F4A7C15) % 2**64
+        h = (h + len(gram)) % 2**64
+        h = ((h ^ (h >> 29)) * 0xBF58476D1CE4E5B9) % 2**64
+        return h >> (64 - language_id.BITS)
+
+    def plain(text):
+        t = "".join(c if c.isalpha() else " " for c in f" {text.lower()} ")
+        return [bucket(t[i : i + n]) for n in language_id.SIZES for i in range(len(t) - n + 1) if "  " not in t[i : i + n] and t[i : i + n] != " "]
+
+    docs = spark.createDataFrame([(i, *r) for i, r in enumerate(train)], "doc_id long, text string, lang string")
+    m = language_id.fit(docs, F.lit(True))
+    counts = {lang: Counter(b for t, x in train if x == lang for b in plain(t)) for lang in ("de", "en", "fr")}
+    seen = Counter(x for _, x in train)
+    langs, scores = language_id.classify(tests, m)
+    for text, lang, score in zip(tests, langs, scores, strict=True):
+        logs = {x: math.log(seen[x] / len(train)) + sum(math.log((c[b] + 0.5) / (c.total() + 0.5 * 2**language_id.BITS)) for b in plain(text)) for x, c in counts.items()}
+        best = max(sorted(logs), key=logs.get)
+        assert lang == best and score == pytest.approx(1 / sum(math.exp(v - logs[best]) for v in logs.values()), rel=1e-4)
+
+
+def test_toxic_stage_with_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "a", 1, 2)], "doc_id long, text string, _Toxicity int, _toxicity_ int")
+    labels = spark.createDataFrame([], "doc_id long, toxic int")
+    assert [tuple(r) for r in toxicity.without_toxic(docs, labels).collect()] == [(1, "a", 1, 2)]
+
+
 def test_language_edges_and_held_out(spark):
     docs = spark.createDataFrame([(1, "the cat and the dog", "en"), (2, "der hund und die katze", "de"), (3, None, "en"), (4, "123 !!", None), (5, "", "en"), (None, "the und", None), (6, "the " * 400_000, "en")], "doc_id long, text string, lang string")
     m = language_id.fit(docs, F.coalesce(F.col("doc_id") < 6, F.lit(True)))  # the long text is read, not learned from
@@ -93,6 +188,13 @@ def test_warc_round_trip(spark):
     assert warc.archive_round_trip(pages.limit(0)).collect() == []
 
 
+def test_long_urls(spark):
+    url = "http://a.com/en/" + "x" * 3_000_000
+    pages = spark.createDataFrame([(1, url, "<p>" * 50), (2, url, "<p>" * 50), (3, "http://b.test", None)], "page_id long, url string, html string")
+    assert sorted((r.page_id, r.record_type, r.refers_to) for r in warc.archive_round_trip(pages).collect()) == [(1, "response", None), (2, "revisit", 1), (3, "response", None)]
+    assert sorted((r.page_id, len(r.path), r.verdict) for r in url_filters.judge(pages).collect()) == [(1, 3_000_004, "block"), (2, 3_000_004, "block"), (3, 0, "allow")]
+
+
 def test_warc_members_are_separate(tmp_path, spark):
     import zlib
 
@@ -146,6 +248,24 @@ def test_url_rules_and_aliases(spark):
     assert {r.verdict for r in url_filters.judge(pages.where("page_id = 6"), redirects=log).collect()} == {"block"}
 
 
+def test_links_that_pages_declare(spark):
+    edge = lambda html, url="http://h.test/a/b/c?x#f": [tuple(r) for r in url_filters.alias_edges(spark.createDataFrame([(url, html)], "url string, html string")).collect()]
+    at = "h.test/a/b/c?x"
+    for html, target in [
+        ('<link rel="canonical" href="http://o.test/?a=1&amp;b=2">', "o.test/?a=1&b=2"),
+        ("<LINK href='../d' REL='alternate Canonical'>", "h.test/a/d"),
+        ("<link href=./../../../up/./x/.. rel=canonical>", "h.test/up/"),
+        ('<meta http-equiv="refresh" content="0.5,//p.test/q">', "p.test/q"),
+        ("<meta content='3; URL=\"e f\"' http-equiv=Refresh>", "h.test/a/b/e"),
+        ('<meta http-equiv="refresh" content="0;url=?y">', "h.test/a/b/c?y"),
+        ('<link title="a > b" rel="canonical" href="/z">', "h.test/z"),
+        ('<!-- x --><link rel=canonical href="/ok"><script>"<!--"</script>', "h.test/ok"),
+    ]:
+        assert edge(html) == [(at, target)], html
+    for html in ['<!-- <link rel="canonical" href="/x"> -->', '<script>"<link rel=canonical href=/x>"</script>', '<link rel="canonicals" href="/x">', '<meta http-equiv="refresh" content="30">', '<link rel="stylesheet" href="/canonical">', "<!-- open <link rel=canonical href=/x>", None, ""]:
+        assert edge(html) == [], html
+
+
 def test_pipeline_stages(spark):
     pipeline = pytest.importorskip("corpus_pipeline")
     d = "/root/testdata/sf0.001"
@@ -158,3 +278,40 @@ def test_pipeline_stages(spark):
             assert out.exceptAll(docs).isEmpty()
         assert stage(spark, docs.limit(0), d).count() == 0
     assert pipeline.run(spark, d).columns == [*docs.columns, "piece_ids"]
+
+
+def test_pipeline_against_brute_force(spark):
+    """All five stages on all documents, as loops have them; only the machine's weights are taken as fitted."""
+    import itertools
+    import re
+
+    import sentencepiece
+
+    from tests.llm.test_dedup import WHITE, near_copies
+
+    pipeline = pytest.importorskip("corpus_pipeline")
+    d = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    m = toxicity.fit(docs, spark.read.parquet(f"{d}/labels.parquet"))
+
+    def margin(text):
+        words = set(re.findall(r"[^\W\d_]+", (text or "").lower()))
+        kept = {int(m.slot[t]) for w in words for t in toxicity.word_terms(w)} - {-1}
+        return m.w0 + sum(m.w[i] for i in kept) + sum(float(m.v[i] @ m.v[j]) for i, j in itertools.combinations(kept, 2)) if len(kept) < 200 else m.margin(sorted(kept))
+
+    rows = sorted((r.doc_id, r.text, r.source) for r in docs.collect())
+    rows = [r for r in rows if margin(r[1]) < 0]
+    first: dict = {}
+    for r in rows:
+        first.setdefault(WHITE.sub(" ", r[1] or ""), r)
+    rows = sorted(first.values())
+    rows = [r for i, (r, c) in enumerate(zip(rows, near_copies([r[1] for r in rows]), strict=True)) if i == c]
+    counts = Counter(r[2] for r in rows)
+    shares = sum(c**0.5 for c in counts.values())
+    library = sentencepiece.SentencePieceProcessor(model_file="/opt/tokenizers/piece_bpe_32k.model")
+    want: Counter = Counter()
+    for i, text, source in rows:
+        u = int(hashlib.md5(f"17:0:{i}".encode()).hexdigest()[:13], 16) / 2**52
+        want[i, tuple(library.encode(text or ""))] += quantile(u, len(rows) * counts[source] ** 0.5 / shares / counts[source])
+    got = Counter((r.doc_id, tuple(r.piece_ids)) for r in pipeline.run(spark, d).collect())
+    assert got == +want and 0 < len(rows) < docs.count()

@@ -7,6 +7,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from webloom.core.scratch import Scratch
 from webloom.llm import embedding_dedup, exact_dedup, simhash
 
 WHITE = re.compile(r"[\x20\x09-\x0D]+")
@@ -173,3 +174,58 @@ def test_embeddings_against_brute_force(spark):
         assert got == {i: (sum(i in p for p in links), want[i], want[i] == i) for i in range(len(rows))}
     assert len(links) > 100
     assert embedding_dedup.similar_groups(df.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("threshold", [0.98, 0.5, -0.2])
+def test_grid_loses_no_link(spark, monkeypatch, threshold):
+    """Labels with enough tiles use one, two and three dimensions of the grid."""
+    monkeypatch.setattr(embedding_dedup, "GRID", 3)
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(40, 6)) * [3, 2, 1, 1, 1, 1]
+    rows = [(i, [float(np.float32(x)) for x in base[i % 40] * rng.uniform(0.5, 2) + rng.normal(size=6) * rng.choice([0.02, 0.3])], int(np.searchsorted([12, 60, 180], i, side="right"))) for i in range(500)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    x = np.array([r[1] for r in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    label = np.array([r[2] for r in rows])
+    near = (x @ x.T >= threshold) & (label[:, None] == label[None, :]) & ~np.eye(len(x), dtype=bool)
+    want = components(len(rows), [(int(a), int(b)) for a, b in zip(*np.nonzero(near), strict=True)])
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.similar_groups(df, threshold, tile=4).collect()}
+    assert got == {i: (int(near[i].sum()), want[i]) for i in range(len(rows))}
+
+
+def test_ids_that_repeat_with_other_vectors(spark):
+    rows = [(5, [1.0, 0.0]), (5, [0.0, 1.0]), (9, [1.0, 0.01]), (9, [1.0, 0.01]), (7, [-1.0, 0.0]), (None, [0.0, 1.0])]
+    df = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<float>, label int")
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in embedding_dedup.similar_groups(df).collect() if r.vec_id is not None)
+    assert got == [(5, 0, 5), (5, 2, 5), (7, 0, 7), (9, 2, 5), (9, 2, 5)]
+
+
+def test_long_vectors(spark):
+    v = np.random.default_rng(1).normal(size=20_000).tolist()
+    df = spark.createDataFrame([(1, v, 1), (2, [x * 2 for x in v], 1), (3, v[::-1], 1)], "vec_id long, embedding array<float>, label int")
+    assert sorted((r.vec_id, r.component_id) for r in embedding_dedup.similar_groups(df).collect()) == [(1, 1), (2, 1), (3, 3)]
+
+
+@pytest.mark.parametrize("how", [{}, simhash.DOCUMENTS])
+def test_simhash_ids_that_repeat_and_long_texts(spark, how):
+    a, b, long = (" ".join(f"{s}{i % 997}-{i // 7}" for i in range(n)) for s, n in (("a", 40), ("b", 40), ("l", 300_000)))
+    rows = [(5, a), (5, b), (8, b), (9, a), (3, long), (4, long + " end"), (4, long + " end"), (None, a)]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, digest string")
+    got = sorted((r.doc_id or 0, r.component_id) for r in simhash.near_groups(docs, **how).collect())
+    assert got == [(0, 5), (3, 3), (4, 3), (4, 3), (5, 5), (5, 5), (8, 5), (9, 5)]
+    out = simhash.deduplicate(docs, **how)
+    assert out.columns == docs.columns and sorted((r.doc_id or 0, r.text[:2]) for r in out.collect()) == [(0, "a0"), (3, "l0"), (5, "a0"), (5, "b0")]
+
+
+def test_copies_of_a_run():
+    assert [exact_dedup.copies_of_a_run(n, 1000) for n in (0, 10, 10**6, 10**8, 5 * 10**10, 10**13)] == [2, 2, 1000, 100_000, 100_000, 10**7]
+
+
+def test_copies_without_ids_are_spread(spark):
+    rows = [(None if i % 2 else 7, "hot text", f"s{i}") for i in range(200)] + [(1, "cold", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = exact_dedup.exact_groups(docs, runs=20).collect()
+    assert sorted((r.group_size, r.kept, r.keep_id) for r in got if r.group_size == 1 or r.kept) == [(1, True, 1), (200, True, 7)] and len(got) == 201
+    keyed = docs.select(F.col("doc_id").alias("id"), exact_dedup.normalised(F.col("text")).alias("norm"), exact_dedup._spread(docs, "doc_id", "text").alias("spread"))
+    runs = exact_dedup._keyed(keyed, 20, Scratch(spark, "test")).where("norm = 'hot text'").groupBy("run").count().collect()
+    assert len(runs) > 10 and max(r["count"] for r in runs) < 40

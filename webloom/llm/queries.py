@@ -193,15 +193,15 @@ SQL = {
         from c""",
     "url_alias_verdicts": f"""
         with recursive {_RULED},
-        d as (select *, host || regexp_extract(rest, '^[^/?#]*([^#]*)', 1) as at, page_id % 40 as mirror,
+        d as (select *, host || regexp_extract(rest, '^[^/?#]*([^#]*)', 1) as addr, page_id % 40 as mirror,
                      case when rule in ('example.net/de/8', 'com/en/', 'org/es/') then 'block' when rule is not null then 'allow' end as own from c),
-        e as (select distinct at, mirror from d where page_id % 3 < 2 and at <> ''),
-        s as (select distinct a.mirror as x, b.mirror as y from e a join e b using (at)),
+        e as (select distinct addr, mirror from d where page_id % 3 < 2 and addr <> ''),
+        s as (select distinct a.mirror as x, b.mirror as y from e a join e b using (addr)),
         r(x, y) as (select x, y from s union select r.x, s.y from r join s on r.y = s.x),
         g as (select mirror, min(y) as component from e join r on mirror = x group by mirror),
-        v as (select component, max(own) as alias from e join g using (mirror) join d using (at) where own is not null group by component),
-        k as (select distinct at, alias from e join g using (mirror) join v using (component))
+        v as (select component, max(own) as alias from e join g using (mirror) join d using (addr) where own is not null group by component),
+        k as (select distinct addr, alias from e join g using (mirror) join v using (component))
         select page_id, host, path, rule, coalesce(own, alias, 'allow') as verdict,
                case when own is not null then 'rule' when alias is not null then 'alias' else 'default' end as verdict_by
-        from d left join k using (at)""",
+        from d left join k using (addr)""",
 }

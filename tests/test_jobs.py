@@ -96,3 +96,52 @@ def test_crawl_without_a_page_cap(spark):
     start = spark.createDataFrame([("http://h.test",)], "seed string")
     assert crawl.crawl(start, source).count() == crawl.MAX_PAGES
     assert crawl.crawl(start, source, max_pages=None).count() == len(leaves) + 1
+
+
+def test_crawl_of_urls_and_markup_only(spark, tmp_path):
+    """Links come from the markup, a page that is not html has none, and messages get their names."""
+    html = "<a href='/x'>x</a><a href='http://other.test/'>o</a> see " + "d" * 16 + ".onion"
+    source = spark.createDataFrame([("http://h.test/", html), ("http://h.test/x", "<a href='y'>y</a>"), ("http://h.test/y", "last")], "url string, html string")
+    start = spark.createDataFrame([("http://h.test/",)], "seed string")
+    got = [(r.seq, r.url, r.status_code) for r in crawl.crawl(start, source).orderBy("seq").collect()]
+    assert got == [(1, "http://h.test/", 200), (2, "http://h.test/x", 200), (3, "http://h.test/y", 200)]
+    typed = source.withColumn("content_type", F.when(F.col("url").endswith("x"), "image/png").otherwise("text/HTML"))
+    assert [r.html for r in crawl.crawl(start, typed).orderBy("seq").collect()] == [html, ""]
+    failed = spark.createDataFrame([("http://h.test/", None, "SSLError(certificate)"), ("http://i.test/", None, "ConnectTimeout"), ("http://j.test/", None, "Read timed out"), ("http://k.test/", None, "refused")], "url string, html string, error string")
+    assert [r.error for r in crawl.captured(failed).orderBy("url").collect()] == ["ssl_error", "connect_timeout", "read_timeout", "refused"]
+    store = Store(spark, f"file://{tmp_path}/db")
+    done = {r.domain: r.pages for r in jobs.crawl_job(store, start, source, mode="explore").collect()}
+    assert done == {"h.test": 3, "d" * 16 + ".onion": 1} and store.read("graph_edges").count() == 2
+    with pytest.raises(RuntimeError):
+        crawl.crawl(start, source, max_rounds=1)
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from webloom.plans import cli
+
+    at = f"file://{tmp_path}"
+    name = lambda c: c * 16 + ".onion"
+    pages = [
+        ("http://map.test/s.xml", f"<urlset><url><loc>http://{name('a')}/</loc></url><url><loc>http://{name('z')}/</loc></url></urlset>"),
+        ("http://list.test/", f"{name('b')} <a href='/p=2'>2</a>"), ("http://list.test/p=2", name("c")),
+        ("http://find.test/?q=forum", name("d")), ("http://find.test/?q=my%20word", name("e")),
+    ]
+    spark.createDataFrame(pages, "url string, body string").write.parquet(f"{at}/capture")
+    (tmp_path / "listed.txt").write_text(f"{name('z')}\n")
+    (tmp_path / "words.txt").write_text("my word\n")
+    sources = ["--sitemap", "http://map.test/s.xml", "--indexers", "http://list.test/", "--search", "http://find.test/?q={query}", "--words", f"{at}/words.txt", "--max-queries", "99"]
+    run = lambda *a: cli.main(["--db", f"{at}/db", *a])
+    seeds = lambda: [r.value[0] for r in spark.read.text(f"{at}/seeds").collect()]
+    base = ["seed", "--capture", f"{at}/capture", "--blacklist", f"{at}/listed.txt", "--output", f"{at}/seeds"]
+    assert run(*base, *sources) == 0 and seeds() == list("abcde")
+    assert run(*base, *sources[:-1], "1") == 0 and seeds() == list("abcd")
+    assert run(*base, *sources, "--no-sitemap", "--no-search") == 0 and seeds() == list("bc")
+    with pytest.raises(ValueError):
+        run(*base, *sources, "--no-sitemap", "--no-search", "--no-indexers")
+    spark.createDataFrame([(f"http://{name('b')}", f"<p>forum {ETH}</p><a href='http://{name('c')}'>c</a>")], "url string, html string").write.parquet(f"{at}/pages")
+    assert run("crawl", "--seeds", f"{at}/seeds", "--pages", f"{at}/pages", "--max-pages", "3") == 0
+    assert run("check", "--pages", f"{at}/pages") == run("wallets") == run("report") == 0
+    out = capsys.readouterr().out
+    assert "1/2 (50.0%)" in out and all(x in out for x in ("summary", "operations", "servers", "content", "languages", "categories"))
+    assert run("graph", "--output", f"{at}/g") == run("graph", "--output", f"{at}/l", "--lines") == 0
+    assert spark.read.text(f"{at}/g").count() == 1 and spark.read.text(f"{at}/l").count() == 3

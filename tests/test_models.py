@@ -34,3 +34,36 @@ def test_untrained(spark):
     rows = {r.domain: r for r in models.Classifiers().classify(df, df, text="domain").collect()}
     assert (rows[1].language, rows[1].is_illicit, rows[1].category, rows[1].template_group) == ("unknown", False, "other", "unique")
     assert rows[1].has_tracking and rows[1].has_attribution and not rows[2].has_tracking and not rows[2].has_attribution
+
+
+def held_out(df, key="domain"):
+    fold = F.crc32(F.col(key).cast("string")) % 4 == 0
+    return df.where(~fold), df.where(fold)
+
+
+def test_language_of_texts_that_were_not_learnt(spark):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select(F.col("doc_id").alias("domain"), "text", "lang")
+    train, rest = held_out(d)
+    k = models.Language()
+    got = k.predict(rest, k.fit(train, "text", "lang"), "text")
+    assert got.where("lang = language").count() > 0.95 * rest.count() > 100
+
+
+def test_illicit_sites_that_were_not_learnt(spark):
+    k = models.Illicitness()
+    rows = spark.range(400).select(F.col("id").alias("domain"), *[(F.pmod(F.xxhash64(F.lit(f), "id"), F.lit(10))).alias(f) for f in models.PAGE_FEATURES])
+    rows = rows.withColumn("y", (F.col("num_crypto_addresses") > 5) | ((F.col("num_img_tags") < 3) & (F.col("uses_js") > 4)))
+    train, rest = held_out(rows)
+    got = k.predict(rest, k.fit(train, "y"))
+    assert got.where("is_illicit = y").count() > 0.9 * rest.count() and got.where("illicit_conf between 0 and 1").count() == rest.count() > 50
+
+
+def test_templates_that_were_not_learnt(spark):
+    kinds = {0: (["div.shop", "a.cart"], ["[document]>html", "[document]>html>table"], ["price", "ship"]), 1: (["p.post"], ["[document]>html>article"], ["blog", "post"]), 2: (["li.row", "ul.index"], ["[document]>ul"], ["link", "list"])}
+    rows = [(i, f"t{i % 3}", *(part + [f"x{i}"] for part in kinds[i % 3])) for i in range(120)]
+    df = spark.createDataFrame(rows, "domain long, kind string, css array<string>, paths array<string>, terms array<string>")
+    df = df.withColumn("text", models.template_text(F.col("css"), F.col("paths"), F.col("terms")))
+    train, rest = held_out(df)
+    k = models.Template()
+    got = k.predict(rest, k.fit(train, "text", "kind"), "text")
+    assert got.where("template_group = kind").count() == rest.count() > 15

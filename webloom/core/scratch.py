@@ -20,12 +20,12 @@ RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder of the session."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
         if not spark.sparkContext.master.startswith("local"):
             warnings.warn("spark.checkpoint.dir is not set: intermediate tables go to a local folder, which executors on other machines do not see", stacklevel=2)
-        found = "file://" + tempfile.mkdtemp(prefix="webloom-shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="webloom-shared-"))
+        found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
 
 
@@ -64,6 +64,14 @@ class Scratch:
             df.write.mode("overwrite").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
+    def append(self, df: DataFrame, name: str) -> None:
+        """Adds rows to a table, which table() reads."""
+        with _released(self.spark):
+            df.write.mode("append").parquet(self.path(name))
+
+    def table(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(self.path(name))
+
     def drop(self, *names: str) -> None:
         for name in names:
             path, fs = self._fs(self.path(name))

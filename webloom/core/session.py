@@ -3,10 +3,23 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the workers, which need it whether or not they have it installed."""
+    package = Path(__file__).resolve().parent.parent
+    name = Path(tempfile.mkdtemp(prefix="webloom-")) / "webloom.zip"
+    with zipfile.ZipFile(name, "w") as out:
+        for f in sorted(package.rglob("*.py")):
+            out.write(f, f.relative_to(package.parent))
+    spark.sparkContext.addPyFile(str(name))
+
+
 def session(master: str | None = None, partitions: int | None = None, app: str = "webloom", **conf: str) -> SparkSession:
     """A session with adaptive execution on; `master` is left to the cluster when None."""
     b = SparkSession.builder.appName(app)
@@ -26,4 +39,6 @@ def session(master: str | None = None, partitions: int | None = None, app: str =
         settings["spark.driver.memory"] = os.environ.get("WEBLOOM_DRIVER_MEMORY", "12g")
     for k, v in {**settings, **conf}.items():
         b = b.config(k, v)
-    return b.getOrCreate()
+    spark = b.getOrCreate()
+    ship(spark)
+    return spark

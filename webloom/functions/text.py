@@ -8,20 +8,26 @@ any engine.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from webloom.functions import counts
+
 RUN = r"[\p{L}\p{N}_]+"
 
 # Words that say nothing about a page's topic.
-STOPWORDS = """the and for that this with are was have not from but they you all had her his our one
-been has its can who him get did use two also more will just""".split()
+STOPWORDS = (
+    "the", "and", "for", "that", "this", "with", "are", "was", "have", "not", "from", "but", "they", "you", "all", "had", "her", "his", "our", "one",
+    "been", "has", "its", "can", "who", "him", "get", "did", "use", "two", "also", "more", "will", "just",
+)
 
 # Script names that point to tracking or fingerprinting.
-TRACKING_CALLS = """fingerprint2 clientjs evercookie navigator.plugins navigator.mimeTypes screen.colorDepth
-navigator.hardwareConcurrency navigator.deviceMemory getBattery getGamepads RTCPeerConnection
-AudioContext OfflineAudioContext canvas.toDataURL canvas.getContext document.cookie localStorage
-sessionStorage indexedDB webkitIndexedDB __utma __utmz _ga _gid""".split()
+TRACKING_CALLS = (
+    "fingerprint2", "clientjs", "evercookie", "navigator.plugins", "navigator.mimeTypes", "screen.colorDepth",
+    "navigator.hardwareConcurrency", "navigator.deviceMemory", "getBattery", "getGamepads", "RTCPeerConnection",
+    "AudioContext", "OfflineAudioContext", "canvas.toDataURL", "canvas.getContext", "document.cookie", "localStorage",
+    "sessionStorage", "indexedDB", "webkitIndexedDB", "__utma", "__utmz", "_ga", "_gid",
+)
 
 HIDDEN_NAME = r"(?i)^([a-z2-7]{56}|[a-z2-7]{16})$"
 
@@ -36,7 +42,7 @@ def words(text: Column, least: int) -> Column:
 
 
 def content_words(text: Column, least: int) -> Column:
-    return F.filter(words(text, least), lambda x: ~x.isin(STOPWORDS))
+    return F.filter(words(text, least), lambda x: ~x.isin(*STOPWORDS))
 
 
 def trigrams(text: Column) -> Column:
@@ -49,36 +55,29 @@ def trigrams(text: Column) -> Column:
     return F.coalesce(grams, F.array().cast("array<string>"))
 
 
-def counted(df: DataFrame, key: str, items: Column) -> DataFrame:
-    """(key, term, cnt, first_pos): occurrences and first place of each item."""
-    rows = df.select(key, F.posexplode(items).alias("pos", "term"))
-    return rows.groupBy(key, "term").agg(F.count(F.lit(1)).alias("cnt"), F.min("pos").alias("first_pos"))
-
-
-def top_counted(df: DataFrame, key: str, items: Column, k: int) -> DataFrame:
-    """The k most frequent items of each row; of equals, those that come first in it."""
-    order = Window.partitionBy(key).orderBy(F.desc("cnt"), "first_pos")
-    return counted(df, key, items).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("first_pos")
+def _ranked(df: DataFrame, key: str, top: str) -> DataFrame:
+    """(key, term, cnt, rank) of an array of counted terms."""
+    rows = df.select(key, F.posexplode(top).alias("pos", "t"))
+    return rows.select(key, "t.term", "t.cnt", (F.col("pos") + 1).alias("rank"))
 
 
 def top_terms(df: DataFrame, key: str, text: str, k: int = 10) -> DataFrame:
-    return top_counted(df, key, content_words(F.col(text), 3), k)
+    """(key, term, cnt, rank): the k most frequent content words of each row; of equals, the first."""
+    return _ranked(counts.top_words(df, [key], content_words(F.col(text), 3), k), key, "top")
 
 
 def top_trigrams(df: DataFrame, key: str, text: str, k: int = 500) -> DataFrame:
-    return top_counted(df, key, trigrams(F.col(text)), k)
+    """(key, term, cnt, rank): the k most frequent three-character substrings of each row's lower-cased
+    text; of equals, the first."""
+    return _ranked(counts.top_grams(df, [key], F.lower(F.col(text)), k), key, "grams")
 
 
 def topic_buckets(df: DataFrame, key: str, text: str, buckets: int = 10) -> DataFrame:
-    """(key, bucket, term, cnt): the sorted vocabulary is cut into buckets of V // buckets words (one
-    at least); each bucket names its most frequent word, of equals the first. Words past the last
-    bucket are left out."""
-    c = counted(df, key, content_words(F.col(text), 4))
-    doc = Window.partitionBy(key)
-    size = F.greatest(F.lit(1), F.floor(F.count(F.lit(1)).over(doc) / buckets))
-    c = c.withColumn("bucket", F.floor((F.row_number().over(doc.orderBy("term")) - 1) / size)).where(F.col("bucket") < buckets)
-    best = Window.partitionBy(key, "bucket").orderBy(F.desc("cnt"), "term")
-    return c.withColumn("n", F.row_number().over(best)).where("n = 1").select(key, "bucket", "term", "cnt")
+    """(key, bucket, term, cnt): the sorted vocabulary of each row is cut into buckets of V // buckets
+    words (one at least); each bucket names its most frequent word, of equals the first. Words past the
+    last bucket are left out."""
+    rows = counts.word_buckets(df, [key], content_words(F.col(text), 4), buckets)
+    return rows.select(key, F.explode("topics").alias("t")).select(key, "t.*")
 
 
 def css_selectors(css: Column, most: int = 100) -> Column:

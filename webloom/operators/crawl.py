@@ -1,7 +1,8 @@
 """Crawling as search over captured pages; nothing is fetched from a network.
 
-A page source is a DataFrame (url, final_url, status_code, html, links, server, error): what a
-crawler stored. `links` are absolute; functions.dom finds them.
+A page source is a DataFrame with url and html and, if the crawler stored them, final_url, status_code,
+server, error, content_type and links: see captured(). A search looks at (url, links) of the seeds'
+hosts only; the markup joins once, when all pages are known.
 """
 
 from __future__ import annotations
@@ -10,13 +11,49 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from webloom.core.scratch import Scratch
-from webloom.functions import text, urls
+from webloom.functions import dom, text, urls
 
 MAX_PAGES = 75
 
 
+# Names of failures, and what a crawler's message for them holds.
+ERRORS = (("ssl_error", "ssl"), ("connect_timeout", "connect ?time"), ("read_timeout", "read ?time"))
+
+
+def captured(source: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """(url, final_url, status_code, html, links, server, error) of a capture that may lack some of it.
+
+    Without a status a page with markup was answered with 200; without a final url a page is where it
+    was asked for; without links they are read from the markup. The markup counts only where the content
+    type, where that is a column, says html. An error that is none of ERRORS stays as it is.
+    only: (domain), hosts to which the capture is cut down first."""
+    have = set(source.columns)
+    value = lambda name, default: F.col(name) if name in have else default
+    if only is not None:
+        source = source.withColumn("_domain", F.coalesce(F.nullif(urls.host(F.col("url")), F.lit("")), "url"))
+        source = source.join(only.select(F.col("domain").alias("_domain")).distinct(), "_domain", "left_semi")
+    html = F.when(F.lower(value("content_type", F.lit("text/html"))).contains("html"), F.col("html")).otherwise("")
+    error = value("error", F.lit(None).cast("string"))
+    for name, pattern in ERRORS:
+        error = F.when(F.lower(error).rlike(pattern), name).otherwise(error)
+    rows = source.select(
+        "url",
+        F.coalesce(value("final_url", F.lit(None).cast("string")), "url").alias("final_url"),
+        value("status_code", F.when(F.col("html").isNotNull(), 200)).cast("int").alias("status_code"),
+        html.alias("html"),
+        value("server", F.lit(None).cast("string")).alias("server"),
+        error.alias("error"),
+        *[F.col("links")] * ("links" in have),
+    )
+    if "links" in have:
+        return rows
+    rows = dom.with_dom(rows, "final_url", "html")
+    return rows.withColumn("links", F.col("dom.links")).drop("dom")
+
+
 def fetch(wanted: DataFrame, source: DataFrame) -> DataFrame:
-    """One answer for each wanted url: https before http, http only where https met a TLS error.
+    """One answer for each wanted url, with the columns of `source`: https before http, http only where
+    https met a TLS error. `asked` is the url that answered.
 
     A url that the source does not have answers with an error and no status."""
     secure = F.regexp_replace("url", "^http://", "https://")
@@ -25,16 +62,16 @@ def fetch(wanted: DataFrame, source: DataFrame) -> DataFrame:
     got = got.withColumn("error", F.when(F.col("_u").isNull(), F.coalesce("error", F.lit("not captured"))).otherwise(F.col("error")))
     usable = (F.col("t.o") == 0) & ~F.coalesce(F.col("error") == "ssl_error", F.lit(False)) & F.col("_u").isNotNull()
     rank = F.when(usable, 0).when(F.col("t.o") == 1, 1).otherwise(2)
-    order = Window.partitionBy("url").orderBy(rank, "t.o")
-    one = got.withColumn("_n", F.row_number().over(order)).where("_n = 1")
+    one = got.withColumn("_n", F.row_number().over(Window.partitionBy(*wanted.columns).orderBy(rank, "t.o"))).where("_n = 1")
     final = F.coalesce("final_url", "t.u")
-    return one.select(*wanted.columns, final.alias("final_url"), urls.host(final).alias("host"), "status_code", "html", "links", "server", "error", urls.has_tls(final).alias("has_tls"))
+    rest = [c for c in source.columns if c not in ("url", "final_url")]
+    return one.select(*wanted.columns, F.col("t.u").alias("asked"), final.alias("final_url"), urls.host(final).alias("host"), *rest, urls.has_tls(final).alias("has_tls"))
 
 
 def check(domains: DataFrame, source: DataFrame) -> DataFrame:
     """(domain, is_available) of one http request each."""
     wanted = domains.select("domain", F.concat(F.lit("http://"), F.col("domain"), F.lit("/")).alias("url")).distinct()
-    got = wanted.join(source.select("url", "status_code"), "url", "left")
+    got = wanted.join(captured(source.withColumn("links", F.array().cast("array<string>"))).select("url", "status_code"), "url", "left")
     return got.groupBy("domain").agg(F.max(urls.is_ok(F.col("status_code"))).alias("is_available"))
 
 
@@ -44,32 +81,42 @@ def crawl(seeds: DataFrame, source: DataFrame, max_pages: int | None = MAX_PAGES
     seeds: (seed). Pages of a host come in the order of a first-in, first-out queue: by depth, then by
     the page that named them, then by the place of the link. A page is visited once whatever the case
     of its url, pages that fail count, and a host gets max_pages at most, or any number where that is None.
+    Raises if there are links to follow after max_rounds.
     """
     scratch = Scratch(seeds.sparkSession, "crawl")
     start = seeds.select(urls.seed_url(F.col("seed")).alias("url"))
     front = start.select(F.coalesce(F.nullif(urls.host(F.col("url")), F.lit("")), "url").alias("domain"), "url", F.lit(0).cast("long").alias("parent"), F.lit(0).alias("place"))
-    visited = None
+    mine = captured(source, front)
+    blank = F.coalesce("html", F.lit("")) == ""
+    slim = scratch.write(mine.select("url", "final_url", "status_code", "error", "server", "links", blank.alias("blank")), "slim")
+    had = None
     for depth in range(max_rounds):
         front = front.withColumn("key", urls.url_key(F.col("url")))
         one = Window.partitionBy("domain", "key").orderBy("parent", "place")
         front = front.withColumn("_n", F.row_number().over(one)).where("_n = 1").drop("_n")
-        if visited is None:
+        if had is None:
             front = front.withColumn("had", F.lit(0).cast("long"))
         else:
-            had = visited.groupBy("domain").agg(F.count(F.lit(1)).alias("had"))
-            front = front.join(visited.select("domain", "key"), ["domain", "key"], "left_anti").join(had, "domain", "left")
+            front = front.join(scratch.table("visited").select("domain", "key"), ["domain", "key"], "left_anti").join(had, "domain", "left")
         order = Window.partitionBy("domain").orderBy("parent", "place", "key")
         front = front.withColumn("seq", F.coalesce("had", F.lit(0)) + F.row_number().over(order))
         if max_pages is not None:
             front = front.where(F.col("seq") <= max_pages)
-        got = scratch.write(fetch(front.select("domain", "url", "key", "seq", F.lit(depth).alias("depth")), source), f"round{depth}")
+        got = scratch.write(fetch(front.select("domain", "url", "key", "seq", F.lit(depth).alias("depth")), slim), f"round{depth}")
         if got.isEmpty():
             break
-        visited = got if visited is None else visited.unionByName(got)
-        ok = got.where(urls.is_ok(F.col("status_code")) & (F.coalesce("html", F.lit("")) != ""))
+        scratch.append(got.drop("links", "blank"), "visited")
+        ok = got.where(urls.is_ok(F.col("status_code")) & ~F.col("blank"))
         links = ok.select("domain", F.col("seq").alias("parent"), F.posexplode("links").alias("place", "url"))
         front = links.where(urls.host(F.col("url")) == F.col("domain"))
-    return visited.drop("key") if visited is not None else got.drop("key")
+        counts = got.groupBy("domain").agg(F.max("seq").alias("had"))  # seq goes on from what a host had
+        had = scratch.write(counts if had is None else had.unionByName(counts).groupBy("domain").agg(F.max("had").alias("had")), f"had{depth}")
+        scratch.drop(f"round{depth - 1}", f"had{depth - 1}")
+    else:
+        raise RuntimeError(f"there are links to follow after {max_rounds} rounds")
+    visited = scratch.table("visited") if had is not None else got.drop("links", "blank")
+    pages = mine.select(F.col("url").alias("asked"), "html", "links").dropDuplicates(["asked"])
+    return visited.drop("key").join(pages, "asked", "left").select("domain", "url", "seq", "depth", "final_url", "host", "status_code", "html", "links", "server", "error", "has_tls")
 
 
 def explore(seeds: DataFrame, source: DataFrame, max_pages: int | None = MAX_PAGES, max_rounds: int = 100) -> DataFrame:

@@ -48,15 +48,15 @@ def reachable(edges: DataFrame, start: DataFrame, max_rounds: int = 10_000) -> D
     """(id, depth) of nodes that paths from `start` (id) reach, the start itself at depth 0."""
     scratch = Scratch(edges.sparkSession, "reach")
     e = scratch.write(edges.select("src", "dst").where("src <> dst").distinct(), "edges")
-    seen = scratch.write(start.select("id").distinct().withColumn("depth", F.lit(0)), "seen0")
-    front = seen
+    front = scratch.write(start.select("id").distinct().withColumn("depth", F.lit(0)), "front0")
+    scratch.append(front, "seen")
     for k in range(1, max_rounds + 1):
         step = e.join(front.select(F.col("id").alias("src")), "src").select(F.col("dst").alias("id")).distinct()
-        front = scratch.write(step.join(seen.select("id"), "id", "left_anti").withColumn("depth", F.lit(k)), f"front{k}")
+        front = scratch.write(step.join(scratch.table("seen").select("id"), "id", "left_anti").withColumn("depth", F.lit(k)), f"front{k}")
+        scratch.drop(f"front{k - 1}")
         if front.isEmpty():
-            return seen
-        seen = scratch.write(seen.unionByName(front), f"seen{k}")
-        scratch.drop(f"seen{k - 1}")
+            return scratch.table("seen")
+        scratch.append(front, "seen")  # what is known is never written again
     raise RuntimeError(f"reach did not settle in {max_rounds} rounds")
 
 
@@ -64,56 +64,68 @@ def strong_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 10_0
     """(id, component) of every node; component is the smallest id in it.
 
     Nodes without an edge in or out, within what is left, are components of their own and are trimmed
-    first, round by round. Then every node takes the smallest id that reaches it as its colour; the
-    nodes of that colour which reach back to it are a component. What is left starts anew.
+    first. Then every node takes the smallest id that reaches it as its colour; the nodes of that colour
+    which reach back to it are a component. What is left starts anew.
     """
     scratch = Scratch(nodes.sparkSession, "scc")
     e = scratch.write(edges.select("src", "dst").where("src <> dst").distinct(), "edges-0")
-    done = None
     left = scratch.write(nodes.select("id").distinct(), "nodes-0")
     turn = 0
-
-    def settled(df: DataFrame) -> None:
-        nonlocal done
-        done = df if done is None else done.unionByName(df)
-
     while not e.isEmpty():
         turn += 1
         if turn > max_rounds:
             raise RuntimeError(f"strong components did not settle in {max_rounds} rounds")
-        core = e.select(F.col("src").alias("id")).intersect(e.select(F.col("dst").alias("id")))
-        core = scratch.write(core, f"core-{turn}")
-        settled(left.join(core, "id", "left_anti").select("id", F.col("id").alias("component")))
-        inner = e.join(core.withColumnRenamed("id", "src"), "src", "left_semi").join(core.withColumnRenamed("id", "dst"), "dst", "left_semi")
-        inner = scratch.write(inner.select("src", "dst"), f"inner-{turn}")
-        if inner.count() < e.count():
-            left, e = core, inner
-            continue
-        colours = _least_ancestor(core, inner, scratch, turn)
+        core, inner = _trimmed(e, scratch, turn, max_rounds)
+        scratch.append(left.join(core, "id", "left_anti").select("id", F.col("id").alias("component")), "done")
+        if core.isEmpty():
+            left = core
+            break
+        colours = _least_ancestor(core, inner, scratch, turn, max_rounds)
         back = inner.join(colours.select(F.col("id").alias("src"), F.col("colour").alias("cs")), "src").join(colours.select(F.col("id").alias("dst"), F.col("colour").alias("cd")), "dst")
         back = scratch.write(back.where("cs = cd").select(F.col("dst").alias("src"), F.col("src").alias("dst")), f"back-{turn}")
         roots = colours.where("id = colour").select("id")
         found = scratch.write(reachable(back, roots).select("id").join(colours, "id").select("id", F.col("colour").alias("component")), f"found-{turn}")
-        settled(found)
+        scratch.append(found, "done")
         left = scratch.write(core.join(found.select("id"), "id", "left_anti"), f"nodes-{turn}")
         rest = inner.join(left.withColumnRenamed("id", "src"), "src", "left_semi").join(left.withColumnRenamed("id", "dst"), "dst", "left_semi")
         e = scratch.write(rest.select("src", "dst"), f"edges-{turn}")
-    settled(left.select("id", F.col("id").alias("component")))
-    return done
+    scratch.append(left.select("id", F.col("id").alias("component")), "done")
+    return scratch.table("done")
+
+
+def _trimmed(e: DataFrame, scratch: Scratch, turn: int, max_rounds: int) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) that are left when nodes without an edge in or out are gone, again and again."""
+    ends = lambda x: x.select(F.col("src").alias("id")).intersect(x.select(F.col("dst").alias("id")))
+    n = e.count()
+    for k in range(max_rounds):
+        core = ends(e)
+        inner = e.join(core.withColumnRenamed("id", "src"), "src", "left_semi").join(core.withColumnRenamed("id", "dst"), "dst", "left_semi")
+        inner = scratch.write(inner.select("src", "dst"), f"inner-{turn}-{k}")
+        scratch.drop(f"inner-{turn}-{k - 1}")
+        m = inner.count()
+        if m == n or not m:
+            return scratch.write(ends(inner), f"core-{turn}"), inner
+        e, n = inner, m
+    raise RuntimeError(f"trimming did not settle in {max_rounds} rounds")
+
 
+def _least_ancestor(nodes: DataFrame, edges: DataFrame, scratch: Scratch, turn: int, max_rounds: int) -> DataFrame:
+    """(id, colour): the smallest id that reaches each node, itself included.
 
-def _least_ancestor(nodes: DataFrame, edges: DataFrame, scratch: Scratch, turn: int) -> DataFrame:
-    """(id, colour): the smallest id that reaches each node, itself included."""
+    Each round a node takes the smallest colour before it, and then its colour's own colour: what reaches
+    the colour reaches the node, so the way back doubles with every round where ids fall along it."""
     colours = scratch.write(nodes.select("id", F.col("id").alias("colour")), f"colour-{turn}-0")
-    k = 0
-    while True:
-        k += 1
+    for k in range(1, max_rounds + 1):
         pushed = edges.join(colours.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.min("colour").alias("pushed"))
-        new = scratch.write(colours.join(pushed, "id", "left").select("id", F.least("colour", "pushed").alias("colour"), (F.col("pushed") < F.col("colour")).alias("moved")), f"colour-{turn}-{k}")
+        new = colours.join(pushed, "id", "left").select("id", F.col("colour").alias("was"), F.least("colour", "pushed").alias("colour"))
+        jump = colours.select(F.col("id").alias("colour"), F.col("colour").alias("jump"))
+        new = new.join(jump, "colour").select("id", F.least("colour", "jump").alias("colour"), (F.least("colour", "jump") < F.col("was")).alias("moved"))
+        new = scratch.write(new, f"colour-{turn}-{k}")
         scratch.drop(f"colour-{turn}-{k - 1}")
         colours = new.select("id", "colour")
         if new.where("moved").isEmpty():
             return colours
+    raise RuntimeError(f"colours did not settle in {max_rounds} rounds")
 
 
 def largest_component(components: DataFrame) -> DataFrame:
@@ -188,20 +200,24 @@ def pagerank(nodes: DataFrame, edges: DataFrame, alpha: float = 0.85, tol: float
     return ranks if fixed else ids.withColumn("pagerank", F.lit(0.0))
 
 
-def node_stats(nodes: DataFrame, edges: DataFrame, top_n: int | None = 100, use_weights: bool = True, parts: DataFrame | None = None) -> DataFrame:
-    """(id, degrees, pagerank, in_bow_tie_core) of the nodes of highest degree; of equals the first id."""
+def node_stats(nodes: DataFrame, edges: DataFrame, top_n: int | None = 100, use_weights: bool = True, parts: DataFrame | None = None, fixed: int | None = None) -> DataFrame:
+    """(id, degrees, pagerank, in_bow_tie_core) of the nodes of highest degree; of equals the first id.
+
+    parts: those of bow_tie, where they are known already. fixed: as for pagerank."""
     parts = bow_tie(nodes, edges) if parts is None else parts
-    rows = degrees(nodes, edges).join(pagerank(nodes, edges, use_weights=use_weights), "id", "left").join(parts, "id", "left")
+    rows = degrees(nodes, edges).join(pagerank(nodes, edges, use_weights=use_weights, fixed=fixed), "id", "left").join(parts, "id", "left")
     rows = rows.select("id", "in_degree", "out_degree", "total_degree", F.coalesce("pagerank", F.lit(0.0)).alias("pagerank"), F.coalesce(F.col("part") == "core", F.lit(False)).alias("in_bow_tie_core"))
     return rows if top_n is None else rows.orderBy(F.desc("total_degree"), "id").limit(top_n)
 
 
-def stats(nodes: DataFrame, edges: DataFrame, suffix: str = ".onion") -> DataFrame:
-    """(metric, value): sizes, strong components, clustering, bow-tie parts and links out of the dark."""
+def stats(nodes: DataFrame, edges: DataFrame, suffix: str = ".onion", components: DataFrame | None = None, parts: DataFrame | None = None) -> DataFrame:
+    """(metric, value): sizes, strong components, clustering, bow-tie parts and links out of the dark.
+
+    components, parts: those of strong_components and bow_tie, where they are known already."""
     scratch = Scratch(nodes.sparkSession, "stats")
     distinct = scratch.write(edges.select("src", "dst").distinct(), "edges")
-    c = scratch.write(strong_components(nodes, distinct), "components")
-    parts = scratch.write(bow_tie(nodes, distinct, c), "parts")
+    c = scratch.write(strong_components(nodes, distinct), "components") if components is None else components
+    parts = scratch.write(bow_tie(nodes, distinct, c), "parts") if parts is None else parts
     core = parts.where("part = 'core'").select("id")
     in_core = distinct.join(core.withColumnRenamed("id", "src"), "src", "left_semi").join(core.withColumnRenamed("id", "dst"), "dst", "left_semi")
     count = lambda df, name: df.agg(F.count(F.lit(1)).cast("double").alias("value")).select(F.lit(name).alias("metric"), "value")

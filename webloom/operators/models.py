@@ -17,6 +17,8 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from webloom.core.scratch import Scratch
+
 # Names and sizes that the classifiers are set up with.
 CATEGORIES = ("social_media", "marketplace", "pornography", "indexer", "crypto", "other")
 PAGE_FEATURES = ("uses_css", "uses_js", "num_chars", "num_img_tags", "num_button_tags", "num_input_tags", "num_external_urls", "num_crypto_addresses", "num_blacklisted_js")
@@ -162,13 +164,12 @@ class Category:
         idf = IDF(inputCol="_counts", outputCol="_idf").fit(counts.transform(rows))
         weigh = ElementwiseProduct(scalingVec=Vectors.dense([w + 1.0 for w in idf.idf.toArray()]), inputCol="_bent", outputCol="_weighted")
         features = {"counts": counts, "weigh": weigh, "norm": Normalizer(inputCol="_weighted", outputCol="features", p=2.0)}
-        rows = self._features(rows, features).select("features", label).cache()
+        rows = Scratch(df.sparkSession, "category").write(self._features(rows, features).select("features", label), "features")
         classes = sorted(r[0] for r in rows.select(label).distinct().collect())  # class names
         forests = {}
         for c in classes:
             forest = RandomForestClassifier(featuresCol="features", labelCol="_label", numTrees=self.trees, seed=SEED, featureSubsetStrategy="sqrt", maxDepth=20, probabilityCol=f"_p_{len(forests)}", predictionCol=f"_y_{len(forests)}", rawPredictionCol=f"_r_{len(forests)}")
             forests[c] = forest.fit(rows.withColumn("_label", (F.col(label) == c).cast("double")))
-        rows.unpersist()
         return {"features": features, "classes": classes, "forests": forests}
 
     def _features(self, rows: DataFrame, features: dict) -> DataFrame:

@@ -48,6 +48,24 @@ def top_counts(df: DataFrame, column: str, k: int, seq: str | None = None) -> Da
     return got.orderBy(F.desc("n"), "first", "value").limit(k).select("value", "n")
 
 
+def top_shares(df: DataFrame, column: str, k: int, seq: str | None = None) -> DataFrame:
+    """As top_counts, with each value's share of all rows."""
+    total = df.agg(F.count(F.lit(1)).alias("total"))
+    return top_counts(df, column, k, seq).crossJoin(F.broadcast(total)).select("value", "n", share(F.col("n"), F.col("total")).alias("share"))  # one row
+
+
+def content(domains: DataFrame) -> DataFrame:
+    """(metric, value, share) of illicit, tracked and attributed domains."""
+    yes = lambda c: F.count_if(F.coalesce(F.col(c), F.lit(False)))
+    counts = domains.agg(F.count(F.lit(1)).alias("total"), yes("is_illicit").alias("illicit"), yes("has_tracking").alias("tracked"), yes("has_attribution").alias("attributed"))
+    return _with_shares(counts, ("illicit", "tracked", "attributed"))
+
+
+def _with_shares(counts: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    rows = F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).alias("value"), share(F.col(n), F.col("total")).alias("share")) for n in names])
+    return counts.select(F.explode(rows).alias("m")).select("m.*")
+
+
 def summary(domains: DataFrame, pages: DataFrame, addresses: DataFrame, edges: DataFrame) -> DataFrame:
     """(metric, value): the eight counts that a report begins with."""
     flag = lambda c: F.count_if(F.coalesce(F.col(c), F.lit(False))).alias(c)
@@ -64,8 +82,7 @@ def operations(domains: DataFrame) -> DataFrame:
     total = F.count(F.lit(1))
     yes = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
     counts = domains.agg(total.alias("total"), yes(F.col("is_available")).alias("available"), yes(F.col("is_v3")).alias("v3"), yes(~F.col("is_v3")).alias("v2"), yes(F.col("has_tls")).alias("tls"))
-    rows = F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).alias("value"), share(F.col(n), F.col("total")).alias("share")) for n in ("available", "v3", "v2", "tls")])
-    return counts.select(F.explode(rows).alias("m")).select("m.*")
+    return _with_shares(counts, ("available", "v3", "v2", "tls"))
 
 
 def online_rate(checked: DataFrame) -> DataFrame:

@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 from webloom.functions import text, urls
 
 # Words that searches start from.
-SEED_WORDS = """forum market shop service news blog wiki library privacy security anonymous hidden dark
-chat email hosting file search index link crypto bitcoin exchange wallet monero drug pharmacy hacking
-exploit leak форум рынок новости Forum Markt Nachrichten forum marché actualités""".split()
+SEED_WORDS = (
+    "forum", "market", "shop", "service", "news", "blog", "wiki", "library", "privacy", "security", "anonymous",
+    "hidden", "dark", "chat", "email", "hosting", "file", "search", "index", "link", "crypto", "bitcoin", "exchange",
+    "wallet", "monero", "drug", "pharmacy", "hacking", "exploit", "leak", "форум", "рынок", "новости", "Forum",
+    "Markt", "Nachrichten", "forum", "marché", "actualités",
+)
 
 
 def names_in(df: DataFrame, column: str) -> DataFrame:
@@ -73,5 +76,7 @@ def collect(sources: list[DataFrame], blacklist: DataFrame | None) -> DataFrame:
     return found.distinct().join(blacklist.select("domain"), "domain", "left_anti")
 
 
-def default_words(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(SEED_WORDS)), "seq long, word string")
+def words(spark: SparkSession, extra: DataFrame | None = None) -> DataFrame:
+    """(seq, word): the built-in words, and behind them the extra ones (seq, word)."""
+    own = spark.createDataFrame(list(enumerate(SEED_WORDS)), "seq long, word string")
+    return own if extra is None else own.unionByName(extra.select((F.col("seq") + len(SEED_WORDS)).alias("seq"), "word"))

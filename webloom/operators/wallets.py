@@ -46,9 +46,10 @@ def flows(members: DataFrame, transactions: DataFrame, id_col: str = "txid") ->
     )
 
 
-def wallets(addresses: DataFrame, transactions: DataFrame | None = None) -> DataFrame:
-    """(wallet_id, size, domains, flows, balance_usd), a row a wallet."""
-    members = clusters(addresses, transactions)
+def wallets(addresses: DataFrame, transactions: DataFrame | None = None, members: DataFrame | None = None) -> DataFrame:
+    """(wallet_id, size, domains, flows, balance_usd), a row a wallet. members: the clusters, where they
+    are known already."""
+    members = clusters(addresses, transactions) if members is None else members
     sizes = members.groupBy("wallet_id").agg(F.count(F.lit(1)).alias("size"))
     where = members.join(addresses.where("domain <> ''").select("address", "domain"), "address")
     domains = where.select("wallet_id", "domain").distinct().groupBy("wallet_id").agg(F.array_sort(F.collect_list("domain")).alias("domains"))

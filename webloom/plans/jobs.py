@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webloom.core.scratch import Scratch
-from webloom.functions import addresses, dom, text, urls
+from webloom.functions import addresses, counts, dom, text, urls
 from webloom.operators import crawl, graph, merge, rollups, seeds, wallets
 from webloom.operators.models import Classifiers, template_text
 from webloom.sources.tables import Store
@@ -44,14 +44,17 @@ def page_features(pages: DataFrame, keep: Sequence[str] = ("domain",), url_col:
 
 
 def term_features(features: DataFrame, key: str = "domain", column: str = "clean_text") -> DataFrame:
-    """(key, tfidf_top_terms, lda_top_terms, char_3grams) of each text."""
-    listed = lambda order, value: F.transform(F.array_sort(F.collect_list(F.struct(order, value))), lambda s: s[value])
-    terms = text.top_terms(features, key, column).groupBy(key).agg(listed("rank", "term").alias("tfidf_top_terms"))
-    topics = text.topic_buckets(features, key, column).groupBy(key).agg(listed("bucket", "term").alias("lda_top_terms"))
-    grams = text.top_trigrams(features, key, column).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("term", "cnt"))).alias("char_3grams"))
-    out = features.select(key).distinct().join(terms, key, "left").join(topics, key, "left").join(grams, key, "left")
-    none = F.array().cast("array<string>")
-    return out.withColumns({"tfidf_top_terms": F.coalesce("tfidf_top_terms", none), "lda_top_terms": F.coalesce("lda_top_terms", none)})
+    """(key, tfidf_top_terms, lda_top_terms, char_3grams) of each row's text; nothing is shuffled."""
+    rows = features.select(key, F.col(column).alias("_text"))
+    rows = counts.top_words(rows, [key, "_text"], text.content_words(F.col("_text"), 3), 10)
+    rows = counts.word_buckets(rows, [key, "_text", "top"], text.content_words(F.col("_text"), 4), 10)
+    rows = counts.top_grams(rows, [key, "top", "topics"], F.lower(F.col("_text")), 500)
+    return rows.select(
+        key,
+        F.transform("top", lambda t: t["term"]).alias("tfidf_top_terms"),
+        F.transform("topics", lambda t: t["term"]).alias("lda_top_terms"),
+        F.map_from_entries("grams").alias("char_3grams"),
+    )
 
 
 def analyse(pages: DataFrame, classifiers: Classifiers | None = None) -> dict[str, DataFrame]:
@@ -91,7 +94,7 @@ def analyse(pages: DataFrame, classifiers: Classifiers | None = None) -> dict[st
 
 
 def crawl_job(store: Store, seed_names: DataFrame, source: DataFrame, mode: str = "crawl", max_pages: int = crawl.MAX_PAGES, classifiers: Classifiers | None = None, now: Column | None = None) -> DataFrame:
-    """Crawls captured pages from seeds, analyses them and merges the facts into the store."""
+    """Crawls captured pages (see crawl.captured) from seeds, analyses them and merges the facts into the store."""
     now = F.current_timestamp() if now is None else now
     scratch = Scratch(store.spark, "crawl-job")
     run = crawl.explore if mode == "explore" else crawl.crawl
@@ -121,30 +124,72 @@ def check_job(store: Store, source: DataFrame, now: Column | None = None) -> Dat
 
 
 def graph_job(store: Store, top_n: int = 10, use_weights: bool = False, suffix: str = ".onion") -> dict[str, DataFrame]:
-    """Figures, top nodes and json of the stored graph; every edge weighs 1 unless asked otherwise."""
-    edges = store.read("graph_edges")
-    nodes = graph.nodes_of(edges, store.read("domains"), suffix)
-    return {"stats": graph.stats(nodes, edges, suffix), "top": graph.node_stats(nodes, edges, top_n, use_weights), "json": graph.one_document(nodes, edges)}
+    """Figures, top nodes and json of the stored graph; every edge weighs 1 unless asked otherwise. `json`
+    is the whole graph in one row, for one reader; `lines` has a row for each node and edge, at any size."""
+    scratch = Scratch(store.spark, "graph-job")
+    edges = scratch.write(store.read("graph_edges"), "edges")
+    nodes = scratch.write(graph.nodes_of(edges, store.read("domains"), suffix), "nodes")
+    components = scratch.write(graph.strong_components(nodes, edges), "components")
+    parts = scratch.write(graph.bow_tie(nodes, edges, components), "parts")
+    return {
+        "stats": graph.stats(nodes, edges, suffix, components, parts),
+        "top": graph.node_stats(nodes, edges, top_n, use_weights, parts),
+        "json": graph.one_document(nodes, edges),
+        "lines": graph.as_json(nodes, edges),
+    }
 
 
 def wallets_job(store: Store, transactions: DataFrame | None = None) -> DataFrame:
     """Clusters stored addresses into wallets, flags outliers, and writes both back; the flagged wallets."""
     known = store.read("crypto_addresses")
     scratch = Scratch(store.spark, "wallets-job")
-    w = scratch.write(wallets.flag_outliers(wallets.wallets(known, transactions)), "wallets")
-    members = wallets.clusters(known, transactions)
+    members = scratch.write(wallets.clusters(known, transactions), "members")
+    w = scratch.write(wallets.flag_outliers(wallets.wallets(known, transactions, members)), "wallets")
     update = members.join(w.select("wallet_id", "is_outlier"), "wallet_id").select("address", "wallet_id", F.lit(0).cast("long").alias("num_txns"), F.lit(0.0).alias("deposits_usd"), F.lit(0.0).alias("withdrawals_usd"), "is_outlier")
     store.write("crypto_addresses", merge.update_known(known, update, "address", ["wallet_id", "num_txns", "deposits_usd", "withdrawals_usd", "is_outlier"]))
     return w
 
 
 def report_job(store: Store) -> dict[str, DataFrame]:
-    """Tidy tables of a report: counts, shares, top servers, languages and categories."""
+    """Tidy tables of a report: counts, and with their shares of all domains the ways they are run, what
+    they show, and their top servers, languages and categories."""
     d = store.read("domains")
-    top = lambda c, k: rollups.top_counts(d, c, k)
-    return {"summary": rollups.summary(d, store.read("pages"), store.read("crypto_addresses"), store.read("graph_edges")), "operations": rollups.operations(d), "servers": top("server", 5), "languages": top("language", 5), "categories": top("category", 6)}
+    top = lambda c, k: rollups.top_shares(d, c, k)
+    return {
+        "summary": rollups.summary(d, store.read("pages"), store.read("crypto_addresses"), store.read("graph_edges")),
+        "operations": rollups.operations(d),
+        "servers": top("server", 5),
+        "content": rollups.content(d),
+        "languages": top("language", 5),
+        "categories": top("category", 6),
+    }
 
 
-def seed_job(sources: Sequence[DataFrame], blacklist: DataFrame | None) -> DataFrame:
-    """Sorted names of all sources that are not on the blacklist."""
-    return seeds.collect(list(sources), blacklist).orderBy("domain")
+def seed_job(
+    capture: DataFrame,
+    blacklist: DataFrame | None,
+    sitemaps: DataFrame | None = None,
+    indexers: DataFrame | None = None,
+    search: str | None = None,
+    extra_words: DataFrame | None = None,
+    max_queries: int = 30,
+) -> DataFrame:
+    """Sorted hidden names that captured pages (url, body) hold, less the blacklist (domain).
+
+    sitemaps: (url) of sitemaps. indexers: (url) of lists of names, whose next pages are followed. search: a search engine's address with {query} in it, asked for the built-in words, the extra ones (seq, word)
+    and pairs of them. A source that names nothing is left out; pages that were not captured hold nothing.
+    """
+    spark = capture.sparkSession
+    sources = []
+    if sitemaps is not None:
+        sources.append(seeds.sitemap_names(seeds.fetched(sitemaps.select("url").distinct(), capture), None))
+    if indexers is not None:
+        index = dom.with_dom(seeds.fetched(indexers.select("url").distinct(), capture), "url", "body", ["url"]).select("url", F.col("dom.links").alias("links"))
+        pages = seeds.indexer_pages(index).select(F.col("next_url").alias("url")).distinct()
+        sources.append(seeds.names_in(seeds.fetched(pages, capture), "body"))
+    if search:
+        asked = seeds.search_urls(seeds.word_queries(seeds.words(spark, extra_words)), search, max_queries)
+        sources.append(seeds.names_in(seeds.fetched(asked.select("url").distinct(), capture), "body"))
+    if not sources:
+        raise ValueError("no source of seeds is named")
+    return seeds.collect(sources, blacklist).orderBy("domain")

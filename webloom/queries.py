@@ -10,8 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from webloom.core.scratch import Scratch
 from webloom.functions import addresses, dom, text, urls
 from webloom.operators import crawl, graph, merge, models, rollups, seeds, wallets
+from webloom.plans import jobs
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -99,25 +101,32 @@ def topic_buckets(spark, sf_dir):
 _CSS = " @media x { a {c:d} b {e:f} } i{x:y} a b c d e f g h {x:y} /*k*/ .p > q {} {}"
 
 
-@query(f"""with s as (select page_id, regexp_extract(html, '(?s)<style>(.*?)</style>', 1) || '{_CSS}' as css from pages),
+_SHEET = f'<style media="x">{_CSS}</style><style></style>'
+_SCRIPTS = """'<script type="t">x.WEBKIT' || case page_id % 3 when 0 then 'INDEXEDDB' when 1 then ' my_game(document.Cookie)' else '' end || '</script><script src="y">getBattery</script>'"""
+
+
+@query(f"""with s as (select page_id, list_aggregate(list_transform(regexp_extract_all('{_SHEET}' || html, '(?s)<style[^>]*>(.*?)</style>', 1), lambda x: x || chr(10)), 'string_agg', '') as css from pages),
     m as (select page_id, u.sel, u.pos from (select page_id, regexp_extract_all(css, '([^{{]+)\\{{[^}}]*\\}}', 1) as l from s) t, unnest(t.l) with ordinality as u(sel, pos)),
     p as (select page_id, pos, array_to_string(list_filter(string_split_regex(sel, '\\s+'), lambda x: x <> '')[1:6], ' ') as selector from m)
     select page_id, (row_number() over (partition by page_id order by pos) - 1)::int as pos, selector from p where selector <> ''""")
 def css_selectors(spark, sf_dir):
-    css = F.concat(F.regexp_extract("html", "(?s)<style>(.*?)</style>", 1), F.lit(_CSS))
-    return table(spark, sf_dir, "pages").select("page_id", F.posexplode(text.css_selectors(css)).alias("pos", "selector"))
+    p = table(spark, sf_dir, "pages").select("page_id", "url", F.concat(F.lit(_SHEET), "html").alias("html"))
+    d = dom.with_dom(p, keep=["page_id"])
+    return d.select("page_id", F.posexplode(text.css_selectors(F.col("dom.css_text"))).alias("pos", "selector"))
 
 
 _CALLS = ", ".join(f"'{c}'" for c in text.TRACKING_CALLS)
 
 
-@query(f"""with s as (select page_id, regexp_extract(html, '(?s)<script>(.*?)</script>', 1) || case page_id % 3 when 0 then ' x.WEBKITINDEXEDDB' when 1 then ' my_game(document.Cookie)' else '' end as js from pages),
+@query(f"""with s as (select page_id, list_aggregate(list_transform(list_filter(regexp_extract_all({_SCRIPTS} || html, '(?s)<script[^>]*>.*?</script>'), lambda x: not regexp_matches(x, '^<script[^>]* src=')),
+        lambda x: regexp_extract(x, '(?s)>(.*)</script>', 1) || chr(10)), 'string_agg', '') as js from pages),
     b as (select unnest([{_CALLS}]) as call)
     select page_id, call from s join b on contains(lower(js), lower(call))""")
 def js_blacklist(spark, sf_dir):
-    more = F.when(F.col("page_id") % 3 == 0, " x.WEBKITINDEXEDDB").when(F.col("page_id") % 3 == 1, " my_game(document.Cookie)").otherwise("")
-    js = F.concat(F.regexp_extract("html", "(?s)<script>(.*?)</script>", 1), more)
-    return table(spark, sf_dir, "pages").select("page_id", F.explode(text.tracking_calls(js)).alias("call"))
+    more = F.when(F.col("page_id") % 3 == 0, "INDEXEDDB").when(F.col("page_id") % 3 == 1, " my_game(document.Cookie)").otherwise("")
+    html = F.concat(F.lit('<script type="t">x.WEBKIT'), more, F.lit('</script><script src="y">getBattery</script>'), "html")
+    d = dom.with_dom(table(spark, sf_dir, "pages").select("page_id", "url", html.alias("html")), keep=["page_id"])
+    return d.select("page_id", F.explode(text.tracking_calls(F.col("dom.js_text"))).alias("call"))
 
 
 # -- addresses and names ----------------------------------------------------------------------------
@@ -192,13 +201,20 @@ def onion_extract(spark, sf_dir):
 # -- pages as trees ---------------------------------------------------------------------------------
 
 
-@query("""select page_id, contains(html, '<style') as uses_css, contains(html, '<script') as uses_js, 0::bigint as num_img_tags,
-    len(regexp_extract_all(html, '<a href="'))::bigint as n_hrefs, len(regexp_extract_all(html, '<a href="'))::bigint as n_links, 0::bigint as num_external_urls from pages""")
+@query("""with b as (select page_id, html, len(regexp_extract_all(html, '<a href="'))::bigint as n from pages)
+    select page_id, contains(html, '<style') as uses_css, contains(html, '<script') as uses_js, page_id % 4 as num_img_tags, (page_id % 2)::bigint as num_button_tags, 1::bigint as num_input_tags,
+    n + page_id % 3 + 2 as n_hrefs, n + page_id % 3 + 1 as n_links, page_id % 3 as num_external_urls from b""")
 def dom_features(spark, sf_dir):
-    d = dom.with_dom(table(spark, sf_dir, "pages"), keep=["page_id", "url"])
+    """Over pages with images, buttons, inputs and links added, some of them to other hosts, some dead."""
+    k = F.col("page_id").cast("int")
+    more = F.concat(
+        F.expr("repeat('<img src=x>', int(page_id % 4))"), F.when(k % 2 == 1, "<button>x</button>").otherwise(""), F.lit('<noscript><img src=y></noscript><INPUT name="q"/>'),
+        F.expr("repeat('<a href=\"http://elsewhere.invalid/?x=1\">x</a>', int(page_id % 3))"), F.lit('<a href=" #top">t</a><a href="HTTP://"></a>'),
+    )
+    d = dom.with_dom(table(spark, sf_dir, "pages").select("page_id", "url", F.concat(more, "html").alias("html")), keep=["page_id", "url"])
     outside = F.filter("dom.hrefs", lambda h: urls.is_external(h, urls.host(F.col("url"))))
     return d.select(
-        "page_id", "dom.uses_css", "dom.uses_js", "dom.num_img_tags",
+        "page_id", "dom.uses_css", "dom.uses_js", "dom.num_img_tags", "dom.num_button_tags", "dom.num_input_tags",
         F.size("dom.hrefs").cast("long").alias("n_hrefs"), F.size("dom.links").cast("long").alias("n_links"), F.size(outside).cast("long").alias("num_external_urls"),
     )
 
@@ -210,6 +226,23 @@ def page_links(spark, sf_dir):
     return d.select("page_id", F.explode(F.arrays_zip(F.col("dom.hrefs").alias("href"), F.col("dom.links").alias("link"))).alias("z")).select("page_id", "z.href", "z.link")
 
 
+@query("""with k as (select page_id, page_id % 4 as k, '[document]>' || repeat('div>', (page_id % 4)::int) as root from pages),
+    p as (select page_id, list_concat(list_concat(['[document]'], list_transform(range(1, k + 1), lambda i: '[document]' || repeat('>div', i::int))),
+        list_concat(case when k < 3 then [root || 'p', root || 'p>br', root || 'p>img'] else [root || 'p'] end, ['[document]>ul', '[document]>ul>li', '[document]>ul>li>li', '[document]>a'])) as l from k)
+    select page_id, u.pos::int - 1 as pos, u.path, 'a ' || page_id || ' b x y & z' as clean_text, length('a ' || page_id || ' b x y & z')::int as num_chars, 'a  ' || page_id || ' b x y n & z' as classifier_text
+    from p, unnest(p.l) with ordinality as u(path, pos)""")
+def dom_tree(spark, sf_dir):
+    """Paths and texts of pages made from the page numbers: nested to depths on both sides of the limit,
+    with void, unclosed, unmatched and silent elements."""
+    page = F.col("page_id").cast("string")
+    html = F.concat(
+        F.expr("repeat('<div>', int(page_id % 4))"), F.lit("<!-- <p> --><p>a  "), page, F.lit("<br>b<img src=x></b></p>"), F.expr("repeat('</DIV>', int(page_id % 4))"),
+        F.lit("<ul><li>x<li>\n y</ul><noscript><i>n</i></noscript><script>if (a</p>b) s</script><style>p{}</style></span><a href='#'>&amp; z"),
+    )
+    d = dom.with_dom(table(spark, sf_dir, "pages").select("page_id", "url", html.alias("html")), keep=["page_id"])
+    return d.select("page_id", F.posexplode("dom.dom_paths").alias("pos", "path"), "dom.clean_text", F.length("dom.clean_text").alias("num_chars"), "dom.classifier_text")
+
+
 @query()
 def dom_paths(spark, sf_dir):
     d = dom.with_dom(table(spark, sf_dir, "pages"), keep=["page_id"])
@@ -323,9 +356,15 @@ def top_servers(spark, sf_dir):
     select value, n, printf('%d/%d (%.1f%%)', n, total, 100.0 * n / total) as share from c, t""")
 def report_languages(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
-    total = d.agg(F.count(F.lit(1)).alias("total"))
-    top = rollups.top_counts(d, "lang", 5, "doc_id").crossJoin(F.broadcast(total))  # one row
-    return top.select("value", "n", rollups.share(F.col("n"), F.col("total")).alias("share"))
+    return rollups.top_shares(d, "lang", 5, "doc_id")
+
+
+@query("""with t as (select count(*) as n, count(*) filter (doc_id % 3 = 0) as a, count(*) filter (length(text) > 900) as b, count(*) filter (lang = 'fr') as c from documents)
+    select metric, value, case when n > 0 then printf('%d/%d (%.1f%%)', value, n, 100.0 * value / n) else '0/0' end as share
+    from t, lateral (values ('illicit', a), ('tracked', b), ('attributed', c)) as m(metric, value)""")
+def report_content(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    return rollups.content(d.select((F.col("doc_id") % 3 == 0).alias("is_illicit"), (F.length("text") > 900).alias("has_tracking"), (F.col("lang") == "fr").alias("has_attribution")))
 
 
 @query(f"""with {_CRAWLED_SQL}, {_ROLLUP_SQL} select metric, value from (select 'domains' as metric, count(*) as value from d union all select 'available', count(*) filter (is_available) from d
@@ -411,15 +450,15 @@ def clustering_coeff(spark, sf_dir):
     return graph.clustering(*page_graph(spark, sf_dir)).withColumn("coefficient", F.round("coefficient", 9))
 
 
-def _pagerank_sql(k: int) -> str:
+def _ranks_sql(k: int) -> str:
     parts = ["w as (select src, dst, weight::double / sum(weight) over (partition by src) as w from e)", "c as (select count(*)::double as n from n)", "r0 as (select id, 1.0 / n as pr from n, c)"]
     for i in range(1, k + 1):
         parts.append(f"d{i} as (select coalesce(sum(pr), 0) as lost from r{i - 1} where id not in (select src from e))")
         parts.append(f"r{i} as (select x.id, 0.85 * (coalesce((select sum(y.pr * w.w) from w join r{i - 1} y on y.id = w.src where w.dst = x.id), 0) + d{i}.lost / c.n) + 0.15 / c.n as pr from r{i - 1} x, d{i}, c)")
-    return f"with {_EDGES_SQL}, {', '.join(parts)} select id, round(pr, 9) as pagerank from r{k}"
+    return ", ".join(parts)
 
 
-@query(_pagerank_sql(3))
+@query(f"with {_EDGES_SQL}, {_ranks_sql(3)} select id, round(pr, 9) as pagerank from r3")
 def pagerank_k(spark, sf_dir):
     return graph.pagerank(*page_graph(spark, sf_dir), fixed=3).select("id", F.round("pagerank", 9).alias("pagerank"))
 
@@ -441,9 +480,12 @@ def graph_stats(spark, sf_dir):
     return graph.stats(nodes, e, DARK).withColumn("value", F.round("value", 6))
 
 
-@query()
+@query(f"""with recursive {_EDGES_SQL}, {_REACH_SQL.replace("r(a, b)", "rr(a, b)").replace("select r.a", "select rr.a").replace("from r join e on r.b", "from rr join e on rr.b")}, {_SCC_SQL.replace("from r x join r y", "from rr x join rr y")}, {_CORE_SQL}, {_DEGREE_SQL}, {_ranks_sql(2).replace("r0", "q0").replace("r1", "q1").replace("r2", "q2")}
+    select id, in_degree, out_degree, in_degree + out_degree as total_degree, round(pr, 9) as pagerank, s.component = k.component as in_bow_tie_core
+    from g join q2 using (id) join s using (id), k order by total_degree desc, id limit 40""")
 def node_stats(spark, sf_dir):
-    return graph.node_stats(*page_graph(spark, sf_dir), top_n=100)
+    nodes, e = page_graph(spark, sf_dir)
+    return graph.node_stats(nodes, e, top_n=40, fixed=2).withColumn("pagerank", F.round("pagerank", 9))
 
 
 @query(f"""with {_EDGES_SQL} select 'node' as kind, '{{"id":"' || id || '","is_onion":' || is_onion::varchar || '}}' as json from n
@@ -516,41 +558,75 @@ _WORDS = ", ".join(f"({i}, '{w}')" for i, w in enumerate(seeds.SEED_WORDS))
     q as (select 0 as k, s as s1, 0 as s2, word as q from w union all select 1, s1, s2, q from p), o as (select row_number() over (order by k, s1, s2) as n, q from q)
     select n::int as n, q as query, 'http://x.invalid/s?q=' || replace(url_encode(q), '+', '%20') || '&ps=20' as url from o where n <= 80""")
 def word_queries(spark, sf_dir):
-    return seeds.search_urls(seeds.word_queries(seeds.default_words(spark)), "http://x.invalid/s?q={query}&ps=20", 80)
+    return seeds.search_urls(seeds.word_queries(seeds.words(spark)), "http://x.invalid/s?q={query}&ps=20", 80)
+
+
+@query(f"""with d as (select doc_id, doc_id % 3 as kind, translate(substr(sha256(doc_id::varchar), 1, 16), '0189', 'abcd') || '.onion' as domain from documents),
+    f as (select domain from d where kind = 0 or (kind = 1 and (doc_id % 2 = 1 or doc_id - 3 in (select doc_id from d))) or (kind = 2 and doc_id % {len(seeds.SEED_WORDS)} < 30))
+    select distinct domain from f where domain not in (select translate(substr(sha256(item_id::varchar), 1, 16), '0189', 'abcd') || '.onion' from benchmark)""")
+def seed_sources(spark, sf_dir):
+    """Every document as a captured page: of a sitemap (names outside its entries do not count), of a list
+    that goes on at another page, or of a search for a word, which is asked 30 times at most."""
+    d = table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 3).alias("kind"))
+    sha = F.sha2(F.col("doc_id").cast("string"), 256)
+    name = lambda at: F.concat(F.translate(F.substring(sha, at, 16), "0189", "abcd"), F.lit(".onion"))
+    number = F.col("doc_id").cast("string")
+    d = d.join(F.broadcast(seeds.words(spark)), F.col("seq") == F.col("doc_id") % len(seeds.SEED_WORDS))  # the built-in words
+    url = F.when(F.col("kind") == 0, F.concat(F.lit("http://map.test/"), number)).when(F.col("kind") == 1, F.concat(F.lit("http://list.test/page/"), number))
+    url = url.otherwise(F.concat(F.lit("http://x.invalid/s?q="), urls.quoted(F.col("word"))))
+    body = F.when(F.col("kind") == 0, F.concat(F.lit("<urlset><x>http://"), name(20), F.lit("/</x><url><loc>http://"), name(1), F.lit("/</loc></url></urlset>")))
+    body = body.otherwise(F.concat(name(1), F.lit(' <a href="'), (F.col("doc_id") + 3).cast("string"), F.lit('">next</a> <a href="/about">x</a>')))
+    capture = Scratch(spark, "seed-sources").write(d.select("doc_id", "kind", url.alias("url"), body.alias("body")), "capture")
+    listed = table(spark, sf_dir, "benchmark").select(F.concat(F.translate(F.substring(F.sha2(F.col("item_id").cast("string"), 256), 1, 16), "0189", "abcd"), F.lit(".onion")).alias("domain"))
+    return jobs.seed_job(capture.select("url", "body"), listed, capture.where("kind = 0").select("url"), capture.where("kind = 1 and doc_id % 2 = 1").select("url"), "http://x.invalid/s?q={query}")
 
 
 def captured(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages as seven captured sites, each a binary tree of links in page order."""
+    """Pages as seven captured sites, each a binary tree of links in page order: (url, html, status_code,
+    content_type). Links are in the markup; the pages' own ones are made harmless."""
     i, site = F.floor(F.col("page_id") / 7), F.col("page_id") % 7
     at = lambda k: F.concat(F.lit("http://site"), site.cast("string"), F.lit(".test/p"), k.cast("string"))
     status = F.when(F.col("page_id") % 13 == 5, 500).otherwise(200)
-    return table(spark, sf_dir, "pages").select(at(i).alias("url"), F.lit(None).cast("string").alias("final_url"), status.alias("status_code"), "html", F.array(at(i * 2 + 1), at(i * 2 + 2)).alias("links"), F.lit("").alias("server"), F.lit(None).cast("string").alias("error"))
+    link = lambda k, tail: F.concat(F.lit('<a href="/p'), k.cast("string"), F.lit(tail + '">x</a>'))
+    html = F.concat(link(i * 2 + 1, ""), F.lit('<a href="http://other.test/">x</a><a href="mailto:x">x</a>'), link(i * 2 + 2, ""), F.replace("html", F.lit("<a href"), F.lit("<b title")))
+    kind = F.when(F.col("page_id") % 17 == 3, "text/plain").otherwise("Text/HTML; charset=utf-8")
+    return table(spark, sf_dir, "pages").select(at(i).alias("url"), html.alias("html"), status.alias("status_code"), kind.alias("content_type"))
 
 
-@query("""with recursive c as (select page_id % 7 as site, page_id // 7 as i, page_id % 13 = 5 as bad from pages),
-    f(site, i, depth) as (select s, 0::bigint, 0 from range(7) as t(s) union select f.site, u.k, f.depth + 1 from f join c on c.site = f.site and c.i = f.i and not c.bad, unnest([c.i * 2 + 1, c.i * 2 + 2]) as u(k))
-    select 'site' || f.site || '.test' as domain, 'http://site' || f.site || '.test/p' || f.i as url, f.depth, case when c.i is null then null when c.bad then 500 else 200 end as status_code
-    from f left join c on c.site = f.site and c.i = f.i""")
+_CRAWL_SQL = """c as (select page_id % 7 as site, page_id // 7 as i, page_id % 13 = 5 as bad, page_id % 13 = 5 or page_id % 17 = 3 as leaf from pages),
+    f(site, i, depth) as (select s, 0::bigint, 0 from range(7) as t(s) union select f.site, u.k, f.depth + 1 from f join c on c.site = f.site and c.i = f.i and not c.leaf, unnest([c.i * 2 + 1, c.i * 2 + 2]) as u(k)),
+    o as (select 'site' || f.site || '.test' as domain, 'http://site' || f.site || '.test/p' || f.i as url, f.depth, case when c.i is null then null when c.bad then 500 else 200 end as status_code,
+          row_number() over (partition by f.site order by f.i) as seq from f left join c on c.site = f.site and c.i = f.i)"""
+
+
+@query(f"with recursive {_CRAWL_SQL} select domain, url, depth, status_code from o")
 def frontier_bfs(spark, sf_dir):
     start = spark.range(7).select(F.concat(F.lit("http://site"), "id", F.lit(".test/p0")).alias("seed"))
     return crawl.crawl(start, captured(spark, sf_dir), max_pages=None).select("domain", "url", "depth", "status_code")
 
 
+@query(f"with recursive {_CRAWL_SQL} select domain, url, depth, status_code, seq from o where seq <= 12")
+def frontier_capped(spark, sf_dir):
+    """As frontier_bfs, with the cap on pages of a host that a crawl has."""
+    start = spark.range(7).select(F.concat(F.lit("http://site"), "id", F.lit(".test/p0")).alias("seed"))
+    return crawl.crawl(start, captured(spark, sf_dir), max_pages=12).select("domain", "url", "depth", "status_code", F.col("seq").cast("long").alias("seq"))
+
+
 # -- classifiers ------------------------------------------------------------------------------------
 
 
 @query(f"""with {_SCAN_SQL}, g as (select doc_id, {_word(addresses.GIVING)} and not {_word('example')} as v from x),
     t as (select doc_id, bool_or(v) as a from g group by 1)
     select doc_id::varchar as domain, 'unknown' as language, 0.0::double as language_conf, false as is_illicit, 0.0::double as illicit_conf, 'other' as category, 0.0::double as category_conf,
-           contains(lower(coalesce(text, '')), 'document.cookie') as has_tracking, contains(lower(coalesce(text, '')), 'document.cookie')::int::double as tracking_conf, 'unique' as template_group, 0.0::double as template_conf,
-           coalesce(a, false) as has_attribution, coalesce(a, false)::int::double as attribution_conf from documents left join t using (doc_id)""")
+           c.any as has_tracking, c.any::int::double as tracking_conf, 'unique' as template_group, 0.0::double as template_conf,
+           coalesce(a, false) as has_attribution, coalesce(a, false)::int::double as attribution_conf
+    from documents left join t using (doc_id), lateral (select len(list_filter([{_CALLS}], lambda x: contains(lower(coalesce(text, '')), lower(x)))) > 0 as any) c""")
 def untrained_classify(spark, sf_dir):
     key = F.col("doc_id").cast("string").alias("domain")
-    calls = F.filter(F.array(F.lit("document.cookie")), lambda c: F.contains(F.lower(F.coalesce("text", F.lit(""))), c))
-    sites = table(spark, sf_dir, "documents").select(key, calls.alias("tracking_calls"))
+    sites = table(spark, sf_dir, "documents").select(key, "text", text.tracking_calls(F.col("text")).alias("tracking_calls"))
     x = addresses.scan(overlaid(spark, sf_dir), ["doc_id"], "t")
     contexts = x.select(key, *[c.alias(n) for n, c in addresses.context_flags(F.col("context")).items()])
-    return models.Classifiers().classify(sites, contexts, text="domain").drop("tracking_calls")
+    return models.Classifiers().classify(sites, contexts, text="text").drop("text", "tracking_calls")
 
 
 @query()

@@ -57,11 +57,26 @@ class Store:
             return self.spark.createDataFrame([], TABLES[name])
         return self.spark.read.schema(TABLES[name]).parquet(f"{self.root}/{name}/v{v}")
 
-    def write(self, name: str, df: DataFrame, keep: int = 2) -> None:
+    def write(self, name: str, df: DataFrame, keep: int = 2, mark: tuple[str, int] | None = None) -> None:
+        """mark: (stream, number) of the last batch that this version holds. Other streams' marks stay."""
         v = self._version(name) + 1
-        df.select(*TABLES[name].names).write.mode("overwrite").parquet(f"{self.root}/{name}/v{v}")
+        folder = f"{self.root}/{name}/v{v}"
+        marks = self._marks(name) | ({mark[0]: mark[1]} if mark else {})
+        if marks:  # before the table, whose _SUCCESS makes the version count
+            self.spark.createDataFrame([(k, n) for k, n in marks.items()], "stream string, number long").coalesce(1).write.mode("overwrite").json(f"{self.root}/{name}/marks-v{v}")
+        df.select(*TABLES[name].names).write.mode("overwrite").parquet(folder)
         if v > keep:
-            self._scratch.drop(f"{name}/v{v - keep}")
+            self._scratch.drop(f"{name}/v{v - keep}", f"{name}/marks-v{v - keep}")
+
+    def _marks(self, name: str) -> dict[str, int]:
+        folder = f"{self.root}/{name}/marks-v{self._version(name)}"
+        if not self._done(folder):
+            return {}
+        return {r.stream: r.number for r in self.spark.read.schema("stream string, number long").json(folder).collect()}  # a row a stream
+
+    def mark(self, name: str, stream: str) -> int:
+        """The number of the last batch of a stream that the table holds, or -1."""
+        return self._marks(name).get(stream, -1)
 
     def one(self, name: str, key: str, value: str) -> DataFrame:
         """Rows with a key; the filter reaches the scan."""

@@ -13,13 +13,23 @@ from webloom.operators import merge
 from webloom.sources.tables import Store
 
 
-def merging(store: Store, table: str, step: Callable[[DataFrame, DataFrame], DataFrame], checkpoint: str):
-    """A foreachBatch writer that replaces `table` by step(old, batch), batch by batch."""
+Step = Callable[[DataFrame, DataFrame], DataFrame]
+
+
+def once(store: Store, table: str, step: Step, stream: str) -> Callable[[DataFrame, int], None]:
+    """A function of a batch and its number that replaces `table` by step(old, batch). A batch that a
+    restarted stream gives again is told by its number, which the table's version has, and left out."""
 
     def apply(batch: DataFrame, epoch: int) -> None:
-        store.write(table, step(store.read(table), batch))
+        if store.mark(table, stream) < epoch:
+            store.write(table, step(store.read(table), batch), mark=(stream, epoch))
+
+    return apply
+
 
-    return lambda stream: stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
+def merging(store: Store, table: str, step: Step, checkpoint: str):
+    """A foreachBatch writer that applies step(old, batch) to `table`, once a batch."""
+    return lambda stream: stream.writeStream.foreachBatch(once(store, table, step, checkpoint)).option("checkpointLocation", checkpoint)
 
 
 def edge_counter(store: Store, checkpoint: str):

@@ -13,7 +13,6 @@ _TYPES = {
     "boolean": T.BooleanType(),
     "timestamp": T.TimestampType(),
     "array<string>": T.ArrayType(T.StringType()),
-    "map<string,string>": T.MapType(T.StringType(), T.StringType()),
 }
 
 
@@ -23,10 +22,6 @@ def _schema(text: str) -> T.StructType:
     return T.StructType([T.StructField(f[0], _TYPES[f[1]], len(f) < 3) for f in fields])
 
 
-PAGES_RAW = _schema(
-    "url string, domain string, status_code int, html string, headers map<string,string>, links array<string>, "
-    "onion_links array<string>, error string, crawled_at double, server string, has_tls boolean, seq bigint"
-)
 DOMAINS = _schema(
     "domain string not null, first_seen timestamp not null, last_checked timestamp, is_v3 boolean, is_available boolean, "
     "server string, has_tls boolean, language string, language_conf double, is_illicit boolean, illicit_conf double, "
@@ -39,7 +34,5 @@ ADDRESSES = _schema(
     "wallet_id string, num_txns bigint, deposits_usd double, withdrawals_usd double, is_outlier boolean, is_malicious boolean"
 )
 EDGES = _schema("src string not null, dst string not null, weight bigint")
-NODES = _schema("id string, is_onion boolean")
-TRANSACTIONS = _schema("txid string, inputs array<string>, outputs array<string>, value_usd double, is_deposit boolean")
 
 TABLES = {"domains": DOMAINS, "pages": PAGES, "crypto_addresses": ADDRESSES, "graph_edges": EDGES}

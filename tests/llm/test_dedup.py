@@ -124,6 +124,25 @@ def test_near_copies_share_four_fifths(spark, monkeypatch, block, columns):
     assert kept == [(i, texts[i]) for i in range(len(texts)) if want[i] == i]
 
 
+def test_near_copies_among_documents(spark):
+    """Recall of the candidate radii, and all components, against a comparison of all pairs."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = sorted((r.doc_id, r.text) for r in docs.collect())
+    sets = [np.unique(simhash.shingle_hashes((t or "").encode(), 5)) for _, t in rows]
+    sizes = np.array([len(s) for s in sets])
+    shared = simhash.common(sets, sets)
+    a, b = np.nonzero(np.triu(shared / np.maximum(sizes[:, None] + sizes[None, :] - shared, 1) >= 0.8, 1))
+    with np.errstate(over="ignore"):
+        marks = np.array([[simhash.fingerprint(simhash.remixed(s, lane)) for lane in range(4)] for s in sets], np.uint64)
+    bits = np.bitwise_count(marks[a] ^ marks[b]).astype(int)
+    found = (bits[:, 0] <= simhash.DOCUMENTS["radius"]) & (bits.sum(axis=1) <= simhash.DOCUMENTS["total"])
+    assert len(a) > 50 and found.mean() >= 0.99
+    blank = np.flatnonzero(sizes == 0).tolist()
+    want = components(len(rows), [*zip(a.tolist(), b.tolist(), strict=True), *((x, blank[0]) for x in blank[1:])])
+    got = {r.doc_id: r.component_id for r in simhash.near_groups(docs, **simhash.DOCUMENTS).collect()}
+    assert got == {rows[i][0]: rows[c][0] for i, c in enumerate(want)}
+
+
 @pytest.mark.parametrize(("radius", "lanes", "total"), [(0, 1, None), (3, 1, None), (16, 4, 44)])
 def test_close_pairs_skip_nothing(radius, lanes, total):
     rng = np.random.default_rng(radius)

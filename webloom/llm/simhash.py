@@ -26,6 +26,7 @@ from pyspark.sql import types as T
 
 from webloom.core.scratch import Scratch
 from webloom.llm.forest import Forest
+from webloom.llm.memory import tidy
 from webloom.operators.components import connected_components
 
 SEED = 42
@@ -33,6 +34,8 @@ SEED = 42
 TILE_SHARE, TILE_LEAST, TILE_MOST, SUB = 32, 256, 1 << 20, 512
 #: Sets and shingles of a block of the exact comparison, and shingles it has bits for at a time.
 BLOCK_SETS, BLOCK_SHINGLES, COLUMNS = 512, 1 << 21, 4096
+#: Rows, of 40 bytes at most, that are broadcast at most.
+BROADCAST_ROWS = 1_000_000
 
 
 def shingle_hashes(text: bytes | None, k: int) -> np.ndarray:
@@ -91,7 +94,7 @@ def fingerprints(docs: DataFrame, k: int = 3, lanes: int = 1, id_col: str = "doc
                         out[lane, i] = fingerprint(remixed(h, lane))
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x.view(np.int64)) for x in out), *[pa.array(digests, pa.binary())] * distinct], names=schema.names)
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(tidy(run), schema)
 
 
 def _words16(x: np.ndarray) -> np.ndarray:
@@ -214,6 +217,12 @@ def common(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def _small(table: DataFrame) -> DataFrame:
+    """A written table of rows of fixed width, broadcast if it has no more than BROADCAST_ROWS: what it is
+    joined with holds whole texts, which are shuffled only beyond that."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
 def similar_links(docs: DataFrame, classes: DataFrame, candidates: DataFrame, k: int, similarity: float, scratch: Scratch) -> DataFrame:
     """Edges (src, dst) of spanning forests of the pairs whose shingle sets have at least that Jaccard
     similarity, among all that `candidates` (src, dst) connect. docs: (id long, text binary); classes:
@@ -235,8 +244,8 @@ def similar_links(docs: DataFrame, classes: DataFrame, candidates: DataFrame, k:
             kept = pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["id", "component"]).filter(pa.array(mine))
             yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(sizes), pa.array(ranges), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "component", "n", "range", "shingles"])
 
-    texts = docs.withColumnRenamed("id", "rep").join(members, "rep").select("id", "component", "digest", "text")
-    sets = scratch.write(texts.mapInArrow(shingles, "id long, component long, n long, range long, shingles binary"), "sets")
+    texts = docs.withColumnRenamed("id", "rep").join(_small(members), "rep").select("id", "component", "digest", "text")
+    sets = scratch.write(texts.mapInArrow(tidy(shingles), "id long, component long, n long, range long, shingles binary"), "sets")
     blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_SETS, F.sum("n") / BLOCK_SHINGLES, F.lit(1.0))).cast("int")
     ranges = sets.groupBy("component", "range").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s"), blocks.alias("blocks"))
     parts = ranges.groupBy("component").agg(F.sum("c").alias("c"), F.sum("s").alias("s"), F.collect_list(F.struct("range", "blocks")).alias("parts"))  # a text's size has few ranges
@@ -302,8 +311,10 @@ def near_groups(
 
 #: For whole documents: sets of five-word shingles that share 0.8. 256 bits of four lanes only find
 #: candidates: texts that share 0.8 differ in 39 bits on average, with a deviation of 6, or in 48 when
-#: they have four and five shingles; the radii lie five and four deviations above that.
-DOCUMENTS = {"k": 5, "radius": 24, "lanes": 4, "total": 80, "similarity": 0.8}
+#: they have four and five shingles; in lane 0 in 10 and 12, with one of 3. The radii lie more than three
+#: deviations above that, or two and a half for such short texts. Wider ones chain texts that share less
+#: than half into candidate groups that grow faster than the input.
+DOCUMENTS = {"k": 5, "radius": 20, "lanes": 4, "total": 64, "similarity": 0.8}
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how: int) -> DataFrame:
@@ -314,4 +325,5 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     groups = near_groups(docs, **(DOCUMENTS | how), id_col=id_col, text_col=text_col)
     gone = groups.groupBy(F.col(id_col).alias("_gone")).agg(F.max(F.col(id_col) == F.col("component_id")).alias("stays")).where("not stays").select("_gone")
     gone = Scratch(docs.sparkSession, "simhash-drop").write(gone, "gone")
+    gone = _small(gone)
     return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")

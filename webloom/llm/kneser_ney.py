@@ -38,6 +38,7 @@ from pyspark.sql import types as T
 
 from webloom.core.scratch import Scratch
 from webloom.llm import files
+from webloom.llm.memory import tidy
 
 #: Documents for each word bucket, tokens for each pair bucket, tokens beyond which a context has
 #: buckets of its own, bytes of text handled at a time.
@@ -553,7 +554,7 @@ class _Fit:
             rows = [(b, "words", None, len(keys), int(counts.sum()), 0, 0, 0, 0), *((b, "hot", None, int(p), int(counts[p]), 0, 0, 0, 0) for p in hot)]
             return pd.DataFrame(rows, columns=COLUMNS)
 
-        found = self.scratch.write(self.texts.mapInArrow(words, _BLOBS).groupBy("bucket").applyInPandas(add, _FOUND), "words")
+        found = self.scratch.write(self.texts.mapInArrow(tidy(words), _BLOBS).groupBy("bucket").applyInPandas(add, _FOUND), "words")
         offsets, kinds = self.sizes(found, "words", 1 << bits)
         model.tokens, model.vocabulary = int(kinds[0]), int(offsets[-1])
         self.index("words", offsets)
@@ -588,7 +589,7 @@ class _Fit:
                 rows += [(b, "hot", None, int(p), int(counts[p]), 0, 0, 0, 0) for p in np.flatnonzero(counts > HOT)]
             return pd.DataFrame(rows, columns=COLUMNS)
 
-        found = self.scratch.write(self.texts.mapInArrow(pairs, _BLOBS).groupBy("bucket").applyInPandas(add, _FOUND), "pairs")
+        found = self.scratch.write(self.texts.mapInArrow(tidy(pairs), _BLOBS).groupBy("bucket").applyInPandas(add, _FOUND), "pairs")
         offsets, kinds = self.sizes(found, "pairs", model.pairs.all_buckets)
         self.index("pairs", offsets)
         model.pairs.types, model.pairs.discounts = int(offsets[-1]), discounts(*kinds[:4])
@@ -627,7 +628,7 @@ class _Fit:
             facts.append(("before", numbers[by_number].astype(np.uint64), before[by_number]))
             return pd.DataFrame([(b, "triples", None, len(keys), *_kinds(counts)), *_fact_rows(facts, r.pairs.offsets)], columns=COLUMNS)
 
-        found = self.scratch.write(self.texts.mapInArrow(triples, _BLOBS).groupBy("bucket").applyInPandas(add, _FOUND), "triples")
+        found = self.scratch.write(self.texts.mapInArrow(tidy(triples), _BLOBS).groupBy("bucket").applyInPandas(add, _FOUND), "triples")
         offsets, kinds = self.sizes(found, "triples", model.triples.all_buckets)
         self.index("triples", offsets)
         model.triples.types, model.triples.discounts = int(offsets[-1]), discounts(*kinds[:4])
@@ -784,7 +785,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             columns = [*counts, np.full(b.num_rows, shared.value.tokens), *sums, 10 ** (-sums[1] / counts[0])]
             yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, columns)], names=[id_col, *names])
 
-    return docs.select(id_col, F.col(text_col).cast("binary").alias("_text_to_score")).mapInArrow(run, schema)
+    return docs.select(id_col, F.col(text_col).cast("binary").alias("_text_to_score")).mapInArrow(tidy(run), schema)
 
 
 def fit_and_score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", order: int = 2) -> DataFrame:

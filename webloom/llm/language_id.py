@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from webloom.llm.memory import tidy
 from webloom.llm.toxicity import sampled
 
 SIZES = (1, 2, 3)
@@ -108,7 +109,7 @@ def fit(docs: DataFrame, train: Column, fit_rows: int = FIT_ROWS, id_col: str =
             arrays = [pa.array([lang] * len(at), pa.string()), pa.array(at), pa.array(total[at])]
             yield pa.RecordBatch.from_arrays(arrays, names=["lang", "bucket", "n"])
 
-    got = rows.select(F.col(text_col).alias("text"), F.col("_lang").alias("lang")).mapInArrow(run, "lang string, bucket long, n long")
+    got = rows.select(F.col(text_col).alias("text"), F.col("_lang").alias("lang")).mapInArrow(tidy(run), "lang string, bucket long, n long")
     got = got.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()  # languages x buckets
     c = np.zeros((1 << BITS, len(languages)))
     for j, lang in enumerate(languages):
@@ -159,4 +160,4 @@ def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_
             langs, scores = classify(b.column(1).to_pylist(), shared.value)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(langs, pa.string()), pa.array(scores)], names=[id_col, "lang_pred", "score"])
 
-    return docs.select(id_col, F.col(text_col).alias("_text_to_read")).mapInArrow(run, schema)
+    return docs.select(id_col, F.col(text_col).alias("_text_to_read")).mapInArrow(tidy(run), schema)

@@ -28,13 +28,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from webloom.llm.memory import tidy
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 #: Words and segments of a generation that a worker remembers, and neighbour tests.
-MEMO_WORDS, MEMO_PAIRS = 400_000, 1_000_000
+MEMO_WORDS, MEMO_PAIRS = 100_000, 250_000
 #: Characters or ids handled at a time; a longer text is handled alone.
-SPAN = 1 << 22
+SPAN = 1 << 21
 NORMAL, UNKNOWN_TYPE, BYTE = 1, 2, 6
 UNIGRAM, BPE = 1, 2
 
@@ -358,7 +360,7 @@ def _mapped(df: DataFrame, columns: list[str], value, added: list[T.StructField]
                 arrays = work(part.column(n))
                 yield pa.RecordBatch.from_arrays([*part.columns[:n], *arrays], names=[f.name for f in schema])
 
-    return df.select(*columns, value).mapInArrow(run, schema)
+    return df.select(*columns, value).mapInArrow(tidy(run), schema)
 
 
 def _free(name: str, columns: list[str]) -> str:

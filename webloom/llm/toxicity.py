@@ -17,10 +17,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from webloom.llm.memory import tidy
+
 WORD = re.compile(r"[^\W\d_]+")
 PREFIXES = (3, 4, 5, 6)
 BUCKETS = 1 << 18
@@ -30,7 +33,7 @@ LEAST, FACTORS, STEPS, BATCH = 3, 4, 400, 256
 #: Rates of weights and of factors; the square and the absolute penalty.
 RATE, PAIR_RATE, DECAY, SPARSE = 0.1, 0.01, 1e-4, 1e-3
 #: Words that a worker remembers before it starts anew.
-MEMO = 400_000
+MEMO = 100_000
 
 
 def word_terms(word: str) -> list[int]:
@@ -81,6 +84,7 @@ def fit_machine(terms: list[np.ndarray], labels: np.ndarray, seed: int = 5) -> M
     best = np.flatnonzero((df >= LEAST) & (n - df >= LEAST))
     slot[best] = np.arange(len(best))
     kept = [k[k >= 0] for k in (slot[t] for t in terms)]
+    del terms
     rng = np.random.default_rng(seed)
     w0, w, v = float(np.log(pos / (n - pos))), np.zeros(len(best)), rng.normal(0, 0.01, (len(best), FACTORS))
     g0, gw, gv = 1e-8, np.full(w.shape, 1e-8), np.full(v.shape, 1e-8)
@@ -155,9 +159,11 @@ def fit(
             yield pa.RecordBatch.from_arrays([pa.array(terms, pa.binary()), b.column(1)], names=["terms", "label"])
 
     rows = training_rows(docs, labels, fit_rows, id_col, text_col, label_col, folds, held)
-    got = rows.mapInArrow(run, "terms binary, label int").toPandas()
-    got = got.sort_values(["label", "terms"], kind="stable")  # the same model whatever order tasks end in
-    return fit_machine([np.frombuffer(t, np.int32) for t in got["terms"]], got["label"].to_numpy())
+    got = rows.mapInArrow(tidy(run), "terms binary, label int").toArrow().combine_chunks()
+    labels = got["label"].to_numpy()
+    bags = [np.frombuffer(t.as_buffer(), np.int32) for t in got["terms"]]  # views of what has arrived
+    order = sorted(range(len(bags)), key=lambda i: (labels[i], xxhash.xxh3_128_digest(bags[i])))  # the same model whatever order tasks end in
+    return fit_machine([bags[i] for i in order], labels[order])
 
 
 def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, out_col: str = "score") -> DataFrame:
@@ -184,7 +190,7 @@ def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: s
                     memo.clear()
             yield pa.RecordBatch.from_arrays([*b.columns[: len(columns)], pa.array(scores)], schema=pa.schema([*(b.schema.field(c) for c in range(len(columns))), (out_col, pa.float64())]))
 
-    return docs.select(*columns, F.col(text_col).alias("_text_to_score")).mapInArrow(run, schema)
+    return docs.select(*columns, F.col(text_col).alias("_text_to_score")).mapInArrow(tidy(run), schema)
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm import embedding_dedup, exact_dedup, kneser_ney, language_id, mixing, sentencepiece_codec, simhash, toxicity, url_filters, warc
+from webloom.llm import byte_bpe, conversation_repair, elkan, embedding_dedup, exact_dedup, kneser_ney, language_id, mixing, sentencepiece_codec, simhash, toxicity, url_filters, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -115,6 +115,30 @@ def url_alias_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(pages.withColumn("html", F.concat(added, F.coalesce("html", F.lit("")))))
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded to byte-level BPE ids and decoded: (doc_id, n_tokens, ids_sha256, decoded_sha256).
+    Null and empty texts have no ids; texts of any length are encoded whole; repeated rows are encoded each.
+    An empty table gives no rows; other columns are not read."""
+    return byte_bpe.round_trip(_table(spark, sf_dir, "documents"))
+
+
+def op12_elkan_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Integer vectors in 40 clusters after 5 rounds: (vec_id, cluster, distance, cluster_inertia, inertia,
+    centroid_sha256). Vectors that are null, of another length than 64, or hold nulls or what is not finite
+    are left out; of centroids at equal distance the smaller number wins; copies and repeated ids count each,
+    and a null id is no first centroid. An empty table gives no rows; other columns are not read."""
+    return elkan.cluster(_table(spark, sf_dir, "embeddings"), k=40, rounds=5, dims=64, salt=2)
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations damaged by a hash and repaired at the least cost: (conv_id, gaps, blank, duplicate,
+    truncated, illegal, cost, audit, repaired_sha256). Nulls in role and text are one space, a null turn comes
+    first, rows of one turn are read by role and text, and a null conv_id is a conversation of its own. One
+    without rows has zeros, an empty audit and the digest of nothing. An empty table gives no rows; other
+    columns are not read."""
+    return conversation_repair.repair(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_embedding_dedup": op2_embedding_dedup,
@@ -127,6 +151,9 @@ QUERIES = {
     "op9_sentencepiece": op9_sentencepiece,
     "op10_url_filters": op10_url_filters,
     "url_alias_verdicts": url_alias_verdicts,
+    "op11_byte_bpe": op11_byte_bpe,
+    "op12_elkan_clusters": op12_elkan_clusters,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 _NORM = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')"
@@ -144,7 +171,89 @@ _RULED = f"""
             when (host = 'net' or host like '%.net') and starts_with(path, '/de/') then 'net/de/'
             when (host = 'org' or host like '%.org') and starts_with(path, '/es/') then 'org/es/' end as rule from b)"""
 
+
+def _clusters_sql(k: int, rounds: int, dims: int) -> str:
+    """Plain clustering, each round a CTE of assignments and one of centroids."""
+    near = "select r, vec_id, v.e, min(struct_pack(d := list_sum(list_transform(list_zip(v.e, c.e), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::bigint, c := c)) as m from v, c{0} c group by all"
+    steps = "".join(
+        f"""
+        a{i} as materialized ({near.format(i)}),
+        u{i} as (select m.c as c, unnest(e) as x, generate_subscripts(e, 1) as p from a{i}),
+        f{i} as (select c, p, ((sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*))::bigint as x from u{i} group by c, p),
+        g{i} as (select c, list(x order by p) as e from f{i} group by c),
+        c{i + 1} as materialized (select c{i}.c, coalesce(g{i}.e, c{i}.e) as e from c{i} left join g{i} using (c)),"""
+        for i in range(rounds)
+    )
+    return f"""
+        with v as materialized (
+            select row_number() over () as r, vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as e from embeddings
+            where len(embedding) = {dims} and len(list_filter(embedding, lambda z: z is null or not isfinite(z))) = 0),
+        h as (select e, sha256('2:' || vec_id) as h from v where vec_id is not null order by h, e limit {k}),
+        c0 as materialized (select (row_number() over (order by h, e) - 1)::int as c, e from h),{steps}
+        z as ({near.format(rounds)})
+        select vec_id, m.c as cluster, m.d as distance, (sum(m.d) over (partition by m.c))::bigint as cluster_inertia, (sum(m.d) over ())::bigint as inertia,
+               sha256(array_to_string(c{rounds}.e, ',')) as centroid_sha256
+        from z join c{rounds} on c{rounds}.c = m.c"""
+
+
+def _repair_sql() -> str:
+    """The search over all edits, turn by turn, with the cheapest (cost, audit, text) of each state."""
+    grown = lambda s, cost, letter, line: f"struct_pack(c := ({s}).c + {cost}, a := ({s}).a || '{letter}', r := ({s}).r || {line})"
+    least = lambda *xs: f"list_sort([{', '.join(xs)}])[1]"
+    drop = lambda q: grown(f"s.s{q}", 2, "D", "''")
+    keep = lambda q, initial: grown(f"s.s{q}", f"case when o.role[1] = '{initial}' then o.more else 1000000 end", "K", "(chr(10) || o.role || ':' || o.text)")
+    role = lambda q, new: grown(f"s.s{q}", "o.more + 1", "R", f"(chr(10) || '{new}:' || o.text)")
+    add = lambda s, new: grown(s, 5, "I", f"(chr(10) || '{new}:')")
+    never, start = "struct_pack(c := 100000000, a := '', r := '')", "struct_pack(c := 0, a := '', r := '')"
+    closed = f"{least('x2', add('x0', 'user'), add('x1', 'user'), add('x3', 'user'))} as s2, {least('x3', add('s2', 'assistant'))} as s3"
+    return rf"""
+        with recursive t(i, c, k) as (
+            select i, i::ubigint, 0 from range(256) r(i)
+            union all select i, case when c % 2 = 1 then xor(c >> 1, 3988292384::ubigint) else c >> 1 end, k + 1 from t where k < 8),
+        l as (select list(c order by i) as l from t where k = 8),
+        h as (
+            select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+                   xor(4294967295::ubigint, list_reduce(list_prepend(4294967295::ubigint, list_transform(string_split(coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' '), ''), lambda z: ascii(z)::ubigint)),
+                       lambda x, y: xor(x >> 8, l.l[(xor(x, y) % 256)::int + 1]))) % 20 as k
+            from conversations, l),
+        d as (
+            select conv_id, turn, case when k = 4 then 'user' else role end as role, case when k = 1 then '' when k = 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text,
+                   unnest(generate_series(1, case k when 0 then 0 when 3 then 2 else 1 end)) as copy
+            from h),
+        n as (select *, row_number() over (partition by conv_id order by turn nulls first, role, text, copy) as i from d),
+        b as (
+            select *, regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*\z', 1) as last, row_number() over (partition by conv_id, role, text order by i) > 1 as seen,
+                   lag(role) over (partition by conv_id order by i) as before
+            from n),
+        o as (
+            select *, case when last = '' then 'blank' when seen then 'duplicate' when last in ('.', '!', '?') then '' else 'truncated' end as kind,
+                   case when last = '' or seen then 1000000 when last in ('.', '!', '?') then 0 else 5 end as more
+            from b),
+        w as (
+            select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (where kind = 'blank') as blank, count(*) filter (where kind = 'duplicate') as duplicate,
+                   count(*) filter (where kind = 'truncated') as truncated, count(*) filter (where before is not null and before[1] || role[1] not in ('su', 'ua', 'au')) as illegal
+            from o group by conv_id),
+        s(conv_id, i, s0, s1, s2, s3) as (
+            select conv_id, 0::bigint, x0, x1, s2, s3
+            from (select *, {closed} from (select conv_id, {start} as x0, {never} as x1, {never} as x2, {never} as x3 from (select distinct conv_id from conversations)))
+            union all
+            select conv_id, i, x0, x1, s2, s3
+            from (select *, {closed} from (
+                select s.conv_id, o.i,
+                       {least(drop(0), keep(0, ""))} as x0,
+                       {least(drop(1), keep(0, "s"), keep(1, ""))} as x1,
+                       {least(drop(2), *(keep(q, "u") for q in (0, 1, 3)), *(role(q, "user") for q in (0, 1, 3)), keep(2, ""))} as x2,
+                       {least(drop(3), keep(2, "a"), role(2, "assistant"), keep(3, ""))} as x3
+                from s join o on o.conv_id is not distinct from s.conv_id and o.i = s.i + 1))),
+        e as (select conv_id, arg_max({least("s0", "s3")}, i) as e from s group by conv_id)
+        select e.conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0)::bigint as blank, coalesce(duplicate, 0)::bigint as duplicate, coalesce(truncated, 0)::bigint as truncated,
+               coalesce(illegal, 0)::bigint as illegal, e.c::bigint as cost, e.a as audit, sha256(substr(e.r, 2)) as repaired_sha256
+        from e left join w on w.conv_id is not distinct from e.conv_id"""
+
+
 SQL = {
+    "op12_elkan_clusters": _clusters_sql(40, 5, 64),
+    "op13_conversation_repair": _repair_sql(),
     "op2_embedding_dedup": """
         with recursive v as (
             select vec_id, label, embedding::double[] as e from embeddings

@@ -1,5 +1,6 @@
 import hashlib
 import math
+import time
 from collections import Counter
 
 import pytest
@@ -315,3 +316,39 @@ def test_pipeline_against_brute_force(spark):
         want[i, tuple(library.encode(text or ""))] += quantile(u, len(rows) * counts[source] ** 0.5 / shares / counts[source])
     got = Counter((r.doc_id, tuple(r.piece_ids)) for r in pipeline.run(spark, d).collect())
     assert got == +want and 0 < len(rows) < docs.count()
+
+
+def test_cut_archives_raise():
+    """Wherever a whole-file stream is cut, between records too, and wherever one of many members is."""
+    import zlib
+
+    records = [warc.record(i, "http://x", b"payload %d" % i * 40, "d", None) for i in range(5)]
+    gz, ends = zlib.compressobj(6, zlib.DEFLATED, 31), []
+    whole = b""
+    for r in records:
+        whole += gz.compress(r) + gz.flush(zlib.Z_SYNC_FLUSH)  # so that a cut can fall between records
+        ends.append(len(whole))
+    whole += gz.flush()
+    count = lambda data: sum(1 for _ in warc.split_records(warc.inflated([data[i : i + 7] for i in range(0, len(data), 7)])))
+    assert count(whole) == 5 and count(whole + b"\0" * 9) == 5 and count(b"") == 0
+    for cut in [*ends, *(e + 20 for e in ends[:-1]), 1, len(whole) - 1, len(whole) - 8]:
+        with pytest.raises(ValueError, match="ends"):
+            count(whole[:cut])
+    members = [zlib.compress(r, 6, 31) for r in records]
+    assert count(b"".join(members)) == 5 and count(b"".join(members[:3])) == 3
+    for cut in (1, 12, len(members[3]) - 1):
+        with pytest.raises(ValueError, match="ends"):
+            count(b"".join(members[:3]) + members[3][:cut])
+
+
+def test_hostile_markup_takes_time_in_proportion(spark):
+    url, n = "http://a.com/x", 1 << 20
+    fill = lambda piece: piece * (n // len(piece))
+    pieces = ["<link ", '<link "', "<link '\"", "<script", "<script ", "<!--", "</script ", "<meta http-equiv=refresh content='" + " " * 1000, "<textarea '"]
+    rows = [(i, url, "canonical http-equiv " + fill(p)) for i, p in enumerate(pieces)] + [(99, url, f'<meta http-equiv="refresh" content="{" " * n}">')]
+    small = spark.createDataFrame([(1, url, '<link rel="canonical" href="http://b.test/">')], "page_id long, url string, html string")
+    assert url_filters.alias_edges(small).count() == 1
+    for row in rows:
+        began = time.perf_counter()
+        url_filters.alias_edges(spark.createDataFrame([row], small.schema)).collect()
+        assert time.perf_counter() - began < 4, row[2][:60]

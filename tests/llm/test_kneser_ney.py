@@ -1,6 +1,7 @@
 import math
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -171,3 +172,21 @@ def test_numbers_of_any_size():
     assert (bucket[[1, 3, 4]] == 0).all() and plan.buckets <= bucket[0] == bucket[2] < plan.buckets + 3
     assert level.words(key).tolist() == word.tolist()
     assert [int(level.contexts(b, key[i : i + 1])[0]) for i, b in enumerate(bucket.tolist())] == context.tolist()
+
+
+def test_words_that_collide_under_any_polynomial(spark):
+    """The Thue-Morse word and its complement have one hash in every odd base modulo 2^64."""
+    word = "a"
+    while len(word) < 2048:
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    data = np.frombuffer(f"{word} {other} {word.upper()}\n{other}".encode(), np.uint8)
+    starts = np.array([0, 2049, 4098, 6147])
+    a, b, c, d = kn.hashed_words(data, starts, starts + 2048).tolist()
+    assert a == c != b == d
+    docs = spark.createDataFrame([(1, word), (2, f"{other} {other}"), (3, word)], "doc_id long, text string")
+    out = kn.fit_and_score(docs, F.col("doc_id") < 3, order=3).collect()
+    assert {r.doc_id: (r.n_tokens, r.n_known, r.train_tokens) for r in out} == {1: (2, 2, 5), 2: (3, 3, 5), 3: (2, 2, 5)}
+    got = {r.doc_id: r.base_score for r in out}
+    term = lambda n: math.log10((n + 0.5) / (5 + 0.5 * 4))
+    assert got[1] == pytest.approx(term(1) + term(2)) and got[2] == pytest.approx(2 * term(2) + term(2))

@@ -25,7 +25,6 @@ from __future__ import annotations
 from collections import OrderedDict
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -49,46 +48,19 @@ MAPS, HELD = 4096 if files.MAPS_ARE_FREE else 512, 256 << 20
 WHITE = np.isin(np.arange(256), [0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D])
 #: The hash of an end; a word's is never that of no bytes.
 END = np.uint64(0)
-BASE = 0x9E3779B97F4A7C15
-
-
-def _letters() -> np.ndarray:
-    """A number for each byte, the same for a capital A-Z as for its small letter."""
-    x = np.array([xxhash.xxh64_intdigest(bytes([c])) for c in range(256)], np.uint64)
-    x[0x41:0x5B] = x[0x61:0x7B]
-    return x
-
-
-LETTERS = _letters()
-
-
-#: Bytes whose words are hashed together, and bytes of a word beyond which it is hashed by itself.
-BLOCK, LONG = 1 << 20, 4096
-
-
-@cache
-def _powers() -> tuple[np.ndarray, np.ndarray]:
-    """Powers of BASE modulo 2^64, and their inverses."""
-    up = lambda x: np.cumprod(np.concatenate(([np.uint64(1)], np.full(BLOCK + LONG, x, np.uint64))))
-    return up(BASE), up(pow(BASE, -1, 1 << 64))
+BLANKS = b"\x20\x09\x0a\x0b\x0c\x0d"
 
 
 def hashed_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word data[start:end]: a polynomial in BASE over its bytes' numbers, mixed.
-    Sums over a block's bytes give those of all its words."""
-    out, (up, down) = np.empty(len(starts), np.uint64), _powers()
-    short = ends - starts <= LONG
-    for i in np.flatnonzero(~short):
-        out[i] = xxhash.xxh64_intdigest(data[starts[i] : ends[i]].tobytes().lower())
-    short = np.flatnonzero(short)
-    for _, a, z in _runs(starts[short] // BLOCK):
-        s, e = starts[short[a:z]], ends[short[a:z]]
-        first = int(s[0])
-        with np.errstate(over="ignore"):
-            numbers = LETTERS[data[first : int(e[-1])]]
-            sums = np.concatenate(([np.uint64(0)], np.cumsum(numbers * up[: len(numbers)])))
-            out[short[a:z]] = _mix((sums[e - first] - sums[s - first]) * down[s - first] + (e - s).astype(np.uint64))
-    return out
+    """XXH64 of each word data[start:end], with A-Z as small letters. Nothing but white space is between words;
+    each is told with what follows it up to the next one, and the distinct ones are hashed."""
+    if not len(starts):
+        return np.empty(0, np.uint64)
+    bounds = np.append(starts, ends[-1]).astype(np.int32)
+    words = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data))])
+    coded = words.dictionary_encode()
+    found = [xxhash.xxh64_intdigest(w.rstrip(BLANKS).lower()) for w in coded.dictionary.to_pylist()]
+    return np.array(found, np.uint64)[coded.indices.to_numpy()]
 
 
 @dataclass

@@ -111,13 +111,17 @@ def _joined(base: Column, href: Column) -> Column:
 def alias_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(src, dst) addresses: canonical links and immediate redirects that pages declare in their html.
 
-    What stands in comments, scripts, styles or textareas declares nothing. Entities are decoded."""
-    hidden = r"(?is)<!--.*?(?:-->|$)|<(script|style|textarea)\b[^>]*>.*?(?:</\1\s*>|$)"
+    What stands in comments, scripts, styles or textareas declares nothing. Entities are decoded. A tag ends
+    at the next < outside quotes, so markup that never closes its tags is read in time that grows with its
+    length: from no three places can the rest be in different quotes, and from two in the same it is one."""
+    rest = r"""\b(?:[^"'<>]++|"[^"]*+"|'[^']*+')*+>"""
+    hidden = rf"(?is)<!--.*?(?:-->|$)|<(script|style|textarea){rest}.*?(?:</\1\s*+>|$)"
     shown = F.regexp_replace(F.col(html_col), hidden, " ")
-    tags = F.regexp_extract_all(shown, F.lit(r"""(?is)<(?:link|meta)\b(?:[^"'>]++|"[^"]*+"|'[^']*+')*+>"""), F.lit(0))
+    tags = F.regexp_extract_all(shown, F.lit(f"(?is)<(?:link|meta){rest}"), F.lit(0))
     rows = pages.where(F.col(html_col).rlike(r"(?i)canonical|http-equiv")).select(F.col(url_col).alias("url"), F.explode(tags).alias("tag"))
     value = lambda name: F.coalesce(*[F.nullif(F.regexp_extract("tag", rf"""(?is)[\s"'/]{name}\s*=\s*{form}""", 1), F.lit("")) for form in ('"([^"]*)"', "'([^']*)'", "([^\\s\"'>]+)")])
-    refresh = F.regexp_extract(_unescaped(value("content")), r"""(?is)^\s*\d*(?:\.\d*)?\s*[;,\s]\s*(?:url\s*=\s*)?["']?\s*([^"'\s]+)""", 1)
+    content = F.regexp_replace(_unescaped(value("content")), r"\s+", " ")  # or long runs would be cut in many ways
+    refresh = F.regexp_extract(content, r"""(?is)^\s*\d*(?:\.\d*)?\s*[;,\s]\s*(?:url\s*=\s*)?["']?\s*([^"'\s]+)""", 1)
     canonical = F.col("tag").rlike(r"(?i)^<link") & F.lower(value("rel")).rlike(r"(^|\s)canonical(\s|$)")
     redirect = F.col("tag").rlike(r"(?i)^<meta") & (F.lower(F.trim(value("http-equiv"))) == "refresh")
     target = F.trim(F.when(canonical, _unescaped(value("href"))).when(redirect, refresh))

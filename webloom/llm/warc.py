@@ -74,20 +74,23 @@ def write_archives(rows: DataFrame, folder: str) -> DataFrame:
 
 
 def inflated(parts: Iterable[bytes], most: int = 1 << 20) -> Iterator[bytes]:
-    """Content of a gzip file of one or many members, in pieces of bounded size."""
-    z = zlib.decompressobj(31)
+    """Content of a gzip file of one or many members, in pieces of bounded size. A file that ends within a
+    member raises, wherever in its content that is; zeros may stand behind a member."""
+    z, fed = zlib.decompressobj(31), False  # whether a member has begun
     for part in parts:
-        while part:
-            got = z.decompress(part, most)
+        while part := part if fed else part.lstrip(b"\0"):
+            got, fed = z.decompress(part, most), True
             if got:
                 yield got
             if z.eof:
-                part = z.unused_data.lstrip(b"\0")
-                z = zlib.decompressobj(31)
+                part = z.unused_data
+                z, fed = zlib.decompressobj(31), False
             else:
                 part = z.unconsumed_tail
     while tail := z.decompress(z.unconsumed_tail, most):
         yield tail
+    if fed and not z.eof:
+        raise ValueError("the archive ends within a gzip member")
 
 
 def split_records(parts: Iterable[bytes]) -> Iterator[tuple[bytes, Iterator[bytes]]]:

@@ -4,8 +4,8 @@ A batch of texts is cut before each space that a non-space character follows; no
 such a place, so the distinct chunks of a batch can be told first and are split into pre-tokens once. The
 first tier resolves the distinct pre-tokens that are in the vocabulary as a whole: a minimal perfect hash
 gives each one slot to look at, and the bytes there decide. The second tier merges the others: a heap of
-pairs by rank over a linked list of their bytes. Ids of pre-tokens, chunks and texts are then put together
-by Arrow.
+pairs by rank over a linked list of their bytes, whose latest results a worker remembers. Ids of
+pre-tokens, chunks and texts are then put together by Arrow.
 
 The hash is built once, on the driver, by hashing and displacing: keys are dealt to buckets, and of each
 bucket, the largest first, a displacement is sought that sends all its keys to slots that are still free.
@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
@@ -27,12 +28,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from webloom.llm.sentencepiece_codec import _free, _mapped
+from webloom.llm.sentencepiece_codec import Memory, _free, _mapped
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Keys that a bucket of the hash has on average, displacements tried at a time, and all that are tried.
 BUCKET, TRIES, MOST_TRIES = 4, 256, 1 << 24
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
+#: Merged words of a generation that a worker remembers, of which it keeps two.
+MEMO_WORDS = 200_000
 #: Bytes that may follow a space for a cut there: no white space begins with them.
 FOLLOWS = np.array([0x20 < b < 0x80 or b in range(0xC3, 0xE1) or b > 0xE3 for b in range(256)])
 
@@ -104,12 +107,18 @@ class Vocabulary:
         for token, i in self.rank.items():
             raw[i] = token
         self.raw = pa.array(raw, pa.binary())
+        # the token that two tokens make, and that two bytes make, or -1
+        get, self.bytes = self.rank.get, [self.rank[bytes([b])] for b in range(256)]
+        halves = ((get(t[:i]), get(t[i:]), r) for t, r in self.rank.items() for i in range(1, len(t)))
+        self.pairs = {a << 32 | b: r for a, b, r in halves if a is not None and b is not None}
+        self.first = {(a, b): get(bytes([a, b]), -1) for a in range(256) for b in range(256)}
+        self.memory = Memory(MEMO_WORDS)
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"pattern": self.pattern.pattern}
+        return self.__dict__ | {"pattern": self.pattern.pattern, "memory": None}
 
     def __setstate__(self, state: dict) -> None:
-        self.__dict__ = state | {"pattern": regex.compile(state["pattern"])}
+        self.__dict__ = state | {"pattern": regex.compile(state["pattern"]), "memory": Memory(MEMO_WORDS)}
 
     def whole(self, words: pa.StringArray, listed: list[str]) -> np.ndarray:
         """Id of each word that is a token, -1 of others."""
@@ -119,67 +128,67 @@ class Vocabulary:
 
     def merged(self, word: bytes) -> list[int]:
         """Ids of a word by merging: the pair of least rank first, the leftmost of equals."""
-        rank, n = self.rank, len(word)
-        ends, ahead = list(range(1, n + 1)), list(range(-1, n - 1))  # a part by its first byte; 0 once it is gone
-        heap = [(r, i) for i in range(n - 1) if (r := rank.get(word[i : i + 2])) is not None]
+        pairs, n = self.pairs, len(word)
+        ids = [self.bytes[b] for b in word]  # of a part, by its first byte; -1 once it is gone
+        after, ahead = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [r << 32 | i for i, r in enumerate(map(self.first.__getitem__, zip(word, word[1:], strict=False))) if r >= 0]
         heapify(heap)
         while heap:
-            r, i = heappop(heap)
-            j = ends[i]
-            if not j or j == n or rank.get(word[i : ends[j]]) != r:
+            top = heappop(heap)
+            r, i = top >> 32, top & 0xFFFFFFFF
+            j = after[i]
+            if j == n or ids[i] < 0 or pairs.get(ids[i] << 32 | ids[j]) != r:
                 continue
-            end = ends[i] = ends[j]
-            ends[j] = 0
+            ids[i], ids[j], end = r, -1, after[j]
+            after[i] = end
             if end < n:
                 ahead[end] = i
-                if (r := rank.get(word[i : ends[end]])) is not None:
-                    heappush(heap, (r, i))
-            if i and (r := rank.get(word[ahead[i] : end])) is not None:
-                heappush(heap, (r, ahead[i]))
-        out, i = [], 0
-        while i < n:
-            out.append(rank[word[i : ends[i]]])
-            i = ends[i]
-        return out
+                if (more := pairs.get(r << 32 | ids[end])) is not None:
+                    heappush(heap, more << 32 | i)
+            if i and (more := pairs.get(ids[ahead[i]] << 32 | r)) is not None:
+                heappush(heap, more << 32 | ahead[i])
+        return [i for i in ids if i >= 0]
 
     def _words(self, words: pa.StringArray) -> pa.ListArray:
         """Ids of each of some distinct pre-tokens."""
         listed = words.to_pylist()
         ids = self.whole(words, listed)
-        counts, rest = np.ones(len(ids), np.int64), {}
-        for i in np.flatnonzero(ids < 0).tolist():
-            rest[i] = self.merged(listed[i].encode("utf-8"))
-            counts[i] = len(rest[i])
-        ends = np.cumsum([0, *counts])
+        missed = np.flatnonzero(ids < 0)
+        rest = [listed[i] for i in missed.tolist()]
+        for w in self.memory.missing(rest):
+            self.memory.young[w] = array("i", self.merged(w.encode("utf-8"))).tobytes()
+        packed = [self.memory.young[w] for w in rest]
+        counts = np.ones(len(ids), np.int64)
+        counts[missed] = [len(x) // 4 for x in packed]
         values = np.repeat(ids, counts)
-        for i, found in rest.items():
-            values[ends[i] : ends[i + 1]] = found
-        return _lists(ends, pa.array(values))
-
-    def _chunks(self, chunks: pa.StringArray) -> pa.ListArray:
-        """Ids of each of some distinct chunks."""
-        listed = chunks.to_pylist()
+        values[np.repeat(ids < 0, counts)] = np.frombuffer(b"".join(packed), np.int32)
+        return _lists(np.cumsum([0, *counts]), pa.array(values.astype(np.int32)))
+
+    def _chunks(self, chunks: pa.StringArray) -> tuple[pa.ListArray, np.ndarray]:
+        """Ids of some distinct chunks, in another order, and the place of each one there."""
+        bounds, raw = _buffers(chunks)
+        long = np.diff(bounds) > 1
+        led = long.copy()
+        led[long] = (raw[bounds[:-1][long]] == 0x20) & FOLLOWS[raw[bounds[:-1][long] + 1]]
         # chunks that begin with a space may follow any text, so one search splits them all
-        led = [c.startswith(" ") and c[1:2] not in ("", " ") and not c[1].isspace() for c in listed]
-        joined = [c for c, first in zip(listed, led, strict=True) if first]
-        found = self.pattern.findall("".join(joined))
-        begins = np.cumsum([0, *map(len, found)])[:-1]
-        of_joined = iter(np.diff(np.searchsorted(begins, np.cumsum([0, *map(len, joined)]))).tolist())
-        words, counts, at = [], [], 0
-        for chunk, first in zip(listed, led, strict=True):
-            mine = found[at : at + (n := next(of_joined))] if first else self.pattern.findall(chunk)
-            at += n if first else 0
-            words += mine
-            counts.append(len(mine))
+        joined = chunks.filter(pa.array(led))
+        words = self.pattern.findall("".join(joined.to_pylist()))
+        begins = np.cumsum([0, *map(len, words)])[:-1]
+        ends = np.searchsorted(begins, np.cumsum(pc.utf8_length(joined).to_numpy())).tolist()
+        for chunk in chunks.filter(pa.array(~led)).to_pylist():  # the first of a text
+            words += self.pattern.findall(chunk)
+            ends.append(len(words))
+        place = np.empty(len(led), np.int64)
+        place[np.concatenate((np.flatnonzero(led), np.flatnonzero(~led)))] = np.arange(len(led))
         coded = pa.array(words, pa.string()).dictionary_encode()
-        return _regrouped(self._words(coded.dictionary), coded.indices, np.cumsum([0, *counts]))
+        return _regrouped(self._words(coded.dictionary), coded.indices, np.array([0, *ends])), place
 
     def encode(self, texts: pa.StringArray) -> pa.ListArray:
         """Ids of whole texts; null and empty texts have none."""
+        if not len(texts):
+            return pa.array([], pa.list_(pa.int32()))
         texts = pc.fill_null(texts.cast(pa.string()), "")
-        offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int32)
-        data = texts.buffers()[2]
-        raw = np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
+        offsets, raw = _buffers(texts)
         begins = np.zeros(offsets[-1] + 1, bool)
         mine = raw[offsets[0] : offsets[-1]]
         begins[offsets[0] : max(offsets[0], offsets[-1] - 1)] = (mine[:-1] == 0x20) & FOLLOWS[mine[1:]]
@@ -187,9 +196,10 @@ class Vocabulary:
         begins[offsets] = True
         at = np.flatnonzero(begins[:-1])
         bounds = np.append(at, offsets[-1]).astype(np.int32)
-        chunks = pa.StringArray.from_buffers(len(at), pa.py_buffer(bounds), data) if len(at) else pa.array([], pa.string())
+        chunks = pa.StringArray.from_buffers(len(at), pa.py_buffer(bounds), pa.py_buffer(raw))
         coded = chunks.dictionary_encode()
-        return _regrouped(self._chunks(coded.dictionary), coded.indices, np.searchsorted(at, offsets))
+        lists, place = self._chunks(coded.dictionary)
+        return _regrouped(lists, pa.array(place[coded.indices.to_numpy()]), np.searchsorted(at, offsets))
 
     def decode(self, lists: pa.ListArray) -> pa.BinaryArray:
         """Bytes of lists of ids; null lists give null, and ids that the vocabulary lacks raise."""
@@ -201,6 +211,13 @@ class Vocabulary:
         return pc.binary_join(pa.ListArray.from_arrays(lists.offsets, found, mask=lists.is_null() if lists.null_count else None), b"")
 
 
+def _buffers(texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each text begins, and the last ends, in the bytes of all."""
+    _, offsets, data = texts.buffers()
+    raw = np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
+    return np.frombuffer(offsets, np.int32)[texts.offset : texts.offset + len(texts) + 1], raw
+
+
 def _lists(ends: np.ndarray, values: pa.Array) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
 

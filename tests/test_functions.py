@@ -1,3 +1,5 @@
+import time
+
 from pyspark.sql import functions as F
 
 from webloom.functions import addresses, dom, text, urls
@@ -80,3 +82,25 @@ def test_graph(spark):
     assert {r.id: r.total_degree for r in graph.degrees(nodes, edges).collect()}["a"] == 5
     ranks = graph.pagerank(nodes, edges, fixed=5).agg(F.sum("pagerank")).first()[0]
     assert abs(ranks - 1) < 1e-9
+
+
+def test_markup_takes_time_in_proportion():
+    """A megabyte of markup that never closes what it opens, in each of many ways."""
+    pieces = ["<p>", "<a ", "<", "</", "<!--", "<!", "<?", "&", "<a b='", '<a b="c', "<script>", "<script ", "<script></", "</script ", "<![CDATA[", "&#", "&#9", "<a/", "<a =", "<a b", "<a b=c ", "<a '", "<i></p>", "<p></q>", "<noscript>", "<a =\"' ", "=\"<a b='"]
+    for piece in pieces:
+        began = time.perf_counter()
+        dom.parse(piece * ((1 << 20) // len(piece)), "http://h/")
+        assert time.perf_counter() - began < 4, piece
+    assert dom.parse("a&#" + "9" * 5000 + ";b", None)[4] == "a\ufffdb"
+
+
+def test_markup_that_is_cut_or_odd():
+    text = lambda html: dom.parse(html, None)[5]
+    assert text("a < b <3 c") == "a < b < 3 c"
+    assert text("x<p title='a>b' y=\"<b>\">z</p ><br/>w") == "x z w"
+    assert text("x<!-- > <p>y --> z<!--> u<!-- never") == "x z u"
+    assert text("x<p cl") == "x" and text("x</p") == "x" and text("x<![CDATA[y]]>z<?php ?>") == "x z"
+    page = "<SCRIPT>if (a</b) '</scripted>'</SCRIPT ><a HREF=x/y>l</a><script src=q>no</script><script/>t<style>s"
+    css, js, sheets, scripts, clean, *_, hrefs, _, paths = dom.parse(page, None)
+    assert (css, js, sheets, scripts, clean, hrefs) == (True, True, "", "if (a</b) '</scripted>'\n\n", "l t", ["x/y"])
+    assert dom.parse("<noscript><p>a</noscript>b<i>c</p>d", None)[4:6] == ("b c d", "a b c d")

@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from webloom.functions import dom
 from webloom.operators import crawl, merge, wallets
 from webloom.plans import jobs
 from webloom.sources.tables import Store
@@ -98,6 +99,38 @@ def test_crawl_without_a_page_cap(spark):
     assert crawl.crawl(start, source, max_pages=None).count() == len(leaves) + 1
 
 
+def test_latest_capture_counts_whole(spark, monkeypatch):
+    """Captures of one url are chosen between once, by time, whatever their order; roots have one spelling."""
+    rows = [
+        ("http://H.test", "<a href='/old'>o</a>", 500, 5), ("http://h.test/", "<a href='/new'>n</a>", 200, 9), ("http://h.test/#x", "<a href='/none'>n</a>", 200, None),
+        ("http://h.test/new", "first", 200, 1), ("http://h.test/new", "<p>second</p>", 404, 2),
+    ]
+    start = spark.createDataFrame([("h.test",)], "seed string")
+    parsed, with_dom = [], dom.with_dom
+    monkeypatch.setattr(dom, "with_dom", lambda *a, **k: parsed.append(1) or with_dom(*a, **k))
+    for order in (rows, rows[::-1]):
+        source = spark.createDataFrame(order, "url string, html string, status_code int, at int").withColumn("captured_at", F.timestamp_seconds("at"))
+        got = [(r.seq, r.url, r.status_code, r.html, r.links) for r in crawl.crawl(start, source).orderBy("seq").collect()]
+        assert got == [(1, "http://h.test", 200, "<a href='/new'>n</a>", ["http://h.test/new"]), (2, "http://h.test/new", 404, "<p>second</p>", [])]
+        domains = spark.createDataFrame([("h.test",), ("other.test",)], "domain string")
+        assert {r.domain: r.is_available for r in crawl.check(domains, source).collect()} == {"h.test": True, "other.test": False}
+    assert len(parsed) == 2  # once a crawl
+
+
+def test_rounds_read_the_index_where_it_lies(spark):
+    source = spark.createDataFrame([(f"http://h.test/{i}", "x") for i in range(20)], "url string, html string")
+    index = crawl.page_index(source)
+    want = index.select(F.col("address").alias("url")).repartition(3)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = crawl.fetch(want, index)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    asked = [line for line in plan.splitlines() if "Exchange hashpartitioning(_u" in line or "Exchange hashpartitioning(address" in line]
+    assert "Bucketed: true" in plan and not asked, plan
+
+
 def test_crawl_of_urls_and_markup_only(spark, tmp_path):
     """Links come from the markup, a page that is not html has none, and messages get their names."""
     html = "<a href='/x'>x</a><a href='http://other.test/'>o</a> see " + "d" * 16 + ".onion"

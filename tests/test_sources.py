@@ -36,7 +36,7 @@ def test_fetch_order(spark):
     row = lambda u, s, e: (u, None, s, "x", [], "", e)
     source = [row("https://a.test/", 200, None), row("http://a.test/", 201, None), row("https://b.test/", None, "ssl_error"), row("http://b.test/", 202, None), row("https://d.test/", 203, None)]
     source = spark.createDataFrame(source, "url string, final_url string, status_code int, html string, links array<string>, server string, error string")
-    got = {r.url: (r.status_code, r.has_tls, r.error) for r in crawl.fetch(want, source).collect()}
+    got = {r.url: (r.status_code, r.has_tls, r.error) for r in crawl.fetch(want, crawl.page_index(source)).collect()}
     assert got["http://a.test/"] == (200, True, None) and got["http://b.test/"] == (202, False, None) and got["https://d.test/"] == (203, True, None)
     assert got["http://c.test/"][0] is None and got["http://c.test/"][2] == "not captured"
 

@@ -64,6 +64,18 @@ class Scratch:
             df.write.mode("overwrite").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
+    def bucketed(self, df: DataFrame, name: str, *keys: str) -> DataFrame:
+        """As write, in as many buckets by `keys` as a shuffle has partitions and sorted within them: joins and
+        groupings by those keys read the table where it lies, and only what meets it is shuffled.
+
+        Its name is known to this session's catalogue, its files are in the shared folder."""
+        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        table = f"{self.root.rsplit('/', 1)[-1]}_{name}".replace("-", "_").replace(".", "_")
+        with _released(self.spark):
+            rows = df.repartition(n, *keys).write.mode("overwrite").format("parquet").option("path", self.path(name))
+            rows.bucketBy(n, *keys).sortBy(*keys).saveAsTable(f"`{table}`")
+        return self.spark.table(f"`{table}`")
+
     def append(self, df: DataFrame, name: str) -> None:
         """Adds rows to a table, which table() reads."""
         with _released(self.spark):

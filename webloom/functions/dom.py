@@ -7,8 +7,9 @@ text, the visible text, tags, links and the paths of its upper levels.
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Iterator
-from html.parser import HTMLParser
+from html import unescape
 from urllib.parse import urljoin, urlsplit
 
 import pyarrow as pa
@@ -41,21 +42,39 @@ FIELDS = T.StructType(
 )
 
 
-class _Page(HTMLParser):
-    """Collects what FIELDS names while the markup streams by.
+#: One attribute, and what follows a <: a tag as far as it goes, a comment, or a declaration. Nothing in them
+#: gives back what it took, so each character is looked at once or twice.
+_ATTRIBUTE = r"""[^\s/>][^\s/=>]*+(?:\s*+=++\s*+(?:"[^"]*+"|'[^']*+'|[^\s>]*+))?+"""
+_MARKUP = re.compile(
+    rf"""<(?:(?P<close>/?)(?P<name>[a-zA-Z][^\t\n\r\f />\x00]*+)(?P<body>(?:[\s/]++|{_ATTRIBUTE})*+)(?P<end>>?)|!--(?:-?>|.*?(?:--!?>|\Z))|[!?/][^>]*+>?)""",
+    re.DOTALL,
+)
+_VALUES = re.compile(r"""([^\s/>][^\s/=>]*+)(?:\s*+=++\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]*+)))?+""")
+_RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.IGNORECASE) for tag in ("script", "style")}
+_LONG_REFERENCE = re.compile(r"&#(?:\d{8,}|[xX][0-9a-fA-F]{8,});?")
+
+
+def _unescaped(text: str) -> str:
+    return unescape(_LONG_REFERENCE.sub("\ufffd", text)) if "&" in text else text
+
 
-    An end tag closes the nearest open element of its name and what is open within it; one that
-    matches nothing is ignored. Void elements never open.
+class _Page:
+    """Collects what FIELDS names in one pass over the markup, in time that grows with its length.
+
+    An end tag closes the nearest open element of its name and what is open within it; one that matches
+    nothing is ignored. Void elements never open. Scripts and styles are text up to their end tags. Markup
+    that ends within a tag or a comment ends before it. Open elements are also kept by name, and silent
+    ones counted, so nothing looks through all of them: each is opened and closed once.
     """
 
     def __init__(self, strict_css: bool):
-        super().__init__(convert_charrefs=True)
         self.strict_css = strict_css
         self.open: list[str] = []
+        self.places: defaultdict[str, list[int]] = defaultdict(list)  # of open elements, by name
+        self.silent = 0
         self.css = self.js = False
         self.sheets: list[str] = []
         self.scripts: list[str] = []
-        self.own: list[str] | None = None
         self.text: list[str] = []
         self.all_text: list[str] = []
         self.tags = {"img": 0, "button": 0, "input": 0}
@@ -63,50 +82,96 @@ class _Page(HTMLParser):
         self.shown_hrefs: list[str] = []
         self.paths = [ROOT]
 
-    def handle_starttag(self, tag, attrs):
-        given = dict(attrs)
-        if tag == "style" or (tag == "link" and not self.strict_css and "stylesheet" in (given.get("rel") or "").lower().split()):
+    def feed(self, html: str) -> None:
+        at, n = 0, len(html)
+        while at < n:
+            found = html.find("<", at)
+            if found < 0:
+                found = n
+            if found > at:
+                self.data(_unescaped(html[at:found]))
+            if found == n:
+                return
+            m = _MARKUP.match(html, found)
+            if m is None:
+                self.data("<")
+                at = found + 1
+                continue
+            at = m.end()
+            if m["name"] is None:
+                continue
+            if not m["end"]:
+                return
+            name = m["name"].lower()
+            if m["close"]:
+                self.closed(name)
+            else:
+                at = self.started(name, m["body"], html, at)
+
+    def started(self, tag: str, body: str, html: str, at: int) -> int:
+        """Takes in a start tag; where to go on, which for scripts and styles is behind their text."""
+        given = {k.lower(): _unescaped(a or b or c) for k, a, b, c in _VALUES.findall(body)} if body and tag in ("a", "link", "script") else {}
+        if tag == "style" or (tag == "link" and not self.strict_css and "stylesheet" in given.get("rel", "").lower().split()):
             self.css = True
         if tag == "script":
             self.js = True
-        if tag in ("style", "script"):
-            self.own = [] if tag == "style" or not given.get("src") else None
-        if tag == "a" and "href" in given:
-            self.hrefs.append(given["href"] or "")
-        if tag not in SILENT and not any(x in SILENT for x in self.open):
+        linked = tag == "a" and "href" in given
+        if linked:
+            self.hrefs.append(given["href"])
+        if not self.silent and tag not in SILENT:
             if tag in self.tags:
                 self.tags[tag] += 1
-            if tag == "a" and "href" in given:
-                self.shown_hrefs.append(given["href"] or "")
+            if linked:
+                self.shown_hrefs.append(given["href"])
             if len(self.open) < DEPTH and len(self.paths) < PATHS:
                 self.paths.append(">".join([ROOT, *self.open, tag]))
-        if tag not in VOID:
-            self.open.append(tag)
-
-    def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)
-        if tag not in VOID:
-            self.handle_endtag(tag)
-
-    def handle_endtag(self, tag):
-        if tag in ("style", "script") and self.own is not None:
-            (self.sheets if tag == "style" else self.scripts).append("".join(self.own) + "\n")
-            self.own = None
-        if tag in self.open:
-            del self.open[len(self.open) - 1 - self.open[::-1].index(tag) :]
-
-    def handle_data(self, data):
-        if "script" in self.open or "style" in self.open:
-            if self.own is not None:
-                self.own.append(data)
+        if tag in VOID or _self_closing(body):
+            if tag == "style":
+                self.sheets.append("\n")
+            if tag == "script" and not given.get("src"):
+                self.scripts.append("\n")
+            return at
+        self.places[tag].append(len(self.open))
+        self.open.append(tag)
+        self.silent += tag in SILENT
+        if tag not in _RAW_END:
+            return at
+        end = _RAW_END[tag].search(html, at)
+        if end is None:
+            return len(html)
+        if tag == "style":
+            self.sheets.append(html[at : end.start()] + "\n")
+        elif not given.get("src"):
+            self.scripts.append(html[at : end.start()] + "\n")
+        return end.start()
+
+    def closed(self, tag: str) -> None:
+        if not self.places[tag]:
             return
+        at = self.places[tag][-1]
+        for gone in self.open[at:]:
+            self.places[gone].pop()
+            self.silent -= gone in SILENT
+        del self.open[at:]
+
+    def data(self, data: str) -> None:
         piece = data.strip()
         if piece:
             self.all_text.append(piece)
-            if "noscript" not in self.open:
+            if not self.silent:
                 self.text.append(piece)
 
 
+def _self_closing(body: str) -> bool:
+    """Whether a tag ends with a slash that is not part of an attribute's value."""
+    if not body.endswith("/"):
+        return False
+    last = None
+    for last in _VALUES.finditer(body):
+        pass
+    return last is None or last.end() < len(body)
+
+
 def absolute_links(base: str, hrefs: list[str]) -> list[str]:
     """Links that can be crawled: absolute, http or https. A malformed one is left out."""
     out = []
@@ -127,7 +192,6 @@ def parse(html: str | None, url: str | None, strict_css: bool = False) -> tuple:
     """Values of FIELDS. A null page is an empty one."""
     p = _Page(strict_css)
     p.feed(html or "")
-    p.close()
     text = re.sub(r"\s+", " ", " ".join(p.text))
     counts = (p.tags["img"], p.tags["button"], p.tags["input"])
     return (p.css, p.js, "".join(p.sheets), "".join(p.scripts), text, " ".join(p.all_text), *counts, p.shown_hrefs, absolute_links(url or "", p.hrefs), p.paths)

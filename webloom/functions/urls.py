@@ -5,20 +5,29 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-HOST = r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#]*@)?([^/:?#]+)"
-LOOSE_HOST = r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//(?:[^/?#]*@)?([^/:?#]+)"
+_NAME = r"(?:[^/?#]*@)?(\[[^\]/?#]*\]|[^/:?#]+)"
+HOST = rf"^[A-Za-z][A-Za-z0-9+.\-]*://{_NAME}"
+LOOSE_HOST = rf"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//{_NAME}"
 #: Link prefixes that lead nowhere.
 DEAD_PREFIX = "^(#|mailto:|javascript:)"
 
 
 def host(url: Column) -> Column:
-    """Lower-cased host of an absolute URL, or an empty string."""
-    return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), HOST, 1))
+    """Lower-cased host of an absolute URL, or an empty string; an IPv6 address without its brackets."""
+    return F.lower(F.btrim(F.regexp_extract(F.coalesce(url, F.lit("")), HOST, 1), F.lit("[]")))
 
 
 def link_host(href: Column) -> Column:
     """Host that a link names itself; links such as //h/x name one too."""
-    return F.lower(F.regexp_extract(F.coalesce(href, F.lit("")), LOOSE_HOST, 1))
+    return F.lower(F.btrim(F.regexp_extract(F.coalesce(href, F.lit("")), LOOSE_HOST, 1), F.lit("[]")))
+
+
+def requested(url: Column) -> Column:
+    """A url as a server is asked for it: scheme and host in lower case, / for an empty path, no fragment.
+    What is not an absolute url stays as it is."""
+    part = lambda i: F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)([^#]*)", i)
+    root, rest = part(1), part(2)
+    return F.when(root == "", url).otherwise(F.concat(F.lower(root), F.when(rest.startswith("/"), rest).otherwise(F.concat(F.lit("/"), rest))))
 
 
 def is_hidden(domain: Column, suffix: str = ".onion") -> Column:

@@ -243,8 +243,23 @@ def dom_tree(spark, sf_dir):
     return d.select("page_id", F.posexplode("dom.dom_paths").alias("pos", "path"), "dom.clean_text", F.length("dom.clean_text").alias("num_chars"), "dom.classifier_text")
 
 
-@query()
+_VOID, _SILENT = (", ".join(f"'{t}'" for t in names) for names in (sorted(dom.VOID), dom.SILENT))
+
+
+@query(rf"""with recursive h as (select page_id, regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '(?s)<!--.*?-->', '', 'g'), '(?s)(<script[^>]*>).*?(</script>)', '\1\2', 'g'), '(?s)(<style[^>]*>).*?(</style>)', '\1\2', 'g') as h from pages),
+    t as (select page_id, h, list_transform(regexp_extract_all(h, '<(/?[a-zA-Z][a-zA-Z0-9]*)[^>]*>', 1), lambda x: lower(x)) as l from h),
+    s(page_id, i, open, paths) as (
+        select page_id, 0, []::varchar[], ['[document]'] from t
+        union all
+        select page_id, i + 1,
+               case when x[1] = '/' then open[1:len(open) - coalesce(nullif(list_position(list_reverse(open), x[2:]), 0), 0)] when x in ({_VOID}) then open else list_append(open, x) end,
+               case when x[1] <> '/' and len(open) < 4 and len(paths) < 200 and not list_has_any(list_append(open, x), [{_SILENT}]) then list_append(paths, '[document]>' || array_to_string(list_append(open, x), '>')) else paths end
+        from (select s.*, t.l[i + 1] as x from s join t using (page_id) where i < len(t.l))),
+    p as (select page_id, unnest(list_transform(string_split_regex(regexp_replace(h, '(?s)<noscript.*?</noscript>', '<b>', 'g'), '<[^>]*>?'), lambda x: regexp_replace(replace(replace(replace(replace(x, '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '^\s+|\s+$', '', 'g'))) as piece, unnest(range(len(string_split_regex(regexp_replace(h, '(?s)<noscript.*?</noscript>', '<b>', 'g'), '<[^>]*>?')))) as n from t),
+    c as (select page_id, length(regexp_replace(string_agg(piece, ' ' order by n) filter (piece <> ''), '\s+', ' ', 'g'))::int as num_chars from p group by 1)
+    select page_id, u.pos::int - 1 as pos, u.path, coalesce(num_chars, 0) as num_chars from (select page_id, arg_max(paths, i) as paths from s group by 1) d join c using (page_id), unnest(d.paths) with ordinality as u(path, pos)""")
 def dom_paths(spark, sf_dir):
+    """Paths of the upper levels of the pages as they are, and how long their text is."""
     d = dom.with_dom(table(spark, sf_dir, "pages"), keep=["page_id"])
     return d.select("page_id", F.posexplode("dom.dom_paths").alias("pos", "path"), F.length("dom.clean_text").alias("num_chars"))
 
@@ -583,14 +598,19 @@ def seed_sources(spark, sf_dir):
 
 def captured(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as seven captured sites, each a binary tree of links in page order: (url, html, status_code,
-    content_type). Links are in the markup; the pages' own ones are made harmless."""
+    content_type, captured_at). Links are in the markup; the pages' own ones are made harmless. Some urls
+    were captured before, with other markup and another status, or at a time that nobody noted."""
     i, site = F.floor(F.col("page_id") / 7), F.col("page_id") % 7
     at = lambda k: F.concat(F.lit("http://site"), site.cast("string"), F.lit(".test/p"), k.cast("string"))
     status = F.when(F.col("page_id") % 13 == 5, 500).otherwise(200)
     link = lambda k, tail: F.concat(F.lit('<a href="/p'), k.cast("string"), F.lit(tail + '">x</a>'))
     html = F.concat(link(i * 2 + 1, ""), F.lit('<a href="http://other.test/">x</a><a href="mailto:x">x</a>'), link(i * 2 + 2, ""), F.replace("html", F.lit("<a href"), F.lit("<b title")))
     kind = F.when(F.col("page_id") % 17 == 3, "text/plain").otherwise("Text/HTML; charset=utf-8")
-    return table(spark, sf_dir, "pages").select(at(i).alias("url"), html.alias("html"), status.alias("status_code"), kind.alias("content_type"))
+    pages = table(spark, sf_dir, "pages").select("page_id", at(i).alias("url"), html.alias("html"), status.alias("status_code"), kind.alias("content_type"), F.timestamp_seconds(F.col("page_id") + 10).alias("captured_at"))
+    old = pages.withColumns({"html": F.concat(F.lit('<a href="/p1">old</a><a href="/old">old</a>'), "html"), "status_code": F.lit(700) - F.col("status_code"), "content_type": F.lit("text/html")})
+    before = old.where("page_id % 3 = 0").withColumn("captured_at", F.timestamp_seconds(F.col("page_id") % 10))
+    never = old.where("page_id % 4 = 1").withColumn("captured_at", F.lit(None).cast("timestamp"))
+    return pages.unionByName(before).unionByName(never).drop("page_id")
 
 
 _CRAWL_SQL = """c as (select page_id % 7 as site, page_id // 7 as i, page_id % 13 = 5 as bad, page_id % 13 = 5 or page_id % 17 = 3 as leaf from pages),
@@ -612,6 +632,19 @@ def frontier_capped(spark, sf_dir):
     return crawl.crawl(start, captured(spark, sf_dir), max_pages=12).select("domain", "url", "depth", "status_code", F.col("seq").cast("long").alias("seq"))
 
 
+@query(f"""with h as (select page_id, {_HOST_SQL} as host from pages), l as (select host, max(struct_pack(at := page_id, s := case when page_id % 7 = 3 then -1 when page_id % 5 = 0 then 503 else 200 end)).s as s from h group by 1)
+    select host as domain, s between 0 and 499 as is_available from l union all select distinct 'missing.' || host, false from h where page_id % 9 = 0""")
+def site_check(spark, sf_dir):
+    """Whether each host answers, over captures of its root in several spellings, of which the last counts."""
+    i = F.col("page_id")
+    p = table(spark, sf_dir, "pages").select("page_id", urls.host(F.col("url")).alias("host"))
+    domains = p.select(F.col("host").alias("domain")).unionByName(p.where("page_id % 9 = 0").select(F.concat(F.lit("missing."), "host").alias("domain"))).distinct()
+    root = F.concat(F.lit("http://"), F.when(i % 2 == 0, F.upper("host")).otherwise(F.col("host")), F.when(i % 3 == 0, "").when(i % 3 == 1, "/").otherwise("/#top"))
+    status = F.when(i % 7 == 3, F.lit(None)).when(i % 5 == 0, 503).otherwise(200)
+    source = p.select(root.alias("url"), F.lit("<p>").alias("html"), status.cast("int").alias("status_code"), F.timestamp_seconds(i).alias("captured_at"))
+    return crawl.check(domains, source)
+
+
 # -- classifiers ------------------------------------------------------------------------------------
 
 

@@ -35,6 +35,9 @@ def test_crawl_to_report(spark, tmp_path):
     jobs.crawl_job(store, start, captured(spark))  # a second run adds to the weights, and to nothing else
     assert {r.weight for r in store.read("graph_edges").collect()} == {2}
     assert store.read("pages").count() == 2 and store.read("crypto_addresses").count() == 1
+    for _ in range(2):
+        jobs.crawl_job(store, start, captured(spark), run=7)  # and the same run again to nothing
+    assert {r.weight for r in store.read("graph_edges").collect()} == {3}
     jobs.wallets_job(store)
     assert store.read("crypto_addresses").first().wallet_id == ETH
     summary = {r.metric: r.value for r in jobs.report_job(store)["summary"].collect()}
@@ -42,11 +45,52 @@ def test_crawl_to_report(spark, tmp_path):
     out = jobs.graph_job(store)
     stats = {r.metric: r.value for r in out["stats"].collect()}
     assert stats["nodes"] == 2 and stats["components"] == 2 and stats["core"] == 1
-    assert '"weight":2' in out["json"].first().json
+    assert '"weight":3' in out["json"].first().json
     rate = jobs.check_job(store, captured(spark).withColumn("url", F.concat("url", F.lit("/")))).first()
     assert (rate.up, rate.total, rate.percent) == (1, 2, 50.0)
 
 
+def test_a_batch_rewrites_its_own_partitions(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/db", buckets=8)
+    edges = lambda names: spark.createDataFrame([(n, "z", 1) for n in names], "src string, dst string, weight long")
+    files = lambda: {f.relative_to(tmp_path) for f in tmp_path.glob("db/graph_edges/bucket=*/*.parquet")}
+    store.commit({"graph_edges": (merge.add_weights, edges([f"n{i}" for i in range(100)]))})
+    before = files()
+    store.commit({"graph_edges": (merge.add_weights, edges(["n5"]))})
+    gone, new = before - files(), files() - before
+    assert {f.parent for f in gone} == {f.parent for f in new} and len({f.parent for f in new}) == 1 and len({f.parent for f in before}) == 8
+    assert store.one("graph_edges", "n5", "z").first().weight == 2 and store.read("graph_edges").count() == 100
+    plan = store.one("graph_edges", "n5", "z")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan and Store(spark, f"file://{tmp_path}/db").buckets == 8
+
+
+def test_a_commit_that_dies_is_whole_or_nothing(spark, tmp_path, monkeypatch):
+    from webloom.sources import tables
+
+    root = f"file://{tmp_path}/db"
+    edges = spark.createDataFrame([("a", "b", 1)], "src string, dst string, weight long")
+    found = spark.createDataFrame([("x", "bitcoin", "a")], "address string, currency string, domain string")
+    batch = {"graph_edges": (merge.add_weights, edges), "crypto_addresses": (lambda old, new: old.unionByName(new, allowMissingColumns=True), found)}
+    count = lambda: tuple(Store(spark, root).read(t).count() for t in batch)
+    Store(spark, root).commit({"graph_edges": batch["graph_edges"]}, mark=("s", 1))
+
+    def dies(*args):
+        raise KeyboardInterrupt
+
+    broken = batch | {"crypto_addresses": (dies, found)}
+    with pytest.raises(KeyboardInterrupt):  # with one table aside
+        Store(spark, root).commit(broken, mark=("s", 2))
+    assert count() == (1, 0) and Store(spark, root).mark("s") == 1
+    recover = tables.Store.recover
+    monkeypatch.setattr(tables.Store, "recover", lambda self, drop=False: recover(self, drop) if drop else dies())
+    with pytest.raises(KeyboardInterrupt):  # with all aside and nothing in place
+        Store(spark, root).commit(batch, mark=("s", 3))
+    monkeypatch.setattr(tables.Store, "recover", recover)
+    assert count() == (1, 1) and Store(spark, root).mark("s") == 3
+    assert Store(spark, root).read("graph_edges").first().weight == 2
+    assert not Store(spark, root).commit(batch, mark=("s", 3)) and Store(spark, root).read("graph_edges").first().weight == 2
+
+
 def test_column_upsert(spark):
     t = [F.lit(f"200{k}-01-01").cast("timestamp") for k in range(4)]
     old = spark.createDataFrame([], "domain string, first_seen timestamp, last_checked timestamp, is_available boolean, language string")

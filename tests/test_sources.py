@@ -52,7 +52,7 @@ def test_stream_of_edges(spark, tmp_path):
     batch = spark.createDataFrame([("x", "y")], "src string, dst string")
     for epoch in (1, 2, 2, 0):  # a batch that a restarted stream gives again is told by its number
         merges.once(store, "graph_edges", merge.add_counts, f"{tmp_path}/cp")(batch, epoch)
-    assert store.read("graph_edges").first().weight == 6 and store.mark("graph_edges", f"{tmp_path}/cp") == 2
+    assert store.read("graph_edges").first().weight == 6 and store.mark(f"{tmp_path}/cp") == 2
     merges.once(store, "graph_edges", merge.add_counts, "another")(batch, 0)
-    assert store.read("graph_edges").first().weight == 7 and store.mark("graph_edges", f"{tmp_path}/cp") == 2
-    assert store.one("graph_edges", "src", "x").count() == 1 and store.read("domains").where(F.lit(True)).count() == 0
+    assert store.read("graph_edges").first().weight == 7 and store.mark(f"{tmp_path}/cp") == 2
+    assert store.one("graph_edges", "x", "y").count() == 1 and store.read("domains").where(F.lit(True)).count() == 0

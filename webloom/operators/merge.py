@@ -1,8 +1,8 @@
 """Table maintenance as pure functions of the old rows and the updates.
 
-Each takes DataFrames and returns the new table; the caller writes it as a new version. `seq` orders
-the updates, so the result does not hang on the order in which rows arrive. Grouping by key comes
-first, so a key that is written very often costs one pre-aggregated row per task.
+Each takes DataFrames and returns the new rows; a store gives it the partitions that the updates touch and
+writes those. `seq` orders the updates, so the result does not hang on the order in which rows arrive.
+Grouping by key comes first, so a key that is written very often costs one pre-aggregated row per task.
 """
 
 from __future__ import annotations
@@ -48,8 +48,13 @@ def keep_first(old: DataFrame, writes: DataFrame, key: str, seq: str = "seq") ->
 
 def add_counts(old: DataFrame, occurrences: DataFrame, keys: Sequence[str] = ("src", "dst"), weight: str = "weight") -> DataFrame:
     """Counter upsert: each occurrence adds one to its key's weight."""
-    rows = old.select(*keys, F.col(weight).cast("long").alias(weight)).unionByName(occurrences.select(*keys, F.lit(1).cast("long").alias(weight)))
-    return rows.groupBy(*keys).agg(F.sum(weight).alias(weight))
+    return add_weights(old, occurrences.select(*keys, F.lit(1).alias(weight)), keys, weight)
+
+
+def add_weights(old: DataFrame, counted: DataFrame, keys: Sequence[str] = ("src", "dst"), weight: str = "weight") -> DataFrame:
+    """Counter upsert of occurrences that are counted already."""
+    rows = [x.select(*keys, F.col(weight).cast("long").alias(weight)) for x in (old, counted)]
+    return rows[0].unionByName(rows[1]).groupBy(*keys).agg(F.sum(weight).alias(weight))
 
 
 def update_known(old: DataFrame, updates: DataFrame, key: str, columns: Sequence[str], defaults: dict[str, Column] | None = None) -> DataFrame:

@@ -63,8 +63,7 @@ def analyse(pages: DataFrame, classifiers: Classifiers | None = None) -> dict[st
     scratch = Scratch(pages.sparkSession, "analysis")
     classifiers = classifiers or Classifiers()
     ok = pages.where(urls.is_ok(F.col("status_code")))
-    links = ok.select(F.col("domain").alias("src"), (F.col("seq") * 1_000_000).alias("base"), F.posexplode("links").alias("p", "url"))
-    links = links.select("src", "url", (F.col("base") + F.col("p")).alias("seq"))
+    links = ok.select(F.col("domain").alias("src"), "seq", F.posexplode("links").alias("p", "url")).select("src", "url", F.struct("seq", "p").alias("seq"))
     home = rollups.homepages(pages).where(F.coalesce("html", F.lit("")) != "")
     features = scratch.write(page_features(home), "features")
     terms = scratch.write(term_features(features), "terms")
@@ -93,33 +92,53 @@ def analyse(pages: DataFrame, classifiers: Classifiers | None = None) -> dict[st
     }
 
 
-def crawl_job(store: Store, seed_names: DataFrame, source: DataFrame, mode: str = "crawl", max_pages: int = crawl.MAX_PAGES, classifiers: Classifiers | None = None, now: Column | None = None) -> DataFrame:
-    """Crawls captured pages (see crawl.captured) from seeds, analyses them and merges the facts into the store."""
+def crawl_job(
+    store: Store,
+    seed_names: DataFrame,
+    source: DataFrame,
+    mode: str = "crawl",
+    max_pages: int = crawl.MAX_PAGES,
+    classifiers: Classifiers | None = None,
+    now: Column | None = None,
+    run: int | None = None,
+) -> DataFrame:
+    """Crawls captured pages (see crawl.captured) from seeds, analyses them and merges the facts into the store,
+    in one commit of all four tables.
+
+    run: a number of this run, larger than those before; a run that is given again changes nothing. None: the next one."""
     now = F.current_timestamp() if now is None else now
     scratch = Scratch(store.spark, "crawl-job")
-    run = crawl.explore if mode == "explore" else crawl.crawl
-    pages = scratch.write(run(seed_names, source, max_pages), "pages")
-    facts = analyse(pages, classifiers)
+    search = crawl.explore if mode == "explore" else crawl.crawl
+    pages = scratch.write(search(seed_names, source, max_pages), "pages")
+    run = store.mark("crawl") + 1 if run is None else run
+    if run > store.mark("crawl"):
+        _merge_facts(store, analyse(pages, classifiers), now, run, scratch)
+    return pages.groupBy("domain").agg(F.count(F.lit(1)).alias("pages"), F.bool_or(urls.is_ok(F.col("status_code"))).alias("available")).orderBy("domain")
+
+
+def _merge_facts(store: Store, facts: dict[str, DataFrame], now: Column, run: int, scratch: Scratch) -> None:
     both = facts["domains"].drop("n_pages").join(facts["verdicts"], "domain", "left").withColumn("seq", F.lit(0))
     columns = [c for c in both.columns if c not in ("domain", "seq")]
-    store.write("domains", merge.upsert_columns(store.read("domains"), both, "domain", columns, now))
-    old = store.read("pages")
-    top = F.lit(old.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0])
-    new = facts["pages"].withColumn("id", top + F.monotonically_increasing_id() + 1).withColumn("crawled_at", now)
-    store.write("pages", merge.replace_rows(old, new, "url"))
+    top = store.numbers().get("last page id", 0)
+    new = scratch.write(facts["pages"].withColumn("id", F.lit(top) + F.monotonically_increasing_id() + 1).withColumn("crawled_at", now), "new-pages")
+    last = new.agg(F.max("id")).first()[0] or top
     blank = {"wallet_id": "string", "num_txns": "long", "deposits_usd": "double", "withdrawals_usd": "double", "is_outlier": "boolean", "is_malicious": "boolean"}
     first = facts["addresses"].withColumns({c: F.lit(None).cast(t) for c, t in blank.items()}).withColumn("seq", F.struct("domain", "seq"))
-    store.write("crypto_addresses", merge.keep_first(store.read("crypto_addresses"), first, "address"))
-    edges = store.read("graph_edges").unionByName(facts["edges"].select("src", "dst", "weight"))
-    store.write("graph_edges", edges.groupBy("src", "dst").agg(F.sum("weight").alias("weight")))
-    return pages.groupBy("domain").agg(F.count(F.lit(1)).alias("pages"), F.bool_or(urls.is_ok(F.col("status_code"))).alias("available")).orderBy("domain")
+    changes = {
+        "domains": (lambda old, batch: merge.upsert_columns(old, batch, "domain", columns, now), both),
+        "pages": (lambda old, batch: merge.replace_rows(old, batch, "url"), new),
+        "crypto_addresses": (lambda old, batch: merge.keep_first(old, batch, "address"), first),
+        "graph_edges": (merge.add_weights, facts["edges"].select("src", "dst", "weight")),
+    }
+    batches = {name: (step, scratch.write(batch, f"{name}-batch")) for name, (step, batch) in changes.items()}  # read twice
+    store.commit(batches, mark=("crawl", run), numbers={"last page id": last})
 
 
 def check_job(store: Store, source: DataFrame, now: Column | None = None) -> DataFrame:
     """Asks every known domain once more; (up, total, percent)."""
     now = F.current_timestamp() if now is None else now
-    got = Scratch(store.spark, "check-job").write(crawl.check(store.read("domains"), source), "got")
-    store.write("domains", merge.upsert_columns(store.read("domains"), got.withColumn("seq", F.lit(0)), "domain", ["is_available"], now))
+    got = Scratch(store.spark, "check-job").write(crawl.check(store.read("domains"), source).withColumn("seq", F.lit(0)), "got")
+    store.commit({"domains": (lambda old, batch: merge.upsert_columns(old, batch, "domain", ["is_available"], now), got)})
     return rollups.online_rate(got)
 
 
@@ -146,7 +165,8 @@ def wallets_job(store: Store, transactions: DataFrame | None = None) -> DataFram
     members = scratch.write(wallets.clusters(known, transactions), "members")
     w = scratch.write(wallets.flag_outliers(wallets.wallets(known, transactions, members)), "wallets")
     update = members.join(w.select("wallet_id", "is_outlier"), "wallet_id").select("address", "wallet_id", F.lit(0).cast("long").alias("num_txns"), F.lit(0.0).alias("deposits_usd"), F.lit(0.0).alias("withdrawals_usd"), "is_outlier")
-    store.write("crypto_addresses", merge.update_known(known, update, "address", ["wallet_id", "num_txns", "deposits_usd", "withdrawals_usd", "is_outlier"]))
+    columns = ["wallet_id", "num_txns", "deposits_usd", "withdrawals_usd", "is_outlier"]
+    store.commit({"crypto_addresses": (lambda old, batch: merge.update_known(old, batch, "address", columns), scratch.write(update, "update"))})
     return w
 
 

@@ -1,4 +1,4 @@
-"""The merge operators as sinks of a stream: each micro-batch makes a new version of a table.
+"""The merge operators as sinks of a stream: each micro-batch rewrites the partitions that it has keys of.
 
 An addition: nothing that the tables come from is a stream today.
 """
@@ -10,19 +10,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 
 from webloom.operators import merge
-from webloom.sources.tables import Store
-
-
-Step = Callable[[DataFrame, DataFrame], DataFrame]
+from webloom.sources.tables import Step, Store
 
 
 def once(store: Store, table: str, step: Step, stream: str) -> Callable[[DataFrame, int], None]:
-    """A function of a batch and its number that replaces `table` by step(old, batch). A batch that a
-    restarted stream gives again is told by its number, which the table's version has, and left out."""
+    """A function of a batch and its number that merges it into `table` by step(old, batch). A batch that a
+    restarted stream gives again is told by its number, which the store keeps, and left out."""
 
     def apply(batch: DataFrame, epoch: int) -> None:
-        if store.mark(table, stream) < epoch:
-            store.write(table, step(store.read(table), batch), mark=(stream, epoch))
+        store.commit({table: (step, batch)}, mark=(stream, epoch))
 
     return apply
 

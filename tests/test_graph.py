@@ -39,6 +39,52 @@ def test_strong_components_against_closure(spark, kind):
     assert {x.id: x.part for x in graph.bow_tie(nodes, e, c).collect()} == {name(i): part(i) for i in range(n)}
 
 
+@pytest.mark.parametrize("ring", [True, False])
+def test_long_chains_and_rings_take_few_rounds(spark, ring, monkeypatch):
+    n, rounds, write = 5000, [], graph.Scratch.write
+    monkeypatch.setattr(graph.Scratch, "write", lambda self, df, name: rounds.append(name) or write(self, df, name))
+    nodes = spark.range(n).select(F.format_string("n%05d", "id").alias("id"))
+    at = lambda c: F.format_string("n%05d", c % n)
+    e = spark.range(n if ring else n - 1).select(at(F.col("id")).alias("src"), at(F.col("id") + 1).alias("dst"), F.lit(1).alias("weight"))
+    got = graph.strong_components(nodes, e)
+    assert got.count() == n and got.select("component").distinct().count() == (1 if ring else n)
+    assert sum(name.startswith("both") for name in rounds) < 40 and len(rounds) < 150
+
+
+def test_components_behind_pivots(spark):
+    """Dense parts, in which no node has a single neighbour, in a row: only searches tell them apart."""
+    rng, rows = random.Random(9), []
+    for part in range(90):
+        mine = [f"p{part:02d}-{i}" for i in range(5)]
+        rows += [(a, b, 1) for a in mine for b in mine if a != b]
+        rows += [(rng.choice(mine), f"p{later:02d}-{rng.randrange(5)}", 1) for later in rng.sample(range(part + 1, 95), min(4, 94 - part))]
+    e = spark.createDataFrame(rows, "src string, dst string, weight long")
+    got = {r.id: r.component for r in graph.strong_components(graph.nodes_of(e), e).collect()}
+    assert got == {i: (f"{i[:3]}-0" if int(i[1:3]) < 90 else i) for i in got} and len(got) >= 450
+
+
+def test_rounds_shuffle_ranks_and_fronts_only(spark):
+    nodes = spark.range(200).select(F.col("id").cast("string"))
+    e = spark.range(600).select((F.col("id") % 200).cast("string").alias("src"), (F.col("id") * 7 % 200).cast("string").alias("dst"), F.lit(1).alias("weight"))
+    plans, bucketed = {}, graph.Scratch.bucketed
+    def seen(self, df, name, *keys, laid=False):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return bucketed(self, df, name, *keys, laid=laid)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    graph.Scratch.bucketed = seen
+    try:
+        ranks = graph.pagerank(nodes, e, fixed=3).agg(F.sum("pagerank")).first()[0]
+        graph.bow_tie(nodes, e)
+    finally:
+        graph.Scratch.bucketed = bucketed
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert ranks == pytest.approx(1)
+    # ranks lie with the shares: one exchange, of what they hand on; a search's fronts join where they lie
+    assert plans["ranks2"].count("Exchange hashpartitioning") == 1, plans["ranks2"]
+    assert plans["masks2"].count("Exchange hashpartitioning") == 1, plans["masks2"]
+
+
 def test_rounds_that_run_out_raise(spark):
     nodes = spark.range(9).select(F.col("id").cast("string"), F.lit(False).alias("is_onion"))
     e = spark.createDataFrame([(str(i), str((i + 1) % 9), 1) for i in range(9)], "src string, dst string, weight long")

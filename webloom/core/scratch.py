@@ -46,6 +46,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, purpose: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/webloom-{purpose}-{uuid.uuid4().hex}"
+        self._named: set[str] = set()
         path, fs = self._fs(self.root)
         fs.mkdirs(path)
         fs.deleteOnExit(path)
@@ -64,17 +65,21 @@ class Scratch:
             df.write.mode("overwrite").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
-    def bucketed(self, df: DataFrame, name: str, *keys: str) -> DataFrame:
+    def _table(self, name: str) -> str:
+        return "`" + f"{self.root.rsplit('/', 1)[-1]}_{name}".replace("-", "_").replace(".", "_") + "`"
+
+    def bucketed(self, df: DataFrame, name: str, *keys: str, laid: bool = False) -> DataFrame:
         """As write, in as many buckets by `keys` as a shuffle has partitions and sorted within them: joins and
         groupings by those keys read the table where it lies, and only what meets it is shuffled.
 
-        Its name is known to this session's catalogue, its files are in the shared folder."""
+        laid: `df` comes from a join by those keys with such a table, so its partitions are the buckets already.
+        Its name is known to this session's catalogue until drop(), its files are in the shared folder."""
         n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        table = f"{self.root.rsplit('/', 1)[-1]}_{name}".replace("-", "_").replace(".", "_")
         with _released(self.spark):
-            rows = df.repartition(n, *keys).write.mode("overwrite").format("parquet").option("path", self.path(name))
-            rows.bucketBy(n, *keys).sortBy(*keys).saveAsTable(f"`{table}`")
-        return self.spark.table(f"`{table}`")
+            rows = (df if laid else df.repartition(n, *keys)).write.mode("overwrite").format("parquet").option("path", self.path(name))
+            rows.bucketBy(n, *keys).sortBy(*keys).saveAsTable(self._table(name))
+        self._named.add(name)
+        return self.spark.table(self._table(name))
 
     def append(self, df: DataFrame, name: str) -> None:
         """Adds rows to a table, which table() reads."""
@@ -86,5 +91,8 @@ class Scratch:
 
     def drop(self, *names: str) -> None:
         for name in names:
+            if name in self._named:
+                self.spark.sql(f"drop table if exists {self._table(name)}")
+                self._named.discard(name)
             path, fs = self._fs(self.path(name))
             fs.delete(path, True)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from webloom.core.scratch import Scratch
 from webloom.functions import urls
@@ -45,9 +46,11 @@ def dark_to_regular(edges: DataFrame, suffix: str = ".onion") -> DataFrame:
 
 
 def reachable(edges: DataFrame, start: DataFrame, max_rounds: int = 10_000) -> DataFrame:
-    """(id, depth) of nodes that paths from `start` (id) reach, the start itself at depth 0."""
+    """(id, depth) of nodes that paths from `start` (id) reach, the start itself at depth 0.
+
+    Edges lie by their source, so a round shuffles its front and nothing else of the graph."""
     scratch = Scratch(edges.sparkSession, "reach")
-    e = scratch.write(edges.select("src", "dst").where("src <> dst").distinct(), "edges")
+    e = scratch.bucketed(edges.select("src", "dst").where("src <> dst").distinct(), "edges", "src")
     front = scratch.write(start.select("id").distinct().withColumn("depth", F.lit(0)), "front0")
     scratch.append(front, "seen")
     for k in range(1, max_rounds + 1):
@@ -60,72 +63,118 @@ def reachable(edges: DataFrame, start: DataFrame, max_rounds: int = 10_000) -> D
     raise RuntimeError(f"reach did not settle in {max_rounds} rounds")
 
 
+def _spread(ids: DataFrame, edges: DataFrame, pivots: DataFrame, max_rounds: int) -> DataFrame:
+    """(id, before, after) of each node: masks of the pivots that reach it, and of those that it reaches.
+
+    pivots: (id, bit), a mask with one bit. Both directions go on in the same rounds, over edges that lie by
+    source and by target; the masks lie by node, so a round shuffles what fronts hand on, merged by target."""
+    scratch = Scratch(ids.sparkSession, "spread")
+    one = edges.select("src", "dst")
+    out, into = scratch.bucketed(one, "by-source", "src"), scratch.bucketed(one, "by-target", "dst")
+    known = ids.join(pivots, "id", "left").select("id", F.coalesce("bit", F.lit(0).cast("long")).alias("before"))
+    moved = F.col("before") != 0
+    known = scratch.bucketed(known.select("id", "before", F.col("before").alias("after"), moved.alias("new_before"), moved.alias("new_after")), "masks0", "id")
+    none = F.lit(0).cast("long")
+    for k in range(1, max_rounds + 1):
+        down = out.join(known.where("new_before").select(F.col("id").alias("src"), "before"), "src").select(F.col("dst").alias("id"), "before", none.alias("after"))
+        up = into.join(known.where("new_after").select(F.col("id").alias("dst"), "after"), "dst").select(F.col("src").alias("id"), none.alias("before"), "after")
+        got = down.unionByName(up).groupBy("id").agg(F.bit_or("before").alias("b"), F.bit_or("after").alias("a"))
+        b, a = (F.col(old).bitwiseOR(F.coalesce(new, none)) for old, new in (("before", "b"), ("after", "a")))
+        new = known.join(got, "id", "left").select("id", b.alias("before"), a.alias("after"), (b != F.col("before")).alias("new_before"), (a != F.col("after")).alias("new_after"))
+        known = scratch.bucketed(new, f"masks{k}", "id", laid=True)
+        scratch.drop(f"masks{k - 1}")
+        if known.where("new_before or new_after").isEmpty():
+            return known.select("id", "before", "after")
+    raise RuntimeError(f"a search did not settle in {max_rounds} rounds")
+
+
+#: Pivots that are searched from at once: bits of a mask.
+PIVOTS = 64
+
+
 def strong_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
     """(id, component) of every node; component is the smallest id in it.
 
-    Nodes without an edge in or out, within what is left, are components of their own and are trimmed
-    first. Then every node takes the smallest id that reaches it as its colour; the nodes of that colour
-    which reach back to it are a component. What is left starts anew.
+    A round shrinks the graph in two ways. A node without an edge in, or out, is a component of its own and
+    goes. A node with a single neighbour before it, or behind it, is merged into that one if a coin, its hash,
+    falls so; chains and rings halve, whatever their length. Where too little goes, PIVOTS nodes that a
+    hash chooses are searched from, both ways at once: what reaches a pivot and is reached by it is its
+    component, and of the rest only edges stay between nodes that the same pivots reach and that reach the same.
+    At the end the merged nodes are told, the last ones first: a path through one went through its single
+    neighbour, so it is of that one's component if what lies on its other side is, and else of its own.
     """
     scratch = Scratch(nodes.sparkSession, "scc")
-    e = scratch.write(edges.select("src", "dst").where("src <> dst").distinct(), "edges-0")
-    left = scratch.write(nodes.select("id").distinct(), "nodes-0")
-    turn = 0
-    while not e.isEmpty():
-        turn += 1
-        if turn > max_rounds:
-            raise RuntimeError(f"strong components did not settle in {max_rounds} rounds")
-        core, inner = _trimmed(e, scratch, turn, max_rounds)
-        scratch.append(left.join(core, "id", "left_anti").select("id", F.col("id").alias("component")), "done")
-        if core.isEmpty():
-            left = core
-            break
-        colours = _least_ancestor(core, inner, scratch, turn, max_rounds)
-        back = inner.join(colours.select(F.col("id").alias("src"), F.col("colour").alias("cs")), "src").join(colours.select(F.col("id").alias("dst"), F.col("colour").alias("cd")), "dst")
-        back = scratch.write(back.where("cs = cd").select(F.col("dst").alias("src"), F.col("src").alias("dst")), f"back-{turn}")
-        roots = colours.where("id = colour").select("id")
-        found = scratch.write(reachable(back, roots).select("id").join(colours, "id").select("id", F.col("colour").alias("component")), f"found-{turn}")
-        scratch.append(found, "done")
-        left = scratch.write(core.join(found.select("id"), "id", "left_anti"), f"nodes-{turn}")
-        rest = inner.join(left.withColumnRenamed("id", "src"), "src", "left_semi").join(left.withColumnRenamed("id", "dst"), "dst", "left_semi")
-        e = scratch.write(rest.select("src", "dst"), f"edges-{turn}")
-    scratch.append(left.select("id", F.col("id").alias("component")), "done")
-    return scratch.table("done")
-
-
-def _trimmed(e: DataFrame, scratch: Scratch, turn: int, max_rounds: int) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) that are left when nodes without an edge in or out are gone, again and again."""
-    ends = lambda x: x.select(F.col("src").alias("id")).intersect(x.select(F.col("dst").alias("id")))
-    n = e.count()
-    for k in range(max_rounds):
-        core = ends(e)
-        inner = e.join(core.withColumnRenamed("id", "src"), "src", "left_semi").join(core.withColumnRenamed("id", "dst"), "dst", "left_semi")
-        inner = scratch.write(inner.select("src", "dst"), f"inner-{turn}-{k}")
-        scratch.drop(f"inner-{turn}-{k - 1}")
-        m = inner.count()
-        if m == n or not m:
-            return scratch.write(ends(inner), f"core-{turn}"), inner
-        e, n = inner, m
-    raise RuntimeError(f"trimming did not settle in {max_rounds} rounds")
-
-
-def _least_ancestor(nodes: DataFrame, edges: DataFrame, scratch: Scratch, turn: int, max_rounds: int) -> DataFrame:
-    """(id, colour): the smallest id that reaches each node, itself included.
-
-    Each round a node takes the smallest colour before it, and then its colour's own colour: what reaches
-    the colour reaches the node, so the way back doubles with every round where ids fall along it."""
-    colours = scratch.write(nodes.select("id", F.col("id").alias("colour")), f"colour-{turn}-0")
+    e = scratch.write(edges.select("src", "dst").where("src <> dst").distinct(), "edges0")
+    size, merges = e.count(), []
+    found = nodes.sparkSession.createDataFrame([], T.StructType([nodes.schema["id"], T.StructField("root", nodes.schema["id"].dataType)]))
+    scratch.append(found, "found")
     for k in range(1, max_rounds + 1):
-        pushed = edges.join(colours.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.min("colour").alias("pushed"))
-        new = colours.join(pushed, "id", "left").select("id", F.col("colour").alias("was"), F.least("colour", "pushed").alias("colour"))
-        jump = colours.select(F.col("id").alias("colour"), F.col("colour").alias("jump"))
-        new = new.join(jump, "colour").select("id", F.least("colour", "jump").alias("colour"), (F.least("colour", "jump") < F.col("was")).alias("moved"))
-        new = scratch.write(new, f"colour-{turn}-{k}")
-        scratch.drop(f"colour-{turn}-{k - 1}")
-        colours = new.select("id", "colour")
-        if new.where("moved").isEmpty():
-            return colours
-    raise RuntimeError(f"colours did not settle in {max_rounds} rounds")
+        if not size:
+            break
+        both = scratch.write(_merged_ends(e, _pointers(e, k, scratch)), f"both{k}")
+        if not both.where("not gone and (side_src = 1 or side_dst = 2)").isEmpty():
+            merges.append(both)
+        inner = both.where("not gone").select(F.coalesce("to_src", "src").alias("src"), F.coalesce("to_dst", "dst").alias("dst")).where("src <> dst").distinct()
+        e = scratch.write(inner, f"edges{k}")
+        scratch.drop(f"edges{k - 1}", f"pointers{k}")
+        before, size = size, e.count()
+        if size and before - size < before / 16:
+            e = scratch.write(_split(e, k, scratch, max_rounds), f"split{k}")
+            size = e.count()
+    else:
+        raise RuntimeError(f"strong components did not settle in {max_rounds} rounds")
+    for both in reversed(merges):
+        scratch.append(_told(both, scratch.table("found")), "found")
+    roots = scratch.table("found")
+    rows = scratch.write(nodes.select("id").distinct().join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("root")), "rows")
+    least = rows.groupBy("root").agg(F.min("id").alias("component"))
+    return rows.join(least, "root").select("id", "component")
+
+
+def _pointers(e: DataFrame, k: int, scratch: Scratch) -> DataFrame:
+    """(id, side, to): nodes that go (side 0), and those merged into their only neighbour before (1) or behind (2)."""
+    ends = e.select(F.col("src").alias("id"), F.col("dst").alias("behind"), F.lit(None).alias("before"))
+    ends = ends.unionByName(e.select(F.col("dst").alias("id"), F.lit(None).alias("behind"), F.col("src").alias("before")))
+    ends = ends.groupBy("id").agg(F.count("before").alias("n_before"), F.min("before").alias("before"), F.count("behind").alias("n_behind"), F.min("behind").alias("behind"))
+    head = lambda c: F.xxhash64(F.lit(k), F.col(c)) % 2 == 0
+    side = F.when((F.col("n_before") == 0) | (F.col("n_behind") == 0), 0)
+    side = side.when(~head("id") & (F.col("n_before") == 1) & head("before"), 1).when(~head("id") & (F.col("n_behind") == 1) & head("behind"), 2)
+    to = F.when(F.col("side") == 1, F.col("before")).when(F.col("side") == 2, F.col("behind"))
+    return scratch.write(ends.withColumn("side", side).where("side is not null").select("id", "side", to.alias("to")), f"pointers{k}")
+
+
+def _merged_ends(e: DataFrame, p: DataFrame) -> DataFrame:
+    """Edges with what each end is merged into, and whether an end goes."""
+    at = lambda end: p.select(F.col("id").alias(end), F.col("side").alias(f"side_{end}"), F.col("to").alias(f"to_{end}"))
+    both = e.join(at("src"), "src", "left").join(at("dst"), "dst", "left")
+    gone = F.coalesce(F.col("side_src") == 0, F.lit(False)) | F.coalesce(F.col("side_dst") == 0, F.lit(False))
+    return both.withColumn("gone", gone)
+
+
+def _told(both: DataFrame, roots: DataFrame) -> DataFrame:
+    """(id, root) of merged nodes that belong with the node they were merged into."""
+    kept = both.where("not gone")
+    rows = kept.where("side_src = 1").select(F.col("src").alias("id"), F.col("to_src").alias("to"), F.coalesce("to_dst", "dst").alias("other"))
+    rows = rows.unionByName(kept.where("side_dst = 2").select(F.col("dst").alias("id"), F.col("to_dst").alias("to"), F.coalesce("to_src", "src").alias("other")))
+    at = lambda end: roots.select(F.col("id").alias(end), F.col("root").alias(f"root_{end}"))
+    rows = rows.join(at("to"), "to", "left").join(at("other"), "other", "left")
+    rows = rows.withColumns({"root_to": F.coalesce("root_to", "to"), "root_other": F.coalesce("root_other", "other")})
+    return rows.where("root_to = root_other").select("id", F.col("root_to").alias("root")).distinct()
+
+
+def _split(e: DataFrame, k: int, scratch: Scratch, max_rounds: int) -> DataFrame:
+    """Edges that are left when the components of some pivots are found, and what they tell apart is cut."""
+    ids = scratch.write(e.select(F.col("src").alias("id")).unionByName(e.select(F.col("dst").alias("id"))).distinct(), f"ids{k}")
+    chosen = ids.orderBy(F.xxhash64(F.lit(k), "id"), "id").limit(PIVOTS).collect()
+    pivots = e.sparkSession.createDataFrame([(r.id, (1 << i) - (1 << 64 if i == 63 else 0)) for i, r in enumerate(chosen)], T.StructType([T.StructField("id", ids.schema["id"].dataType), T.StructField("bit", T.LongType())]))
+    masks = scratch.write(_spread(ids, e, pivots, max_rounds), f"masks{k}")
+    own = F.col("before").bitwiseAND(F.col("after"))
+    of_pivot = masks.join(pivots.select("id"), "id", "left_semi").groupBy(own.alias("own")).agg(F.min("id").alias("root"))  # PIVOTS rows
+    inside = masks.where(own != 0).select("id", own.alias("own")).join(F.broadcast(of_pivot), "own")
+    scratch.append(inside.select("id", "root"), "found")
+    rest = masks.where(own == 0)
+    at = lambda end: rest.select(F.col("id").alias(end), F.struct("before", "after").alias(f"m_{end}"))
+    return e.join(at("src"), "src").join(at("dst"), "dst").where("m_src = m_dst").select("src", "dst")
 
 
 def largest_component(components: DataFrame) -> DataFrame:
@@ -141,12 +190,11 @@ def bow_tie(nodes: DataFrame, edges: DataFrame, components: DataFrame | None = N
     c = scratch.write(strong_components(nodes, edges) if components is None else components, "components")
     top = scratch.write(largest_component(c).select("component"), "largest")
     core = c.join(top, "component", "left_semi").select("id", F.lit(True).alias("core"))
-    start = top.select(F.col("component").alias("id"))
-    out = reachable(edges, start).select("id", F.lit(True).alias("after"))
-    into = reachable(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), start).select("id", F.lit(True).alias("before"))
-    rows = nodes.select("id").distinct().join(core, "id", "left").join(out, "id", "left").join(into, "id", "left")
-    part = F.when(F.col("core"), "core").when(F.col("before"), "in").when(F.col("after"), "out").otherwise("tendrils")
-    return rows.select("id", part.alias("part"))
+    start = top.select(F.col("component").alias("id"), F.lit(1).cast("long").alias("bit"))
+    links = edges.select("src", "dst").where("src <> dst").distinct()
+    found = _spread(nodes.select("id").distinct(), links, start, max_rounds=10_000)
+    part = F.when(F.col("core"), "core").when(F.col("after") != 0, "in").when(F.col("before") != 0, "out").otherwise("tendrils")
+    return found.join(core, "id", "left").select("id", part.alias("part"))
 
 
 def clustering(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -178,26 +226,26 @@ def pagerank(nodes: DataFrame, edges: DataFrame, alpha: float = 0.85, tol: float
     Stops when ranks move by less than nodes * tol in all; all ranks are 0 if they never do. `fixed`
     runs as many rounds and asks no more."""
     scratch = Scratch(nodes.sparkSession, "pagerank")
-    ids = scratch.write(nodes.select("id").distinct(), "ids")
-    n = ids.count()
-    if not n:
-        return ids.withColumn("pagerank", F.lit(0.0))
     w = edges.groupBy("src", "dst").agg((F.sum("weight") if use_weights else F.lit(1)).cast("double").alias("w"))
     total = w.groupBy("src").agg(F.sum("w").alias("t"))
-    w = scratch.write(w.join(total, "src").select("src", "dst", (F.col("w") / F.col("t")).alias("w")), "shares")
-    sources = scratch.write(w.select(F.col("src").alias("id")).distinct(), "sources")
-    ranks = scratch.write(ids.withColumn("pagerank", F.lit(1.0 / n)), "ranks0")
+    w = scratch.bucketed(w.join(total, "src").select("src", "dst", (F.col("w") / F.col("t")).alias("w")), "shares", "src")
+    ids = nodes.select("id").distinct().join(w.select(F.col("src").alias("id"), F.lit(True).alias("leads")).distinct(), "id", "left")
+    ids = scratch.bucketed(ids.select("id", F.col("leads").isNull().alias("ends")), "ids", "id")
+    n, lost = ids.agg(F.count(F.lit(1)), F.count_if("ends")).first()
+    if not n:
+        return ids.select("id", F.lit(0.0).alias("pagerank"))
+    ranks, lost = ids.withColumn("pagerank", F.lit(1.0 / n)), lost / n
     for k in range(1, (fixed or max_iter) + 1):
-        lost = ranks.join(sources, "id", "left_anti").agg(F.coalesce(F.sum("pagerank"), F.lit(0.0)).alias("lost"))
-        got = w.join(ranks.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("pagerank") * F.col("w")).alias("got"))
-        new = ranks.join(got, "id", "left").crossJoin(F.broadcast(lost))  # one row
-        value = F.lit(alpha) * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / n) + F.lit((1 - alpha) / n)
-        new = scratch.write(new.select("id", value.alias("pagerank"), F.abs(value - F.col("pagerank")).alias("moved")), f"ranks{k}")
+        # shares lie by source and ranks by node: what is shuffled is what the ranks hand on, summed up before
+        got = w.join(ranks.select(F.col("id").alias("src"), "pagerank"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("pagerank") * F.col("w")).alias("got"))
+        value = F.lit(alpha) * (F.coalesce("got", F.lit(0.0)) + F.lit(lost / n)) + F.lit((1 - alpha) / n)
+        new = ranks.join(got, "id", "left").select("id", "ends", value.alias("pagerank"), F.abs(value - F.col("pagerank")).alias("moved"))
+        ranks = scratch.bucketed(new, f"ranks{k}", "id", laid=True)
         scratch.drop(f"ranks{k - 1}")
-        ranks = new.select("id", "pagerank")
-        if fixed is None and new.agg(F.sum("moved")).first()[0] < n * tol:
-            return ranks
-    return ranks if fixed else ids.withColumn("pagerank", F.lit(0.0))
+        moved, lost = ranks.agg(F.sum("moved"), F.coalesce(F.sum(F.when(F.col("ends"), F.col("pagerank"))), F.lit(0.0))).first()
+        if fixed is None and moved < n * tol:
+            return ranks.select("id", "pagerank")
+    return ranks.select("id", "pagerank") if fixed else ids.select("id", F.lit(0.0).alias("pagerank"))
 
 
 def node_stats(nodes: DataFrame, edges: DataFrame, top_n: int | None = 100, use_weights: bool = True, parts: DataFrame | None = None, fixed: int | None = None) -> DataFrame:

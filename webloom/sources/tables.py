@@ -57,7 +57,7 @@ class Store:
     def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS):
         self.spark, self.root = spark, root.rstrip("/")
         self._scratch = Scratch.__new__(Scratch)
-        self._scratch.spark, self._scratch.root = spark, self.root
+        self._scratch.spark, self._scratch.root, self._scratch._named = spark, self.root, set()
         self.buckets = self.numbers().get("buckets", buckets)
 
     def _listed(self, folder: str) -> list[str]:

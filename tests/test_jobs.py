@@ -112,16 +112,24 @@ def test_wallets(spark):
     assert not any(r.is_outlier for r in wallets.flag_outliers(wallets.wallets(known, tx)).collect())
 
 
-def test_outlier_cut_is_of_all_rows(spark):
+def test_outliers_equal_a_plain_forest(spark):
+    """Trees over samples drawn from all rows by their own hashes, and the exact cut, against one process."""
     rng = np.random.default_rng(6)
-    x = np.round(rng.lognormal(1, 1.5, (600, 3)))
+    x = np.round(rng.lognormal(1, 1.5, (3000, 3)))
     rows = spark.createDataFrame([(f"w{i}", *map(float, r)) for i, r in enumerate(x)], "wallet_id string, size double, total_deposits_usd double, num_transactions double")
-    features = ["size", "total_deposits_usd", "num_transactions"]
-    sample = rows.orderBy(F.xxhash64(F.lit(42), "wallet_id")).limit(40).select(*features).toPandas().to_numpy()
-    scores = wallets.anomaly(wallets.grow_forest(sample), x)
+    trees = []
+    for t in range(wallets.TREES):
+        h = [r.h for r in rows.select(F.xxhash64(F.lit(42), F.lit(t), "wallet_id").alias("h")).collect()] if t < 3 else None
+        if h is None:
+            break
+        first = np.argsort(h, kind="stable")[: wallets.SAMPLE]
+        trees.append(wallets._grow(x[first], np.random.default_rng((42, t)), 0, 8))
+    forest, size = wallets.grown(rows, ("size", "total_deposits_usd", "num_transactions"), "wallet_id", 3000)
+    assert size == 256 and len(forest) == wallets.TREES and wallets.anomaly((forest[:3], size), x).tolist() == wallets.anomaly((trees, size), x).tolist()
+    scores = wallets.anomaly((forest, size), x)
     want = {f"w{i}" for i in np.flatnonzero(scores > np.quantile(scores, 0.95))}
-    got = wallets.flag_outliers(rows, fit_rows=40).collect()
-    assert {r.wallet_id for r in got if r.is_outlier} == want and len(got) == 600 and len(want) <= 30
+    got = wallets.flag_outliers(rows).collect()
+    assert {r.wallet_id for r in got if r.is_outlier} == want and len(got) == 3000 and 100 < len(want) <= 150
 
 
 def test_explore_raises_rather_than_stop_early(spark):

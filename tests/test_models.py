@@ -1,3 +1,5 @@
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from webloom.operators import models
@@ -11,8 +13,7 @@ def test_text_and_flag_models_save_and_load(spark, tmp_path):
     flags = spark.range(60).select(F.col("id").alias("domain"), *[(F.col("id") % (k + 2) == 0).alias(f) for k, f in enumerate(models.CONTEXT_FEATURES)])
     c.models["attribution"] = c.kinds["attribution"].fit(flags.withColumn("y", F.col("near_donate") | F.col("in_a_tag")), "y")
     calls = spark.range(40).select(F.col("id").alias("domain"), F.when(F.col("id") % 2 == 0, F.array(F.lit("document.cookie"), F.lit("_ga"))).otherwise(F.array(F.lit("localStorage"))).alias("calls"))
-    track = models.Tracking(dims=16)
-    c.kinds["tracking"] = track
+    track = c.kinds["tracking"]
     c.models["tracking"] = track.fit(calls.withColumn("y", F.col("domain") % 2 == 0), "calls", "y")
     kind = c.kinds["category"] = models.Category(trees=5)
     c.models["category"] = kind.fit(d, "text", "lang")
@@ -67,3 +68,56 @@ def test_templates_that_were_not_learnt(spark):
     k = models.Template()
     got = k.predict(rest, k.fit(train, "text", "kind"), "text")
     assert got.where("template_group = kind").count() == rest.count() > 15
+
+
+def plain_machine(x, y, gamma, tol=1e-6):
+    """Margins of a kernel machine with a row for each row, by pairs that break their conditions most."""
+    k = np.exp(-gamma * ((x[:, None] - x[None]) ** 2).sum(2))
+    a, n = np.zeros(len(y)), len(y)
+    for _ in range(200_000):
+        f = -y * ((y[:, None] * y[None] * k) @ a - 1)
+        up = [t for t in range(n) if (a[t] < 1 if y[t] > 0 else a[t] > 0)]
+        down = [t for t in range(n) if (a[t] > 0 if y[t] > 0 else a[t] < 1)]
+        i, j = max(up, key=lambda t: f[t]), min(down, key=lambda t: f[t])
+        if f[i] - f[j] < tol:
+            break
+        step = min((f[i] - f[j]) / max(k[i, i] + k[j, j] - 2 * k[i, j], 1e-12), 1 - a[i] if y[i] > 0 else a[i], a[j] if y[j] > 0 else 1 - a[j])
+        a[i] = min(max(a[i] + y[i] * step, 0), 1)
+        a[j] = min(max(a[j] - y[j] * step, 0), 1)
+    free = [t for t in range(n) if 1e-9 < a[t] < 1 - 1e-9]
+    return k @ (a * y) + np.mean([f[t] for t in free] if free else [f[i], f[j]])
+
+
+def test_kernel_machine_equals_a_plain_one(spark):
+    """Over distinct sets with weights, against a row for each row; margins, saved and loaded too."""
+    rng = np.random.default_rng(3)
+    names = ["document.cookie", "localstorage", "getbattery", "webkit", "indexeddb"]
+    rows = []
+    for i in range(90):
+        calls = [c for c in names if rng.random() < 0.5]
+        rows.append((i, calls, bool(("webkit" in calls) != ("getbattery" in calls)) != (rng.random() < 0.1)))
+    df = spark.createDataFrame(rows, "domain long, calls array<string>, y boolean")
+    kind = models.Tracking()
+    model = kind.fit(df, "calls", "y")
+    got = model.transform(df).orderBy("domain").select("_scaled", "tracking_margin", "tracking_conf").collect()
+    x, y = np.array([r["_scaled"].toArray() for r in got]), np.array([1 if r[2] else -1 for r in rows])
+    want = plain_machine(x, y, 1 / (x.shape[1] * x.var()))
+    assert np.abs(np.array([r.tracking_margin for r in got]) - want).max() < 1e-3
+    conf = np.array([r.tracking_conf for r in got])
+    assert ((conf > 0.5) == (y > 0)).mean() > 0.85 and (np.diff(conf[np.argsort(want)]) >= -1e-6).all()
+    train, rest = held_out(spark.createDataFrame([(i, [c for k, c in enumerate(names) if (i * 7919 >> k) % 2], (i * 7919 >> 3) % 2 != (i * 7919 >> 2) % 2) for i in range(400)], df.schema))
+    back = kind.predict(rest, kind.fit(train, "calls", "y"), "calls")
+    assert back.where("has_tracking = y").count() == rest.count() > 50
+
+
+def test_category_rows_stay_sparse_and_are_weighed_by_logarithms(spark):
+    df = spark.createDataFrame([("aa aa aa bb", "x"), ("bb cc", "y"), (None, "x")], "text string, kind string")
+    model = models.Category(trees=2).fit(df, "text", "kind")
+    rows = model.transform(df).select("features", "category", "category_conf").collect()
+    assert all(type(r.features).__name__ == "SparseVector" for r in rows) and rows[2].features.numNonzeros() == 0
+    vocabulary = model.stages[1].vocabulary
+    assert sorted(vocabulary) == ["aa", "aa aa", "aa bb", "bb", "bb cc", "cc"]
+    idf = {t: np.log(4 / (1 + (2 if t == "bb" else 1))) + 1 for t in vocabulary}
+    want = {"aa": (1 + np.log(3)) * idf["aa"], "aa aa": (1 + np.log(2)) * idf["aa aa"], "aa bb": idf["aa bb"], "bb": idf["bb"]}
+    size = np.sqrt(sum(v * v for v in want.values()))
+    assert {vocabulary[i]: v for i, v in zip(rows[0].features.indices, rows[0].features.values, strict=True)} == pytest.approx({t: v / size for t, v in want.items()})

@@ -1,7 +1,7 @@
 """Six classifiers of sites and addresses, as pyspark.ml pipelines.
 
-Each has fit(df) -> model and predict(df, model) -> df with its label and confidence columns; a model
-of None is an untrained classifier, which answers with its default or heuristic. Models are saved
+Each has fit(df) -> PipelineModel and predict(df, model) -> df with its label and confidence columns; a
+model of None is an untrained classifier, which answers with its default or heuristic. Models are saved
 and loaded as Spark's own directories; nothing is unpickled.
 """
 
@@ -9,15 +9,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import LinearSVC, LogisticRegression, NaiveBayes, RandomForestClassifier
-from pyspark.ml.feature import IDF, CountVectorizer, ElementwiseProduct, IndexToString, NGram, Normalizer, StandardScaler, StringIndexer
+from pyspark.ml.classification import NaiveBayes, RandomForestClassifier
+from pyspark.ml.feature import IDF, CountVectorizer, ElementwiseProduct, IndexToString, Normalizer, StringIndexer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webloom.core.scratch import Scratch
+from webloom.operators.stages import BestClass, KernelMachine, LogCounts, Tokens, calibrated, radial, solved
 
 # Names and sizes that the classifiers are set up with.
 CATEGORIES = ("social_media", "marketplace", "pornography", "indexer", "crypto", "other")
@@ -25,75 +28,65 @@ PAGE_FEATURES = ("uses_css", "uses_js", "num_chars", "num_img_tags", "num_button
 CONTEXT_FEATURES = ("in_a_tag", "in_url", "in_form", "in_footer", "in_table", "in_list", "in_img", "near_donate", "near_example")
 LANGUAGE_TERMS, CATEGORY_TERMS, TEMPLATE_TERMS, TRACKING_TERMS = 10_000, 5_000, 5_000, 2_000
 TREES, SMOOTHING, SEED = 100, 0.1, 42
-RANDOM_FEATURES = 256
+DEPTH = 30  # the deepest that Spark grows
+#: Distinct sets of script names that the kernel machine is fitted to at most, those that come first by a
+#: hash; its parameters, folds that margins are held out in, and where its weights stop.
+FIT_SETS, KERNEL_C, FOLDS = 2_000, 1.0, 5
 
 
 def top_probability(df: DataFrame, probability: str) -> Column:
     return F.array_max(vector_to_array(F.col(probability)))
 
 
-def _tfidf(tokens: str, terms: int, df: DataFrame) -> list:
-    """Stages that are fitted already: counts, smoothed weights ln((1 + n) / (1 + df)) + 1, length 1."""
-    counts = CountVectorizer(inputCol=tokens, outputCol="_counts", vocabSize=terms).fit(df)
+def _tfidf(df: DataFrame, terms: int, bend: bool = False) -> tuple[list, DataFrame]:
+    """Fitted stages from _grams to features, and the rows with them: counts, or 1 + ln of them, times
+    ln((1 + n) / (1 + df)) + 1, and length 1. Rows are sparse throughout."""
+    counts = CountVectorizer(inputCol="_grams", outputCol="_counts", vocabSize=terms).fit(df)
     idf = IDF(inputCol="_counts", outputCol="_idf").fit(counts.transform(df))
-    weights = Vectors.dense([w + 1.0 for w in idf.idf.toArray()])
-    return [counts, ElementwiseProduct(scalingVec=weights, inputCol="_counts", outputCol="_weighted"), Normalizer(inputCol="_weighted", outputCol="features", p=2.0)]
+    stages = [counts, *([LogCounts(inputCol="_counts", outputCol="_bent")] if bend else [])]
+    stages.append(ElementwiseProduct(scalingVec=Vectors.dense(idf.idf.toArray() + 1.0), inputCol="_bent" if bend else "_counts", outputCol="_weighted"))
+    stages.append(Normalizer(inputCol="_weighted", outputCol="features", p=2.0))
+    return stages, PipelineModel(stages).transform(df)
 
 
-# -- language: character trigrams, complement naive Bayes -------------------------------------------
-
-
-def _trigrams(df: DataFrame, text: str) -> DataFrame:
-    from webloom.functions.text import trigrams
-
-    return df.withColumn("_grams", trigrams(F.col(text)))
+# -- language and template: complement naive Bayes ---------------------------------------------------
 
 
 class _TextBayes:
     """Complement naive Bayes over weighted tokens."""
 
-    def __init__(self, terms: int, default: str, names: tuple[str, str]):
-        self.terms, self.default, self.names = terms, default, names
-
-    def tokens(self, df: DataFrame, text: str) -> DataFrame:
-        raise NotImplementedError
+    def __init__(self, kind: str, terms: int, default: str, names: tuple[str, str]):
+        self.kind, self.terms, self.default, self.names = kind, terms, default, names
 
     def fit(self, df: DataFrame, text: str, label: str) -> PipelineModel:
-        df = self.tokens(df.where(F.col(label).isNotNull()), text)
+        tokens = Tokens(inputCol=text, outputCol="_grams", kind=self.kind)
+        df = tokens.transform(df.where(F.col(label).isNotNull()))
         index = StringIndexer(inputCol=label, outputCol="_label", stringOrderType="alphabetAsc").fit(df)
-        stages = _tfidf("_grams", self.terms, df)
-        rows = df
-        for s in [index, *stages]:
-            rows = s.transform(rows)
+        stages, rows = _tfidf(index.transform(df), self.terms)
         bayes = NaiveBayes(modelType="complement", smoothing=SMOOTHING, featuresCol="features", labelCol="_label", probabilityCol="_probability", predictionCol="_prediction", rawPredictionCol="_raw").fit(rows)
         back = IndexToString(inputCol="_prediction", outputCol=self.names[0], labels=index.labels)
-        return PipelineModel([*stages, bayes, back])
+        return PipelineModel([tokens, *stages, bayes, back])
 
     def predict(self, df: DataFrame, model: PipelineModel | None, text: str) -> DataFrame:
         label, conf = self.names
         if model is None:
             return df.withColumns({label: F.lit(self.default), conf: F.lit(0.0)})
-        out = model.transform(self.tokens(df, text)).withColumn(conf, top_probability(df, "_probability"))
+        out = model.transform(df).withColumn(conf, top_probability(df, "_probability"))
         return out.select(*df.columns, label, conf)
 
 
 class Language(_TextBayes):
-    def __init__(self):
-        super().__init__(LANGUAGE_TERMS, "unknown", ("language", "language_conf"))
+    """Over character trigrams."""
 
-    def tokens(self, df, text):
-        return _trigrams(df, text)
+    def __init__(self):
+        super().__init__("trigrams", LANGUAGE_TERMS, "unknown", ("language", "language_conf"))
 
 
 class Template(_TextBayes):
     """Over a text made of 50 selectors, 50 paths and the top terms; words of two letters or more."""
 
     def __init__(self):
-        super().__init__(TEMPLATE_TERMS, "unique", ("template_group", "template_conf"))
-
-    def tokens(self, df, text):
-        low = F.lower(F.coalesce(F.col(text), F.lit("")))
-        return df.withColumn("_grams", F.filter(F.regexp_extract_all(low, F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)), lambda x: F.length(x) > 1))
+        super().__init__("words", TEMPLATE_TERMS, "unique", ("template_group", "template_conf"))
 
 
 def template_text(css: Column, paths: Column, terms: Column) -> Column:
@@ -112,7 +105,7 @@ class _Forest:
 
     def fit(self, df: DataFrame, label: str) -> PipelineModel:
         rows = self.vector(df.where(F.col(label).isNotNull())).withColumn("_label", F.col(label).cast("double"))
-        forest = RandomForestClassifier(featuresCol="features", labelCol="_label", numTrees=TREES, seed=SEED, featureSubsetStrategy="sqrt", maxDepth=30, probabilityCol="_probability", predictionCol="_prediction", rawPredictionCol="_raw")
+        forest = RandomForestClassifier(featuresCol="features", labelCol="_label", numTrees=TREES, seed=SEED, featureSubsetStrategy="sqrt", maxDepth=DEPTH, probabilityCol="_probability", predictionCol="_prediction", rawPredictionCol="_raw")
         return PipelineModel([forest.fit(rows)])
 
     def untrained(self) -> tuple[Column, Column]:
@@ -143,125 +136,87 @@ class Attribution(_Forest):
         return claim, claim.cast("double")
 
 
-# -- category: words and word pairs, one forest for each class ---------------------------------------
+# -- category: words and pairs of them --------------------------------------------------------------
 
 
 class Category:
+    """A forest for each class; a page's class is the one whose forest is surest."""
+
     def __init__(self, trees: int = TREES):
         self.trees = trees
 
-    def tokens(self, df: DataFrame, text: str) -> DataFrame:
-        low = F.lower(F.coalesce(F.col(text), F.lit("")))
-        words = F.filter(F.regexp_extract_all(low, F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)), lambda x: F.length(x) > 1)
-        df = NGram(n=2, inputCol="_words", outputCol="_pairs").transform(df.withColumn("_words", words))
-        return df.withColumn("_grams", F.concat("_words", "_pairs")).drop("_words", "_pairs")
-
-    def fit(self, df: DataFrame, text: str, label: str) -> dict:
-        """{"features": PipelineModel, classes: PipelineModel of each}; probabilities are normalised
-        over the classes when predicting."""
-        rows = self.tokens(df.where(F.col(label).isNotNull()), text)
-        counts = CountVectorizer(inputCol="_grams", outputCol="_counts", vocabSize=CATEGORY_TERMS).fit(rows)
-        idf = IDF(inputCol="_counts", outputCol="_idf").fit(counts.transform(rows))
-        weigh = ElementwiseProduct(scalingVec=Vectors.dense([w + 1.0 for w in idf.idf.toArray()]), inputCol="_bent", outputCol="_weighted")
-        features = {"counts": counts, "weigh": weigh, "norm": Normalizer(inputCol="_weighted", outputCol="features", p=2.0)}
-        rows = Scratch(df.sparkSession, "category").write(self._features(rows, features).select("features", label), "features")
+    def fit(self, df: DataFrame, text: str, label: str) -> PipelineModel:
+        tokens = Tokens(inputCol=text, outputCol="_grams", kind="pairs")
+        stages, rows = _tfidf(tokens.transform(df.where(F.col(label).isNotNull())), CATEGORY_TERMS, bend=True)
+        rows = Scratch(df.sparkSession, "category").write(rows.select("features", label), "features")
         classes = sorted(r[0] for r in rows.select(label).distinct().collect())  # class names
-        forests = {}
-        for c in classes:
-            forest = RandomForestClassifier(featuresCol="features", labelCol="_label", numTrees=self.trees, seed=SEED, featureSubsetStrategy="sqrt", maxDepth=20, probabilityCol=f"_p_{len(forests)}", predictionCol=f"_y_{len(forests)}", rawPredictionCol=f"_r_{len(forests)}")
-            forests[c] = forest.fit(rows.withColumn("_label", (F.col(label) == c).cast("double")))
-        return {"features": features, "classes": classes, "forests": forests}
-
-    def _features(self, rows: DataFrame, features: dict) -> DataFrame:
-        bent = array_to_vector(F.transform(vector_to_array(F.col("_counts")), lambda x: F.when(x > 0, 1.0 + F.log(x)).otherwise(0.0)))
-        rows = features["counts"].transform(rows).withColumn("_bent", bent)
-        return features["norm"].transform(features["weigh"].transform(rows))
-
-    def predict(self, df: DataFrame, model: dict | None, text: str) -> DataFrame:
+        for i, c in enumerate(classes):
+            forest = RandomForestClassifier(featuresCol="features", labelCol="_label", numTrees=self.trees, seed=SEED, featureSubsetStrategy="sqrt", maxDepth=DEPTH, probabilityCol=f"_p_{i}", predictionCol=f"_y_{i}", rawPredictionCol=f"_r_{i}")
+            stages.append(forest.fit(rows.withColumn("_label", (F.col(label) == c).cast("double"))))
+        return PipelineModel([tokens, *stages, BestClass(inputCol="_p_", outputCol="category", shareCol="category_conf", classes=classes)])
+
+    def predict(self, df: DataFrame, model: PipelineModel | None, text: str) -> DataFrame:
         if model is None:
             return df.withColumns({"category": F.lit("other"), "category_conf": F.lit(0.0)})
-        rows = self._features(self.tokens(df, text), model["features"])
-        ps = []
-        for i, c in enumerate(model["classes"]):
-            rows = model["forests"][c].transform(rows)
-            ps.append(F.element_at(vector_to_array(F.col(f"_p_{i}")), -1))
-        total = sum(ps[1:], ps[0])
-        best = F.array_max(F.array(*ps))
-        name = F.coalesce(*[F.when(p == best, F.lit(c)) for c, p in zip(model["classes"], ps, strict=True)])
-        return rows.withColumns({"category": name, "category_conf": F.when(total > 0, best / total).otherwise(0.0)}).select(*df.columns, "category", "category_conf")
-
-    def save(self, model: dict, path: str) -> None:
-        for name, stage in model["features"].items():
-            PipelineModel([stage]).write().overwrite().save(f"{path}/features-{name}")
-        for i, c in enumerate(model["classes"]):
-            PipelineModel([model["forests"][c]]).write().overwrite().save(f"{path}/forest-{i}")
-        SparkSession.getActiveSession().createDataFrame(list(enumerate(model["classes"])), "i int, name string").write.mode("overwrite").parquet(f"{path}/classes")
+        return model.transform(df).select(*df.columns, "category", "category_conf")
 
-    def load(self, path: str) -> dict:
-        spark = SparkSession.getActiveSession()
-        classes = [r.name for r in spark.read.parquet(f"{path}/classes").orderBy("i").collect()]
-        features = {n: PipelineModel.load(f"{path}/features-{n}").stages[0] for n in ("counts", "weigh", "norm")}
-        return {"features": features, "classes": classes, "forests": {c: PipelineModel.load(f"{path}/forest-{i}").stages[0] for i, c in enumerate(classes)}}
 
-
-# -- tracking: a kernel machine over script names, by random Fourier features ------------------------
+# -- tracking: a kernel machine over script names ----------------------------------------------------
 
 
 class Tracking:
-    """cos(w.x + b) features with Gaussian w stand for the radial kernel (Rahimi and Recht, 2007); a
-    linear machine separates them and a logistic fit of its margin gives a probability."""
-
-    def __init__(self, dims: int = RANDOM_FEATURES):
-        self.dims = dims
-
-    def tokens(self, df: DataFrame, calls: str) -> DataFrame:
-        joined = F.lower(F.array_join(F.array_sort(F.col(calls)), " "))
-        return df.withColumn("_grams", F.filter(F.regexp_extract_all(joined, F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)), lambda x: F.length(x) > 1))
-
-    def _waves(self, rows: DataFrame, n: int) -> DataFrame:
-        import numpy as np
-
-        rng = np.random.default_rng(SEED)
-        w = rng.normal(0, np.sqrt(2.0 / max(n, 1)), (self.dims, n))
-        b = rng.uniform(0, 2 * np.pi, self.dims)
-        x = vector_to_array(F.col("_scaled"))
-        cosine = lambda i: F.cos(sum((x[j] * float(w[i, j]) for j in range(n)), F.lit(float(b[i])))) * float(np.sqrt(2.0 / self.dims))
-        return rows.withColumn("_waves", array_to_vector(F.array(*[cosine(i) for i in range(self.dims)])))
-
-    def fit(self, df: DataFrame, calls: str, label: str) -> dict:
-        rows = self.tokens(df.where(F.col(label).isNotNull()), calls).withColumn("_label", F.col(label).cast("double"))
-        stages = _tfidf("_grams", TRACKING_TERMS, rows)
-        for s in stages:
-            rows = s.transform(rows)
-        n_rows = rows.count()
-        scale = StandardScaler(inputCol="features", outputCol="_scaled0", withMean=False).fit(rows)
-        factor = ((n_rows - 1) / n_rows) ** 0.5 if n_rows > 1 else 1.0  # deviations of all, not of a sample
-        terms = len(stages[0].vocabulary)
-        even = ElementwiseProduct(scalingVec=Vectors.dense([1.0 / factor if factor else 1.0] * terms), inputCol="_scaled0", outputCol="_scaled")
-        rows = self._waves(even.transform(scale.transform(rows)), terms)
-        svc = LinearSVC(featuresCol="_waves", labelCol="_label", rawPredictionCol="_margin", predictionCol="_side", regParam=1.0 / max(n_rows, 1), maxIter=50).fit(rows)
-        rows = svc.transform(rows).withColumn("_m", array_to_vector(F.array(F.element_at(vector_to_array(F.col("_margin")), 2))))
-        platt = LogisticRegression(featuresCol="_m", labelCol="_label", probabilityCol="_probability", rawPredictionCol="_raw", predictionCol="_prediction").fit(rows)
-        return {"stages": [*stages, scale, even], "terms": terms, "svc": svc, "platt": platt}
-
-    def predict(self, df: DataFrame, model: dict | None, calls: str) -> DataFrame:
+    """A radial kernel machine over weighted script names, scaled by their deviations over all rows.
+
+    Pages name few distinct sets of scripts, so rows are counted by set and class before anything else; the
+    machine is solved over the sets, each with the weight of its rows. Its probability is fitted to margins
+    of rows that were held out, in FOLDS folds by a hash of the row."""
+
+    def fit(self, df: DataFrame, calls: str, label: str) -> PipelineModel:
+        scratch, tokens = Scratch(df.sparkSession, "tracking"), Tokens(inputCol=calls, outputCol="_grams", kind="names")
+        df = df.where(F.col(label).isNotNull())
+        fold = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(FOLDS)).cast("int")
+        side = F.when(F.col(label).cast("double") > 0, 1).otherwise(-1)
+        rows = tokens.transform(df.withColumns({"_fold": fold, "_side": side})).select("_grams", "_side", "_fold")
+        stages, rows = _tfidf(scratch.write(rows, "rows"), TRACKING_TERMS)
+        seen = rows.select(Summarizer.metrics("variance", "count").summary(F.col("features")).alias("s")).select("s.variance", "s.count").first()
+        n = seen["count"]
+        spread = np.sqrt(seen["variance"].toArray() * ((n - 1) / n if n > 1 else 0.0)) if n else np.zeros(0)
+        even = ElementwiseProduct(scalingVec=Vectors.dense(1.0 / np.where(spread > 0, spread, 1.0)), inputCol="features", outputCol="_scaled")
+        counted = scratch.write(rows.groupBy("_grams", "_side", "_fold").agg(F.count(F.lit(1)).alias("n"), F.first("features").alias("features")), "counted")
+        sets = counted.select("_grams").distinct().orderBy(F.xxhash64("_grams"), "_grams").limit(FIT_SETS)
+        found = even.transform(counted.join(F.broadcast(sets), "_grams")).select("_scaled", "_side", "_fold", "n").collect()  # 2 * FOLDS * FIT_SETS at most
+        machine = _machine(np.array([r["_scaled"].toArray() for r in found]).reshape(len(found), -1), *(np.array([r[c] for r in found]) for c in ("_side", "_fold", "n")))
+        return PipelineModel([tokens, *stages, even, machine])
+
+    def predict(self, df: DataFrame, model: PipelineModel | None, calls: str) -> DataFrame:
         if model is None:
             any_call = F.size(calls) > 0
             return df.withColumns({"has_tracking": any_call, "tracking_conf": any_call.cast("double")})
-        rows = self.tokens(df, calls)
-        for s in model["stages"]:
-            rows = s.transform(rows)
-        rows = model["svc"].transform(self._waves(rows, model["terms"]))
-        rows = rows.withColumn("_m", array_to_vector(F.array(F.element_at(vector_to_array(F.col("_margin")), 2))))
-        p = F.element_at(vector_to_array(F.col("_probability")), 2)
-        return model["platt"].transform(rows).withColumn("tracking_conf", p).withColumn("has_tracking", p > 0.5).select(*df.columns, "has_tracking", "tracking_conf")
+        return model.transform(df).withColumn("has_tracking", F.col("tracking_conf") > 0.5).select(*df.columns, "has_tracking", "tracking_conf")
+
+
+def _machine(x: np.ndarray, side: np.ndarray, fold: np.ndarray, n: np.ndarray) -> KernelMachine:
+    """The machine of rows x of a class (side 1 or -1) and a fold, that count n times each."""
+    mean = (n[:, None] * x).sum() / max(n.sum() * x.shape[1], 1)
+    spread = (n[:, None] * (x - mean) ** 2).sum() / max(n.sum() * x.shape[1], 1)
+    gamma = 1.0 / (x.shape[1] * spread) if spread > 0 else 1.0
 
-    def save(self, model: dict, path: str) -> None:
-        PipelineModel([*model["stages"], model["svc"], model["platt"]]).write().overwrite().save(path)
+    def fitted(mine: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        rows, where = np.unique(np.column_stack((x[mine], side[mine])), axis=0, return_inverse=True)
+        total = np.bincount(where.ravel(), weights=n[mine], minlength=len(rows))
+        weights, bias = solved(radial(rows[:, :-1], rows[:, :-1], gamma), rows[:, -1], KERNEL_C * total)
+        used = weights != 0
+        return rows[used, :-1], weights[used], bias
 
-    def load(self, path: str) -> dict:
-        *stages, svc, platt = PipelineModel.load(path).stages
-        return {"stages": stages, "terms": len(stages[0].vocabulary), "svc": svc, "platt": platt}
+    held, weights, bias = fitted(np.ones(len(x), bool))
+    margin = np.zeros(len(x))
+    for f in range(FOLDS):
+        mine = fold == f
+        rest = fitted(~mine) if len(set(side[~mine])) == 2 else (held, weights, bias)
+        if mine.any():
+            margin[mine] = radial(x[mine], rest[0], gamma) @ rest[1] + rest[2]
+    slope, shift = calibrated(margin, side.astype(float), n.astype(float))
+    return KernelMachine(inputCol="_scaled", outputCol="tracking_conf", marginCol="tracking_margin", vectors=held.ravel().tolist(), weights=weights.tolist(), dims=x.shape[1], bias=bias, gamma=float(gamma), slope=slope, shift=shift)
 
 
 # -- all six together -------------------------------------------------------------------------------
@@ -293,11 +248,7 @@ class Classifiers:
 
     def save(self, path: str) -> None:
         for name, model in self.models.items():
-            if model is None:
-                continue
-            if hasattr(self.kinds[name], "save"):
-                self.kinds[name].save(model, f"{path}/{name}")
-            else:
+            if model is not None:
                 model.write().overwrite().save(f"{path}/{name}")
 
     @classmethod
@@ -305,8 +256,8 @@ class Classifiers:
         """Models of the folder; those that are not there stay untrained."""
         out = cls()
         hadoop = spark._jvm.org.apache.hadoop.fs.Path
-        for name, kind in out.kinds.items():
+        for name in out.kinds:
             at = hadoop(f"{path}/{name}")
             if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
-                out.models[name] = kind.load(f"{path}/{name}") if hasattr(kind, "load") else PipelineModel.load(f"{path}/{name}")
+                out.models[name] = PipelineModel.load(f"{path}/{name}")
         return out

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -69,11 +71,12 @@ TREES, SAMPLE = 100, 256
 
 
 def _grow(x: np.ndarray, rng: np.random.Generator, depth: int, most: int) -> tuple:
+    """A tree of x: (rows,) of a leaf, or (feature, cut, below, above)."""
     spread = np.flatnonzero(x.min(axis=0) < x.max(axis=0)) if len(x) else []
     if depth >= most or len(x) <= 1 or not len(spread):
         return (len(x),)
     f = int(rng.choice(spread))
-    cut = rng.uniform(x[:, f].min(), x[:, f].max())
+    cut = float(rng.uniform(x[:, f].min(), x[:, f].max()))
     left = x[:, f] < cut
     return f, cut, _grow(x[left], rng, depth + 1, most), _grow(x[~left], rng, depth + 1, most)
 
@@ -95,11 +98,29 @@ def _depths(tree: tuple, x: np.ndarray, depth: int) -> np.ndarray:
     return out
 
 
-def grow_forest(x: np.ndarray, seed: int = 42) -> tuple[list[tuple], int]:
-    rng = np.random.default_rng(seed)
-    size = min(SAMPLE, len(x))
-    most = int(np.ceil(np.log2(max(size, 2))))
-    return [_grow(x[rng.choice(len(x), size, replace=False)], rng, 0, most) for _ in range(TREES)], size
+def _sizes(n: int) -> tuple[int, int]:
+    """Rows that a tree sees of n, and how deep it grows."""
+    size = min(SAMPLE, n)
+    return size, int(np.ceil(np.log2(max(size, 2))))
+
+
+def grown(rows: DataFrame, features: tuple[str, ...], key: str, n: int, seed: int = 42) -> tuple[list[tuple], int]:
+    """A forest over `rows`, each tree grown in a task of its own from the SAMPLE rows that come first by the
+    tree's own hash. What is collected is the trees, TREES times SAMPLE splits at most.
+
+    A row is handed on only to trees in whose hash it comes early enough to be among four times as many as
+    are wanted; that fewer than SAMPLE do so is beyond all odds, and such a tree would only be smaller."""
+    size, most = _sizes(n)
+    near = F.lit(2.0**64 * min(1.0, 4 * SAMPLE / n) - 2.0**63)
+    early = F.filter(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.struct(t.alias("tree"), F.xxhash64(F.lit(seed), t, F.col(key)).alias("h"))), lambda s: s["h"] <= near)
+    drawn = rows.select(F.explode(early).alias("s"), *[F.col(f).cast("double").alias(f"x{i}") for i, f in enumerate(features)]).select("s.*", *[f"x{i}" for i in range(len(features))])
+
+    def grow(keys: tuple, sample: pd.DataFrame) -> pd.DataFrame:
+        x = sample.sort_values(list(sample.columns[1:])).iloc[:size, 2:].to_numpy(float)
+        return pd.DataFrame({"tree": [keys[0]], "grown": [json.dumps(_grow(x, np.random.default_rng((seed, keys[0])), 0, most))]})
+
+    trees = drawn.groupBy("tree").applyInPandas(grow, "tree int, grown string").orderBy("tree").collect()
+    return [json.loads(t.grown) for t in trees], size
 
 
 def anomaly(forest: tuple[list[tuple], int], x: np.ndarray) -> np.ndarray:
@@ -124,18 +145,17 @@ def _ranked(values: DataFrame, rank: int, ranges: int = 4096) -> float:
 
 
 def flag_outliers(
-    rows: DataFrame, features: tuple[str, ...] = ("size", "total_deposits_usd", "num_transactions"), share: float = 0.05, least: int = 10, key: str = "wallet_id", fit_rows: int = 10_000, seed: int = 42
+    rows: DataFrame, features: tuple[str, ...] = ("size", "total_deposits_usd", "num_transactions"), share: float = 0.05, least: int = 10, key: str = "wallet_id", seed: int = 42
 ) -> DataFrame:
     """`rows` with is_outlier: the `share` with the highest anomaly score, those above the cut only.
 
-    The trees see samples of SAMPLE rows each, drawn from up to `fit_rows` that come first by a hash
-    of the key; the cut is that of all rows. Fewer than `least` rows are not judged, and rows that are all alike are none of them."""
+    Each tree sees SAMPLE rows of its own, drawn from all; the cut is that of all rows. Fewer than `least`
+    rows are not judged, and rows that are all alike are none of them."""
     scratch = Scratch(rows.sparkSession, "outliers")
     rows = scratch.write(rows, "rows")
     if (n := rows.count()) < least:
         return rows.withColumn("is_outlier", F.lit(False))
-    sample = rows.orderBy(F.xxhash64(F.lit(seed), key)).limit(fit_rows).select(*[F.col(f).cast("double") for f in features]).toPandas().to_numpy()
-    forest = grow_forest(sample, seed)
+    forest = grown(rows, features, key, n, seed)
     shared = rows.sparkSession.sparkContext.broadcast(forest)  # TREES x SAMPLE nodes
 
     @F.pandas_udf("double")

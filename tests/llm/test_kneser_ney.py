@@ -3,6 +3,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from webloom.llm import kneser_ney as kn
@@ -140,7 +141,7 @@ def test_blocks_and_groups(monkeypatch):
     texts = [b"a b", None, b"c d e  f g\th i j\n", b"", b" A\xc3\x89 ", b"abcdefghijklmnop q", b"\x85 \xa0"]
     word = lambda w: int(kn.hashed_words(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]))[0])
     assert word(b"AbZ\x80[") == word(b"abz\x80[") and len({word(w) for w in (b"a", b"aa", b"b", b"ab", b"ba", b"\x00", b"\x00\x00")} | {int(kn.END)}) == 8
-    monkeypatch.setattr(kn, "LONG", 5)
+    monkeypatch.setattr(kn, "SHORT", 5)
     want = {i: [*map(word, (t or b"").lower().split()), int(kn.END)] for i, t in enumerate(texts)}
     for span in (1, 3, 6, 1000):
         monkeypatch.setattr(kn, "SPAN", span)
@@ -190,3 +191,14 @@ def test_words_that_collide_under_any_polynomial(spark):
     got = {r.doc_id: r.base_score for r in out}
     term = lambda n: math.log10((n + 0.5) / (5 + 0.5 * 4))
     assert got[1] == pytest.approx(term(1) + term(2)) and got[2] == pytest.approx(2 * term(2) + term(2))
+
+
+def test_words_are_hashed_as_by_the_library():
+    rng = np.random.default_rng(4)
+    words = [bytes(rng.choice(np.frombuffer(b"abcXYZ09\xc3\xa9\xff.", np.uint8), n)) for n in [*range(1, 70), *rng.integers(1, 40, 300), 5000]]
+    data = np.frombuffer(b" ".join(words), np.uint8)
+    ends = np.cumsum([len(w) + 1 for w in words]) - 1
+    starts = ends - np.array([len(w) for w in words])
+    want = [xxhash.xxh64_intdigest(bytes(c + 32 if 65 <= c <= 90 else c for c in w)) for w in words]
+    assert kn.hashed_words(data, starts, ends).tolist() == want
+    assert kn.hashed_words(data[:0], starts[:0], ends[:0]).tolist() == []

@@ -5,7 +5,7 @@ from webloom.operators import crawl, merge, seeds
 from webloom.sources import tables
 from webloom.streaming import merges
 
-A, B, C = ("a" * 16, "b" * 16, "c" * 16)
+A, B, C, D = ("a" * 16, "b" * 16, "c" * 16, "d" * 16)
 
 
 def test_text_sources(spark, tmp_path):
@@ -19,10 +19,15 @@ def test_text_sources(spark, tmp_path):
 
 
 def test_seed_sources(spark):
-    sitemap = spark.createDataFrame([(f"<urlset xmlns='x'><url><loc>http://{A}.onion/</loc></url><p>{C}.onion</p></urlset>",), (f"plain {B}.onion",)], "body string")
+    ns = seeds.SITEMAPS
+    own = f"<?xml version='1.0'?><!-- <loc>{C}.onion</loc> --><urlset xmlns='{ns}' xmlns:i='http://i'><url><loc>http://{A}.onion/</loc><i:loc>{C}.onion</i:loc></url><p>{C}.onion</p></urlset>"
+    named = f"<s:sitemapindex xmlns:s=\"{ns}\"><s:sitemap><s:loc>http://{D}.onion/</s:loc></s:sitemap><loc>{C}.onion</loc></s:sitemapindex>"
+    sitemap = spark.createDataFrame([(own,), (named,), (f"plain {B}.onion",), (None,), ("",)], "body string")
+    raw = [(f"<urlset><url><loc>{A}.onion</loc></url>{B}.onion</urlset>",), (f"<urlset xmlns='{ns}'><url><loc>{D}.onion",)]  # in no namespace, cut
+    assert {r.domain for r in seeds.sitemap_names(spark.createDataFrame(raw, "body string"), None).collect()} == {f"{x}.onion" for x in (A, B, D)}
     listed = spark.createDataFrame([(f"{B}.onion",)], "domain string")
-    assert {r.domain for r in seeds.sitemap_names(sitemap, None).collect()} == {f"{A}.onion", f"{B}.onion"}
-    assert {r.domain for r in seeds.sitemap_names(sitemap, listed).collect()} == {f"{A}.onion"}
+    assert {r.domain for r in seeds.sitemap_names(sitemap, None).collect()} == {f"{A}.onion", f"{B}.onion", f"{D}.onion"}
+    assert {r.domain for r in seeds.sitemap_names(sitemap, listed).collect()} == {f"{A}.onion", f"{D}.onion"}
     with pytest.raises(ValueError):
         seeds.collect([listed], None)
     index = spark.createDataFrame([("http://i.test/", ["http://i.test/page/2", "http://i.test/other", "http://x.test/page/1", "http://i.test/?p=3"])], "url string, links array<string>")
@@ -56,3 +61,51 @@ def test_stream_of_edges(spark, tmp_path):
     merges.once(store, "graph_edges", merge.add_counts, "another")(batch, 0)
     assert store.read("graph_edges").first().weight == 7 and store.mark(f"{tmp_path}/cp") == 2
     assert store.one("graph_edges", "x", "y").count() == 1 and store.read("domains").where(F.lit(True)).count() == 0
+
+
+def test_captures_feed_a_crawl(spark, tmp_path):
+    """Responses written and read by the data source, with and without its filter of hosts."""
+    from webloom.sources import captures
+
+    captures.register(spark)
+    rows = [
+        ("http://h.test/", 200, "<a href='/x'>é</a>\r\n\r\nmore", "nginx\r\nX: y", "text/html; charset=utf-8", None, 5), ("http://h.test/x", 404, "", None, "text/html", None, 6),
+        ("http://h.test/", 500, "old", None, None, None, 1), ("http://other.test/", None, None, None, None, "refused", None), ("http://[::1]:8/", 200, "six", None, "text/plain; charset=nonsense", None, 7),
+    ]
+    df = spark.createDataFrame(rows, "url string, status_code int, html string, server string, content_type string, error string, at int")
+    df = df.withColumn("captured_at", F.timestamp_seconds("at")).drop("at")
+    folder = f"file://{tmp_path}/c"
+    df.repartition(2).write.format(captures.FORMAT).mode("append").save(folder)
+    back = spark.read.format(captures.FORMAT).load(folder)
+    columns = ["url", "status_code", "error", "captured_at"]
+    assert sorted(map(tuple, back.select(columns).collect()), key=str) == sorted(map(tuple, df.select(columns).collect()), key=str)
+    assert back.rdd.getNumPartitions() == len(list((tmp_path / "c").glob("*.capture"))) and not list((tmp_path / "c").glob(".*.part"))
+    mine = spark.read.format(captures.FORMAT).option("hosts", "H.test,none").load(folder)
+    assert {r.host for r in mine.collect()} == {"h.test"} and mine.count() == 3 and mine.where("host = 'other.test'").count() == 0
+    assert back.where("host = 'h.test'").count() == 3 and {r.host for r in back.collect()} == {"h.test", "other.test", "::1"}
+    got = crawl.crawl(spark.createDataFrame([("h.test",)], "seed string"), back).orderBy("seq").collect()
+    assert [(r.url, r.status_code, r.html, r.server) for r in got] == [("http://h.test", 200, "<a href='/x'>é</a>\r\n\r\nmore", "nginx X: y"), ("http://h.test/x", 404, "", None)]
+    (cut,) = [f for f in (tmp_path / "c").glob("*.capture") if "old" in f.read_text()][:1]
+    cut.write_bytes(cut.read_bytes()[:-2])
+    with pytest.raises(Exception, match="ends within"):
+        back.collect()
+
+
+def test_functions_in_sql(spark):
+    from webloom.functions import addresses, sql, text, urls
+
+    sql.register(spark)
+    eth = "0x" + "ab" * 20
+    texts = [f"İ tip <a href='x'> {eth} x{eth} {eth} {A}.onion.{B}.onion _{C}.onion {D.upper()}.ONION", "", None, f"x{eth} then {eth}!"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    df.createOrReplaceTempView("texts")
+    scanned = addresses.scan(df, ["i"], "t")
+    assert sorted(map(tuple, spark.sql("select i, s.* from texts, lateral address_scan(t) s").collect())) == sorted(map(tuple, scanned.collect()))
+    names = spark.sql("select i, hidden_names(t) as n from texts").collect()
+    assert {r.i: r.n for r in names} == {r.i: r.n for r in df.select("i", text.hidden_names(F.col("t")).alias("n")).collect()}
+    scanned.createOrReplaceTempView("scanned")
+    flags = scanned.select(F.struct(*[c.alias(k) for k, c in addresses.context_flags(F.col("context")).items()]).alias("f"), addresses.self_attributed(F.col("context")).alias("s"))
+    assert spark.sql("select context_flags(context) as f, self_attributed(context) as s from scanned").collect() == flags.collect()
+    hosts = ["http://U:p@A.test:1/x", "https://[::1]:80/x", "nothing", None]
+    got = spark.createDataFrame([(h,) for h in hosts], "u string").selectExpr("url_host(u) as h", "is_hidden(u) as k", "u")
+    assert [r.h for r in got.collect()] == ["a.test", "::1", "", ""] == [r[0] for r in got.select(urls.host(F.col("u"))).collect()]

@@ -43,8 +43,12 @@ def scan(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     rows = df.where(t.rlike(f"(?:{ANY})"))
     found = F.array_distinct(F.filter(runs(t), lambda x: x.rlike(f"^(?:{ANY})$")))
     rows = rows.select(*keys, t.alias("_text"), F.explode(found).alias("address"))
+    # nearly always the first place where the characters stand is a whole run; the search over runs is for the rest
+    rows = rows.withColumn("_at", F.expr("instr(_text, address)"))
+    behind = F.substring("_text", F.col("_at") + F.length("address"), F.lit(1))
+    whole = ((F.col("_at") == 1) | ~F.substring("_text", F.col("_at") - 1, F.lit(1)).rlike(EDGE)) & ~behind.rlike(EDGE)
     before = F.expr(rf"regexp_extract(_text, concat('(?s)^(.*?{NOT_RUN}|)', address, '(?:{NOT_RUN}|$)'), 1)".replace("\\", "\\\\"))
-    pos = F.length(before)
+    pos = F.when(whole, F.col("_at") - 1).otherwise(F.length(before))
     rows = rows.withColumn("pos", pos).withColumn("currency", currency(F.col("address")))
     begin = F.greatest(F.col("pos") - WINDOW, F.lit(0))
     context = F.lower(F.substring(F.col("_text"), begin + 1, F.col("pos") - begin + F.length("address") + WINDOW))

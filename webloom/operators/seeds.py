@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from webloom.functions import text, urls
@@ -26,11 +26,28 @@ def fetched(wanted: DataFrame, source: DataFrame, on: str = "url") -> DataFrame:
     return wanted.join(source.select(on, "body"), on, "left").withColumn("body", F.coalesce("body", F.lit("")))
 
 
+# Fixed value: the namespace of sitemaps.
+SITEMAPS = "http://www.sitemaps.org/schemas/sitemap/0.9"
+_ENTRIES = "url array<struct<loc: array<string>>>, sitemap array<struct<loc: array<string>>>, _corrupt string"
+
+
+def sitemap_locs(body: Column) -> Column:
+    """Texts of the <loc> entries of a sitemap or a sitemap index, by a parse of its XML. Elements count that are
+    in the sitemaps' namespace, by default or by a prefix; comments and other namespaces' elements do not.
+    Null for what is no XML, or names the namespace nowhere."""
+    name = rf"""\s*=\s*["']{SITEMAPS.replace(".", "[.]")}["']"""
+    prefix = F.regexp_extract(body, rf"xmlns:([A-Za-z_][\w.-]*){name}", 1)
+    plain = F.when(body.rlike(rf"\bxmlns{name}"), body).when(prefix != "", F.regexp_replace(body, F.concat(F.lit("<(/?)"), prefix, F.lit(":")), F.lit("<$1")))
+    found = F.from_xml(plain, _ENTRIES, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    entries = F.concat(*[F.coalesce(found[c], F.array().cast("array<struct<loc: array<string>>>")) for c in ("url", "sitemap")])
+    return F.when(found["_corrupt"].isNull(), F.flatten(F.filter(F.transform(entries, lambda e: e["loc"]), lambda x: x.isNotNull())))
+
+
 def sitemap_names(sitemap: DataFrame, blacklist: DataFrame | None, body: str = "body") -> DataFrame:
-    """Names in the <loc> entries of sitemaps, or anywhere in one that has no such entry, less the
+    """Names in the <loc> entries of sitemaps, or anywhere in one that has no such entry or is no XML, less the
     blacklist (domain)."""
-    locs = F.regexp_extract_all(F.col(body), F.lit(r"(?is)<(?:\w+:)?loc\b[^>]*>(.*?)</(?:\w+:)?loc>"), F.lit(1))
-    found = names_in(sitemap.select(F.when(F.size(locs) > 0, F.array_join(locs, "\n")).otherwise(F.col(body)).alias("t")), "t")
+    rows = sitemap.select(F.col(body).alias("t"), sitemap_locs(F.col(body)).alias("locs"))
+    found = names_in(rows.select(F.when(F.size("locs") > 0, F.array_join("locs", "\n")).otherwise(F.col("t")).alias("t")), "t")
     return found if blacklist is None else found.join(blacklist.select("domain"), "domain", "left_anti")
 
 

@@ -11,9 +11,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from webloom.core.scratch import Scratch
-from webloom.functions import addresses, dom, text, urls
+from webloom.functions import addresses, dom, sql, text, urls
 from webloom.operators import crawl, graph, merge, models, rollups, seeds, wallets
 from webloom.plans import jobs
+from webloom.sources import captures
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -163,6 +164,14 @@ def address_scan(spark, sf_dir):
     return addresses.scan(overlaid(spark, sf_dir), ["doc_id"], "t").select("doc_id", "address", "currency", "pos")
 
 
+@query(f"with {_SCAN_SQL} select doc_id, address, currency, pos from x")
+def address_scan_sql(spark, sf_dir):
+    """As address_scan, asked in SQL of the table function."""
+    sql.register(spark)
+    overlaid(spark, sf_dir).createOrReplaceTempView("overlaid")
+    return spark.sql("select o.doc_id, s.address, s.currency, s.pos from overlaid o, lateral address_scan(o.t) s")
+
+
 @query(f"with {_SCAN_SQL} select doc_id, address, {_SELF_SQL} as self_attributed, substr(context, 1, 200) as snippet from x")
 def self_attribution(spark, sf_dir):
     x = addresses.scan(overlaid(spark, sf_dir), ["doc_id"], "t")
@@ -566,14 +575,17 @@ def blacklist_anti(spark, sf_dir):
     return seeds.collect([names], listed)
 
 
-_WORDS = ", ".join(f"({i}, '{w}')" for i, w in enumerate(seeds.SEED_WORDS))
-
-
-@query(f"""with w(s, word) as (values {_WORDS}), p as (select a.s as s1, b.s as s2, a.word || ' ' || b.word as q from w a join w b on a.s < b.s where a.s < 20 and b.s < 20 order by 1, 2 limit 50),
+@query("""with t as (select u.word, count(*) as n from (select regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}_]+') as l from documents) d, unnest(d.l) as u(word) where regexp_full_match(u.word, '[a-z]{4,}') group by 1),
+    w as (select row_number() over (order by n desc, word) as s, word from t order by 1 limit 40),
+    p as (select a.s as s1, b.s as s2, a.word || ' ' || b.word as q from w a join w b on a.s < b.s where a.s <= 20 and b.s <= 20 order by 1, 2 limit 50),
     q as (select 0 as k, s as s1, 0 as s2, word as q from w union all select 1, s1, s2, q from p), o as (select row_number() over (order by k, s1, s2) as n, q from q)
     select n::int as n, q as query, 'http://x.invalid/s?q=' || replace(url_encode(q), '+', '%20') || '&ps=20' as url from o where n <= 80""")
 def word_queries(spark, sf_dir):
-    return seeds.search_urls(seeds.word_queries(seeds.words(spark)), "http://x.invalid/s?q={query}&ps=20", 80)
+    """Searches for the 40 most frequent long words of the documents, and for pairs of the first of them."""
+    words = table(spark, sf_dir, "documents").select(F.explode(F.filter(text.runs(F.lower(F.coalesce("text", F.lit("")))), lambda x: x.rlike("^[a-z]{4,}$"))).alias("word"))
+    ranked = words.groupBy("word").count().orderBy(F.desc("count"), "word").limit(40)
+    listed = ranked.select("word", F.row_number().over(Window.orderBy(F.desc("count"), "word")).cast("long").alias("seq"))  # 40 rows
+    return seeds.search_urls(seeds.word_queries(listed), "http://x.invalid/s?q={query}&ps=20", 80)
 
 
 @query(f"""with d as (select doc_id, doc_id % 3 as kind, translate(substr(sha256(doc_id::varchar), 1, 16), '0189', 'abcd') || '.onion' as domain from documents),
@@ -589,7 +601,12 @@ def seed_sources(spark, sf_dir):
     d = d.join(F.broadcast(seeds.words(spark)), F.col("seq") == F.col("doc_id") % len(seeds.SEED_WORDS))  # the built-in words
     url = F.when(F.col("kind") == 0, F.concat(F.lit("http://map.test/"), number)).when(F.col("kind") == 1, F.concat(F.lit("http://list.test/page/"), number))
     url = url.otherwise(F.concat(F.lit("http://x.invalid/s?q="), urls.quoted(F.col("word"))))
-    body = F.when(F.col("kind") == 0, F.concat(F.lit("<urlset><x>http://"), name(20), F.lit("/</x><url><loc>http://"), name(1), F.lit("/</loc></url></urlset>")))
+    ns = f'"{seeds.SITEMAPS}"'
+    other = F.concat(F.lit("http://"), name(20), F.lit("/"))  # names of comments, other elements and namespaces do not count
+    loc = F.concat(F.lit("http://"), name(1), F.lit("/"))
+    plain = F.concat(F.lit("<!-- <loc>"), other, F.lit(f'</loc> --><urlset xmlns={ns} xmlns:i="http://i"><x>'), other, F.lit("</x><url><loc>"), loc, F.lit("</loc><i:image><i:loc>"), other, F.lit("</i:loc></i:image></url></urlset>"))
+    named = F.concat(F.lit(f"<s:urlset xmlns:s={ns}><loc>"), other, F.lit("</loc><s:url><s:loc>"), loc, F.lit("</s:loc></s:url></s:urlset>"))
+    body = F.when((F.col("kind") == 0) & (F.col("doc_id") % 2 == 0), plain).when(F.col("kind") == 0, named)
     body = body.otherwise(F.concat(name(1), F.lit(' <a href="'), (F.col("doc_id") + 3).cast("string"), F.lit('">next</a> <a href="/about">x</a>')))
     capture = Scratch(spark, "seed-sources").write(d.select("doc_id", "kind", url.alias("url"), body.alias("body")), "capture")
     listed = table(spark, sf_dir, "benchmark").select(F.concat(F.translate(F.substring(F.sha2(F.col("item_id").cast("string"), 256), 1, 16), "0189", "abcd"), F.lit(".onion")).alias("domain"))
@@ -645,6 +662,21 @@ def site_check(spark, sf_dir):
     return crawl.check(domains, source)
 
 
+@query(f"""with h as (select page_id, url, {_HOST_SQL} as host, html from pages)
+    select page_id, host, case page_id % 3 when 0 then 200 when 1 then 404 end as status_code, case when page_id % 3 < 2 then sha256(html) end as html_sha256 from h where host in (select min(host) from h union select max(host) from h)""")
+def captured_hosts(spark, sf_dir):
+    """Pages written as responses and read by the data source, two hosts of them by its own filter."""
+    captures.register(spark)
+    p, i = table(spark, sf_dir, "pages"), F.col("page_id")
+    status = F.when(i % 3 == 0, 200).when(i % 3 == 1, 404)
+    folder = Scratch(spark, "captures").path("responses")
+    rows = p.select("url", status.alias("status_code"), F.when(status.isNotNull(), F.col("html")).alias("html"), F.timestamp_seconds(i).alias("captured_at"))
+    rows.write.format(captures.FORMAT).mode("append").save(folder)
+    first, last = p.agg(F.min(urls.host(F.col("url"))), F.max(urls.host(F.col("url")))).first()
+    got = spark.read.format(captures.FORMAT).option("hosts", f"{first},{last}").load(folder)
+    return got.select(F.unix_seconds("captured_at").alias("page_id"), "host", "status_code", F.sha2("html", 256).alias("html_sha256"))
+
+
 # -- classifiers ------------------------------------------------------------------------------------
 
 
@@ -662,8 +694,27 @@ def untrained_classify(spark, sf_dir):
     return models.Classifiers().classify(sites, contexts, text="text").drop("text", "tracking_calls")
 
 
+def _apart(key: str = "doc_id") -> Column:
+    """Whether a row is held out: every fourth, by a hash."""
+    return F.crc32(F.col(key).cast("string")) % 4 == 0
+
+
 @query()
 def trained_language(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    """Languages of all documents by a model of those that are not held out."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", _apart().alias("held_out"))
     k = models.Language()
-    return k.predict(d, k.fit(d, "text", "lang"), "text").select("doc_id", "lang", "language", F.round("language_conf", 6).alias("language_conf"))
+    return k.predict(d, k.fit(d.where("not held_out"), "text", "lang"), "text").select("doc_id", "held_out", "lang", "language", F.round("language_conf", 6).alias("language_conf"))
+
+
+@query()
+def trained_tracking(spark, sf_dir):
+    """Verdicts on sets of script names drawn by a hash of the document, by a model of those not held out; a site
+    tracks if it has one of two names and not the other, which no sum of names can tell."""
+    bit = lambda i: F.xxhash64(F.lit(i), "doc_id") % 2 == 0
+    names = sorted(text.TRACKING_CALLS)[:8]
+    calls = F.filter(F.array(*[F.when(bit(i), c) for i, c in enumerate(names)]), lambda c: c.isNotNull())
+    d = table(spark, sf_dir, "documents").select("doc_id", calls.alias("calls"), (bit(0) != bit(1)).alias("tracks"), _apart().alias("held_out"))
+    d = Scratch(spark, "trained-tracking").write(d, "rows")
+    k = models.Tracking()
+    return k.predict(d, k.fit(d.where("not held_out").select("doc_id", "calls", "tracks"), "calls", "tracks"), "calls").drop("calls")

@@ -1,3 +1,4 @@
+import json
 import random
 
 import numpy as np
@@ -110,3 +111,12 @@ def test_pagerank_settles_where_the_matrix_does(spark):
         got = {r.id: r.pagerank for r in graph.pagerank(nodes, e, tol=1e-4, use_weights=weighted).collect()}
         assert [got[i] for i in range(5)] == pytest.approx(x.tolist(), abs=2e-3)
     assert {r.pagerank for r in graph.pagerank(nodes, e, tol=0.0, max_iter=2).collect()} == {0.0}
+
+
+def test_document_of_any_graph(spark):
+    nodes = spark.createDataFrame([("b", True), ("a\"c", False)], "id string, is_onion boolean")
+    e = spark.createDataFrame([("b", "a\"c", 2), ("a\"c", "b", 1)], "src string, dst string, weight long")
+    text = lambda n, x: "".join(r.json for r in graph.document(n, x).collect())
+    got = json.loads(text(nodes, e))
+    assert got == {"nodes": [{"id": 'a"c', "is_onion": False}, {"id": "b", "is_onion": True}], "edges": [{"src": 'a"c', "dst": "b", "weight": 1}, {"src": "b", "dst": 'a"c', "weight": 2}]}
+    assert json.loads(text(nodes.limit(0), e.limit(0))) == {"nodes": [], "edges": []}

@@ -285,8 +285,13 @@ def as_json(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return n.unionByName(edges.select(F.lit("edge").alias("kind"), F.to_json(F.struct("src", "dst", "weight")).alias("json")))
 
 
-def one_document(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """One row, one json document {"nodes": [...], "edges": [...]}: for graphs that one reader takes whole."""
-    n = nodes.agg(F.array_sort(F.collect_list(F.struct("id", "is_onion"))).alias("nodes"))
-    e = edges.agg(F.array_sort(F.collect_list(F.struct("src", "dst", "weight"))).alias("edges"))
-    return n.crossJoin(F.broadcast(e)).select(F.to_json(F.struct("nodes", "edges")).alias("json"))
+def document(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(json): rows that make one json document {"nodes": [...], "edges": [...]} when read in order, as files
+    written of them are. Sorted by ranges, so no task and no row holds the graph."""
+    first, link = nodes.agg(F.min("id")).first()[0], edges.agg(F.min(F.struct("src", "dst"))).first()[0]
+    comma = lambda at, least: F.when(at == least, "").otherwise(",")
+    n = nodes.select(F.lit(1).alias("part"), F.struct(F.col("id").alias("a"), F.lit("").alias("b")).alias("at"), F.concat(comma(F.col("id"), F.lit(first)), F.to_json(F.struct("id", "is_onion"))).alias("json"))
+    least = F.struct(F.lit(link and link[0]).alias("src"), F.lit(link and link[1]).alias("dst"))
+    e = edges.select(F.lit(3), F.struct(F.col("src").alias("a"), F.col("dst").alias("b")), F.concat(comma(F.struct("src", "dst"), least), F.to_json(F.struct("src", "dst", "weight"))))
+    frame = nodes.sparkSession.createDataFrame([(0, ("", ""), '{"nodes":['), (2, ("", ""), '],"edges":['), (4, ("", ""), "]}")], "part int, at struct<a: string, b: string>, json string")
+    return n.union(e).union(frame).orderBy("part", "at").select("json")

@@ -38,7 +38,7 @@ def parser() -> argparse.ArgumentParser:
     k.add_argument("--pages", required=True)
     g = sub.add_parser("graph", help="figures of the link graph")
     g.add_argument("--output")
-    g.add_argument("--lines", action="store_true", help="a line for each node and edge, for graphs that one reader does not take whole")
+    g.add_argument("--lines", action="store_true", help="a json line for each node and edge, in place of one json document over all files")
     sub.add_parser("wallets", help="cluster addresses and flag outliers")
     sub.add_parser("report", help="summary of the tables")
     return p
@@ -66,7 +66,7 @@ def main(argv: list[str] | None = None) -> int:
         show(out["stats"])
         show(out["top"])
         if a.output:
-            out["lines" if a.lines else "json"].select("json").write.mode("overwrite").text(a.output)
+            out["lines" if a.lines else "document"].select("json").write.mode("overwrite").text(a.output)
     elif a.command == "wallets":
         show(jobs.wallets_job(store).where("is_outlier"))
     else:

@@ -143,8 +143,8 @@ def check_job(store: Store, source: DataFrame, now: Column | None = None) -> Dat
 
 
 def graph_job(store: Store, top_n: int = 10, use_weights: bool = False, suffix: str = ".onion") -> dict[str, DataFrame]:
-    """Figures, top nodes and json of the stored graph; every edge weighs 1 unless asked otherwise. `json`
-    is the whole graph in one row, for one reader; `lines` has a row for each node and edge, at any size."""
+    """Figures, top nodes and json of the stored graph; every edge weighs 1 unless asked otherwise. `document` is
+    one json document over its rows in order, `lines` has one for each node and edge."""
     scratch = Scratch(store.spark, "graph-job")
     edges = scratch.write(store.read("graph_edges"), "edges")
     nodes = scratch.write(graph.nodes_of(edges, store.read("domains"), suffix), "nodes")
@@ -153,7 +153,7 @@ def graph_job(store: Store, top_n: int = 10, use_weights: bool = False, suffix:
     return {
         "stats": graph.stats(nodes, edges, suffix, components, parts),
         "top": graph.node_stats(nodes, edges, top_n, use_weights, parts),
-        "json": graph.one_document(nodes, edges),
+        "document": graph.document(nodes, edges),
         "lines": graph.as_json(nodes, edges),
     }
 

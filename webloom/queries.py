@@ -518,6 +518,15 @@ def graph_json(spark, sf_dir):
     return graph.as_json(*page_graph(spark, sf_dir))
 
 
+@query(f"""with {_EDGES_SQL}, v as (select 1 as p, id as a, '' as b, '{{"id":"' || id || '","is_onion":' || is_onion::varchar || '}}' as j from n
+        union all select 3, src, dst, '{{"src":"' || src || '","dst":"' || dst || '","weight":' || weight::varchar || '}}' from e),
+    o as (select p, a, b, case when row_number() over (partition by p order by a, b) = 1 then '' else ',' end || j as json from v union all values (0, '', '', '{{"nodes":['), (2, '', '', '],"edges":['), (4, '', '', ']}}'))
+    select json from o""")
+def graph_document(spark, sf_dir):
+    """The graph as one json document, line by line; a test reads the lines in order."""
+    return graph.document(*page_graph(spark, sf_dir))
+
+
 @query(f"""with recursive {_EDGES_SQL}, f(id, depth) as (select min(id), 0 from n union select e.dst, f.depth + 1 from f join e on f.id = e.src where f.depth < 60)
     select id, min(depth)::int as depth from f group by 1""")
 def reach(spark, sf_dir):

@@ -106,8 +106,7 @@ def strong_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 10_0
     scratch = Scratch(nodes.sparkSession, "scc")
     e = scratch.write(edges.select("src", "dst").where("src <> dst").distinct(), "edges0")
     size, merges = e.count(), []
-    found = nodes.sparkSession.createDataFrame([], T.StructType([nodes.schema["id"], T.StructField("root", nodes.schema["id"].dataType)]))
-    scratch.append(found, "found")
+    known = False  # whether a component of more than one node is
     for k in range(1, max_rounds + 1):
         if not size:
             break
@@ -119,13 +118,15 @@ def strong_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 10_0
         scratch.drop(f"edges{k - 1}", f"pointers{k}")
         before, size = size, e.count()
         if size and before - size < before / 16:
-            e = scratch.write(_split(e, k, scratch, max_rounds), f"split{k}")
+            e, known = scratch.write(_split(e, k, scratch, max_rounds), f"split{k}"), True
             size = e.count()
     else:
         raise RuntimeError(f"strong components did not settle in {max_rounds} rounds")
+    none = nodes.sparkSession.createDataFrame([], T.StructType([nodes.schema["id"], T.StructField("root", nodes.schema["id"].dataType)]))
     for both in reversed(merges):
-        scratch.append(_told(both, scratch.table("found")), "found")
-    roots = scratch.table("found")
+        scratch.append(_told(both, scratch.table("found") if known else none), "found")
+        known = True
+    roots = scratch.table("found") if known else none
     rows = scratch.write(nodes.select("id").distinct().join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("root")), "rows")
     least = rows.groupBy("root").agg(F.min("id").alias("component"))
     return rows.join(least, "root").select("id", "component")
@@ -167,7 +168,7 @@ def _split(e: DataFrame, k: int, scratch: Scratch, max_rounds: int) -> DataFrame
     ids = scratch.write(e.select(F.col("src").alias("id")).unionByName(e.select(F.col("dst").alias("id"))).distinct(), f"ids{k}")
     chosen = ids.orderBy(F.xxhash64(F.lit(k), "id"), "id").limit(PIVOTS).collect()
     pivots = e.sparkSession.createDataFrame([(r.id, (1 << i) - (1 << 64 if i == 63 else 0)) for i, r in enumerate(chosen)], T.StructType([T.StructField("id", ids.schema["id"].dataType), T.StructField("bit", T.LongType())]))
-    masks = scratch.write(_spread(ids, e, pivots, max_rounds), f"masks{k}")
+    masks = _spread(ids, e, pivots, max_rounds)  # a written table
     own = F.col("before").bitwiseAND(F.col("after"))
     of_pivot = masks.join(pivots.select("id"), "id", "left_semi").groupBy(own.alias("own")).agg(F.min("id").alias("root"))  # PIVOTS rows
     inside = masks.where(own != 0).select("id", own.alias("own")).join(F.broadcast(of_pivot), "own")

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from webloom.llm.memory import tidy
+from webloom.llm.memory import in_small_batches, tidy
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -360,7 +360,7 @@ def _mapped(df: DataFrame, columns: list[str], value, added: list[T.StructField]
                 arrays = work(part.column(n))
                 yield pa.RecordBatch.from_arrays([*part.columns[:n], *arrays], names=[f.name for f in schema])
 
-    return df.select(*columns, value).mapInArrow(tidy(run), schema)
+    return in_small_batches(df).select(*columns, value).mapInArrow(tidy(run), schema)
 
 
 def _free(name: str, columns: list[str]) -> str:

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from webloom.llm.memory import tidy
+from webloom.llm.memory import in_small_batches, tidy
 
 WORD = re.compile(r"[^\W\d_]+")
 PREFIXES = (3, 4, 5, 6)
@@ -159,7 +159,7 @@ def fit(
             yield pa.RecordBatch.from_arrays([pa.array(terms, pa.binary()), b.column(1)], names=["terms", "label"])
 
     rows = training_rows(docs, labels, fit_rows, id_col, text_col, label_col, folds, held)
-    got = rows.mapInArrow(tidy(run), "terms binary, label int").toArrow().combine_chunks()
+    got = in_small_batches(rows).mapInArrow(tidy(run), "terms binary, label int").toArrow().combine_chunks()
     labels = got["label"].to_numpy()
     bags = [np.frombuffer(t.as_buffer(), np.int32) for t in got["terms"]]  # views of what has arrived
     order = sorted(range(len(bags)), key=lambda i: (labels[i], xxhash.xxh3_128_digest(bags[i])))  # the same model whatever order tasks end in
@@ -190,7 +190,7 @@ def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: s
                     memo.clear()
             yield pa.RecordBatch.from_arrays([*b.columns[: len(columns)], pa.array(scores)], schema=pa.schema([*(b.schema.field(c) for c in range(len(columns))), (out_col, pa.float64())]))
 
-    return docs.select(*columns, F.col(text_col).alias("_text_to_score")).mapInArrow(tidy(run), schema)
+    return in_small_batches(docs).select(*columns, F.col(text_col).alias("_text_to_score")).mapInArrow(tidy(run), schema)
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

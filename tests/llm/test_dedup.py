@@ -248,3 +248,27 @@ def test_copies_without_ids_are_spread(spark):
     keyed = docs.select(F.col("doc_id").alias("id"), exact_dedup.normalised(F.col("text")).alias("norm"), exact_dedup._spread(docs, "doc_id", "text").alias("spread"))
     runs = exact_dedup._keyed(keyed, 20, Scratch(spark, "test")).where("norm = 'hot text'").groupBy("run").count().collect()
     assert len(runs) > 10 and max(r["count"] for r in runs) < 40
+
+
+def test_tiles_leave_out_what_cannot_link(monkeypatch):
+    """Every two cells within the radius meet, tiles hold their bound, and most pairs of tiles do not meet."""
+    monkeypatch.setattr(simhash, "TILE_LEAST", 64)
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 1 << 63, 20_000).astype(np.uint64) << np.uint64(1)
+    x[:3000] = x[0]
+    counts = simhash._words16(x).astype(int)
+    cells, n = np.unique(counts @ 17 ** np.arange(4), return_counts=True)
+    plan, partners = simhash.tile_plan(list(zip(cells.tolist(), n.tolist(), strict=True)), 3)
+    assert [c for c, _, _ in sorted(plan)] == cells.tolist()
+    held = np.zeros(len(partners), int)
+    tiles = {}
+    for cell, first, m in plan:
+        tiles[cell] = range(first, first + m)
+        held[first] += n[np.searchsorted(cells, cell)] / m
+    assert held.max() <= 20_000 / simhash.TILE_SHARE + 1 and len(partners) < 100
+    at = np.stack([cells // 17**i % 17 for i in range(4)], axis=1)
+    for i in rng.choice(len(cells), 60):
+        for j in np.flatnonzero(np.abs(at - at[i]).sum(axis=1) <= 3):
+            assert all(b in partners[a] for a in tiles[cells[i]] for b in tiles[cells[j]])
+    assert sum(map(len, partners)) < 0.8 * len(partners) ** 2
+    assert simhash.tile_plan([(5, 1)], 3) == ([(5, 0, 1)], [[0]])

@@ -1,10 +1,10 @@
 """SimHash near-deduplication by tiled exact comparison.
 
 A fingerprint has 64 bits a lane; lane 0 hashes word shingles with XXH64 and further lanes remix its
-hash, for a finer estimate. Distinct fingerprints are dealt into tiles by their population count,
-every two tiles whose counts can be within the radius meet in one task, and there numpy compares
-them with exclusive-or and bit counts. Within a task, sub-tiles ordered by the population counts of
-their 16-bit words are skipped when those differ by more than the radius. A task returns a spanning
+hash, for a finer estimate. Distinct fingerprints are dealt into tiles by the population counts of their
+16-bit words, whose differences add up to no more than the bits that differ: only tiles whose counts can be
+within the radius meet, each pair in one task, and there numpy compares them with exclusive-or and bit
+counts. Within a task, sub-tiles are skipped by the same counts. A task returns a spanning
 forest of its links, never all pairs, so a group of any size costs no more rows than it has members
 in each tile pair.
 
@@ -20,18 +20,19 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from webloom.core.scratch import Scratch
 from webloom.llm.forest import Forest
-from webloom.llm.memory import tidy
+from webloom.llm.memory import in_small_batches, tidy
 from webloom.operators.components import connected_components
 
 SEED = 42
-#: Rows of a tile: a share of all fingerprints within these bounds, which bound a task's memory.
-TILE_SHARE, TILE_LEAST, TILE_MOST, SUB = 32, 256, 1 << 20, 512
+#: Rows of a tile: a share of all fingerprints within these bounds, until there are MOST_TILES of that size,
+#: and then as many as keep to that number, which bounds the plan. Rows of a sub-tile.
+TILE_SHARE, TILE_LEAST, TILE_MOST, MOST_TILES, SUB = 20, 256, 1 << 17, 2048, 512
 #: Sets and shingles of a block of the exact comparison, and shingles it has bits for at a time.
 BLOCK_SETS, BLOCK_SHINGLES, COLUMNS = 512, 1 << 21, 4096
 #: Rows, of 40 bytes at most, that are broadcast at most.
@@ -94,7 +95,7 @@ def fingerprints(docs: DataFrame, k: int = 3, lanes: int = 1, id_col: str = "doc
                         out[lane, i] = fingerprint(remixed(h, lane))
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x.view(np.int64)) for x in out), *[pa.array(digests, pa.binary())] * distinct], names=schema.names)
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(tidy(run), schema)
+    return in_small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(tidy(run), schema)
 
 
 def _words16(x: np.ndarray) -> np.ndarray:
@@ -136,27 +137,36 @@ def close_pairs(a: np.ndarray, b: np.ndarray, radius: int, total: int | None = N
                 yield order_a[i * SUB + p], order_b[j * SUB + q]
 
 
-def _tile_plan(histogram: list[tuple[int, int]], radius: int) -> list[tuple[int, int, int, list[int]]]:
-    """(population count, first tile, tiles, partner tiles): neighbouring counts share a tile until
-    it is full, and a count with more rows than a tile holds gets several."""
-    n = sum(c for _, c in histogram)
-    size = min(max(-(-n // TILE_SHARE), TILE_LEAST), TILE_MOST)
-    groups: list[list[int]] = []  # lowest count, highest count, rows
-    for pc, c in sorted(histogram):
-        if groups and groups[-1][2] + c <= size:
-            groups[-1][1], groups[-1][2] = pc, groups[-1][2] + c
-        else:
-            groups.append([pc, pc, c])
-    tiles, first = [], 0
-    for lo, hi, c in groups:
-        tiles.append((lo, hi, first, -(-c // size)))
-        first += tiles[-1][3]
-    plan = []
-    for pc, _ in sorted(histogram):
-        lo, hi, at, n_tiles = next(t for t in tiles if t[0] <= pc <= t[1])
-        partners = [t + i for lo2, hi2, t, m in tiles if max(lo2 - hi, lo - hi2) <= radius for i in range(m)]
-        plan.append((pc, at, n_tiles, partners))
-    return plan
+def _cell(fingerprint: str) -> Column:
+    """The population counts of a fingerprint's four 16-bit words in one number, below 17 ** 4."""
+    words = [F.bit_count(F.shiftrightunsigned(fingerprint, 16 * i).bitwiseAND(0xFFFF)) * 17**i for i in range(4)]
+    return sum(words[1:], words[0]).cast("int")
+
+
+def tile_plan(histogram: list[tuple[int, int]], radius: int) -> tuple[list[tuple[int, int, int]], list[list[int]]]:
+    """((cell, first tile, tiles) of each cell, partner tiles of each tile), for rows counted by cell.
+
+    Cells are halved along the word whose counts spread most until their rows fit a tile; one cell with more
+    rows than that gets several. Partners are tiles in whose boxes counts can be within the radius."""
+    cells, rows = np.array([c for c, _ in histogram]), np.array([n for _, n in histogram])
+    at = np.stack([cells // 17**i % 17 for i in range(4)], axis=1)
+    size = max(min(max(-(-rows.sum() // TILE_SHARE), TILE_LEAST), TILE_MOST), -(-rows.sum() // MOST_TILES))
+    plan, boxes, todo = [], [], [np.arange(len(cells))]
+    while todo:
+        mine = todo.pop()
+        lo, hi, n = at[mine].min(axis=0), at[mine].max(axis=0), rows[mine].sum()
+        d = int(np.argmax(hi - lo))
+        if n <= size or lo[d] == hi[d]:
+            tiles = int(-(-n // size))
+            plan += [(int(cells[i]), len(boxes), tiles) for i in mine]
+            boxes += [(lo, hi)] * tiles
+            continue
+        along = np.bincount(at[mine, d], weights=rows[mine], minlength=18).cumsum()
+        cut = min(max(int(np.searchsorted(along, n / 2)), lo[d]), hi[d] - 1)  # some on either side
+        todo += [mine[at[mine, d] > cut], mine[at[mine, d] <= cut]]
+    lo, hi = (np.array([box[k] for box in boxes]) for k in (0, 1))
+    partners = [np.flatnonzero(np.maximum(0, np.maximum(lo - hi[t], lo[t] - hi)).sum(axis=1) <= radius).tolist() for t in range(len(boxes))]
+    return plan, partners
 
 
 def link_fingerprints(classes: DataFrame, radius: int, total: int | None = None) -> DataFrame:
@@ -164,13 +174,15 @@ def link_fingerprints(classes: DataFrame, radius: int, total: int | None = None)
     (id long, l0 ..): distinct fingerprints or sets, one row each."""
     spark = classes.sparkSession
     lanes = [c for c in classes.columns if c.startswith("l")]
-    pc = F.bit_count("l0").cast("int")
-    histogram = [(r[0], r[1]) for r in classes.groupBy(pc.alias("pc")).count().collect()]  # 65 rows at most
+    histogram = [(r[0], r[1]) for r in classes.groupBy(_cell("l0").alias("cell")).count().collect()]  # 17 ** 4 rows at most
     if not histogram:
         return spark.createDataFrame([], "src long, dst long")
-    plan = spark.createDataFrame(_tile_plan(histogram, radius), "pc int, first int, tiles int, partners array<int>")
-    rows = classes.withColumn("pc", pc).join(F.broadcast(plan), "pc")  # 65 rows
+    plan, partners = tile_plan(histogram, radius)
+    cells = spark.createDataFrame(plan, "cell int, first int, tiles int")
+    meets = spark.createDataFrame(list(enumerate(partners)), "tile int, partners array<int>")
+    rows = classes.withColumn("cell", _cell("l0")).join(F.broadcast(cells), "cell")  # 17 ** 4 rows at most
     rows = rows.withColumn("tile", F.col("first") + F.pmod(F.xxhash64("id"), F.col("tiles").cast("long")).cast("int"))
+    rows = rows.join(F.broadcast(meets), "tile")  # tiles: 2 * MOST_TILES and one for each cell at most
     rows = rows.select("id", *lanes, "tile", F.explode("partners").alias("other"))
     rows = rows.select(F.least("tile", "other").alias("ta"), F.greatest("tile", "other").alias("tb"), "tile", "id", *lanes)
 

@@ -1,7 +1,9 @@
 import math
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -202,3 +204,36 @@ def test_words_are_hashed_as_by_the_library():
     want = [xxhash.xxh64_intdigest(bytes(c + 32 if 65 <= c <= 90 else c for c in w)) for w in words]
     assert kn.hashed_words(data, starts, ends).tolist() == want
     assert kn.hashed_words(data[:0], starts[:0], ends[:0]).tolist() == []
+
+
+def test_spans_of_a_task_are_dealt_together(monkeypatch):
+    """Spans are summed up before they are dealt, so blocks do not grow with spans times buckets."""
+    level = kn.Level(kn.Plan("pairs", 4, 10, 1), 8, np.array([5], np.uint64), np.array([4, 6]), None)
+    rng = np.random.default_rng(2)
+    tokens = [(rng.integers(0, 40, 300).astype(np.uint64), rng.integers(0, 200, 300).astype(np.uint64)) for _ in range(6)]
+    want = Counter((int(u), int(w)) for c, x in tokens for u, w in zip(c, x, strict=True))
+    spans = [(c, w, n) for c, w, _, n in (kn.distinct(c, w, 8) for c, w in tokens)]
+    for limit, batches in ((10_000, 1), (400, 3), (1, 6)):
+        monkeypatch.setattr(kn, "SUMMED", limit)
+        out = [list(zip(*(c.to_pylist() for c in x.columns), strict=True)) for x in kn._dealt(level, iter(spans))]
+        assert len(out) == batches and all(len({b for b, _ in x}) == len(x) for x in out)
+        got = Counter()
+        for b, blob in (y for x in out for y in x):
+            keys, counts = kn.unpack(blob)
+            assert (keys[1:] > keys[:-1]).all()
+            for u, w, n in zip(level.contexts(b, keys).tolist(), level.words(keys).tolist(), counts.tolist(), strict=True):
+                got[u, w] += n
+        assert got == want
+    assert list(kn._dealt(level, iter([]))) == []
+
+
+def test_a_model_of_many_gigabytes_stays_mapped():
+    """Each span looks into all buckets: a worker that cannot keep their files mapped opens all of them anew
+    for each span. The figures are those of 6 GB of documents, with frequent words of 3 million tokens each."""
+    model = kn.Model("", 9, 3, 14_000_000, 1_300_000_000)
+    fit = SimpleNamespace(model=model, index=lambda name, x: None)
+    hot = pd.DataFrame({"number": range(200), "tokens": [3_000_000] * 200})
+    pairs, triples = (kn._Fit.plan(fit, kind, n, hot) for kind, n in (("pairs", 14_000_000), ("triples", 600_000_000)))
+    files = 4 * pairs.all_buckets + 2 * triples.all_buckets + 3 * (1 << model.bits)
+    assert files < kn.MAPS / 2
+    assert pairs.all_buckets * triples.all_buckets < 3_000_000  # blocks that go from triples to pairs

@@ -40,10 +40,14 @@ from webloom.llm import files
 from webloom.llm.memory import tidy
 
 #: Documents for each word bucket, tokens for each pair bucket, tokens beyond which a context has
-#: buckets of its own, bytes of text handled at a time.
-WORD_DOCS, PAIR_TOKENS, HOT, SPAN = 8192, 1_000_000, 250_000, 1_500_000
-#: Files that a worker keeps mapped, and bytes it holds of files that cannot be mapped.
-MAPS, HELD = 4096 if files.MAPS_ARE_FREE else 512, 256 << 20
+#: buckets of its own, bytes of text handled at a time. Each span looks into every bucket, so the fewer
+#: of both there are the better; memory bounds them.
+WORD_DOCS, PAIR_TOKENS, HOT, SPAN = 16_384, 2_000_000, 1_000_000, 3_000_000
+#: Distinct n-grams of a task's spans that are summed up before they are dealt to buckets.
+SUMMED = 1_500_000
+#: Files that a worker keeps mapped, which are all of a model of some 50 GB of documents (a process may
+#: have 65,530 maps), and bytes it holds of files that cannot be mapped.
+MAPS, HELD = 32_768 if files.MAPS_ARE_FREE else 512, 256 << 20
 
 WHITE = np.isin(np.arange(256), [0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D])
 #: The hash of an end; a word's is never that of no bytes.
@@ -190,7 +194,8 @@ def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
 def summed(blobs) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys of all blocks, sorted, and the sums of their counts."""
     parts = [unpack(b) for b in blobs]
-    keys, counts = np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts])
+    keys, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
+    del parts
     order = np.argsort(keys, kind="stable")
     keys, counts = keys[order], counts[order]
     at = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
@@ -456,6 +461,27 @@ def _dealt_blobs(level: Level, context: np.ndarray, word: np.ndarray, counts: np
     return _blobs([r[0] for r in runs], [pack(keys[order[a:z]], counts[order[a:z]]) for _, a, z in runs])
 
 
+def _dealt(level: Level, spans: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """The blobs of (contexts, words, counts) of spans; those of SUMMED n-grams are summed up first."""
+    held, n = [], 0
+    for span in spans:
+        held.append(span)
+        n += len(span[0])
+        if n >= SUMMED:
+            yield _dealt_blobs(level, *_merged(held, int(level.shift)))
+            held, n = [], 0
+    if held:
+        yield _dealt_blobs(level, *_merged(held, int(level.shift)))
+
+
+def _merged(spans: list[tuple[np.ndarray, np.ndarray, np.ndarray]], shift: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    if len(spans) == 1:
+        return spans[0]
+    context, word, counts = (np.concatenate(x) for x in zip(*spans, strict=True))
+    context, word, inverse, _ = distinct(context, word, shift)
+    return context, word, np.bincount(inverse, counts, len(context)).astype(np.int64)
+
+
 def _context_facts(context: np.ndarray, counts: np.ndarray) -> list[tuple[str, np.ndarray, np.ndarray]]:
     """(kind, distinct contexts, values): of sorted contexts, the sum of their counts and how many are
     1, 2 and more."""
@@ -569,14 +595,17 @@ class _Fit:
     def pairs(self) -> DataFrame:
         model, folder, order, reader = self.model, self.model.folder, self.model.order, self.reader()
 
-        def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            r = reader()
+        def spans(r: _Reader, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
             for b in batches:
                 for g in token_groups(b.column(0)):
                     ids = _numbers(r, g)[0].astype(np.uint64)
                     context = _contexts(ids, g.heads, model.vocabulary)
                     context, word, _, counts = distinct(context[g.lead :], ids[g.lead :], model.shift)
-                    yield _dealt_blobs(r.pairs, context, word, counts)
+                    yield context, word, counts
+
+        def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            r = reader()
+            yield from _dealt(r.pairs, spans(r, batches))
 
         def add(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
             b, (keys, counts) = key[0], summed(pdf["blob"])
@@ -603,8 +632,7 @@ class _Fit:
     def triples(self) -> DataFrame:
         model, folder, reader = self.model, self.model.folder, self.reader()
 
-        def triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            r = reader()
+        def spans(r: _Reader, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
             for b in batches:
                 for g in token_groups(b.column(0)):
                     ids = _numbers(r, g)[0].astype(np.uint64)
@@ -614,7 +642,11 @@ class _Fit:
                     some = before >= 0
                     if some.any():
                         context, word, _, counts = distinct(before[some].astype(np.uint64), ids[some], model.shift)
-                        yield _dealt_blobs(r.triples, context, word, counts)
+                        yield context, word, counts
+
+        def triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            r = reader()
+            yield from _dealt(r.triples, spans(r, batches))
 
         def add(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
             b, r, (keys, counts) = key[0], reader(), summed(pdf["blob"])
@@ -622,12 +654,11 @@ class _Fit:
             _save(folder, f"triples-{b}", keys)
             _save(folder, f"triple-counts-{b}", compact(counts))
             contexts, words = r.triples.contexts(b, keys), r.triples.words(keys)
-            facts = _context_facts(contexts, counts)
+            rows = [(b, "triples", None, len(keys), *_kinds(counts)), *_fact_rows(_context_facts(contexts, counts), r.pairs.offsets)]
             context, word, _, before = distinct(r.last_words(contexts.astype(np.int64)), words, model.shift)
-            numbers = r.ngrams(r.pairs, context, word, "pair-counts")[0]
-            by_number = np.argsort(numbers, kind="stable")
-            facts.append(("before", numbers[by_number].astype(np.uint64), before[by_number]))
-            return pd.DataFrame([(b, "triples", None, len(keys), *_kinds(counts)), *_fact_rows(facts, r.pairs.offsets)], columns=COLUMNS)
+            blobs = _dealt_blobs(r.pairs, context, word, before)  # by key: no file of pairs is read for them
+            rows += [(p, "before", blob, 0, 0, 0, 0, 0, 0) for p, blob in zip(*(c.to_pylist() for c in blobs.columns), strict=True)]
+            return pd.DataFrame(rows, columns=COLUMNS)
 
         found = self.scratch.write(self.texts.mapInArrow(tidy(triples), _BLOBS).groupBy("bucket").applyInPandas(add, _FOUND), "triples")
         offsets, kinds = self.sizes(found, "triples", model.triples.all_buckets)
@@ -645,9 +676,13 @@ class _Fit:
             if not n:
                 return pd.DataFrame([], columns=COLUMNS)
             keys, counts = r.numbers_in(f"pairs-{b}"), Compact(r.file(f"pair-counts-{b}"), n).all()
-            *stats, before = _gathered(pdf, ("total", "n1", "n2", "n3", "before"), n, int(r.pairs.offsets[b]))
+            stats, before = _gathered(pdf, ("total", "n1", "n2", "n3"), n, int(r.pairs.offsets[b])), np.zeros(n, np.int64)
+            blobs = pdf["blob"][pdf["kind"] == "before"]
+            if len(blobs):
+                known, sums = summed(blobs)
+                before[np.searchsorted(keys, known)] = sums
             before = np.where(r.pairs.contexts(b, keys) == np.uint64(model.vocabulary), counts, before)
-            _save(folder, f"pair-stats-{b}", compact(np.array(stats)))
+            _save(folder, f"pair-stats-{b}", compact(stats))
             _save(folder, f"pair-before-{b}", compact(before))
             return pd.DataFrame([(b, "pairs", None, n, *_kinds(before)), *_word_facts(r, b, np.asarray(keys), before)], columns=COLUMNS)
 

@@ -45,7 +45,7 @@ from webloom.llm.memory import tidy
 WORD_DOCS, PAIR_TOKENS, HOT, SPAN = 16_384, 2_000_000, 1_000_000, 3_000_000
 #: Distinct n-grams of a task's spans that are summed up before they are dealt to buckets.
 SUMMED = 1_500_000
-#: Files that a worker keeps mapped, which are all of a model of some 50 GB of documents (a process may
+#: Files that a worker keeps mapped, which are all of a model of some 35 GB of documents (a process may
 #: have 65,530 maps), and bytes it holds of files that cannot be mapped.
 MAPS, HELD = 32_768 if files.MAPS_ARE_FREE else 512, 256 << 20
 
